@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundloom.llm import decontaminate, packing, simhash
+from fundloom.llm import decontaminate, linedup, media, packing, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +24,29 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_deleted", "words_deleted", "text")
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op4_simhash, op6_packing)}
+    return {f.__name__: f for f in (op3_decontamination, op4_simhash, op5_toxicity, op6_packing, op7_warc, op8_linedup, op10_media)}
 
 
 #: Words, windows, occurrences and covered words, as the contract of the query states them.
@@ -62,5 +79,42 @@ FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN g ON d.r = g.r
 """
 
 
+OP7_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM m
+"""
+
+#: All runs of lines with 50 words or more, from one line to another, instead of a suffix array.
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents),
+x AS (SELECT doc_id, r, generate_subscripts(ls, 1) - 1 AS no, trim(unnest(ls)) AS line
+      FROM (SELECT doc_id, r, string_split(text, chr(10)) AS ls FROM d)),
+l AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY no) - 1 AS seq,
+             len(regexp_extract_all(line, '\S+')) AS words FROM x WHERE line <> ''),
+f AS (SELECT line FROM l GROUP BY line HAVING count(*) > 1),
+s AS (SELECT l.*, sum(words) OVER (PARTITION BY r ORDER BY seq) AS done FROM l),
+k AS (SELECT s.*, seq - row_number() OVER (PARTITION BY r ORDER BY seq) AS stretch FROM s JOIN f USING (line)),
+w AS (SELECT a.doc_id, a.r, a.seq AS i, b.seq AS j FROM k a JOIN k b
+      ON a.r = b.r AND a.stretch = b.stretch AND b.seq >= a.seq AND b.done - a.done + a.words >= 50
+      AND (b.done - b.words - a.done + a.words < 50 OR b.done - a.done < 50)),
+n AS (SELECT w.doc_id, w.r, w.i, w.j, string_agg(k.line, chr(10) ORDER BY k.seq) AS run
+      FROM w JOIN k ON w.r = k.r AND k.seq BETWEEN w.i AND w.j GROUP BY ALL),
+e AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS copy FROM n),
+g AS (SELECT DISTINCT k.r, k.no, k.words FROM e JOIN k ON e.r = k.r AND k.seq BETWEEN e.i AND e.j WHERE e.copy > 1),
+t AS (SELECT r, count(*) AS n_deleted, sum(words) AS words_deleted, list(no) AS gone FROM g GROUP BY r)
+SELECT d.doc_id,
+       CAST(coalesce(len(list_filter(string_split(d.text, chr(10)), y -> trim(y) <> '')), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(t.n_deleted, 0) AS BIGINT) AS n_deleted, CAST(coalesce(t.words_deleted, 0) AS BIGINT) AS words_deleted,
+       CASE WHEN t.gone IS NULL THEN d.text
+            ELSE array_to_string(list_filter(string_split(d.text, chr(10)), (y, q) -> NOT list_contains(t.gone, q - 1)), chr(10)) END AS text
+FROM d LEFT JOIN t ON d.r = t.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL}
+    return {"op3_decontamination": OP3_SQL, "op7_warc": OP7_SQL, "op8_linedup": OP8_SQL}
