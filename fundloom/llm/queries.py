@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundloom.llm import decontaminate, linedup, media, packing, simhash, toxicity, warc
+from fundloom.llm import decontaminate, licences, linedup, media, packing, quality, simhash, tokencount, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length of each document in flat token files, found by their separators."""
+    found = tokencount.token_counts(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", "complete")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, and the probability of a grade of 1 or more, from the ``quality`` grades of ``labels``."""
+    ratings = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("grade"))
+    found = quality.quality(table(spark, sf_dir, "documents"), ratings)
+    score = F.col("tail_probability")
+    return found.withColumn("score", score).withColumn("predicted", F.when(score >= 0.5, 1).otherwise(0))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
@@ -41,12 +55,17 @@ def op8_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_deleted", "words_deleted", "text")
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan_licences(docs.select("doc_id", licences.corpus_path(docs).alias("path"), "text"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_round_trip(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op4_simhash, op5_toxicity, op6_packing, op7_warc, op8_linedup, op10_media)}
+    return {f.__name__: f for f in (op1_tokencount, op2_quality, op3_decontamination, op4_simhash, op5_toxicity, op6_packing, op7_warc, op8_linedup, op9_licences, op10_media)}
 
 
 #: Words, windows, occurrences and covered words, as the contract of the query states them.
@@ -108,13 +127,58 @@ e AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS copy
 g AS (SELECT DISTINCT k.r, k.no, k.words FROM e JOIN k ON e.r = k.r AND k.seq BETWEEN e.i AND e.j WHERE e.copy > 1),
 t AS (SELECT r, count(*) AS n_deleted, sum(words) AS words_deleted, list(no) AS gone FROM g GROUP BY r)
 SELECT d.doc_id,
-       CAST(coalesce(len(list_filter(string_split(d.text, chr(10)), y -> trim(y) <> '')), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(list_filter(string_split(d.text, chr(10)), lambda y: trim(y) <> '')), 0) AS BIGINT) AS n_lines,
        CAST(coalesce(t.n_deleted, 0) AS BIGINT) AS n_deleted, CAST(coalesce(t.words_deleted, 0) AS BIGINT) AS words_deleted,
        CASE WHEN t.gone IS NULL THEN d.text
-            ELSE array_to_string(list_filter(string_split(d.text, chr(10)), (y, q) -> NOT list_contains(t.gone, q - 1)), chr(10)) END AS text
+            ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda y, q: NOT list_contains(t.gone, q - 1)), chr(10)) END AS text
 FROM d LEFT JOIN t ON d.r = t.r
 """
 
 
+#: The operator's definition with set operations; paths, sentences and terms as its docstrings state them.
+OP9_SQL = r"""
+WITH t(template, licence, body) AS (VALUES @TEMPLATES@),
+tt AS (SELECT template, licence, term, count(*) AS tf
+       FROM (SELECT template, licence, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM t) GROUP BY ALL),
+d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r,
+             concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'unknown'),
+                       coalesce(CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR), 'none')) AS dir,
+             coalesce(CAST(doc_id AS VARCHAR), 'none') || '.txt' AS base FROM documents),
+w AS (SELECT r, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_terms,
+             list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS terms FROM d),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(terms) AS term FROM w)
+       WHERE term IN (SELECT term FROM tt) GROUP BY term),
+n AS (SELECT count(*) AS n FROM d),
+idf AS (SELECT term, ln((n.n + 1.0::DOUBLE) / (coalesce(df.df, 0) + 1.0::DOUBLE)) + 1 AS idf
+        FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term) CROSS JOIN n),
+tw AS (SELECT template, licence, term, tf * idf AS w FROM tt JOIN idf USING (term)),
+tn AS (SELECT template, sqrt(sum(w * w)) AS tn FROM tw GROUP BY template),
+u AS (SELECT DISTINCT r, body FROM (
+        SELECT r, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) AS body FROM d)
+      WHERE regexp_matches(body, '(?i)licen[cs]|copyright|spdx|public domain|permission is hereby')),
+ub AS (SELECT DISTINCT body FROM u),
+ut AS (SELECT body, term, count(*) AS tf FROM (SELECT body, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM ub) GROUP BY ALL),
+uw AS (SELECT body, term, tf * coalesce(idf, ln(n.n + 1.0::DOUBLE) + 1) AS w FROM ut LEFT JOIN idf USING (term) CROSS JOIN n),
+un AS (SELECT body, sqrt(sum(w * w)) AS un FROM uw GROUP BY body),
+s AS (SELECT uw.body, tw.template, tw.licence, sum(uw.w * tw.w) AS product FROM uw JOIN tw USING (term) GROUP BY ALL),
+c AS (SELECT body, licence, cosine FROM (
+        SELECT body, licence, round(product / (un * tn), 6) AS cosine,
+               row_number() OVER (PARTITION BY body ORDER BY round(product / (un * tn), 6) DESC, template) AS k
+        FROM s JOIN un USING (body) JOIN tn USING (template)) WHERE k = 1 AND cosine >= 0.6),
+o AS (SELECT r, arg_min(licence, struct_pack(c := -cosine, l := licence)) AS own, max(cosine) AS cosine, count(*) AS n_mentions,
+             sum(len(regexp_extract_all(lower(body), '[a-z0-9]+'))) AS covered FROM u JOIN c USING (body) GROUP BY r),
+f AS (SELECT d.dir, o.own, o.cosine FROM o JOIN d USING (r) JOIN w USING (r) WHERE o.covered >= 0.5 * w.n_terms),
+h AS (SELECT dir AS above, arg_min(own, struct_pack(c := -cosine, l := own)) AS held FROM f GROUP BY dir),
+a AS (SELECT dir, array_to_string(string_split(dir, '/')[1:k], '/') AS above, k
+      FROM (SELECT DISTINCT dir FROM d), (SELECT unnest([0, 1, 2, 3]) AS k)),
+i AS (SELECT dir, arg_max(above, k) AS above, arg_max(held, k) AS held FROM a JOIN h USING (above) GROUP BY dir)
+SELECT d.doc_id, d.dir || '/' || d.base AS path, coalesce(o.own, i.held) AS licence, o.cosine,
+       CAST(coalesce(o.n_mentions, 0) AS BIGINT) AS n_mentions,
+       CASE WHEN o.own IS NOT NULL THEN 'own' WHEN i.held IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN o.own IS NULL THEN i.above END AS licensed_by
+FROM d LEFT JOIN o USING (r) LEFT JOIN i USING (dir)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op7_warc": OP7_SQL, "op8_linedup": OP8_SQL}
+    return {"op3_decontamination": OP3_SQL, "op7_warc": OP7_SQL, "op8_linedup": OP8_SQL, "op9_licences": OP9_SQL.replace("@TEMPLATES@", licences.template_values())}
