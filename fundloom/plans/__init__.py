@@ -1,0 +1,5 @@
+"""The queries of the library by family, each with its SQL twins."""
+
+from fundloom.plans import analytics
+
+FAMILIES = (analytics,)
