@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundloom.llm.shared import rows_of
-from fundloom.llm.tokens import default_vocabulary, tokenizer_of
+from fundloom.llm.tokens import default_vocabulary, encoded_rows, tokenizer_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END_ID = (1).to_bytes(4, "little")
@@ -82,8 +81,8 @@ def _packer(capacity: int, piece: int, group_windows: int, vocabulary: str):
             out.clear()
             return made
 
-        for doc_id, text in rows_of(batches, "doc_id", "text"):
-            ids = tokenizer.encode(text) + END_ID
+        for doc_id, encoded in encoded_rows(batches, tokenizer):
+            ids = encoded + END_ID
             n = len(ids) // 4
             start = 0
             while start < n:

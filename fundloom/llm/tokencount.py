@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundloom.llm.shared import fresh_folder, rows_of
-from fundloom.llm.tokens import default_vocabulary, tokenizer_of
+from fundloom.llm.tokens import default_vocabulary, encoded_rows, tokenizer_of
 
 #: The end-of-document id of the 49k vocabulary; texts never give it, as its string is ordinary text here.
 END_ID = 49_407
@@ -34,14 +34,12 @@ def _encoder(vocabulary: str, width: int, end_id: int | None, block_ids: int):
     """Tasks that turn (doc_id, text) into the blocks of one stream, or with ``end_id`` None into ids of each text."""
     kind = np.dtype(f"<u{width}")
 
-    def encode(text: bytes | None) -> bytes:
-        ids = tokenizer_of(vocabulary, True).encode(text)
+    def narrow(ids: bytes) -> bytes:
         return np.frombuffer(ids, "<u4").astype(kind).tobytes()
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for (text,) in rows_of([batch], "text"):
-                yield pa.RecordBatch.from_arrays([pa.array([encode(text)], pa.binary())], names=["ids"])
+        for _, ids in encoded_rows(batches, tokenizer_of(vocabulary, True)):
+            yield pa.RecordBatch.from_arrays([pa.array([narrow(ids)], pa.binary())], names=["ids"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -60,8 +58,8 @@ def _encoder(vocabulary: str, width: int, end_id: int | None, block_ids: int):
             block += 1
             return out
 
-        for doc_id, text in rows_of(batches, "doc_id", "text"):
-            held += encode(text) + end
+        for doc_id, ids in encoded_rows(batches, tokenizer_of(vocabulary, True)):
+            held += narrow(ids) + end
             ended.append((done + len(held), doc_id))
             while len(held) >= size:
                 yield made(size)
