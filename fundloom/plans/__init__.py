@@ -1,5 +1,5 @@
 """The queries of the library by family, each with its SQL twins."""
 
-from fundloom.plans import analytics
+from fundloom.plans import analytics, catalogue, portfolios
 
-FAMILIES = (analytics,)
+FAMILIES = (analytics, catalogue, portfolios)
