@@ -27,7 +27,7 @@ WORD_END = "</w>"
 #: Words that the second tokenizer encodes as one text.
 LINE = 200
 #: Bytes of texts that are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
@@ -76,7 +76,7 @@ class WordCachedTokenizer:
     starts anew.
     """
 
-    def __init__(self, path: str, plain_specials: bool = False, most: int = 700_000):
+    def __init__(self, path: str, plain_specials: bool = False, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

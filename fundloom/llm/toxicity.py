@@ -71,6 +71,8 @@ def fold(text: str) -> str:
     return f" {' '.join(_fold_word(w) for w in text.split())} "
 
 
+#: Folded words kept in a worker, at most.
+MOST_FOLDED = 100_000
 _words: dict[str, str] = {}
 
 
@@ -79,7 +81,7 @@ def _fold_word(word: str) -> str:
     if found is None:
         core = word.strip("!$@|€.,;:?\"'()[]{}<>#%&*+-_=~^/\\`")
         found = " ".join((core if core.isdigit() else core.translate(_FOLD)).split())
-        if len(_words) > 500_000:
+        if len(_words) >= MOST_FOLDED:
             _words.clear()
         _words[word] = found
     return found
