@@ -1,8 +1,9 @@
 """WARC archives: a writer with deduplicating revisits and a salvage reader.
 
-The writer makes each record a text value and lets Spark's text sink write
-them, with the two empty lines that end a record as the separator. So archives
-are written by any number of tasks to any store that Spark can write to.
+The writer makes each record a gzip member, or leaves it plain, and lets
+Spark's text sink write them. What separates values there is an empty member,
+or the two empty lines that end a record. So archives are written by any number
+of tasks to any store that Spark can write to.
 
 The reader takes whole archives, plain or with one gzip member for each record.
 After each failed check (no version line, bad header, wrong length, damaged
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundloom.llm.shared import fresh_folder
+from fundloom.llm.shared import fresh_folder, rows_of
 
 CRLF = "\r\n"
 VERSION = "WARC/1.0"
@@ -81,10 +82,30 @@ def record_text(urn: str = "urn:page:") -> F.Column:
     return F.concat(head.cast("binary"), block)
 
 
-def write_archives(records: DataFrame, folder: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Write the records of ``with_revisits`` as plain WARC files of at most ``per_file`` records."""
-    text = records.select(record_text().cast("string").alias("value"))
-    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(folder)
+def zipped(data: bytes) -> bytes:
+    """The data as one gzip member, the same for the same data."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+def _zip_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (record,) in rows_of(batches, "record"):
+        yield pa.RecordBatch.from_arrays([pa.array([zipped(record + END)], pa.binary())], names=["member"])
+
+
+def write_archives(records: DataFrame, folder: str, per_file: int = RECORDS_PER_FILE, compress: bool = True) -> None:
+    """Write the records of ``with_revisits`` as WARC files of at most ``per_file`` records.
+
+    Compressed archives hold one gzip member for each record, with an empty
+    member after it, which adds nothing to what the archive unpacks to.
+    """
+    text = records.select(record_text().alias("record"))
+    if compress:
+        text = text.mapInArrow(_zip_records, "member binary").select(F.col("member").cast("string").alias("value"))
+        writer = text.write.option("lineSep", zipped(b"").decode("latin-1")).option("encoding", "ISO-8859-1")
+    else:
+        writer = text.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode())
+    writer.option("maxRecordsPerFile", per_file).text(folder)
 
 
 @dataclass
@@ -152,11 +173,17 @@ def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
 
 
 def salvage(data: bytes) -> Iterator[Salvaged]:
-    """Records and gaps of an archive, in order; together they cover all its bytes."""
+    """Records and gaps of an archive, in order; with members that hold nothing they cover all its bytes."""
     at, gap, reason = 0, None, ""
     while at < len(data):
         if MEMBER.match(data, at):
             member = _member(data, at)
+            if member and not member[0]:
+                if gap is not None:
+                    yield Salvaged(gap, "gap", {}, reason=reason, length=at - gap)
+                    gap = None
+                at = member[1]
+                continue
             got = _record(member[0], 0) if member else "damaged member"
             if not isinstance(got, str) and got[2] != len(member[0]):
                 got = "bytes after the record of a member"
