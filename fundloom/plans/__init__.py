@@ -1,5 +1,5 @@
 """The queries of the library by family, each with its SQL twins."""
 
-from fundloom.plans import analytics, catalogue, ingest, portfolios
+from fundloom.plans import analytics, catalogue, documents, ingest, portfolios
 
-FAMILIES = (analytics, catalogue, ingest, portfolios)
+FAMILIES = (analytics, catalogue, documents, ingest, portfolios)
