@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundloom.conventions import require
-from fundloom.functions.text import jaccard, lexemes, shingles
+from fundloom.functions.text import lexemes, shingles
 
 #: Questions' vectors that a task compares with at once, and bytes of them that are broadcast.
 QUERY_BLOCK = 4096
@@ -146,10 +146,12 @@ def evidence(candidates: DataFrame) -> DataFrame:
 
 def near_duplicates(candidates: DataFrame, least: float = 0.8) -> DataFrame:
     """(query_id, a, b, similarity): pairs inside one question's list whose five-word runs agree."""
-    runs = candidates.select("query_id", "passage_id", shingles(F.col("content")).alias("s"))
-    a, b = runs.toDF("query_id", "a", "sa"), runs.toDF("query_id", "b", "sb")
-    pairs = a.join(b, "query_id").where("a < b").withColumn("similarity", F.round(jaccard(F.col("sa"), F.col("sb")), 6))
-    return pairs.where(F.col("similarity") >= least).select("query_id", "a", "b", "similarity")
+    runs = candidates.select("query_id", "passage_id", shingles(F.col("content")).alias("s")).where("s IS NOT NULL").withColumn("n", F.size("s"))
+    a, b = runs.toDF("query_id", "a", "sa", "na"), runs.toDF("query_id", "b", "sb", "nb")
+    # Sets of very unlike sizes can't agree enough; only the rest are intersected.
+    pairs = a.join(b, "query_id").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb")))
+    common = pairs.select("query_id", "a", "b", (F.col("na") + F.col("nb")).alias("both"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return common.select("query_id", "a", "b", F.round(F.col("common") / (F.col("both") - F.col("common")), 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def select_context(candidates: DataFrame, top: int = 6, words: int = 1600, per_document: int = 4) -> DataFrame:

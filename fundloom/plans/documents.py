@@ -73,7 +73,7 @@ def latest_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lexical_topk(spark, sf_dir).join(_passages(spark, sf_dir), "passage_id")
+    found = lexical_topk(spark, sf_dir).where("lexical_rank <= 10").join(_passages(spark, sf_dir), "passage_id")
     return retrieval.near_duplicates(found)
 
 
@@ -176,8 +176,6 @@ nn AS (SELECT * FROM (SELECT query_id, passage_id, similarity, CAST(row_number()
 
 def oracle_sql() -> dict[str, str]:
     best = "max(CASE WHEN eligible THEN coalesce({}, 0) END) OVER (PARTITION BY query_id)"
-    dup = "regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g')"
-    runs = f"list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, greatest(1, len(w) - 4) + 1)])"
     return {
         "sentence_split": r"""WITH s AS (SELECT doc_id, list_filter([trim(x) FOR x IN string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9("''])', '\1' || chr(1) || '\2', 'g'), chr(1))], lambda x: x <> '') AS s FROM documents)
             SELECT doc_id, len(s) AS n_sentences, s[-1] AS last FROM s""",
@@ -191,10 +189,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, passage_id, eligible, eligible AND ((bc >= 0.5 AND coalesce(coverage, 0) >= greatest(0.3, 0.6::DOUBLE * bc)) OR (bs >= 0.6 AND coalesce(similarity, 0) >= greatest(0.52, bs - 0.08::DOUBLE))) AS supported FROM b""",
         "latest_boost": f"""WITH {_LEXICAL}, d AS (SELECT query_id, passage_id, passage_id % 5 AS f, passage_id % 300 AS day FROM fus)
             SELECT query_id, passage_id, round(CASE WHEN f = query_id % 5 THEN 1.15::DOUBLE ELSE 1 END * CASE WHEN day = max(day) OVER (PARTITION BY query_id, f) THEN 1.05::DOUBLE ELSE 1 END, 6) AS boost FROM d""",
-        "near_duplicates": f"""WITH {_LEXICAL}, w AS (SELECT query_id, passage_id, string_split_regex({dup}, '\\s+') AS w FROM lex JOIN documents ON doc_id = passage_id WHERE trim(text) <> ''),
-            s AS (SELECT query_id, passage_id, {runs} AS s FROM w),
-            p AS (SELECT a.query_id, a.passage_id AS a, b.passage_id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM s a JOIN s b ON a.query_id = b.query_id AND a.passage_id < b.passage_id)
-            SELECT query_id, a, b, round(i / CAST(n - i AS DOUBLE), 6) AS similarity FROM p WHERE round(i / CAST(n - i AS DOUBLE), 6) >= 0.8""",
         "conflict_detection": f"""WITH {_LEXICAL} SELECT query_id, passage_id % 5 AS fund_id, string_agg(DISTINCT CAST(DATE '2025-01-01' + CAST(passage_id % 3 AS INTEGER) AS VARCHAR), ',' ORDER BY CAST(DATE '2025-01-01' + CAST(passage_id % 3 AS INTEGER) AS VARCHAR)) AS dates
             FROM lex WHERE lexical_rank <= 6 GROUP BY ALL HAVING count(DISTINCT passage_id % 3) > 1""",
         "ir_metrics": f"""WITH {_VECTOR}, r AS (SELECT q.vec_id AS query_id, v.vec_id AS passage_id FROM embeddings q JOIN embeddings v USING (label) WHERE q.vec_id % 100 = 0),
