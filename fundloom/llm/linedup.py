@@ -147,16 +147,20 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     where there is such a column, is set to the new length. Other columns
     stay; columns named like the three added ones are replaced.
     """
-    doc, key, gone, words = (free_name(docs, n) for n in ("linedup_doc", "linedup_key", "linedup_gone", "linedup_words"))
+    doc, key, gone, words, new, count = (free_name(docs, n) for n in ("linedup_doc", "linedup_key", "linedup_gone", "linedup_words", "linedup_text", "linedup_count"))
     found = repeated_lines(docs, least_words).toDF(doc, key, gone, words)
     base = docs.drop("n_lines", "n_deleted", "words_deleted")
     joined = base.join(found, base["doc_id"].eqNullSafe(found[doc]) & (_text_key(base["text"].cast("string")) == found[key]), "left")
     lines = F.split(F.col("text").cast("string"), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    columns = [text.alias(c) if c == "text" else F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.length(text)).cast(base.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in base.columns]
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col(gone), i)), "\n")
+    # The new text has a name of its own first: in one projection, names in lambdas would mean the new column.
+    filled = F.filter(lines, lambda line: F.trim(line) != "")
+    joined = joined.withColumn(count, F.coalesce(F.size(filled), F.lit(0)).cast("long"))
+    joined = joined.withColumn(new, F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept))
+    length = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(base.schema["n_chars"].dataType) if "n_chars" in base.columns else None
+    columns = [F.col(new).alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col(c) for c in base.columns]
     added = [
-        F.coalesce(F.size(F.filter(lines, lambda x: F.trim(x) != "")), F.lit(0)).cast("long").alias("n_lines"),
+        F.col(count).alias("n_lines"),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_deleted"),
         F.coalesce(F.col(words), F.lit(0)).cast("long").alias("words_deleted"),
     ]

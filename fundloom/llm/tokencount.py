@@ -133,7 +133,7 @@ def stitch(scanned: DataFrame) -> DataFrame:
     whole = Window.partitionBy("file")
     first = F.coalesce(F.sum("n").over(before), F.lit(0))
     placed = scanned.withColumn("first", first).withColumn("ordinal", F.coalesce(F.sum(F.size("seps")).over(before), F.lit(0)))
-    placed = placed.withColumn("last", F.col("first") + F.element_at("seps", -1))
+    placed = placed.withColumn("last", F.col("first") + F.try_element_at("seps", F.lit(-1)))
     placed = placed.withColumn("open", F.coalesce(F.max("last").over(before), F.lit(-1).cast("long")) + 1)
     final = F.max("block").over(whole)
     placed = placed.withColumn("final", F.col("block") == final)
