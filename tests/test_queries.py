@@ -46,4 +46,5 @@ def test_every_twin_has_a_query():
 
 @pytest.mark.parametrize("name", ["monte_carlo_sip", "optimise_mean_variance", "efficient_frontier", "chunk_documents", "context_selection"])
 def test_gives_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+    # The smallest tables have too few dates that all series share.
+    assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
