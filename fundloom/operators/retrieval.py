@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundloom.conventions import require
-from fundloom.functions.text import lexemes, shingles
+from fundloom.functions.text import lexemes, sentences, shingles
 
 #: Questions' vectors that a task compares with at once, and bytes of them that are broadcast.
 QUERY_BLOCK = 4096
@@ -23,6 +23,8 @@ QUERY_BLOCK = 4096
 FUSION_K, NAMED_BOOST, LATEST_BOOST = 60, 1.15, 1.05
 ANSWER_COVERAGE, ANSWER_SIMILARITY = 0.5, 0.6
 INCLUDE_COVERAGE, INCLUDE_RATIO, INCLUDE_MARGIN = 0.3, 0.6, 0.08
+#: Words of an excerpt, and shares of the best score or coverage that prose and tables must reach.
+EXCERPT_WORDS, PROSE_SHARE, TABLE_SHARE = 90, 0.5, 0.75
 
 
 def readable(documents: DataFrame, user: Column) -> Column:
@@ -183,6 +185,61 @@ def select_context(candidates: DataFrame, top: int = 6, words: int = 1600, per_d
     return candidates.groupBy("query_id").applyInPandas(choose, "query_id long, passage_id long, position int")
 
 
+def _prose_excerpt(ranked: DataFrame, asked: Column) -> DataFrame:
+    """``score`` and ``excerpt`` of the best sentence: it and the next, or the three after it where it is itself a question."""
+    parts = ranked.withColumn("parts", F.when(F.size(sentences(F.col("content"))) > 0, sentences(F.col("content"))).otherwise(F.array("content")))
+
+    def score(sentence: Column) -> Column:
+        words = lexemes(sentence)
+        common = F.size(F.array_intersect(asked, words))
+        cosine = F.coalesce(F.try_divide(common.cast("double"), F.sqrt(F.size(asked) * F.size(words))), F.lit(0.0))
+        return F.round(0.5 * cosine + 0.5 * common / F.greatest(F.lit(1), F.size(asked)), 6)
+
+    scored = parts.withColumn("scores", F.transform("parts", score)).withColumn("score", F.array_max("scores"))
+    scored = scored.withColumn("at", F.array_position("scores", F.col("score")).cast("int"))
+    asks = F.element_at("parts", F.col("at")).endswith("?") & (F.col("at") < F.size("parts"))
+    window = F.when(asks, F.slice("parts", F.col("at") + 1, 3)).otherwise(F.slice("parts", F.col("at"), 2))
+    words = F.filter(F.split(F.array_join(window, " "), r"\s+"), lambda w: w != "")
+    cut = F.concat(F.array_join(F.slice(words, 1, EXCERPT_WORDS), " "), F.when(F.size(words) > EXCERPT_WORDS, " ...").otherwise(""))
+    return scored.withColumn("excerpt", cut).drop("parts", "scores", "at")
+
+
+def _table_rows(content: Column, asked: Column) -> Column:
+    """The header and up to four rows that hold the most of the words asked for beyond the header's."""
+    lines = F.split(content, "\n")
+    header, body = F.get(lines, F.lit(0)), F.slice(lines, 2, F.greatest(F.lit(0), F.size(lines) - 1))
+    wanted = F.array_except(asked, lexemes(header))
+    hits = F.transform(body, lambda row: F.size(F.array_intersect(wanted, lexemes(row))))
+    best = F.array_max(hits)
+    return F.concat(header, F.lit(" → "), F.array_join(F.slice(F.filter(body, lambda row, i: F.get(hits, i) == best), 1, 4), "; "))
+
+
+def excerpts(candidates: DataFrame, most: int = 3) -> DataFrame:
+    """(query_id, passage_id, place, excerpt, score): what an answer quotes from a question's best passages.
+
+    ``candidates(query_id, question, passage_id, content, coverage, is_table, place)``
+    with ``place`` from 1. The first ``most`` are quoted, and where none of
+    these is a table the first table with three quarters of the best coverage.
+    Prose that scores under half of the question's first prose is left out;
+    tables have no score. A sentence's score is half the share of the asked
+    words it holds and half the cosine of both sets of words. Rows without
+    content are left out.
+    """
+    of = Window.partitionBy("query_id")
+    table = F.coalesce("is_table", F.lit(False))
+    rows = candidates.where("content IS NOT NULL").withColumn("is_table", table).withColumn("best", F.max("coverage").over(of))
+    rows = rows.withColumn("tables", F.count_if(F.col("is_table") & (F.col("place") <= most)).over(of))
+    strong = F.col("is_table") & (F.col("coverage") >= TABLE_SHARE * F.col("best"))
+    rows = rows.withColumn("extra", F.min(F.when(strong, F.col("place"))).over(of))
+    rows = rows.where((F.col("place") <= most) | ((F.col("tables") == 0) & (F.col("place") == F.col("extra"))))
+    rows = rows.withColumn("asked", lexemes(F.coalesce("question", F.lit(""))))
+    prose = _prose_excerpt(rows.where("NOT is_table"), F.col("asked"))
+    prose = prose.withColumn("first", F.min_by("score", "place").over(of)).where(F.col("score") >= PROSE_SHARE * F.col("first"))
+    out = ["query_id", "passage_id", "place", "excerpt", "score"]
+    tables = rows.where("is_table").withColumn("excerpt", _table_rows(F.col("content"), F.col("asked"))).withColumn("score", F.lit(None).cast("double"))
+    return prose.select(*out).unionByName(tables.select(*out))
+
+
 def conflicts(selected: DataFrame) -> DataFrame:
     """(query_id, fund_id, dates): funds for which passages of more than one date were chosen."""
     dates = F.sort_array(F.collect_set("as_of_date"))

@@ -82,6 +82,13 @@ def context_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.select_context(rows.join(_passages(spark, sf_dir), "passage_id"))
 
 
+def extractive_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excerpts of the three best passages of each benchmark text; documents hold prose, no tables."""
+    found = lexical_topk(spark, sf_dir).join(_passages(spark, sf_dir), "passage_id").join(_questions(spark, sf_dir), "query_id")
+    rows = found.withColumn("is_table", F.lit(False)).withColumn("place", F.col("lexical_rank"))
+    return retrieval.excerpts(rows)
+
+
 def conflict_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lexical_topk(spark, sf_dir).where("lexical_rank <= 6").withColumn("fund_id", F.col("passage_id") % 5).withColumn("as_of_date", F.date_add(F.lit("2025-01-01").cast("date"), (F.col("passage_id") % 3).cast("int")))
     return retrieval.conflicts(rows).withColumn("dates", F.array_join(F.transform("dates", lambda d: d.cast("string")), ","))
@@ -146,7 +153,7 @@ def fund_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return named(sentence_split, chunk_documents, injection_flags, lexeme_df, lexical_topk, vector_topk, rrf_fusion, evidence_gate, latest_boost, near_duplicates, context_selection, conflict_detection, ir_metrics, access_filter, boilerplate_lines, follow_up_detection, conversation_history, number_grounding, citation_check, fund_mentions)
+    return named(sentence_split, chunk_documents, injection_flags, lexeme_df, lexical_topk, vector_topk, rrf_fusion, evidence_gate, latest_boost, near_duplicates, context_selection, extractive_excerpts, conflict_detection, ir_metrics, access_filter, boilerplate_lines, follow_up_detection, conversation_history, number_grounding, citation_check, fund_mentions)
 
 
 _STOP = "['" + "', '".join(tx.STOP_WORDS) + "']"
@@ -189,6 +196,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, passage_id, eligible, eligible AND ((bc >= 0.5 AND coalesce(coverage, 0) >= greatest(0.3, 0.6::DOUBLE * bc)) OR (bs >= 0.6 AND coalesce(similarity, 0) >= greatest(0.52, bs - 0.08::DOUBLE))) AS supported FROM b""",
         "latest_boost": f"""WITH {_LEXICAL}, d AS (SELECT query_id, passage_id, passage_id % 5 AS f, passage_id % 300 AS day FROM fus)
             SELECT query_id, passage_id, round(CASE WHEN f = query_id % 5 THEN 1.15::DOUBLE ELSE 1 END * CASE WHEN day = max(day) OVER (PARTITION BY query_id, f) THEN 1.05::DOUBLE ELSE 1 END, 6) AS boost FROM d""",
+        "extractive_excerpts": rf"""WITH {_LEXICAL}, q AS (SELECT item_id AS query_id, {_lexemes("text")} AS q FROM benchmark),
+            sn AS (SELECT doc_id AS passage_id, list_filter([trim(x) FOR x IN string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9("''])', '\1' || chr(1) || '\2', 'g'), chr(1))], lambda x: x <> '') AS s FROM documents),
+            o AS (SELECT query_id, passage_id, lexical_rank AS place, q, s FROM lex JOIN q USING (query_id) JOIN sn USING (passage_id) WHERE lexical_rank <= 3),
+            x AS (SELECT query_id, passage_id, place, q, s, unnest(s) AS t, generate_subscripts(s, 1) AS i FROM o),
+            l AS (SELECT *, {_lexemes("t")} AS w FROM x),
+            c AS (SELECT *, round(0.5::DOUBLE * coalesce(len(list_intersect(q, w)) / nullif(sqrt(len(q) * len(w)), 0), 0) + 0.5::DOUBLE * len(list_intersect(q, w)) / greatest(1, len(q)), 6) AS score FROM l),
+            b AS (SELECT *, list_filter(string_split_regex(array_to_string(CASE WHEN t LIKE '%?' AND i < len(s) THEN s[i + 1:i + 3] ELSE s[i:i + 1] END, ' '), '\s+'), lambda y: y <> '') AS e
+                  FROM c QUALIFY row_number() OVER (PARTITION BY query_id, passage_id ORDER BY score DESC, i) = 1)
+            SELECT query_id, passage_id, place, array_to_string(e[1:90], ' ') || CASE WHEN len(e) > 90 THEN ' ...' ELSE '' END AS excerpt, score
+            FROM b QUALIFY score >= 0.5::DOUBLE * arg_min(score, place) OVER (PARTITION BY query_id)""",
         "conflict_detection": f"""WITH {_LEXICAL} SELECT query_id, passage_id % 5 AS fund_id, string_agg(DISTINCT CAST(DATE '2025-01-01' + CAST(passage_id % 3 AS INTEGER) AS VARCHAR), ',' ORDER BY CAST(DATE '2025-01-01' + CAST(passage_id % 3 AS INTEGER) AS VARCHAR)) AS dates
             FROM lex WHERE lexical_rank <= 6 GROUP BY ALL HAVING count(DISTINCT passage_id % 3) > 1""",
         "ir_metrics": f"""WITH {_VECTOR}, r AS (SELECT q.vec_id AS query_id, v.vec_id AS passage_id FROM embeddings q JOIN embeddings v USING (label) WHERE q.vec_id % 100 = 0),

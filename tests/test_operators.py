@@ -139,3 +139,26 @@ def test_vector_search_blocks(spark):
     for q in range(9):
         assert [r["passage_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["vector_rank"])] == np.argsort(-(u @ u[q]))[:5].tolist()
     assert math.isclose(max(r["similarity"] for r in got), 1.0)
+
+
+def test_excerpts_of_prose_and_tables(spark):
+    asked = "expense ratio of Aurora fund"
+    rows = [
+        (1, asked, 10, "Intro words here. The Aurora fund has an expense ratio of one percent. It is low. More text.", 1.0, False, 1),
+        (1, asked, 11, "What is the expense ratio of Aurora fund? It is 0.72 percent. See notes. Also read this. Never this.", 0.9, False, 2),
+        (1, asked, 12, "Nothing relevant at all. Other matters.", 0.2, None, 3),
+        (1, asked, 13, "Fund ratio\nBoreal 1\nAurora expense 2\nCirrus 3", 0.8, True, 4),
+        (1, asked, 14, "Later table\nAurora 9", 0.8, True, 5),
+        (2, "", 15, "", None, False, 1),
+        (3, asked, 16, None, 1.0, False, 1),
+        (4, asked, 17, "expense " * 200, 1.0, False, 1),
+    ]
+    frame = spark.createDataFrame(rows, "query_id int, question string, passage_id int, content string, coverage double, is_table boolean, place int")
+    got = {r["passage_id"]: r for r in retrieval.excerpts(frame).collect()}
+    assert sorted(got) == [10, 11, 13, 15, 17]
+    assert got[10]["excerpt"] == "The Aurora fund has an expense ratio of one percent. It is low."
+    assert got[11]["excerpt"] == "It is 0.72 percent. See notes. Also read this."
+    assert got[13]["excerpt"] == "Fund ratio → Aurora expense 2" and got[13]["score"] is None
+    assert got[15]["excerpt"] == "" and got[15]["score"] == 0
+    assert got[17]["excerpt"] == " ".join(["expense"] * 90) + " ..."
+    assert retrieval.excerpts(frame.limit(0)).count() == 0
