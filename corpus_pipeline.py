@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fundloom.llm.decontaminate import clean_of_benchmark
 from fundloom.llm.linedup import without_repeats
+from fundloom.llm.nearcopies import one_of_each_group
 from fundloom.llm.packing import pack_documents
 from fundloom.llm.shared import fresh_folder
-from fundloom.llm.simhash import one_of_each_group
 from fundloom.llm.toxicity import not_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -35,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least doc_id."""
+    """One document of each group of near copies (five-word Jaccard of 0.8 or more), the one with the least doc_id."""
     return one_of_each_group(docs)
 
 
