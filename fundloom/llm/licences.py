@@ -1,8 +1,8 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance along directories.
 
 Sentences that mention a licence, and whole texts of licence files, become
-sparse TF-IDF vectors. Their document frequencies are counted over all texts,
-for the terms of the templates alone. The nearest template by cosine names the
+sparse TF-IDF vectors. The document frequencies of all their terms are counted
+over all texts. The nearest template by cosine names the
 licence. A file without one of its own takes that of the nearest directory
 above it that holds a licence file, by joins on path prefixes.
 
@@ -64,11 +64,9 @@ def inverse_frequencies(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFra
     """((term, idf) for each term of ``vocabulary``, number of documents), over all of ``docs``.
 
     idf = ln((documents + 1) / (documents with the term + 1)) + 1. A text gives
-    a row for each template term in it, and these are summed where they arise.
+    a row for each distinct term in it, and these are summed where they arise.
     """
-    wanted = [r["term"] for r in vocabulary.select("term").distinct().orderBy("term").collect()]  # as many as the templates have
-    known = F.array_intersect(terms_of(F.col("text")), F.array(*(F.lit(w) for w in wanted)))
-    seen = docs.select(F.explode(known).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    seen = docs.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     total = docs.count()
     found = vocabulary.select("term").distinct().join(seen, "term", "left")
     return found.select("term", (F.log((F.lit(total) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf")), total
@@ -77,17 +75,16 @@ def inverse_frequencies(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFra
 def nearest_templates(units: DataFrame, docs: DataFrame, templates=TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
     """(unit, licence, cosine): for each of ``units(unit, body)`` the nearest template, if it is near enough.
 
-    Terms that no template has count with the idf of a term that is nowhere.
-    The first template wins ties.
+    All terms of units and templates have the idf of their documents. The
+    first template wins ties.
     """
     spark = docs.sparkSession
     plain = _templates(spark, templates)
-    idf, total = inverse_frequencies(docs, plain)
-    rare = float(spark.range(1).select(F.log(F.lit(total + 1.0)) + 1.0).first()[0])
+    counted = units.select("unit", F.explode(terms_of(F.col("body"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    idf = materialise(inverse_frequencies(docs, plain.select("term").unionByName(counted.select("term")))[0], "licence-idf")
     weighted = F.broadcast(plain.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")))
     norms = F.broadcast(weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("template_norm")))
-    counted = units.select("unit", F.explode(terms_of(F.col("body"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
-    mine = counted.join(F.broadcast(idf), "term", "left").withColumn("u", F.col("tf") * F.coalesce("idf", F.lit(rare))).drop("idf", "tf")
+    mine = counted.join(idf, "term").withColumn("u", F.col("tf") * F.col("idf")).drop("idf", "tf")
     length = mine.groupBy("unit").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("unit_norm"))
     products = mine.join(weighted.select("template", "licence", "term", "w"), "term").groupBy("unit", "template", "licence").agg(F.sum(F.col("u") * F.col("w")).alias("product"))
     cosine = F.round(F.col("product") / (F.col("unit_norm") * F.col("template_norm")), 6)
