@@ -48,11 +48,11 @@ def purged_split(rows: DataFrame, gap: int, shares: tuple[float, float] = (0.7,
     return rows.withColumn("part", part)
 
 
-def regression_metrics(rows: DataFrame, by: str = "series_id") -> DataFrame:
+def regression_metrics(rows: DataFrame, by: str | tuple[str, ...] = "series_id", *more: Column) -> DataFrame:
     """MAE, RMSE and the share of equal signs, over committed rows, of (actual, predicted)."""
     e = F.col("actual") - F.col("predicted")
     committed = (F.col("predicted") != 0) & (F.col("actual") != 0)
-    return rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.when(committed, (F.signum("actual") == F.signum("predicted")).cast("double"))).alias("directional_accuracy"))
+    return rows.groupBy(*([by] if isinstance(by, str) else by)).agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.when(committed, (F.signum("actual") == F.signum("predicted")).cast("double"))).alias("directional_accuracy"), *more)
 
 
 def mean_baseline(split: DataFrame) -> DataFrame:
@@ -61,39 +61,109 @@ def mean_baseline(split: DataFrame) -> DataFrame:
     return split.where("part = 'test' AND target IS NOT NULL").withColumnRenamed("target", "actual").join(mean, "series_id")
 
 
-def _assembled(rows: DataFrame) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
+def _tree(x: np.ndarray, y: np.ndarray, weight: np.ndarray, at: np.ndarray, depths: tuple[int, ...], least: int = 20) -> np.ndarray:
+    """Predictions (depth, row of ``at``) of a regression tree cut off at each of ``depths``; leaves hold ``least`` distinct rows at least."""
+    out, stack = np.zeros((len(depths), len(at))), [(np.flatnonzero(weight), np.arange(len(at)), 0)]
+    while stack:
+        own, rows, level = stack.pop()
+        w = weight[own]
+        wy, m, best = w * y[own], len(own), -1
+        if level < max(depths) and m >= 2 * least:
+            order = np.argsort(x[own], axis=0, kind="stable")
+            sorted_x = np.take_along_axis(x[own], order, axis=0)
+            wl, sl = w[order].cumsum(axis=0)[:-1], wy[order].cumsum(axis=0)[:-1]
+            gain = sl**2 / wl + (wy.sum() - sl) ** 2 / (w.sum() - wl)
+            k = np.arange(1, m)[:, None]
+            gain[(sorted_x[:-1] >= sorted_x[1:]) | (k < least) | (m - k < least)] = -np.inf
+            best = int(np.argmax(gain))
+            if not gain.flat[best] > wy.sum() ** 2 / w.sum():
+                best = -1
+        for d, depth in enumerate(depths):
+            if level == depth or (level < depth and best < 0):
+                out[d, rows] = wy.sum() / w.sum()
+        if best >= 0:
+            k, f = divmod(best, x.shape[1])
+            cut = (sorted_x[k, f] + sorted_x[k + 1, f]) / 2
+            cut = cut if cut < sorted_x[k + 1, f] else sorted_x[k, f]
+            stack.append((own[x[own, f] <= cut], rows[at[rows, f] <= cut], level + 1))
+            stack.append((own[x[own, f] > cut], rows[at[rows, f] > cut], level + 1))
+    return out
+
+
+def forest_candidates(x: np.ndarray, y: np.ndarray, at: np.ndarray, depths: tuple[float, ...], trees: int = 200, seed: int = 42) -> np.ndarray:
+    """Predictions (depth, row of ``at``) of random forests of all features; forests of unlike depth share their bootstrap samples."""
+    total = np.zeros((len(depths), len(at)))
+    for t in range(trees):
+        weight = np.bincount(np.random.default_rng([seed, t]).integers(0, len(x), len(x)), minlength=len(x)).astype(float)
+        total += _tree(x, y, weight, at, tuple(int(d) for d in depths))
+    return total / trees
+
+
+def ridge_candidates(x: np.ndarray, y: np.ndarray, at: np.ndarray, alphas: tuple[float, ...]) -> np.ndarray:
+    """Predictions (alpha, row of ``at``) of ridge regressions on standardised features."""
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    sd = np.where(sd > 0, sd, 1)
+    z, g = (x - mean) / sd, (at - mean) / sd
+    return np.array([y.mean() + g @ np.linalg.solve(z.T @ z + a * np.eye(z.shape[1]), z.T @ (y - y.mean())) for a in alphas])
+
+
+def selected_forecasts(levels: DataFrame, candidates, parameters: tuple[float, ...], horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """Test rows of each series and horizon: actual, predicted, low, high, chosen, validation_mae.
+
+    Each series has its own model for each horizon. The candidate with the
+    least validation MAE (the first of ties) is fitted again on all rows up to
+    the end of validation. ``low`` and ``high`` are the 80 % band: quantiles of
+    the validation residuals over the volatility expected then, times that of
+    the row. A series with under 200 train, 40 validation or 40 test rows has
+    too little history and gives no rows.
+    """
 
-    good = rows.dropna(subset=[*FEATURES])
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(good)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("obs_date").reset_index(drop=True)
+        train, val, test = (np.flatnonzero(pdf["part"] == p) for p in ("train", "validation", "test"))
+        if len(train) < 200 or len(val) < 40 or len(test) < 40:
+            return pd.DataFrame({c: [] for c in ("series_id", "horizon", "obs_date", "actual", "predicted", "low", "high", "chosen", "validation_mae")})
+        x, y = pdf[list(FEATURES)].to_numpy(float), pdf["target"].to_numpy(float)
+        scale = np.maximum(pdf["vol_63"].to_numpy(float), 1e-4) * math.sqrt(int(pdf["horizon"][0]) / 252)
+        tried = candidates(x[train], y[train], x[val], parameters)
+        mae = np.abs(tried - y[val]).mean(axis=1)
+        best = int(np.argmin(mae))
+        low, high = np.quantile((y[val] - tried[best]) / scale[val], [0.1, 0.9])
+        fit = slice(0, val[-1] + 1)
+        predicted = candidates(x[fit], y[fit], x[test], (parameters[best],))[0]
+        out = pdf.loc[test, ["series_id", "horizon", "obs_date"]]
+        return out.assign(actual=y[test], predicted=predicted, low=predicted + low * scale[test], high=predicted + high * scale[test], chosen=float(parameters[best]), validation_mae=float(mae[best]))
+
+    rows = features(levels)
+    split = None
+    for h in horizons:
+        complete = target(rows, h).dropna(subset=[*FEATURES, "target"])
+        one = purged_split(complete, h).withColumn("horizon", F.lit(h))
+        split = one if split is None else split.unionByName(one)
+    return split.groupBy("series_id", "horizon").applyInPandas(run, "series_id string, horizon int, obs_date date, actual double, predicted double, low double, high double, chosen double, validation_mae double")
+
+
+def ridge_forecasts(levels: DataFrame) -> DataFrame:
+    return selected_forecasts(levels, ridge_candidates, (0.1, 1.0, 10.0, 100.0))
 
 
-def ridge_forecasts(split: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """Test rows with predictions of one ridge regression on standardised features, fitted on all series' train rows."""
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.regression import LinearRegression
+def forest_forecasts(levels: DataFrame) -> DataFrame:
+    return selected_forecasts(levels, forest_candidates, (3.0, 5.0, 8.0))
 
-    rows = _assembled(split.where("target IS NOT NULL"))
-    train = rows.where("part = 'train'")
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(train)
-    train = scaler.transform(train)
-    n, sd = train.agg(F.count("*"), F.stddev_pop("target")).first()
-    model = LinearRegression(featuresCol="scaled", labelCol="target", solver="normal", regParam=alpha / n * sd, elasticNetParam=0.0, standardization=False).fit(train)
-    out = model.transform(scaler.transform(rows.where("part = 'test'")))
-    return out.select("series_id", "obs_date", F.col("target").alias("actual"), F.col("prediction").alias("predicted"))
 
+def forecast_metrics(rows: DataFrame) -> DataFrame:
+    """Per series and horizon: the metrics, the parameter chosen, its validation MAE and the coverage of the band."""
+    chosen = (F.first(c).alias(c) for c in ("chosen", "validation_mae"))
+    return regression_metrics(rows, ("series_id", "horizon"), *chosen, coverage(F.col("low"), F.col("high")))
 
-def forest_forecasts(split: DataFrame, trees: int = 50, depth: int = 5, seed: int = 42) -> DataFrame:
-    """Test rows with predictions of a random forest of all features."""
-    from pyspark.ml.regression import RandomForestRegressor
 
-    rows = _assembled(split.where("target IS NOT NULL"))
-    model = RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=trees, maxDepth=depth, minInstancesPerNode=20, featureSubsetStrategy="all", seed=seed).fit(rows.where("part = 'train'"))
-    return model.transform(rows.where("part = 'test'")).select("series_id", "obs_date", F.col("target").alias("actual"), F.col("prediction").alias("predicted"))
+def coverage(low: Column, high: Column) -> Column:
+    """The share of actual values from ``low`` to ``high``, as an aggregate."""
+    return F.avg(F.col("actual").between(low, high).cast("double")).alias("coverage")
 
 
 def interval_coverage(rows: DataFrame, low: Column, high: Column, by: str = "series_id") -> DataFrame:
-    return rows.groupBy(by).agg(F.avg(F.col("actual").between(low, high).cast("double")).alias("coverage"))
+    return rows.groupBy(by).agg(coverage(low, high))
 
 
 def robust_scores(rows: DataFrame, column: str, by: str = "series_id") -> DataFrame:

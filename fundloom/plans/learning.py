@@ -37,11 +37,11 @@ def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.regression_metrics(learning.ridge_forecasts(_split(spark, sf_dir)))
+    return learning.forecast_metrics(learning.ridge_forecasts(levels(spark, sf_dir)))
 
 
 def forecast_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.regression_metrics(learning.forest_forecasts(_split(spark, sf_dir)))
+    return learning.forecast_metrics(learning.forest_forecasts(levels(spark, sf_dir)))
 
 
 def anomaly_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def robust_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.isolation_forest(learning.anomaly_features(series.simple_returns(levels(spark, sf_dir))), ("ret", "shock", "vol_ratio"), trees=100)
+    return learning.isolation_forest(learning.anomaly_features(series.simple_returns(levels(spark, sf_dir))), ("ret", "shock", "vol_ratio"))
 
 
 def model_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
