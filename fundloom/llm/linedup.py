@@ -63,10 +63,14 @@ def suffix_ranks(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataF
     order = _ranked(repeated, "h1", "h2", "linedup-order-0")
     # Rows with the same id and text are one document.
     suffixes = materialise(lines.join(order, ["h1", "h2"]).select(*LINE, "no", "words", "rank").distinct(), "linedup-suffixes")
+    # A line has a word, but for those of white space other than spaces.
+    longest = least_words
+    if suffixes.where("words = 0").take(1):
+        longest = max(longest, _windows(suffixes, least_words).agg(F.max("n")).first()[0] or 0)
     now = suffixes.select(*LINE, "rank")
     ranks = now.withColumn("level", F.lit(0))
     level = 0
-    while 2 ** (level + 1) <= least_words:
+    while 2 ** (level + 1) <= longest:
         step = 2**level
         ahead = Window.partitionBy("doc", "key").orderBy("seq").rangeBetween(step, step)
         paired = now.withColumnRenamed("rank", "before").withColumn("next", F.first("before").over(ahead))
