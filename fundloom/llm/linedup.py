@@ -5,14 +5,18 @@ Every document is a sequence of line ids. Suffixes are ranked by their first
 at a position and half the length further on. Pairs are aggregated before they
 are sorted, and they are sorted over ranges of both ranks, so a line that very
 many documents share is neither sorted nor ranked in one task. Suffixes whose
-prefix occurs once are dropped at each step.
-
-Suffixes with the same rank are an interval of the suffix array with a longest
-common prefix of at least that length. A run of any length is named by the
-ranks of two intervals that cover it, from both ends. Runs that are just long
-enough, from each first line and to each last line, cover every maximal
-repeated run of at least that length; of those with one name all but the first
-are deleted.
+prefix occurs once are dropped at each step: they have no common prefix of that
+length with any other.
+
+Suffixes of one rank are an interval of the suffix array whose longest common
+prefix has at least that many lines. The interval of a prefix of any length is
+named by the ranks of two intervals that cover it, from both ends; those that
+are just long enough (in words) are taken from each first line and to each last
+line. In an interval every suffix but the first has an earlier copy, the
+interval's source. Where neighbouring lines have their prefix from neighbouring
+lines of the same source, the prefixes join to one, so a maximal repeated run is
+found with the length of its longest common prefix with that source. Later
+copies are deleted.
 
 Only DataFrame operations are used.
 """
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundloom.llm.shared import free_name, materialise
+from fundloom.llm.shared import Scratch, free_name, materialise
 
 #: Words of a repeated run, at least, for its later copies to be deleted.
 LEAST_WORDS = 50
@@ -44,25 +48,25 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc", "key", "seq", F.col("x.no").alias("no"), F.regexp_count(line, F.lit(r"\S+")).alias("words"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
 
 
-def _ranked(pairs: DataFrame, a: str, b: str, tag: str) -> DataFrame:
+def _ranked(pairs: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
     """Distinct rows with their place in the order of (a, b), as a number that grows along the order."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = pairs.repartitionByRange(parts, a, b).sortWithinPartitions(a, b)
-    return materialise(sorted_.withColumn("rank", F.monotonically_increasing_id()), tag)
+    return scratch.table(sorted_.withColumn("rank", F.monotonically_increasing_id()), "order")
 
 
-def suffix_ranks(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+def suffix_ranks(docs: DataFrame, least_words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(suffixes, ranks): the repeated lines with their words, and (doc, key, seq, level, rank).
 
     ``rank`` orders the suffixes that begin at a line by their first 2**level
     lines; equal ranks are equal lines. Suffixes whose prefix occurs once are
     left out. Levels end where a run of ``least_words`` words can't be longer.
     """
-    lines = materialise(_lines(docs), "linedup-lines")
+    lines = scratch.table(_lines(docs), "lines")
     repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    order = _ranked(repeated, "h1", "h2", "linedup-order-0")
+    order = _ranked(repeated, "h1", "h2", scratch)
     # Rows with the same id and text are one document.
-    suffixes = materialise(lines.join(order, ["h1", "h2"]).select(*LINE, "no", "words", "rank").distinct(), "linedup-suffixes")
+    suffixes = scratch.table(lines.join(order, ["h1", "h2"]).select(*LINE, "no", "words", "rank").distinct(), "suffixes")
     # A line has a word, but for those of white space other than spaces.
     longest = least_words
     if suffixes.where("words = 0").take(1):
@@ -74,10 +78,10 @@ def suffix_ranks(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataF
         step = 2**level
         ahead = Window.partitionBy("doc", "key").orderBy("seq").rangeBetween(step, step)
         paired = now.withColumnRenamed("rank", "before").withColumn("next", F.first("before").over(ahead))
-        pairs = materialise(paired.where("next IS NOT NULL"), f"linedup-pairs-{level}")
+        pairs = scratch.table(paired.where("next IS NOT NULL"), "pairs")
         again = pairs.groupBy("before", "next").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        order = _ranked(again, "before", "next", f"linedup-order-{level + 1}")
-        now = materialise(pairs.join(order, ["before", "next"]).select(*LINE, "rank"), f"linedup-ranks-{level + 1}")
+        order = _ranked(again, "before", "next", scratch)
+        now = scratch.table(pairs.join(order, ["before", "next"]).select(*LINE, "rank"), "ranks")
         if not now.take(1):
             break
         level += 1
@@ -112,9 +116,12 @@ def _windows(suffixes: DataFrame, least_words: int) -> DataFrame:
     return both.select("doc", "key", first.alias("first"), (last - first + 1).alias("n")).where("first IS NOT NULL AND n IS NOT NULL").distinct()
 
 
-def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc, key, gone, words): for each document with later copies the line numbers to delete and their words."""
-    suffixes, ranks = suffix_ranks(docs, least_words)
+def _later_runs(suffixes: DataFrame, ranks: DataFrame, least_words: int, scratch: Scratch) -> DataFrame:
+    """(doc, key, first, last, source, source_key, source_first): the maximal runs that have an earlier copy.
+
+    ``first`` and ``last`` count the lines that aren't blank; ``source_first``
+    is the line of the source where the common prefix begins.
+    """
     windows = _windows(suffixes, least_words).withColumn("level", F.floor(F.log2("n")).cast("int"))
     windows = windows.withColumn("other", F.col("first") + F.col("n") - F.pow(F.lit(2), F.col("level")).cast("int"))
 
@@ -127,15 +134,75 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     head, tail = at("first", "head"), at("other", "tail")
     named = windows.join(head, same(windows, head, "first")).select(windows["doc"], windows["key"], windows["first"], "n", windows["level"], "other", "head")
     named = named.join(tail, same(named, tail, "other")).select(named["doc"], named["key"], "first", "n", "head", "tail")
-    named = materialise(named, "linedup-runs")
-    name = ["n", "head", "tail"]
+    named = scratch.table(named, "prefixes")
+    interval = ["n", "head", "tail"]
     place = F.struct(F.col("doc").isNotNull().alias("some"), "doc", "key", "first")
-    earliest = named.groupBy(*name).agg(F.min(place).alias("place"), F.count("*").alias("copies")).where("copies > 1")
-    later = named.join(earliest, name).where(place != F.col("place"))
-    gone = later.select("doc", "key", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("seq")).distinct()
-    numbers = suffixes.select(F.col("doc").alias("d"), F.col("key").alias("k"), F.col("seq").alias("s"), "no", "words")
-    found = gone.join(numbers, gone["doc"].eqNullSafe(numbers["d"]) & (gone["key"] == numbers["k"]) & (gone["seq"] == numbers["s"]))
-    return found.groupBy("doc", "key").agg(F.collect_list("no").alias("gone"), F.sum("words").alias("words"))
+    # Written as a table of its own, so that its join may be broadcast if small and else split at frequent intervals.
+    earliest = scratch.table(named.groupBy(*interval).agg(F.min(place).alias("place"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "intervals")
+    later = named.join(earliest, interval).where(place != F.col("place"))
+    later = later.select("doc", "key", "first", (F.col("first") + F.col("n") - 1).alias("last"), F.col("place.doc").alias("source"), F.col("place.key").alias("source_key"), (F.col("first") - F.col("place.first")).alias("shift"))
+    pair = ["doc", "key", "source", "source_key", "shift"]
+    order = Window.partitionBy(*pair).orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col("first") > reach + 1), 1).otherwise(0)
+    runs = later.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.groupBy(*pair, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.select("doc", "key", "first", "last", "source", "source_key", (F.col("first") - F.col("shift")).alias("source_first"))
+
+
+def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, first_line, last_line, source_id, source_line, n_lines): each maximal run with an earlier copy, and that copy.
+
+    A run of at least ``least_words`` words may have several sources, as far as
+    none of them holds all of it; a row tells its longest common prefix with one.
+    Line numbers count from 0 with blank lines, n_lines without. Nulls and
+    repeated rows are treated as ``without_repeats`` says; an empty table
+    gives no rows.
+    """
+    with Scratch(docs.sparkSession, "linedup") as scratch:
+        suffixes, ranks = suffix_ranks(docs, least_words, scratch)
+        runs = _later_runs(suffixes, ranks, least_words, scratch)
+
+        def numbered(left: DataFrame, doc: str, key: str, seq: str, name: str) -> DataFrame:
+            line = suffixes.select(F.col("doc").alias("d"), F.col("key").alias("k"), F.col("seq").alias("s"), F.col("no").alias(name))
+            return left.join(line, left[doc].eqNullSafe(line["d"]) & (left[key] == line["k"]) & (left[seq] == line["s"])).drop("d", "k", "s")
+
+        found = numbered(runs, "doc", "key", "first", "first_line")
+        found = numbered(found, "doc", "key", "last", "last_line")
+        found = numbered(found, "source", "source_key", "source_first", "source_line")
+        found = found.select(F.col("doc").alias("doc_id"), "first_line", "last_line", F.col("source").alias("source_id"), "source_line", (F.col("last") - F.col("first") + 1).alias("n_lines"))
+        return materialise(found, "linedup-runs")
+
+
+def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc, key, gone, words): for each document with later copies the line numbers to delete and their words."""
+    with Scratch(docs.sparkSession, "linedup") as scratch:
+        suffixes, ranks = suffix_ranks(docs, least_words, scratch)
+        runs = _later_runs(suffixes, ranks, least_words, scratch)
+        gone = runs.select("doc", "key", F.explode(F.sequence("first", "last")).alias("seq")).distinct()
+        numbers = suffixes.select(F.col("doc").alias("d"), F.col("key").alias("k"), F.col("seq").alias("s"), "no", "words")
+        found = gone.join(numbers, gone["doc"].eqNullSafe(numbers["d"]) & (gone["key"] == numbers["k"]) & (gone["seq"] == numbers["s"]))
+        return materialise(found.groupBy("doc", "key").agg(F.collect_list("no").alias("gone"), F.sum("words").alias("words")), "linedup-gone")
+
+
+ADDED = ("n_lines", "n_deleted", "words_deleted")
+
+
+def _cut(docs: DataFrame, least_words: int, added: tuple[str, ...]) -> DataFrame:
+    """``docs`` with new ``text`` and ``n_chars``, and the three counts under the names ``added``."""
+    doc, key, gone, words, new, count = (free_name(docs, n) for n in ("linedup_doc", "linedup_key", "linedup_gone", "linedup_words", "linedup_text", "linedup_count"))
+    found = repeated_lines(docs, least_words).toDF(doc, key, gone, words)
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found[doc]) & (_text_key(docs["text"].cast("string")) == found[key]), "left")
+    lines = F.split(F.col("text").cast("string"), "\n")
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col(gone), i)), "\n")
+    # The new text has a name of its own first: in one projection, names in lambdas would mean the new column.
+    filled = F.filter(lines, lambda line: F.trim(line) != "")
+    joined = joined.withColumn(count, F.coalesce(F.size(filled), F.lit(0)).cast("long"))
+    joined = joined.withColumn(new, F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept))
+    length = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    columns = [F.col(new).alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    counts = (F.col(count), F.coalesce(F.size(gone), F.lit(0)).cast("long"), F.coalesce(F.col(words), F.lit(0)).cast("long"))
+    return joined.select(*columns, *(c.alias(n) for c, n in zip(counts, added, strict=True)))
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -149,23 +216,12 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     blank lines they have. Rows with the same id and text are one document and
     get the same text. A null text stays null, with no lines. ``n_chars``,
     where there is such a column, is set to the new length. Other columns
-    stay; columns named like the three added ones are replaced.
+    stay; columns named like the three added ones are replaced. An empty table
+    gives no rows, and a text of any length is a sequence of lines like others.
     """
-    doc, key, gone, words, new, count = (free_name(docs, n) for n in ("linedup_doc", "linedup_key", "linedup_gone", "linedup_words", "linedup_text", "linedup_count"))
-    found = repeated_lines(docs, least_words).toDF(doc, key, gone, words)
-    base = docs.drop("n_lines", "n_deleted", "words_deleted")
-    joined = base.join(found, base["doc_id"].eqNullSafe(found[doc]) & (_text_key(base["text"].cast("string")) == found[key]), "left")
-    lines = F.split(F.col("text").cast("string"), "\n")
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col(gone), i)), "\n")
-    # The new text has a name of its own first: in one projection, names in lambdas would mean the new column.
-    filled = F.filter(lines, lambda line: F.trim(line) != "")
-    joined = joined.withColumn(count, F.coalesce(F.size(filled), F.lit(0)).cast("long"))
-    joined = joined.withColumn(new, F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept))
-    length = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(base.schema["n_chars"].dataType) if "n_chars" in base.columns else None
-    columns = [F.col(new).alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col(c) for c in base.columns]
-    added = [
-        F.col(count).alias("n_lines"),
-        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_deleted"),
-        F.coalesce(F.col(words), F.lit(0)).cast("long").alias("words_deleted"),
-    ]
-    return joined.select(*columns, *added)
+    return _cut(docs.drop(*ADDED), least_words, ADDED)
+
+
+def cut_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``docs`` with their own columns only, as ``without_repeats`` cuts them; all other columns keep their values."""
+    return _cut(docs, least_words, tuple(free_name(docs, n) for n in ADDED)).select(*(f"`{c}`" for c in docs.columns))

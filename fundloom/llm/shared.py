@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,34 +15,70 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Where the setting is empty (a local test session) a temporary folder is
-    made and set as the checkpoint folder of the running context.
+    Where the setting is empty a local session gets a temporary folder, set as
+    its checkpoint folder. On a cluster that would be a folder of the driver
+    alone, so there it is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def fresh_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/fundloom/{tag}-{uuid.uuid4().hex}"
+    """A new folder in the shared one, below a folder of this application."""
+    return f"{shared_folder(spark)}/fundloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation of what
-    stands before, and a frame used twice is computed once.
+    stands before, and a frame used twice is computed once. The table stays
+    for as long as its frame may be read; ``Scratch`` is for tables that needn't.
     """
     path = fresh_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that are deleted where the ``with`` block ends, also after an error.
+
+    What leaves the block has to be written by ``materialise``.
+    """
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.folder, self.count = spark, fresh_folder(spark, tag), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete_folder(self.spark, self.folder)
+
+    def path(self, tag: str) -> str:
+        self.count += 1
+        return f"{self.folder}/{self.count}-{tag}"
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        path = self.path(tag)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that ``df`` has not, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
