@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fundloom.llm.decontaminate import clean_of_benchmark
-from fundloom.llm.linedup import without_repeats
+from fundloom.llm.linedup import cut_repeats
 from fundloom.llm.nearcopies import one_of_each_group
 from fundloom.llm.packing import pack_documents
 from fundloom.llm.shared import fresh_folder
@@ -31,7 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later copies of repeated runs of lines."""
-    return without_repeats(docs).select(*docs.columns)
+    return cut_repeats(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
