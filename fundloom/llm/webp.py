@@ -8,7 +8,8 @@ has pixels left, with array operations over all of them, so the cost of a
 round is shared by thousands of images.
 
 The encoder writes RGB images of width 64 with static prefix codes, the colour
-cache and back-references for runs. Equal pixels give equal files.
+cache and back-references for runs, or through transforms where that is smaller
+(``webp_forward``). Equal pixels give equal files.
 """
 
 from __future__ import annotations
@@ -723,12 +724,18 @@ _encoder: list[_Encoder] = []
 
 
 def encode_payload(payload: bytes) -> bytes:
-    """WebP files, one after the other, that hold a payload of a positive multiple of 192 bytes as RGB pixels."""
+    """WebP files, one after the other, that hold a payload of a positive multiple of 192 bytes as RGB pixels.
+
+    Each image takes the smaller of two forms: static codes without transforms, or the best transforms.
+    """
+    from fundloom.llm.webp_forward import smaller_stream
+
     if not _encoder:
         _encoder.append(_Encoder())
     rgb = np.frombuffer(payload, np.uint8).reshape(-1, 3)
     step = WIDTH * ROWS
-    return b"".join(riff(_encoder[0].encode(rgb[i : i + step])) for i in range(0, len(rgb), step))
+    parts = (rgb[i : i + step] for i in range(0, len(rgb), step))
+    return b"".join(riff(smaller_stream(p, WIDTH, _encoder[0].encode(p))) for p in parts)
 
 
 def decode_payloads(media: list[bytes]) -> list[np.ndarray]:
