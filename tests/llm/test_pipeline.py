@@ -40,7 +40,7 @@ def test_stages_follow_each_other(spark, tmp_path):
                 root[y] = x
     assert {r.doc_id for r in after.collect()} == {find(i) for i, _ in fps}
     before, after = seen["decontaminate"]
-    tables = decontaminate.compile_patterns([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
-    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect() if not decontaminate.find(tables, r.text, [], set())[1]}
+    tables = decontaminate.Tables([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect() if not decontaminate.find(tables, r.text)[1]}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
