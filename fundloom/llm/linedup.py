@@ -192,7 +192,8 @@ def _cut(docs: DataFrame, least_words: int, added: tuple[str, ...]) -> DataFrame
     """``docs`` with new ``text`` and ``n_chars``, and the three counts under the names ``added``."""
     doc, key, gone, words, new, count = (free_name(docs, n) for n in ("linedup_doc", "linedup_key", "linedup_gone", "linedup_words", "linedup_text", "linedup_count"))
     found = repeated_lines(docs, least_words).toDF(doc, key, gone, words)
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found[doc]) & (_text_key(docs["text"].cast("string")) == found[key]), "left")
+    # Lines to delete grow with the documents, so their table is never sent to all tasks.
+    joined = docs.join(found.hint("merge"), docs["doc_id"].eqNullSafe(found[doc]) & (_text_key(docs["text"].cast("string")) == found[key]), "left")
     lines = F.split(F.col("text").cast("string"), "\n")
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col(gone), i)), "\n")
     # The new text has a name of its own first: in one projection, names in lambdas would mean the new column.
