@@ -5,8 +5,9 @@ bands of a text's own statistics. One weight vector is shared by all grades;
 ordered thresholds cut its sum into grades, P(grade > k) = logistic(s - t_k).
 The expected grade and the probability of reaching a cut grade serve selection.
 
-The regression is fitted on at most ``sample`` labelled documents, those with
-the smallest hash of their id; every document is scored.
+The regression is fitted on at most ``sample`` labelled documents and at most
+``SAMPLE_FEATURES`` features of them, those with the smallest hash of their id;
+every document is scored.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fundloom.llm.shared import rows_of
+from fundloom.llm.shared import Scratch, rows_of
 
 #: Labelled documents used for learning, at most.
 SAMPLE = 20_000
+#: Features of these documents, at most: 8 bytes each, so the driver receives 64 MB.
+SAMPLE_FEATURES = 8_000_000
 #: Weights of hashed features.
 BUCKETS = 1 << 16
 #: Words kept with their features in a worker, at most.
@@ -45,7 +48,7 @@ def _bucket(feature: str) -> int:
 
 def _shape(word: str) -> str:
     """A for capitals, a for other letters, 0 for digits; runs are one sign, other signs stay."""
-    return DIGITS.sub("0", LETTERS.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", word))[:12]
+    return DIGITS.sub("0", LETTERS.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", word))
 
 
 def _features_of_word(word: str) -> tuple[int, int]:
@@ -105,48 +108,58 @@ def tails(model: Model, score: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(rows: np.ndarray, at: np.ndarray, value: np.ndarray, grade: np.ndarray, ridge: float = 1e-4, rounds: int = 250, rate: float = 0.05) -> Model:
-    """Maximum likelihood with a ridge, by Adam over the whole sample.
+def thresholds_of(x: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from a first one and the logarithms of the steps to the next."""
+    first = x[BUCKETS : BUCKETS + 1]
+    return np.concatenate([first, first + np.cumsum(np.exp(x[BUCKETS + 1 :]))])
+
+
+def loss_and_gradient(x: np.ndarray, rows: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """The mean negative log likelihood of grade numbers ``y`` with a ridge on the weights, and its gradient.
 
-    ``rows, at, value`` are the sparse matrix. Thresholds are a first one and
-    logarithms of the steps to the next, so they stay ordered.
+    ``rows, at, value`` are the sparse matrix; ``x`` are the weights, then the thresholds' parameters.
     """
+    n, cuts = len(y), len(x) - BUCKETS
+    w = x[:BUCKETS]
+    s = np.bincount(rows, value * w[at], n)
+    above = _logistic(s[:, None] - thresholds_of(x))  # P(y > k)
+    padded = np.column_stack([np.ones(n), above, np.zeros(n)])
+    here = np.arange(n)
+    p = np.maximum(padded[here, y] - padded[here, y + 1], 1e-9)
+    slope = padded * (1 - padded)
+    upper, lower = slope[here, y] / p, slope[here, y + 1] / p
+    by_row = (lower - upper) / n  # derivative by a row's sum
+    by_cut = np.array([(upper[y == k + 1].sum() - lower[y == k].sum()) / n for k in range(cuts)])
+    g = np.empty_like(x)
+    g[:BUCKETS] = ridge * w + np.bincount(at, value * by_row[rows], BUCKETS)
+    g[BUCKETS] = by_cut.sum()
+    g[BUCKETS + 1 :] = np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(x[BUCKETS + 1 :])
+    return float(-np.log(p).mean() + ridge / 2 * (w @ w)), g
+
+
+def fit(rows: np.ndarray, at: np.ndarray, value: np.ndarray, grade: np.ndarray, ridge: float = 1e-4, rounds: int = 250, rate: float = 0.05) -> Model:
+    """Maximum likelihood with a ridge, by Adam over the whole sample."""
     grades, y = np.unique(grade, return_inverse=True)
-    n, cuts = len(y), len(grades) - 1
-    share = [(y > k).mean() for k in range(cuts)]
+    share = [(y > k).mean() for k in range(len(grades) - 1)]
     start = np.array([-math.log(p / (1 - p)) for p in share])
-    step = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
-    x = np.concatenate([np.zeros(BUCKETS), step])
+    x = np.concatenate([np.zeros(BUCKETS), start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
     m, v = np.zeros_like(x), np.zeros_like(x)
     for r in range(1, rounds + 1):
-        w, first, more = x[:BUCKETS], x[BUCKETS : BUCKETS + 1], np.exp(x[BUCKETS + 1 :])
-        t = np.concatenate([first, first + np.cumsum(more)])
-        s = np.bincount(rows, value * w[at], n)
-        above = _logistic(s[:, None] - t)  # P(y > k)
-        padded = np.column_stack([np.ones(n), above, np.zeros(n)])
-        p = np.maximum(padded[np.arange(n), y] - padded[np.arange(n), y + 1], 1e-9)
-        slope = padded * (1 - padded)
-        upper, lower = slope[np.arange(n), y] / p, slope[np.arange(n), y + 1] / p
-        gs = (upper - lower) / n
-        gt = np.zeros(cuts)
-        for k in range(cuts):
-            gt[k] = (lower[y == k].sum() - upper[y == k + 1].sum()) / n
-        g = np.empty_like(x)
-        g[:BUCKETS] = ridge * w - np.bincount(at, value * gs[rows], BUCKETS)
-        g[BUCKETS] = -gt.sum()
-        g[BUCKETS + 1 :] = -np.cumsum(gt[::-1])[::-1][1:] * more
+        _, g = loss_and_gradient(x, rows, at, value, y, ridge)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x = x - rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
-    first, more = x[BUCKETS : BUCKETS + 1], np.exp(x[BUCKETS + 1 :])
-    return Model(tuple(int(g) for g in grades), tuple(float(t) for t in np.concatenate([first, first + np.cumsum(more)])), x[:BUCKETS].astype(np.float32))
+    return Model(tuple(int(g) for g in grades), tuple(float(t) for t in thresholds_of(x)), x[:BUCKETS].astype(np.float32))
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
     for batch in batches:
-        made = [(doc_id, grade, *(x.tobytes() for x in features(text))) for doc_id, grade, text in rows_of([batch], "doc_id", "grade", "text")]
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        columns = zip(*made, strict=True) if made else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "grade", "at", "value"])
+        made = []
+        for doc_id, grade, text in rows_of([batch], "doc_id", "grade", "text"):
+            at, value = features(text)
+            made.append((doc_id, grade, len(at), at.tobytes(), value.tobytes()))
+        columns = zip(*made, strict=True) if made else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "grade", "n", "at", "value"])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -154,23 +167,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, most_features: int = SAMPLE_FEATURES) -> Model:
     """Fit the regression to ``ratings(doc_id, grade)`` of rows that aren't held out.
 
     The ratings chosen are at most ``sample`` rows, so they are sent to each
-    task and the documents aren't shuffled. Ratings without a document or
-    with a null text count as of an empty text or are left out. With fewer
-    than two grades the model always gives the one there is (0 without any).
+    task and the documents aren't shuffled. Their documents' vectors are
+    written to the shared folder; in the order of a hash they are taken up to
+    ``sample`` rows (ids may repeat) and ``most_features`` features, so what
+    the driver receives is bounded. Ratings without a document are left out;
+    a null text counts as empty. With fewer than two grades the model always
+    gives the one there is (0 without any).
     """
     chosen = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL")
     rows = chosen.where(~held_out(F.col("doc_id"))).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample).collect()
-    picked = F.broadcast(docs.sparkSession.createDataFrame(rows, "doc_id long, grade int"))
+    spark = docs.sparkSession
+    picked = F.broadcast(spark.createDataFrame(rows, "doc_id long, grade int"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = plain.join(picked, "doc_id").mapInArrow(_vectors, "doc_id long, grade int, at binary, value binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["grade"], bytes(r["at"]), bytes(r["value"])))
+    with Scratch(spark, "quality") as scratch:
+        made = plain.join(picked, "doc_id").mapInArrow(_vectors, "doc_id long, grade int, n long, at binary, value binary")
+        key = F.struct(F.xxhash64("doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("grade").alias("c"), F.xxhash64("at", "value").alias("d"))
+        vectors = scratch.table(made.withColumn("key", key), "vectors")
+        last, total = None, 0
+        for r in vectors.select("key", "n").orderBy("key").limit(sample).collect():
+            total += r["n"]
+            if total > most_features and last is not None:
+                break
+            last = tuple(r["key"])
+        if last is None:
+            return Model((0,), (), np.zeros(BUCKETS, np.float32))
+        within = F.col("key") <= F.struct(*(F.lit(v).cast(t).alias(n) for n, v, t in zip("abcd", last, ("long", "long", "int", "long"), strict=True)))
+        # Equal rows share a key; together they may pass the bound, so the rows themselves are limited too.
+        got = vectors.where(within).orderBy("key").limit(sample).drop("key").collect()
     grade = np.array([r["grade"] for r in got], np.int64)
     if len(set(grade.tolist())) < 2:
-        return Model((int(grade[0]) if len(grade) else 0,), (), np.zeros(BUCKETS, np.float32))
+        return Model((int(grade[0]),), (), np.zeros(BUCKETS, np.float32))
     at = [np.frombuffer(r["at"], "<i4") for r in got]
     value = np.concatenate([np.frombuffer(r["value"], "<f4") for r in got]).astype(np.float64)
     return fit(np.repeat(np.arange(len(got)), [len(a) for a in at]), np.concatenate(at), value, grade)
