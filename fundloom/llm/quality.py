@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fundloom.llm.shared import Scratch, rows_of
+from fundloom.llm.shared import Scratch, held_out, rows_of
 
 #: Labelled documents used for learning, at most.
 SAMPLE = 20_000
@@ -162,11 +162,6 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "grade", "n", "at", "value"])
 
 
-def held_out(doc_id: Column) -> Column:
-    """Whether crc32 of the id's digits has remainder 0 when divided by 5; such rows teach nothing."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
 def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, most_features: int = SAMPLE_FEATURES) -> Model:
     """Fit the regression to ``ratings(doc_id, grade)`` of rows that aren't held out.
 
