@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length of each document in flat token files, found by their separators."""
-    found = tokencount.token_counts(table(spark, sf_dir, "documents"))
+    found = tokencount.token_counts(table(spark, sf_dir, "documents"), from_files=True)
     return found.select("doc_id", "n_tokens", "complete")
 
 
