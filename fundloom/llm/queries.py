@@ -135,38 +135,45 @@ FROM d LEFT JOIN t ON d.r = t.r
 """
 
 
-#: The operator's definition with set operations; paths, sentences and terms as its docstrings state them.
+#: The operator's definition with set operations: every sentence is compared with every template.
 OP9_SQL = r"""
-WITH t(template, licence, body) AS (VALUES @TEMPLATES@),
-tt AS (SELECT template, licence, term, count(*) AS tf
-       FROM (SELECT template, licence, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM t) GROUP BY ALL),
+WITH t(template, licence, body, must) AS (VALUES @TEMPLATES@),
+tt AS (SELECT template, licence, must, term, count(*) AS tf
+       FROM (SELECT template, licence, must, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM t) GROUP BY ALL),
 d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r,
              concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'unknown'),
                        coalesce(CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR), 'none')) AS dir,
              coalesce(CAST(doc_id AS VARCHAR), 'none') || '.txt' AS base FROM documents),
 w AS (SELECT r, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_terms,
              list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS terms FROM d),
-df AS (SELECT term, count(*) AS df FROM (SELECT unnest(terms) AS term FROM w)
-       WHERE term IN (SELECT term FROM tt) GROUP BY term),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(terms) AS term FROM w) GROUP BY term),
 n AS (SELECT count(*) AS n FROM d),
-idf AS (SELECT term, ln((n.n + 1.0::DOUBLE) / (coalesce(df.df, 0) + 1.0::DOUBLE)) + 1 AS idf
-        FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term) CROSS JOIN n),
-tw AS (SELECT template, licence, term, tf * idf AS w FROM tt JOIN idf USING (term)),
+tw AS (SELECT template, licence, must, term, tf * (ln((n.n + 1.0::DOUBLE) / (coalesce(df.df, 0) + 1.0::DOUBLE)) + 1) AS w
+       FROM tt LEFT JOIN df USING (term) CROSS JOIN n),
 tn AS (SELECT template, sqrt(sum(w * w)) AS tn FROM tw GROUP BY template),
-u AS (SELECT DISTINCT r, body FROM (
-        SELECT r, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) AS body FROM d)
-      WHERE regexp_matches(body, '(?i)licen[cs]|copyright|spdx|public domain|permission is hereby')),
+u AS (SELECT DISTINCT r, lines, body FROM (
+        SELECT r, true AS lines, unnest(string_split(regexp_replace(part, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) AS body
+        FROM (SELECT r, unnest(string_split(text, chr(10))) AS part FROM d)
+        UNION ALL
+        SELECT r, false, unnest(string_split(regexp_replace(regexp_replace(part, '[ \t\r]*\n[ \t]*[#*/;%-]*[ \t]*', ' ', 'g'), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)))
+        FROM (SELECT r, unnest(regexp_split_to_array(text, '\n[ \t\r#*/;%-]*\n')) AS part FROM d))),
 ub AS (SELECT DISTINCT body FROM u),
 ut AS (SELECT body, term, count(*) AS tf FROM (SELECT body, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS term FROM ub) GROUP BY ALL),
-uw AS (SELECT body, term, tf * coalesce(idf, ln(n.n + 1.0::DOUBLE) + 1) AS w FROM ut LEFT JOIN idf USING (term) CROSS JOIN n),
+uw AS (SELECT body, term, tf * (ln((n.n + 1.0::DOUBLE) / (coalesce(df.df, 0) + 1.0::DOUBLE)) + 1) AS w FROM ut LEFT JOIN df USING (term) CROSS JOIN n),
 un AS (SELECT body, sqrt(sum(w * w)) AS un FROM uw GROUP BY body),
-s AS (SELECT uw.body, tw.template, tw.licence, sum(uw.w * tw.w) AS product FROM uw JOIN tw USING (term) GROUP BY ALL),
-c AS (SELECT body, licence, cosine FROM (
-        SELECT body, licence, round(product / (un * tn), 6) AS cosine,
-               row_number() OVER (PARTITION BY body ORDER BY round(product / (un * tn), 6) DESC, template) AS k
-        FROM s JOIN un USING (body) JOIN tn USING (template)) WHERE k = 1 AND cosine >= 0.6),
-o AS (SELECT r, arg_min(licence, struct_pack(c := -cosine, l := licence)) AS own, max(cosine) AS cosine, count(*) AS n_mentions,
-             sum(len(regexp_extract_all(lower(body), '[a-z0-9]+'))) AS covered FROM u JOIN c USING (body) GROUP BY r),
+s AS (SELECT uw.body, tw.template, tw.licence, sum(uw.w * tw.w) AS product FROM uw JOIN tw USING (term)
+      GROUP BY ALL HAVING count(tw.must) = 0 OR bool_or(term = tw.must)),
+c AS (SELECT body, licence, round(product / (un * tn), 6) AS cosine FROM s JOIN un USING (body) JOIN tn USING (template)
+      WHERE round(product / (un * tn), 6) >= 0.6),
+e AS (SELECT DISTINCT body, licence, cosine FROM c WHERE cosine = (SELECT max(cosine) FROM c c2 WHERE c2.body = c.body)),
+v AS (SELECT r, licence, count(*) AS n, max(cosine) AS cosine FROM (SELECT DISTINCT r, body FROM u) JOIN e USING (body) GROUP BY ALL),
+b AS (SELECT r, arg_min(licence, struct_pack(c := -cosine, n := -n, l := licence)) AS own,
+             arg_min(cosine, struct_pack(c := -cosine, n := -n, l := licence)) AS cosine FROM v GROUP BY r),
+m AS (SELECT r, count(DISTINCT body) AS n_mentions,
+             greatest(coalesce(sum(CASE WHEN lines THEN len(regexp_extract_all(lower(body), '[a-z0-9]+')) END), 0),
+                      coalesce(sum(CASE WHEN NOT lines THEN len(regexp_extract_all(lower(body), '[a-z0-9]+')) END), 0)) AS covered
+      FROM u WHERE body IN (SELECT body FROM e) GROUP BY r),
+o AS (SELECT r, own, cosine, n_mentions, covered FROM b JOIN m USING (r)),
 f AS (SELECT d.dir, o.own, o.cosine FROM o JOIN d USING (r) JOIN w USING (r) WHERE o.covered >= 0.5 * w.n_terms),
 h AS (SELECT dir AS above, arg_min(own, struct_pack(c := -cosine, l := own)) AS held FROM f GROUP BY dir),
 a AS (SELECT dir, array_to_string(string_split(dir, '/')[1:k], '/') AS above, k
