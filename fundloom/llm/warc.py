@@ -5,14 +5,20 @@ Spark's text sink write them. What separates values there is an empty member,
 or the two empty lines that end a record. So archives are written by any number
 of tasks to any store that Spark can write to.
 
-The reader takes whole archives, plain or with one gzip member for each record.
-After each failed check (no version line, bad header, wrong length, damaged
-member, wrong digest) it searches for the next version line or member that can
-be read, goes on there, and logs the bytes between as a quarantined gap.
+The reader lets Spark's text reader cut archives where a member or a version
+line may begin, so an archive of any size is read by many tasks, one piece in
+memory at a time. A piece that is whole gives its records. One that fails a
+check (no version line, bad header, wrong length, damaged member, wrong digest)
+stays open: it may be damaged, or be part of a member whose bytes look like a
+beginning somewhere. Open pieces that touch are joined, and the salvage loop
+searches them for the next version line or member that can be read, goes on
+there, and logs the bytes between as quarantined gaps. A prefix scan over the
+splits' sizes gives the places of records and gaps.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -20,22 +26,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fundloom.llm.shared import fresh_folder, rows_of
+from fundloom.llm.shared import fresh_folder, materialise, rows_of
 
 CRLF = "\r\n"
 VERSION = "WARC/1.0"
 END = b"\r\n\r\n"
 #: Payloads of fewer bytes are written out each time.
 LEAST_DEDUP = 1000
-#: Records of an archive file, at most.
-RECORDS_PER_FILE = 4000
 START = re.compile(rb"WARC/(?:0\.1[78]|1\.[01])\r\n")
 MEMBER = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
 EITHER = re.compile(START.pattern + b"|" + MEMBER.pattern)
-SCHEMA = "path string, offset long, kind string, record_type string, record_id string, target_uri string, refers_to string, digest string, payload_bytes long, payload binary, reason string, gap_bytes long"
+#: What pieces of an archive begin with: gzip members, or records.
+MAGIC, VERSIONS = b"\x1f\x8b\x08", b"WARC/"
+COLUMNS = "kind string, record_type string, record_id string, target_uri string, refers_to string, digest string, payload_bytes long, payload_sha1 string, payload binary, reason string, gap_bytes long"
+SCANNED = f"path string, split long, place long, length long, {COLUMNS}"
+SCHEMA = f"path string, offset long, {COLUMNS}"
+KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_DEDUP) -> DataFrame:
@@ -93,8 +102,8 @@ def _zip_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([zipped(record + END)], pa.binary())], names=["member"])
 
 
-def write_archives(records: DataFrame, folder: str, per_file: int = RECORDS_PER_FILE, compress: bool = True) -> None:
-    """Write the records of ``with_revisits`` as WARC files of at most ``per_file`` records.
+def write_archives(records: DataFrame, folder: str, compress: bool = True) -> None:
+    """Write the records of ``with_revisits`` as WARC files, one for each partition.
 
     Compressed archives hold one gzip member for each record, with an empty
     member after it, which adds nothing to what the archive unpacks to.
@@ -105,7 +114,7 @@ def write_archives(records: DataFrame, folder: str, per_file: int = RECORDS_PER_
         writer = text.write.option("lineSep", zipped(b"").decode("latin-1")).option("encoding", "ISO-8859-1")
     else:
         writer = text.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode())
-    writer.option("maxRecordsPerFile", per_file).text(folder)
+    writer.text(folder)
 
 
 @dataclass
@@ -139,6 +148,18 @@ def _headers(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return found, end + 4
 
 
+def _has_digest(block: bytes, stated: str, fields: dict[str, str]) -> bool:
+    """Whether a SHA-1, in hex or base32, is that of the block, or of its body where the block is an HTTP message."""
+    parts = [block]
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        parts.append(block.partition(b"\r\n\r\n")[2])
+    for part in parts:
+        own = hashlib.sha1(part).digest()
+        if stated.lower() == own.hex() or stated.upper() == base64.b32encode(own).decode():
+            return True
+    return False
+
+
 def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     """(headers, payload, end) of the record at ``at``, or why there is none."""
     if not START.match(data, at):
@@ -155,7 +176,7 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
         return "wrong length"
     payload = data[start:end]
     digest = fields.get("warc-payload-digest", "")
-    if fields.get("warc-type") == "response" and digest.startswith("sha1:") and hashlib.sha1(payload).hexdigest() != digest[5:].lower():
+    if fields.get("warc-type") == "response" and digest.startswith("sha1:") and not _has_digest(payload, digest[5:], fields):
         return "wrong digest"
     return fields, payload, end + 4
 
@@ -172,88 +193,205 @@ def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
     return (b"".join(out), at - len(unzip.unused_data)) if unzip.eof else None
 
 
+def _unpacked(content: bytes, at: int, length: int) -> list[Salvaged] | str:
+    """What the unpacked content of a gzip member holds, or why it is no record; all of it is at the member's place."""
+    if not content:
+        return []
+    whole = _record(content, 0)
+    if not isinstance(whole, str) and whole[2] == len(content):
+        return [Salvaged(at, "record", whole[0], whole[1], length=length)]
+    found = list(salvage(content))
+    if not any(s.kind == "record" for s in found):
+        return whole if isinstance(whole, str) else "bytes after the record of a member"
+    for s in found:
+        s.offset = at
+    return found
+
+
 def salvage(data: bytes) -> Iterator[Salvaged]:
-    """Records and gaps of an archive, in order; with members that hold nothing they cover all its bytes."""
+    """Records and gaps of an archive, in order; with members that hold nothing they cover all its bytes.
+
+    A member with several records gives each of them at its own place; gaps
+    inside it count its unpacked bytes.
+    """
     at, gap, reason = 0, None, ""
     while at < len(data):
+        found: list[Salvaged] | str
+        end = at
         if MEMBER.match(data, at):
             member = _member(data, at)
-            if member and not member[0]:
-                if gap is not None:
-                    yield Salvaged(gap, "gap", {}, reason=reason, length=at - gap)
-                    gap = None
-                at = member[1]
-                continue
-            got = _record(member[0], 0) if member else "damaged member"
-            if not isinstance(got, str) and got[2] != len(member[0]):
-                got = "bytes after the record of a member"
+            found = _unpacked(member[0], at, member[1] - at) if member else "damaged member"
             end = member[1] if member else at
         else:
             got = _record(data, at)
-            end = got[2] if not isinstance(got, str) else at
-        if not isinstance(got, str):
+            found = got if isinstance(got, str) else [Salvaged(at, "record", got[0], got[1], length=got[2] - at)]
+            end = at if isinstance(got, str) else got[2]
+        if not isinstance(found, str):
             if gap is not None:
                 yield Salvaged(gap, "gap", {}, reason=reason, length=at - gap)
                 gap = None
-            yield Salvaged(at, "record", got[0], got[1], length=end - at)
+            yield from found
             at = end
             continue
         if gap is None:
-            gap, reason = at, got
+            gap, reason = at, found
         after = EITHER.search(data, at + 1)
         at = after.start() if after else len(data)
     if gap is not None:
         yield Salvaged(gap, "gap", {}, reason=reason, length=len(data) - gap)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("kind", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("reason", pa.string()), ("gap_bytes", pa.int64())])
-    for batch in batches:
-        for i in range(batch.num_rows):
-            path, data = batch.column("path")[i].as_py(), batch.column("content")[i].as_py()
-            rows, held = [], 0
-            for s in salvage(data):
-                h = s.headers
-                record = s.kind == "record"
-                full = h.get("warc-payload-length", "")
-                rows.append((path, s.offset, s.kind, h.get("warc-type"), h.get("warc-record-id", "").strip("<>") or None, h.get("warc-target-uri"), h.get("warc-refers-to", "").strip("<>") or None, h.get("warc-payload-digest"), (int(full) if full.isdigit() else len(s.payload)) if record else None, s.payload if record else None, s.reason or None, None if record else s.length))
-                held += len(s.payload)
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
-
-
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Records and gaps of all archives in ``folder``.
-
-    A task holds one archive at a time; archives should be of some hundred MB
-    at most (``write_archives`` bounds them by records). Gaps carry a reason
-    and their length, records their payload; an empty archive gives nothing.
-    """
-    files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    return files.mapInArrow(_read, SCHEMA)
+def _piece(data: bytes) -> list[Salvaged]:
+    """What a piece that begins like a member or a record holds; all of it open if it doesn't begin with a whole one."""
+    if not data:
+        return []
+    if MEMBER.match(data):
+        member = _member(data, 0)
+        end = member[1] if member else 0
+        found = _unpacked(member[0], 0, end) if member else "damaged member"
+    else:
+        got = _record(data, 0)
+        end = 0 if isinstance(got, str) else got[2]
+        found = got if isinstance(got, str) else [Salvaged(0, "record", got[0], got[1], length=end)]
+    if isinstance(found, str):
+        return [Salvaged(0, "open", {}, data, found, len(data))]
+    rest = data[end:]
+    return found + ([Salvaged(end, "gap", {}, reason="bytes behind a record", length=len(rest))] if rest else [])
+
+
+def _row(s: Salvaged, payloads: bool) -> tuple:
+    h, record = s.headers, s.kind == "record"
+    full = h.get("warc-payload-length", "")
+    size = (int(full) if full.isdigit() and h.get("warc-type") != "response" else len(s.payload)) if record else None
+    return (
+        s.kind,
+        h.get("warc-type"),
+        h.get("warc-record-id", "").strip("<>") or None,
+        h.get("warc-target-uri"),
+        h.get("warc-refers-to", "").strip("<>") or None,
+        h.get("warc-payload-digest"),
+        size,
+        hashlib.sha1(s.payload).hexdigest() if record else None,
+        s.payload if s.kind == "open" or record and payloads else None,
+        s.reason or None,
+        None if record else s.length,
+    )
+
+
+def _batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of some MB of payload; a row's payload is its third value from the end."""
+    fields = [f.split() for f in schema.split(", ")]
+
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, KINDS[k]) for c, (_, k) in zip(zip(*held, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-3] or b"") + 200
+        if size > 8 << 20:
+            yield made(held)
+            held, size = [], 0
+    if held:
+        yield made(held)
+
 
+def _scan(cut: bytes, payloads: bool):
+    none = (None,) * 11
 
-def archive_round_trip(pages: DataFrame, least: int = LEAST_DEDUP, per_file: int = RECORDS_PER_FILE) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        now, place = None, 0
+        for path, split, data in rows_of(batches, "path", "split", "data"):
+            fresh = (path, split) != now
+            if fresh:
+                if now is not None:
+                    yield (*now, place, 0, "split", *none[1:])
+                now, place = (path, split), 0
+            # The first piece of a file has nothing before it; all others were cut off behind ``cut``.
+            piece = data if fresh and split == 0 else cut + data
+            for s in _piece(piece):
+                yield (path, split, place + s.offset, s.length, *_row(s, payloads))
+            place += len(piece)
+        if now is not None:
+            yield (*now, place, 0, "split", *none[1:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(rows(batches), SCANNED)
+
+    return run
+
+
+def _chains(payloads: bool):
+    """Over rows (path, offset, pieces): the records and gaps of pieces that touch."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for path, offset, pieces in rows_of(batches, "path", "offset", "pieces"):
+            for s in salvage(b"".join(pieces)):
+                yield (path, offset + s.offset, *_row(s, payloads))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(rows(batches), SCHEMA)
+
+    return run
+
+
+def read_archives(spark: SparkSession, folder: str, compress: bool = True, payloads: bool = True) -> DataFrame:
+    """Records (kind "record") and quarantined gaps (kind "gap") of all archives in ``folder``.
+
+    ``compress`` says whether archives consist of gzip members. They may be of
+    any size; a task holds a piece, and where pieces are damaged those that
+    touch. Records of one member share its offset. Gaps carry a reason and
+    their length, records the SHA-1 and, with ``payloads``, the bytes of their
+    payload; an empty archive gives nothing. Files named ``.gz`` would be
+    unpacked by Spark's reader, damaged ones with an error; give them another
+    name, or no ``compress``.
+    """
+    cut = MAGIC if compress else VERSIONS
+    lines = spark.read.option("lineSep", cut.decode("latin-1")).option("encoding", "ISO-8859-1").text(folder)
+    pieces = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("data"))
+    scanned = materialise(pieces.mapInArrow(_scan(cut, payloads), SCANNED), "warc-scan")
+    columns = [c.split()[0] for c in COLUMNS.split(", ")]
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = scanned.where("kind = 'split'").select(F.col("path").alias("p"), F.col("split").alias("s"), F.coalesce(F.sum("place").over(before), F.lit(0)).alias("base"))
+    placed = scanned.where("kind <> 'split'").join(splits, (F.col("path") == F.col("p")) & (F.col("split") == F.col("s"))).withColumn("offset", F.col("base") + F.col("place"))
+    whole = placed.where("kind <> 'open'").select("path", "offset", *columns)
+    return whole.unionByName(_resolved(placed.where("kind = 'open'"), payloads))
+
+
+def _resolved(opened: DataFrame, payloads: bool) -> DataFrame:
+    along = Window.partitionBy("path").orderBy("offset")
+    apart = F.when(F.lag(F.col("offset") + F.col("length")).over(along) == F.col("offset"), 0).otherwise(1)
+    chains = opened.select("path", "offset", "length", "payload").withColumn("apart", apart).withColumn("chain", F.sum("apart").over(along))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("offset", "payload"))), lambda x: x["payload"])
+    joined = chains.groupBy("path", "chain").agg(F.min("offset").alias("offset"), pieces.alias("pieces")).select("path", "offset", "pieces")
+    return joined.mapInArrow(_chains(payloads), SCHEMA)
+
+
+def archive_round_trip(pages: DataFrame, least: int = LEAST_DEDUP) -> DataFrame:
     """Write ``pages(page_id, url, html)`` as archives, read them back, and return one row for each page.
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to,
     of what the archives hold; for a response, size and digest are those of
-    the bytes read back. Null html is an empty payload, a null page_id or url
-    a record without that line, repeated rows are records of their own, an
-    empty table gives no rows, other columns are ignored.
+    the bytes read back. A quarantined gap is an error here, as the archives
+    are new. Null html is an empty payload, a null page_id or url a record
+    without that line, repeated rows are records of their own, an empty table
+    gives no rows, other columns are ignored.
     """
     spark = pages.sparkSession
     folder = fresh_folder(spark, "warc")
-    write_archives(with_revisits(pages, least), folder, per_file)
-    found = read_archives(spark, folder).where("kind = 'record'")
+    write_archives(with_revisits(pages, least), folder)
+    return measured(read_archives(spark, folder, payloads=False))
+
+
+def measured(found: DataFrame) -> DataFrame:
+    """The result of ``archive_round_trip`` from what ``read_archives`` found."""
     whole = F.col("record_type") == "response"
+    damage = F.raise_error(F.concat(F.lit("a gap of "), F.col("gap_bytes").cast("string"), F.lit(" bytes in "), F.col("path"), F.lit(": "), F.coalesce("reason", F.lit(""))))
+    kind = F.when(F.col("kind") == "record", F.col("record_type")).otherwise(damage.cast("string"))
     return found.select(
         F.regexp_extract("record_id", r"^urn:page:(-?\d+)$", 1).try_cast("long").alias("page_id"),
-        F.when(whole, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(whole, F.sha1("payload")).otherwise(F.regexp_replace("digest", "^sha1:", "")).alias("payload_digest"),
-        "record_type",
+        "payload_bytes",
+        F.when(whole, F.col("payload_sha1")).otherwise(F.regexp_replace("digest", "^sha1:", "")).alias("payload_digest"),
+        kind.alias("record_type"),
         F.regexp_extract("refers_to", r"^urn:page:(-?\d+)$", 1).try_cast("long").alias("refers_to"),
     )

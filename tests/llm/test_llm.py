@@ -216,6 +216,12 @@ def test_warc(spark, tmp_path):
         hurt = b"junk" + data[:at] + b"\xff\xff\xff" + data[at + 3 :]
         parts = list(warc.salvage(hurt))
         assert len([s for s in parts if s.kind == "record"]) == 6 and [s.kind for s in parts].count("gap") == 2
+        (tmp_path / f"hurt-{compress}").mkdir()
+        (tmp_path / f"hurt-{compress}/a.bin").write_bytes(hurt)
+        got = warc.read_archives(spark, f"file://{tmp_path}/hurt-{compress}", compress).orderBy("offset").collect()
+        assert sorted((r.offset, r.kind, r.gap_bytes) for r in got) == sorted((s.offset, s.kind, None if s.kind == "record" else s.length) for s in parts)
+        with pytest.raises(Exception, match="a gap of"):
+            warc.measured(warc.read_archives(spark, f"file://{tmp_path}/hurt-{compress}", compress, False)).collect()
 
 
 def test_line_dedup(docs, empty, spark):
