@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundloom.llm.shared import materialise
+from fundloom.llm.shared import Scratch, materialise
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -33,15 +33,16 @@ def connected_components(links: DataFrame, tag: str = "components") -> DataFrame
     written to the shared folder. Rounds end when nothing changes; their
     number grows with the logarithm of the longest chain.
     """
-    now = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = materialise(now, tag)
-    mark = F.struct(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)))
-    seen = now.agg(mark).first()[0]
-    while seen[0]:
-        now = materialise(_star(_star(now, True), False), tag)
-        new = now.agg(mark).first()[0]
-        if new == seen:
-            break
-        seen = new
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    with Scratch(links.sparkSession, tag) as scratch:
+        now = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        now = scratch.table(now, "links")
+        mark = F.struct(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)))
+        seen = now.agg(mark).first()[0]
+        while seen[0]:
+            now = scratch.table(_star(_star(now, True), False), "round")
+            new = now.agg(mark).first()[0]
+            if new == seen:
+                break
+            seen = new
+        roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+        return materialise(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), tag)

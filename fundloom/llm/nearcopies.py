@@ -4,31 +4,42 @@ Candidates come from MinHash: 160 minima in 40 bands of 4. Two texts of
 similarity 0.8 share no band with a chance of 7e-10, less above it. Texts with
 the same shingles are one class from the start. In a bucket of one band, two
 texts stay candidates if 96 of the 160 minima agree in eight bits (a further
-chance of loss below 1e-8 at 0.8). Candidates' groups are read again with their
-texts, and all pairs of a group that could still join two components are
+chance of loss below 1e-8 at 0.8). The texts of candidates' groups are then
 compared by their whole sets of shingles, as 64-bit hashes.
+
+Only what joins components is looked for. A group of up to ``TOGETHER`` members
+and ``TOGETHER_BYTES`` is compared in one task. In a larger one all members are
+compared with the least of them, and with the least of those that stay apart,
+by joins that Spark can split; what is apart after ``LEADERS`` rounds is
+compared with all members in tasks of two chunks. So no task holds a group that
+isn't bounded, and no pair that could join two components is left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fundloom.llm.components import connected_components
-from fundloom.llm.shared import free_name, materialise
+from fundloom.llm.shared import Scratch, free_name, materialise
 
 WORDS = 5
 #: Least similarity, as a fraction so that it is compared in whole numbers.
 LEAST = (4, 5)
 BANDS, ROWS = 40, 4
 AGREE = 96
+#: Members and bytes of a group that one task compares, and members of a chunk of larger groups.
+TOGETHER, TOGETHER_BYTES, CHUNK = 2000, 32 << 20, 1000
+#: Rounds in which a larger group is compared with one of its members.
+LEADERS = 3
 _WEIGHTS = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 _FACTORS = np.random.default_rng(6).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _BAND_FACTORS = np.random.default_rng(7).integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
@@ -146,8 +157,16 @@ def _by_key(roots: Callable[[list], np.ndarray]):
     return run
 
 
+def _sketches(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+
+
 def _sketches_roots(values: list) -> np.ndarray:
-    return _agreeing(np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1))
+    return _agreeing(_sketches(values))
+
+
+def _sketches_alike(one: np.ndarray, other: np.ndarray) -> bool:
+    return int((one == other).sum()) >= AGREE
 
 
 def _texts_roots(values: list) -> np.ndarray:
@@ -155,28 +174,108 @@ def _texts_roots(values: list) -> np.ndarray:
     return similar_groups([shingles_of(v, known) for v in values])
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
+def _texts_alike(one: np.ndarray, other: np.ndarray) -> bool:
+    p, q = LEAST
+    if q * min(len(one), len(other)) < p * max(len(one), len(other)):
+        return False
+    return (p + q) * len(np.intersect1d(one, other, assume_unique=True)) >= p * (len(one) + len(other))
+
+
+@dataclass(frozen=True)
+class Likeness:
+    """How members of a group are compared: all in one task, and one with another."""
+
+    roots: Callable[[list], np.ndarray]
+    prepared: Callable[[bytes, dict], np.ndarray]
+    alike: Callable[[np.ndarray, np.ndarray], bool]
+
+
+SKETCHES = Likeness(_sketches_roots, lambda value, _: np.frombuffer(value, np.uint8), _sketches_alike)
+TEXTS = Likeness(_texts_roots, shingles_of, _texts_alike)
+
+
+def _with_leader(likeness: Likeness):
+    """Over rows (node, value, leader, leader_value): (a, b) for each node that is like its leader."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, leader, prepared = _Words(), None, None
+        for batch in batches:
+            found = []
+            for n, v, m, w in zip(*(batch.column(c).to_pylist() for c in ("node", "value", "leader", "leader_value")), strict=True):
+                if m != leader:
+                    leader, prepared = m, likeness.prepared(w, known)
+                if n != m and likeness.alike(likeness.prepared(v, known), prepared):
+                    found.append((n, m))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _in_tasks(members: DataFrame, by: list[str], likeness: Likeness) -> DataFrame:
+    key = F.col(by[0]) if len(by) == 1 else F.concat_ws(",", *by)
+    return members.select(key.alias("key"), "node", "value").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_by_key(likeness.roots), "a long, b long")
+
+
+def group_links(members: DataFrame, likeness: Likeness, scratch: Scratch, together: int = TOGETHER, together_bytes: int = TOGETHER_BYTES, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): links that join the members of ``members(key, node, value)`` into the components of all links within their key."""
+    sizes = scratch.table(members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("value"), F.lit(0))).alias("size")).where("n > 1"), "sizes")
+    large = (F.col("n") > together) | (F.col("size") > together_bytes)
+    links = _in_tasks(members.join(sizes.where(~large).select("key"), "key"), ["key"], likeness)
+    big = sizes.where(large)
+    if not big.take(1):
+        return links
+    all_ = scratch.table(members.join(big.select("key", "n"), "key"), "large")
+    apart, first, found = all_, None, None
+    for _ in range(LEADERS):
+        least = apart.groupBy("key").agg(F.min("node").alias("node"))
+        leaders = scratch.table(all_.join(least, ["key", "node"]).select("key", F.col("node").alias("leader"), F.col("value").alias("leader_value")), "leaders")
+        first = first if first is not None else leaders.select("key", F.col("leader").alias("first"))
+        new = scratch.table(all_.join(leaders, "key").select("node", "value", "leader", "leader_value").mapInArrow(_with_leader(likeness), "a long, b long"), "links")
+        found = new if found is None else found.unionByName(new)
+        groups = connected_components(found, "near-leaders")
+        of = groups.select("node", "component")
+        main = first.join(of.toDF("first", "main"), "first", "left").select("key", F.coalesce("main", "first").alias("main"))
+        placed = all_.join(of, "node", "left").withColumn("own", F.coalesce("component", "node")).join(main, "key")
+        apart = scratch.table(placed.where("own <> main").select(*all_.columns), "apart")
+        if not apart.take(1):
+            return links.unionByName(found)
+    # All that stays apart against all members, in tasks of a chunk of each.
+    parts = scratch.table(apart.groupBy("key").agg(F.count("*").alias("m")), "apart-sizes")
+    rows, columns = F.ceil(F.col("m") / chunk), F.ceil(F.col("n") / chunk)
+
+    def dealt(side: DataFrame, own: Column, other: Column, i: str, j: str) -> DataFrame:
+        at = F.pmod(F.xxhash64("node"), own)
+        return side.join(parts, "key").select("key", "node", "value", at.alias(i), F.explode(F.sequence(F.lit(0).cast("long"), other - 1)).alias(j))
+
+    pairs = dealt(apart, rows, columns, "i", "j").unionByName(dealt(all_, columns, rows, "j", "i")).distinct()
+    return links.unionByName(found).unionByName(_in_tasks(pairs, ["key", "i", "j"], likeness))
+
+
+def one_of_each_group(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies of a document with a smaller doc_id.
 
     Groups are the components of pairs whose five-word shingles have a Jaccard
     similarity of 0.8 or more. Null and empty texts and texts of white space
     are copies of each other. Of repeated rows with the same doc_id, and of a
-    group without any doc_id, one row stays.
+    group without any doc_id, one row stays. Texts are compared whole; an
+    empty table gives no rows; columns of any name keep their values.
     """
     row = free_name(docs, "near_row")
+    columns = [f"`{c}`" for c in docs.columns]
     marked = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
     text = F.col("text").cast("string").cast("binary")
-    prints = materialise(marked.select(F.col(row).alias("node"), "doc_id", _sketch(text).alias("s")).select("node", "doc_id", "s.*"), "near-prints")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least")
-    classes = materialise(prints.groupBy("same").agg(least).select(F.col("least.node").alias("node"), "least"), "near-classes")
-    first = prints.join(classes.select("node"), "node", "left_semi")
-    keyed = materialise(first.select("node", F.explode("bands").alias("key")), "near-bands")
-    shared = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
-    buckets = shared.join(prints.select("node", F.col("agree").alias("value")), "node").select("key", "node", "value")
-    candidates = buckets.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_by_key(_sketches_roots), "a long, b long").distinct()
-    groups = connected_components(candidates, "near-candidates")
-    texts = groups.join(marked.select(F.col(row).alias("node"), text.alias("value")), "node").select(F.col("component").alias("key"), "node", "value")
-    found = texts.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_by_key(_texts_roots), "a long, b long")
-    member = classes.join(found.select(F.col("a").alias("node"), "b"), "node", "left").withColumn("component", F.coalesce("b", "node"))
-    keep = member.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.node").alias(row))
-    return marked.join(keep, row, "left_semi").select(*docs.columns)
+    with Scratch(docs.sparkSession, "near") as scratch:
+        prints = scratch.table(marked.select(F.col(row).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), _sketch(text).alias("s")).select("node", "doc_id", "s.*"), "prints")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least")
+        classes = scratch.table(prints.groupBy("same").agg(least).select(F.col("least.node").alias("node"), "least"), "classes")
+        first = prints.join(classes.select("node"), "node", "left_semi")
+        keyed = scratch.table(first.select("node", F.explode("bands").alias("key")), "bands")
+        shared = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
+        buckets = scratch.table(shared.join(prints.select("node", F.col("agree").alias("value")), "node").select("key", "node", "value"), "buckets")
+        candidates = scratch.table(group_links(buckets, SKETCHES, scratch, together).distinct(), "candidates")
+        groups = connected_components(candidates, "near-candidates")
+        texts = scratch.table(groups.join(marked.select(F.col(row).alias("node"), text.alias("value")), "node").select(F.col("component").alias("key"), "node", "value"), "texts")
+        found = connected_components(group_links(texts, TEXTS, scratch, together), "near-groups")
+        member = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        keep = materialise(member.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.node").alias(row)), "near-kept")
+    return marked.join(keep, row, "left_semi").select(*columns)

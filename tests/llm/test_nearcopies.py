@@ -6,7 +6,9 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from fundloom.llm import simhash  # noqa: E402
+from fundloom.llm import nearcopies, simhash  # noqa: E402
+from fundloom.llm.components import connected_components  # noqa: E402
+from fundloom.llm.shared import Scratch  # noqa: E402
 
 
 def shingles(text):
@@ -56,9 +58,33 @@ def test_stage_against_all_pairs(spark):
     far = sum(similar(shingles(a), shingles(b)) and (simhash.fingerprint_of(a.encode()) ^ simhash.fingerprint_of(b.encode())).bit_count() > 2 for i, a in rows[5:245] for j, b in rows[5:245] if i < j)
     assert far > 10  # SimHash at two bits misses these
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+    assert {r.doc_id for r in nearcopies.one_of_each_group(docs, together=3).collect()} == want
     assert corpus_pipeline.near_dedup(spark, docs.where("false"), "").count() == 0
 
 
 def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "q r s"), (None, "q r s")], "doc_id long, text string")
     assert sorted(r.text for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == ["a b c d e f", "q r s"]
+
+
+@pytest.mark.parametrize("leaders", [1, 3])
+def test_large_groups_with_several_clusters(spark, monkeypatch, leaders):
+    """A chain of clusters in one group: neighbours are alike, the least is like few."""
+    monkeypatch.setattr(nearcopies, "LEADERS", leaders)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for c in range(6):
+        for _ in range(12):
+            words = list(base)
+            words[: 18 * c] = [f"c{k}" for k in range(18 * c)]
+            for k in rng.sample(range(150, 400), 2):
+                words[k] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + i, " ".join(f"o{i}x{k}" for k in range(50))) for i in range(5)]
+    root = least_of_groups(rows)
+    members = spark.createDataFrame([(7, i, bytearray(t.encode())) for i, t in rows], "key long, node long, value binary")
+    with Scratch(spark, "test") as scratch:
+        links = nearcopies.group_links(members, nearcopies.TEXTS, scratch, together=10, chunk=8)
+        found = {r.node: r.component for r in connected_components(links).collect()}
+    assert {found.get(i, i) for i, _ in rows} == root
