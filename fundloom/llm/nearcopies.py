@@ -1,11 +1,13 @@
-"""Near copies by the Jaccard similarity of five-word shingles.
+"""SimHash near-duplicates of five-word shingles with a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash: 160 minima in 40 bands of 4. Two texts of
-similarity 0.8 share no band with a chance of 7e-10, less above it. Texts with
-the same shingles are one class from the start. In a bucket of one band, two
-texts stay candidates if 96 of the 160 minima agree in eight bits (a further
-chance of loss below 1e-8 at 0.8). The texts of candidates' groups are then
-compared by their whole sets of shingles, as 64-bit hashes.
+At that similarity 64-bit fingerprints differ in 9.7 bits on average, with a
+deviation of 2.9, and in more than ``RADIUS`` with a chance of 1e-6. Keys of
+shared blocks, as for two bits, can't be selective at such a radius (25 blocks
+of two or three bits). So buckets come from bands of minima instead: 160 minima
+in 40 bands of 4, of which two such texts share none with a chance of 7e-10.
+Inside a bucket fingerprints are compared bit-sliced within the radius. Texts
+with the same shingles are one class from the start. The texts of candidates'
+groups are then compared by their whole sets of shingles, as 64-bit hashes.
 
 Only what joins components is looked for. A group of up to ``TOGETHER`` members
 and ``TOGETHER_BYTES`` is compared in one task. In a larger one all members are
@@ -30,12 +32,14 @@ from pyspark.sql import types as T
 
 from fundloom.llm.components import connected_components
 from fundloom.llm.shared import Scratch, free_name, materialise
+from fundloom.llm.simhash import roots_in_buckets
 
 WORDS = 5
 #: Least similarity, as a fraction so that it is compared in whole numbers.
 LEAST = (4, 5)
 BANDS, ROWS = 40, 4
-AGREE = 96
+#: Bits in which fingerprints of candidates differ, at most.
+RADIUS = 24
 #: Members and bytes of a group that one task compares, and members of a chunk of larger groups.
 TOGETHER, TOGETHER_BYTES, CHUNK = 2000, 32 << 20, 1000
 #: Rounds in which a larger group is compared with one of its members.
@@ -78,6 +82,14 @@ def shingles_of(text: bytes | None, known: dict) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def fingerprint_of_hashes(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash of distinct shingles, as an array of one unsigned 64-bit number."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), 65_536):
+        counts += np.unpackbits(shingles[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(shingles), bitorder="little").view("<u8")
+
+
 def minima_of(shingles: np.ndarray) -> np.ndarray:
     out = np.full(len(_FACTORS), 2**64 - 1, np.uint64)
     for at in range(0, len(shingles), 2048):
@@ -85,17 +97,17 @@ def minima_of(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.StructType([T.StructField("same", T.BinaryType()), T.StructField("agree", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+@F.pandas_udf(T.StructType([T.StructField("same", T.BinaryType()), T.StructField("print", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 def _sketch(texts: pd.Series) -> pd.DataFrame:
-    known, same, agree, bands = _Words(), [], [], []
+    known, same, prints, bands = _Words(), [], [], []
     for text in texts:
         s = shingles_of(text, known)
         same.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
         m = minima_of(s)
-        agree.append((m >> np.uint64(32)).astype(np.uint8).tobytes())
+        prints.append(fingerprint_of_hashes(s).tobytes())
         keys = _mixed((m.reshape(BANDS, ROWS) * _BAND_FACTORS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
         bands.append(keys.view(np.int64) if len(s) else np.zeros(0, np.int64))
-    return pd.DataFrame({"same": same, "agree": agree, "bands": bands})
+    return pd.DataFrame({"same": same, "print": prints, "bands": bands})
 
 
 def _groups(n: int, partners: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -110,10 +122,6 @@ def _groups(n: int, partners: Callable[[int, np.ndarray], np.ndarray]) -> np.nda
     return root
 
 
-def _agreeing(agree: np.ndarray) -> np.ndarray:
-    return _groups(len(agree), lambda i, js: js[(agree[js] == agree[i]).sum(axis=1) >= AGREE])
-
-
 def similar_groups(sets: list[np.ndarray]) -> np.ndarray:
     """For sorted distinct hashes of each text, the least index of its component of pairs of similarity 0.8 or more."""
     sizes = np.array([len(s) for s in sets])
@@ -157,16 +165,13 @@ def _by_key(roots: Callable[[list], np.ndarray]):
     return run
 
 
-def _sketches(values: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
-
-
-def _sketches_roots(values: list) -> np.ndarray:
-    return _agreeing(_sketches(values))
+def _prints_roots(values: list) -> np.ndarray:
+    fps = np.frombuffer(b"".join(values), "<u8")
+    return roots_in_buckets(np.zeros(len(fps), np.int64), fps, RADIUS)
 
 
-def _sketches_alike(one: np.ndarray, other: np.ndarray) -> bool:
-    return int((one == other).sum()) >= AGREE
+def _prints_alike(one: np.ndarray, other: np.ndarray) -> bool:
+    return int(one[0] ^ other[0]).bit_count() <= RADIUS
 
 
 def _texts_roots(values: list) -> np.ndarray:
@@ -190,7 +195,7 @@ class Likeness:
     alike: Callable[[np.ndarray, np.ndarray], bool]
 
 
-SKETCHES = Likeness(_sketches_roots, lambda value, _: np.frombuffer(value, np.uint8), _sketches_alike)
+PRINTS = Likeness(_prints_roots, lambda value, _: np.frombuffer(value, "<u8"), _prints_alike)
 TEXTS = Likeness(_texts_roots, shingles_of, _texts_alike)
 
 
@@ -271,8 +276,8 @@ def one_of_each_group(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
         first = prints.join(classes.select("node"), "node", "left_semi")
         keyed = scratch.table(first.select("node", F.explode("bands").alias("key")), "bands")
         shared = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
-        buckets = scratch.table(shared.join(prints.select("node", F.col("agree").alias("value")), "node").select("key", "node", "value"), "buckets")
-        candidates = scratch.table(group_links(buckets, SKETCHES, scratch, together).distinct(), "candidates")
+        buckets = scratch.table(shared.join(prints.select("node", F.col("print").alias("value")), "node").select("key", "node", "value"), "buckets")
+        candidates = scratch.table(group_links(buckets, PRINTS, scratch, together).distinct(), "candidates")
         groups = connected_components(candidates, "near-candidates")
         texts = scratch.table(groups.join(marked.select(F.col(row).alias("node"), text.alias("value")), "node").select(F.col("component").alias("key"), "node", "value"), "texts")
         found = connected_components(group_links(texts, TEXTS, scratch, together), "near-groups")

@@ -92,11 +92,24 @@ def _keys(level: int) -> Column:
     return F.array(*out)
 
 
+def _beyond(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose count, in bits from the lowest counter up, is above the radius."""
+    more, same = over, np.full_like(over, FULL)
+    for k in reversed(range(len(counters))):
+        if radius >> k & 1:
+            same = same & counters[k]
+        else:
+            more = more | same & counters[k]
+            same = same & ~counters[k]
+    return more
+
+
 def within_radius(fps: np.ndarray, query: np.ndarray, word: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each (query, word) a mask of the word's lanes that differ in at most ``radius`` bits.
 
-    ``query`` indexes ``fps``; word w holds fps[64 w : 64 w + 64]. Counters of
-    ones and twos and a sticky overflow are updated from each bit plane.
+    ``query`` indexes ``fps``; word w holds fps[64 w : 64 w + 64]. Bitwise
+    counters, as many as the radius has bits, and a sticky overflow are updated
+    from each bit plane.
     """
     lanes = -(-len(fps) // LANES) * LANES
     padded = np.zeros(lanes, np.uint64)
@@ -106,20 +119,19 @@ def within_radius(fps: np.ndarray, query: np.ndarray, word: np.ndarray, radius:
     out = np.zeros(len(query), np.uint64)
     alive = np.arange(len(query))
     q, w = fps[query], word
-    ones, twos, over = (np.zeros(len(query), np.uint64) for _ in range(3))
+    counters = [np.zeros(len(query), np.uint64) for _ in range(max(1, radius.bit_length()))]
+    over = np.zeros(len(query), np.uint64)
     for p in range(64):
-        flip = np.where((q >> np.uint64(p)) & np.uint64(1), FULL, np.uint64(0))
-        differs = planes[p][w] ^ flip
-        carry = ones & differs
-        ones ^= differs
-        over |= twos & carry
-        twos ^= carry
-        if p % 8 == 7:
-            beyond = over | {0: ones | twos, 1: twos, 2: ones & twos, 3: np.uint64(0)}[radius]
-            keep = beyond != FULL
+        carry = planes[p][w] ^ np.where((q >> np.uint64(p)) & np.uint64(1), FULL, np.uint64(0))
+        for k, c in enumerate(counters):
+            counters[k], carry = c ^ carry, c & carry
+        over = over | carry
+        if p % 8 == 7 and p > radius:
+            keep = _beyond(counters, over, radius) != FULL
             if not keep.all():
-                alive, q, w, ones, twos, over = alive[keep], q[keep], w[keep], ones[keep], twos[keep], over[keep]
-    out[alive] = ~(over | {0: ones | twos, 1: twos, 2: ones & twos, 3: np.uint64(0)}[radius])
+                alive, q, w, over = alive[keep], q[keep], w[keep], over[keep]
+                counters = [c[keep] for c in counters]
+    out[alive] = ~_beyond(counters, over, radius)
     return out
 
 
@@ -129,9 +141,16 @@ def links_in_buckets(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS)
     Groups are the components within a bucket, so a bucket gives fewer links
     than it has fingerprints.
     """
+    root = roots_in_buckets(bucket, fps, radius)
+    linked = np.flatnonzero(root != np.arange(len(fps)))
+    return fps[linked], fps[root[linked]]
+
+
+def roots_in_buckets(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each fingerprint the least index of its component of links inside its bucket."""
     n = len(fps)
     if n < 2:
-        return fps[:0], fps[:0]
+        return np.arange(n)
     edge = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
     start = np.zeros(n, np.int64)
     start[edge] = edge
@@ -157,8 +176,7 @@ def links_in_buckets(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS)
                 good = (b < a) & (b >= start[a])
                 _unite(root, a[good], b[good])
         at = to
-    linked = np.flatnonzero(root != np.arange(n))
-    return fps[linked], fps[root[linked]]
+    return root
 
 
 def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:

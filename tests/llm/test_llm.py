@@ -145,6 +145,18 @@ def test_near_links_against_all_pairs(spark, bucket):
     assert all(got.get(f, f) == root(f) for f in fps)
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 7, 24, 31])
+def test_bit_sliced_comparison_at_any_radius(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 2**63, 4, dtype=np.uint64)
+    fps = np.array([int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 34), replace=False)) for b in base for _ in range(45)], np.uint64)
+    query = np.repeat(np.arange(len(fps)), 3)
+    mask = simhash.within_radius(fps, query, np.tile(np.arange(3), len(fps)), radius).reshape(-1, 3)
+    for i, a in enumerate(fps):
+        for j, b in enumerate(fps):
+            assert bool(int(mask[i, j // 64]) >> (j % 64) & 1) == ((int(a) ^ int(b)).bit_count() <= radius)
+
+
 def test_near_duplicates_of_awkward_rows(docs, empty):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == docs.count() and {r.component_id for r in got if r.doc_id in (0, 1, 2)} == {0}
