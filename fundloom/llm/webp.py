@@ -257,10 +257,53 @@ def _read_pixels_header(r: BitReader, width: int, height: int, main: bool) -> Pi
 
 def _sub_image(r: BitReader, width: int, height: int) -> np.ndarray:
     p = _read_pixels_header(r, width, height, False)
-    (out,), (r.pos,) = decode_pixels([p])
+    out, r.pos = _decode_one(p)
     return out
 
 
+def _decode_one(p: Pixels) -> tuple[np.ndarray, int]:
+    """ARGB pixels of one small image in one group of codes, and the bit after its last; a plain loop, as arrays don't pay for one image."""
+    tables = [(c.table.tolist(), (1 << c.bits) - 1) for c in p.groups[0]]
+    r, n, out = BitReader(p.data, p.pos), p.width * p.height, []
+    cache, shift = [0] * (1 << p.cache_bits), 32 - p.cache_bits
+
+    def symbol(k: int) -> int:
+        table, mask = tables[k]
+        if not mask:
+            return table[0] & 0xFFFF
+        entry = table[_peek(r, 16) & mask]
+        r.pos += entry >> 16
+        return entry & 0xFFFF
+
+    def value(code: int) -> int:
+        if code < 4:
+            return code + 1
+        extra = (code - 2) >> 1
+        return ((2 + (code & 1)) << extra) + r.read(extra) + 1
+
+    while len(out) < n:
+        s, start = symbol(0), len(out)
+        if s < 256:
+            red, blue, alpha = symbol(1), symbol(2), symbol(3)
+            out.append(alpha << 24 | red << 16 | s << 8 | blue)
+        elif s >= 256 + LENGTH_CODES:
+            out.append(cache[s - 256 - LENGTH_CODES])
+        else:
+            length, code = value(s - 256), value(symbol(4))
+            x, y = NEAR[min(code, len(NEAR)) - 1]
+            back = code - len(NEAR) if code > len(NEAR) else max(1, x + y * p.width)
+            if back > len(out) or len(out) + length > n:
+                raise ValueError("a back-reference leaves the image")
+            for _ in range(length):
+                out.append(out[-back])
+        if r.pos > 8 * len(p.data):
+            raise ValueError("the image ends too early")
+        if p.cache_bits:
+            for pixel in out[start:]:
+                cache[(pixel * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = pixel
+    return np.array(out, np.uint32), r.pos
+
+
 def parse(data: bytes) -> Parsed:
     """Header, transforms and prefix codes of a VP8L stream."""
     r = BitReader(data)

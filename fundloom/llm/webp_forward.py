@@ -20,6 +20,9 @@ CODES = 500
 #: Columns and rows of a predictor block, and of a cross-colour block, as powers of two.
 PREDICTOR_BITS, CROSS_BITS = 4, 6
 LEAST_RUN = 5
+#: Bytes of an image in static codes from which other forms are tried, and rows that tell whether one is worth it.
+LEAST_BYTES, SAMPLE_ROWS = 900, 16
+_PLANES = 256 * np.arange(3)[:, None]
 
 
 def _entropy(values: np.ndarray) -> float:
@@ -129,50 +132,58 @@ def write_pixels(w: BitWriter, argb: np.ndarray, main: bool) -> None:
         w.write(0, 1)
     start = np.flatnonzero(np.concatenate([[True], argb[1:] != argb[:-1]]))
     run = np.diff(np.concatenate([start, [len(argb)]]))
-    symbols: list[tuple] = []  # (green or length symbol, red, blue, alpha) or (symbol, extra, bits of extra)
-    for s, k in zip(start.tolist(), run.tolist(), strict=True):
-        p = int(argb[s])
-        literal = (p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24)
-        if k <= LEAST_RUN:
-            symbols += [literal] * k
-            continue
-        symbols.append(literal)
-        left = k - 1
-        while left:
-            part = min(left, 4096)
+    long = run > LEAST_RUN
+    literal = np.ones(len(argb), bool)
+    copies: list[tuple[int, int, int, int]] = []  # (place, symbol of the length, extra, bits of it)
+    for s, k in zip(start[long].tolist(), run[long].tolist(), strict=True):
+        literal[s + 1 : s + k] = False
+        at = s + 1
+        while at < s + k:
+            part = min(s + k - at, 4096)
             v = part - 1
             if v < 4:
-                symbols.append((256 + v, 0, 0))
+                copies.append((at, 256 + v, 0, 0))
             else:
                 high = v.bit_length() - 1
-                symbols.append((256 + 2 * high + (v >> (high - 1) & 1), v & ((1 << (high - 1)) - 1), high - 1))
-            left -= part
-    sizes = (256 + LENGTH_CODES, 256, 256, 256, DISTANCE_CODES)
-    counts = [[0] * n for n in sizes]
-    for s in symbols:
-        counts[0][s[0]] += 1
-        if len(s) == 4:
-            for k in (1, 2, 3):
-                counts[k][s[k]] += 1
-        else:
-            counts[4][1] += 1  # the pixel to the left
+                copies.append((at, 256 + 2 * high + (v >> (high - 1) & 1), v & ((1 << (high - 1)) - 1), high - 1))
+            at += part
+    places = np.flatnonzero(literal)
+    pixel = argb[places]
+    channels = [(pixel >> np.uint32(shift) & np.uint32(255)).astype(np.int64) for shift in (8, 16, 0, 24)]
+    where, symbol, extra, bits = (np.array(c, np.int64) for c in (zip(*copies, strict=True) if copies else [[]] * 4))
+    counts = [np.bincount(c, minlength=n) for c, n in zip(channels, (256 + LENGTH_CODES, 256, 256, 256), strict=True)]
+    counts[0] += np.bincount(symbol, minlength=256 + LENGTH_CODES)
+    counts.append(np.bincount(np.ones(len(copies), np.int64), minlength=DISTANCE_CODES))  # the pixel to the left
     codes = []
     for c in counts:
-        if not any(c):
-            c[0] = 1
-        if sum(x > 0 for x in c) == 1 and max(i for i, x in enumerate(c) if x) > 255:
-            c[0] = 1
-        lengths = code_lengths(c)
+        if not c.any() or (np.count_nonzero(c) == 1 and c[256:].any()):
+            c[0] = max(1, int(c[0]))
+        lengths = code_lengths(c.tolist())
         write_code(w, lengths)
-        codes.append(canonical(lengths) if sum(n > 0 for n in lengths) > 1 else dict.fromkeys(range(len(c)), (0, 0)))
-    for s in symbols:
-        w.write(*codes[0][s[0]])
-        if len(s) == 4:
-            for k in (1, 2, 3):
-                w.write(*codes[k][s[k]])
-        else:
-            w.write(s[1], s[2])
-            w.write(*codes[4][1])
+        known = canonical(lengths) if sum(n > 0 for n in lengths) > 1 else {}
+        codes.append(tuple(np.array([known.get(s, (0, 0))[k] for s in range(len(c))], np.uint64) for k in (0, 1)))
+    value, size = np.zeros(len(places), np.uint64), np.zeros(len(places), np.uint64)
+    for c, (code, length) in zip(channels, codes, strict=False):
+        value |= code[c] << size
+        size += length[c]
+    (g_code, g_length), (d_code, d_length) = codes[0], codes[4]
+    copy_value = g_code[symbol] | extra.astype(np.uint64) << g_length[symbol] | d_code[1] << (g_length[symbol] + bits.astype(np.uint64))
+    copy_size = g_length[symbol] + bits.astype(np.uint64) + d_length[1]
+    order = np.argsort(np.concatenate([places, where]), kind="stable")
+    w.write(*_joined(np.concatenate([value, copy_value])[order], np.concatenate([size, copy_size])[order]))
+
+
+def _joined(value: np.ndarray, size: np.ndarray) -> tuple[int, int]:
+    """Values of up to 64 bits, one after the other from the lowest bit, as one number, and its bits."""
+    at = np.concatenate([np.zeros(1, np.uint64), np.cumsum(size, dtype=np.uint64)])
+    out = np.zeros((int(at[-1]) >> 6) + 2, np.uint64)
+    word, shift = (at[:-1] >> np.uint64(6)).astype(np.int64), at[:-1] & np.uint64(63)
+    if len(word):
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        out[word[first]] |= np.bitwise_or.reduceat(value << shift, first)
+        high = np.where(shift > 0, value >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        out[word[first] + 1] |= np.bitwise_or.reduceat(high, first)
+    return int.from_bytes(out.tobytes(), "little"), int(at[-1])
 
 
 def write_stream(bgra: np.ndarray, width: int, transforms: tuple[str, ...]) -> bytes:
@@ -226,11 +237,49 @@ def best_transforms(bgra: np.ndarray, width: int) -> tuple[tuple[str, ...], floa
     return names, bits
 
 
+def _promising(bgra: np.ndarray, width: int, limit: float) -> bool:
+    """Whether the first rows look as if some form took fewer than ``limit`` bits for the image; this costs little."""
+    n = len(bgra)
+    sample = bgra[: SAMPLE_ROWS * width]
+    m = len(sample)
+    share = n / m
+    argb = _argb(sample)
+    ordered = np.sort(argb)
+    colours = 1 + int(np.count_nonzero(ordered[1:] != ordered[:-1]))
+    if colours <= 256 and colours * 22 + CODES < limit:
+        counts = np.diff(np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])))
+        if float((counts * np.log2(m / counts)).sum()) * share + 22 * colours + CODES < limit:
+            return True
+    channels = sample[:, :3].T.astype(np.int16)
+    left = channels[:, 1:] - channels[:, :-1]
+    top = channels[:, width:] - channels[:, :-width]
+    green = channels - channels[1]
+    # Each difference of channels in a range of its own, so one count serves all.
+    for rest, codes in ((left, 2), (top, 2), (green, 2)):
+        k = rest.shape[1]
+        if k:
+            counts = np.bincount((rest.astype(np.uint8).astype(np.int64) + _PLANES).ravel(), minlength=768)
+            counts = counts[counts > 0]
+            if float((counts * np.log2(k / counts)).sum()) * n / k + codes * CODES < limit:
+                return True
+    return False
+
+
 def smaller_stream(rgb: np.ndarray, width: int, plain: bytes) -> bytes:
-    """``plain``, or the stream through the best transforms where that is smaller."""
-    bgra = np.concatenate([rgb[:, ::-1], np.full((len(rgb), 1), 255, np.uint8)], axis=1)
+    """``plain``, or the stream through the best transforms where that is smaller.
+
+    Small images keep their static codes: what they could save is less than
+    reading codes of their own costs.
+    """
+    limit = WORTH * 8 * len(plain)
+    if len(plain) < LEAST_BYTES:
+        return plain
+    bgra = np.empty((len(rgb), 4), np.uint8)
+    bgra[:, :3], bgra[:, 3] = rgb[:, ::-1], 255
+    if not _promising(bgra, width, limit):
+        return plain
     names, bits = best_transforms(bgra, width)
-    if bits >= WORTH * 8 * len(plain):
+    if bits >= limit:
         return plain
     other = write_stream(bgra, width, names)
     return other if len(other) < len(plain) else plain
