@@ -10,8 +10,19 @@ REQUEST_WORDS = tuple("say said says tell show give explain describe mention men
 STOP_WORDS = tuple("a an and are as at be by for from has in is it of on or that the this to was were what which will with".split())
 #: Fixed value: text that tries to instruct the reader.
 INJECTION = r"(?i)(ignore|disregard|forget)\s+(all\s+|any\s+|the\s+)?(previous|prior|above|earlier)\s+(instructions|prompts|rules)|system\s+prompt|you\s+are\s+now|reveal\s+(your|the)\s+(instructions|prompt|secrets?|api\s*keys?)|api[_\s-]?key|password"
-#: Words by which a question leans on the one before.
-ANAPHORA = r"(?i)\b(it|its|they|them|their|that|this|those|these|he|she|same|instead)\b"
+#: How a question leans on the one before, names a period, or asks for the latest one.
+FOLLOW_UP_START = r"(?i)^(and|also|what about|how about|and what|then|why|so)\b"
+ANAPHORA = r"(?i)\b(it|its|it's|this|that|these|those|they|them|their|the fund|the scheme|this fund|that fund|same fund|the document|the factsheet|the report)\b"
+PERIOD = r"(?i)\b(19|20)\d{2}\b|\b(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\b|\bfy\s?\d{2}"
+LATEST = r"(?i)\b(latest|current|currently|now|recent|most recent|today)\b"
+FOLLOW_UP_WORDS, QUERY_CHARS = 14, 1000
+#: Marks of sources (S) and calculations (T), alone or grouped, and numbers.
+MARK = r"[ST]\d{1,3}"
+MARKS = r"\[[ST]\d{1,3}(?:\s*[,;]\s*[ST]\d{1,3})*\]"
+NUMBER = r"(?<![\w.])[-+]?\d[\d,]*(?:\.\d+)?%?"
+#: Integers up to this size, and years, are no figures that need a source.
+SMALL, FIRST_YEAR, LAST_YEAR = 12, 1900, 2100
+CONTROL = r"[\x00-\x08\x0b-\x1f\x7f]"
 
 
 def lexemes(text: Column, drop: tuple[str, ...] = STOP_WORDS) -> Column:
@@ -46,34 +57,109 @@ def shingles(text: Column, n: int = 5) -> Column:
     return _with(words, runs)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
+def numbers(text: Column) -> Column:
+    """Numbers of a text as (raw, value, digits after the point); single marks such as [S1] are no numbers."""
+    found = F.regexp_extract_all(F.regexp_replace(text, r"\[[ST]\d{1,3}\]", " "), F.lit(NUMBER), F.lit(0))
 
+    def read(raw: Column) -> Column:
+        plain = F.regexp_replace(raw, r"[,%]", "")
+        return F.struct(raw.alias("raw"), plain.try_cast("double").alias("value"), F.length(F.regexp_extract(plain, r"\.(\d+)$", 1)).alias("digits"))
 
-def numbers(text: Column) -> Column:
-    """Numbers of a text as (value, digits after the point)."""
-    found = F.regexp_extract_all(text, F.lit(r"\d[\d,]*(?:\.\d+)?"), F.lit(0))
-    plain = F.transform(found, lambda s: F.regexp_replace(s, ",", ""))
-    return F.transform(plain, lambda s: F.struct(s.try_cast("double").alias("value"), F.length(F.regexp_extract(s, r"\.(\d+)$", 1)).alias("digits")))
+    return F.filter(F.transform(found, read), lambda x: x["value"].isNotNull())
 
 
 def ungrounded(claimed: Column, pool: Column) -> Column:
-    """Values of ``claimed`` that no number of ``pool`` matches to the digits given; small integers and years are left out."""
-    whole = lambda x: (x["digits"] == 0) & ((x["value"] <= 12) | x["value"].between(1900, 2100))
+    """Numbers of ``claimed``, as they stand there, that no number of ``pool`` rounds to at the digits given.
+
+    Sorted, once each; small integers and years are left out.
+    """
+    whole = lambda x: (x["digits"] == 0) & ((F.abs(x["value"]) <= SMALL) | x["value"].between(FIRST_YEAR, LAST_YEAR))
     close = lambda x, y: F.abs(x["value"] - y["value"]) <= 0.5 * F.pow(F.lit(10.0), -x["digits"]) + 1e-9
-    return F.transform(F.filter(claimed, lambda x: ~whole(x) & ~F.exists(pool, lambda y: close(x, y))), lambda x: x["value"])
+    missing = F.filter(claimed, lambda x: ~whole(x) & ~F.exists(pool, lambda y: close(x, y)))
+    return F.array_sort(F.array_distinct(F.transform(missing, lambda x: x["raw"])))
+
+
+def marks(text: Column) -> Column:
+    """The citation marks of a text, such as S1 of [S1] and S1, T2 of [S1, T2], in order, with repeats."""
+    groups = F.regexp_extract_all(text, F.lit(MARKS), F.lit(0))
+    return F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(MARK), F.lit(0))))
+
+
+def checked_citations(text: Column, sources: Column, calculations: Column) -> Column:
+    """(text, used_sources, used_calculations, invalid_markers) of an answer against the marks that exist.
+
+    Groups become single marks; those that don't exist are cut out, and the
+    spaces left behind are closed. ``sources`` and ``calculations`` are arrays
+    such as ["S1", "S2"].
+    """
+    groups = F.array_distinct(F.regexp_extract_all(text, F.lit(MARKS), F.lit(0)))
+    apart = lambda g: F.concat(F.lit("["), F.array_join(F.regexp_extract_all(g, F.lit(MARK), F.lit(0)), "]["), F.lit("]"))
+    single = F.aggregate(groups, text, lambda t, g: F.replace(t, g, apart(g)))
+
+    def check(found: Column) -> Column:
+        exists = lambda m: F.array_contains(F.when(m.startswith("S"), sources).otherwise(calculations), m)
+        bad = F.filter(found, lambda m: ~exists(m))
+        cut = F.aggregate(F.array_distinct(bad), single, lambda t, m: F.replace(t, F.concat(F.lit("["), m, F.lit("]")), F.lit("")))
+        used = lambda letter: F.array_distinct(F.filter(found, lambda m: exists(m) & m.startswith(letter)))
+        return F.struct(F.trim(F.regexp_replace(cut, r"[ \t]{2,}", " ")).alias("text"), used("S").alias("used_sources"), used("T").alias("used_calculations"), bad.alias("invalid_markers"))
+
+    return _with(marks(text), check)
+
+
+def normalised_question(text: Column) -> Column:
+    """Control characters as spaces, runs of white space as one, at most ``QUERY_CHARS`` characters; nothing else is changed."""
+    return F.substr(F.trim(F.regexp_replace(F.regexp_replace(text, CONTROL, " "), r"\s+", " ")), F.lit(1), F.lit(QUERY_CHARS))
+
+
+def looks_like_follow_up(question: Column) -> Column:
+    """Whether a question of up to 14 words begins like a follow-up or refers back."""
+    words = F.size(F.filter(F.split(question, r"\s+"), lambda w: w != ""))
+    return (words <= FOLLOW_UP_WORDS) & (question.rlike(FOLLOW_UP_START) | question.rlike(ANAPHORA))
+
+
+def processed_question(question: Column, before: Column) -> Column:
+    """(original, retrieval_text, is_follow_up, mentions_period, wants_latest); a follow-up is searched with the question before it."""
+
+    def process(clean: Column) -> Column:
+        follows = F.coalesce(before.isNotNull() & looks_like_follow_up(clean), F.lit(False))
+        text = F.when(follows, F.concat_ws(" ", normalised_question(before), clean)).otherwise(clean)
+        return F.struct(clean.alias("original"), F.substr(text, F.lit(1), F.lit(2 * QUERY_CHARS)).alias("retrieval_text"), follows.alias("is_follow_up"), clean.rlike(PERIOD).alias("mentions_period"), clean.rlike(LATEST).alias("wants_latest"))
+
+    return _with(normalised_question(question), process)
+
+
+def clean_text(text: Column) -> Column:
+    """Without soft hyphens, control characters as spaces, runs of blanks (also no-break spaces) as one."""
+    plain = F.regexp_replace(F.replace(text, F.lit("\u00ad"), F.lit("")), CONTROL, " ")
+    return F.regexp_replace(F.regexp_replace(plain, "[ \t\u00a0]+", " "), r"^\s+|\s+$", "")
+
+
+def joined_lines(text: Column) -> Column:
+    """The lines of a text as one; a hyphen before a lower-case letter joins two without a space."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+    def add(held: Column, line: Column) -> Column:
+        compound = held.endswith("-") & line.rlike(r"^\p{Ll}")
+        return F.when(held == "", line).when(compound, F.concat(held, line)).otherwise(F.concat(held, F.lit(" "), line))
+
+    return clean_text(F.aggregate(lines, F.lit(""), add))
+
+
+def display_name(filename: Column) -> Column:
+    """A file's name without its path and control characters, at most 255 characters; "document" where nothing is left."""
+    name = F.regexp_extract(F.replace(filename, F.lit("\\"), F.lit("/")), r"([^/]*)$", 1)
+    plain = F.trim(F.regexp_replace(name, r"[\x00-\x1f\x7f]", ""))
+    return F.substr(F.coalesce(F.nullif(plain, F.lit("")), F.lit("document")), F.lit(1), F.lit(255))
 
 
-def markers(text: Column) -> Column:
-    """The numbers in citation marks such as [2] or [1, 3], in order and once each."""
-    groups = F.regexp_extract_all(text, F.lit(r"\[(\d+(?:\s*,\s*\d+)*)\]"), F.lit(1))
-    return F.array_distinct(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*,\s*"))), lambda s: s.cast("int")))
+def folded(text: Column) -> Column:
+    """Lower case with runs of white space as one space, as snippets are looked for."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def is_follow_up(question: Column, before: Column) -> Column:
-    """Whether a question with one before it is short or leans on it."""
-    short = F.size(F.filter(F.split(question, r"\s+"), lambda w: w != "")) <= 4
-    return before.isNotNull() & (short | question.rlike(ANAPHORA))
+def scrubbed(text: Column, secrets: Column) -> Column:
+    """A text with every string of the array ``secrets`` replaced by [REDACTED]."""
+    return F.aggregate(F.filter(secrets, lambda s: s != ""), text, lambda t, s: F.replace(t, s, F.lit("[REDACTED]")))
 
 
 def phrases(text: Column, most: int = 3) -> Column:

@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundloom.conventions import require
-from fundloom.functions.text import lexemes, sentences, shingles
+from fundloom.functions.text import REQUEST_WORDS, STOP_WORDS, folded, lexemes, sentences, shingles
 
-#: Questions' vectors that a task compares with at once, and bytes of them that are broadcast.
-QUERY_BLOCK = 4096
+#: Questions' vectors, and passages' vectors, that a task compares at once.
+QUERY_BLOCK, VECTOR_CHUNK = 4096, 20_000
+#: Questions whose lexemes a task holds at once.
+QUESTION_BLOCK = 2000
 #: Fusion, boosts and thresholds of evidence.
-FUSION_K, NAMED_BOOST, LATEST_BOOST = 60, 1.15, 1.05
+VECTOR_WEIGHT, LEXICAL_WEIGHT = 0.3, 1.0
+FUSION_K, NAMED_BOOST, LATEST_BOOST, ASKED_LATEST_BOOST = 60, 1.15, 1.05, 1.25
 ANSWER_COVERAGE, ANSWER_SIMILARITY = 0.5, 0.6
 INCLUDE_COVERAGE, INCLUDE_RATIO, INCLUDE_MARGIN = 0.3, 0.6, 0.08
 #: Words of an excerpt, and shares of the best score or coverage that prose and tables must reach.
@@ -32,14 +35,25 @@ def readable(documents: DataFrame, user: Column) -> Column:
     return (documents["status"] == "indexed") & ((documents["visibility"] == "shared") | (documents["owner_id"] == user))
 
 
+def rights(documents: DataFrame, user: Column, admin: Column) -> DataFrame:
+    """``can_read`` (the user's own, or shared) and ``can_manage`` (the user's own, or an admin's where nobody owns it)."""
+    own = F.coalesce(documents["owner_id"] == user, F.lit(False))
+    return documents.withColumn("can_read", own | (documents["visibility"] == "shared")).withColumn("can_manage", own | (documents["owner_id"].isNull() & admin))
+
+
 def document_frequencies(passages: DataFrame) -> DataFrame:
     """(lexeme, df): passages that hold a lexeme, summed before the shuffle."""
     return passages.select(F.explode(lexemes(F.col("content"))).alias("lexeme")).groupBy("lexeme").agg(F.count("*").alias("df"))
 
 
+def question_lexemes(question: Column, most: int = 40) -> Column:
+    """A question's lexemes without common words and words of the request itself."""
+    return F.slice(lexemes(question, STOP_WORDS + REQUEST_WORDS), 1, most)
+
+
 def weighted_questions(questions: DataFrame, passages: DataFrame, most: int = 40) -> DataFrame:
     """(query_id, lexeme, idf, total): the questions' lexemes with idf = ln((N + 1) / (df + 1)) + 1."""
-    asked = questions.select("query_id", F.explode(F.slice(lexemes(F.col("question")), 1, most)).alias("lexeme"))
+    asked = questions.select("query_id", F.explode(question_lexemes(F.col("question"), most)).alias("lexeme"))
     wanted = asked.select("lexeme").distinct()
     # Only lexemes that are asked for are counted.
     found = passages.select(F.explode(lexemes(F.col("content"))).alias("lexeme")).join(wanted, "lexeme", "left_semi")
@@ -56,64 +70,112 @@ def ranked(rows: DataFrame, by: str, name: str, most: int | None = None) -> Data
     return out.where(F.col(name) <= most) if most else out
 
 
-def lexical_search(questions: DataFrame, passages: DataFrame, most: int = 30) -> DataFrame:
-    """(query_id, passage_id, coverage, matched, lexical_rank): passages by the idf share of a question's lexemes they hold."""
-    asked = weighted_questions(questions, passages)
-    postings = passages.select("passage_id", F.explode(lexemes(F.col("content"))).alias("lexeme"))
-    hits = postings.join(asked, "lexeme").groupBy("query_id", "passage_id").agg(F.round(F.sum("idf") / F.max("total"), 6).alias("coverage"), F.count("*").alias("matched"))
-    return ranked(hits, "coverage", "lexical_rank", most)
-
-
-def _top_of_batch(queries: np.ndarray, ids: np.ndarray, most: int):
-    norms = np.linalg.norm(queries, axis=1)
-    require(bool((norms > 0).all()), "a question's vector is zero")
-    unit = queries / norms[:, None]
+def _best_of_batches(asked: pa.Table, most: int):
+    """Over batches (passage_id, lexemes): for each question the passages of a batch that may be among its ``most`` best."""
+    queries, row = np.unique(asked.column("query_id").to_numpy(), return_inverse=True)
+    total = np.zeros(len(queries))
+    total[row] = asked.column("total").to_numpy()
+    by_lexeme: dict[str, list[tuple[int, float]]] = {}
+    for lexeme, q, w in zip(asked.column("lexeme").to_pylist(), row.tolist(), asked.column("idf").to_pylist(), strict=True):
+        by_lexeme.setdefault(lexeme, []).append((q, w))
+    numbers = {lexeme: k for k, lexeme in enumerate(by_lexeme)}
+    start = np.cumsum([0, *(len(v) for v in by_lexeme.values())])
+    of = np.array([q for v in by_lexeme.values() for q, _ in v], np.int64)
+    weight = np.array([w for v in by_lexeme.values() for _, w in v])
+    names = ["query_id", "passage_id", "coverage", "matched"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("embedding")
-            if not batch.num_rows:
-                continue
-            x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, -1)
-            size = np.linalg.norm(x, axis=1)
-            sims = np.where(size > 0, unit @ x.T / np.where(size > 0, size, 1), -2.0)
-            key = batch.column("vec_id").to_numpy()
-            k = min(most, batch.num_rows)
-            edge = np.partition(sims, batch.num_rows - k, axis=1)[:, batch.num_rows - k]
-            q, r = np.nonzero((sims >= edge[:, None] - 1e-9) & (sims > -2))  # ties go on to the ranking
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(key[r]), pa.array(sims[q, r])], names=["query_id", "passage_id", "similarity"])
+            words = batch.column("lexemes")
+            flat = words.flatten().dictionary_encode()
+            known = np.array([numbers.get(w, -1) for w in flat.dictionary.to_pylist()], np.int64)
+            found = known[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
+            passage = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
+            passage, found = passage[found >= 0], found[found >= 0]
+            each = start[found + 1] - start[found]
+            at = np.repeat(start[found] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            pair = of[at] * batch.num_rows + np.repeat(passage, each)
+            pairs, where = np.unique(pair, return_inverse=True)
+            coverage = np.round(np.bincount(where, weight[at], len(pairs)) / total[pairs // batch.num_rows], 6) if len(pairs) else np.zeros(0)
+            matched = np.bincount(where, minlength=len(pairs))
+            ids = batch.column("passage_id").to_numpy()[pairs % batch.num_rows]
+            q = pairs // batch.num_rows
+            order = np.lexsort((ids, -coverage, q))
+            q, ids, coverage, matched = q[order], ids[order], coverage[order], matched[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            keep = rank < most
+            yield pa.RecordBatch.from_arrays([pa.array(queries[q[keep]]), pa.array(ids[keep]), pa.array(coverage[keep]), pa.array(matched[keep].astype(np.int64))], names=names)
 
     return run
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, most: int = 30, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, passage_id, similarity, vector_rank): exact cosine neighbours of ``queries(vec_id, embedding)``.
+def lexical_search(questions: DataFrame, passages: DataFrame, most: int = 30, block: int = QUESTION_BLOCK) -> DataFrame:
+    """(query_id, passage_id, coverage, matched, lexical_rank): passages by the idf share of a question's lexemes they hold.
 
-    The stated queries are compared in blocks of at most ``block`` with all
-    vectors where these lie; each batch sends on its nearest ones only.
+    The stated questions are taken in blocks of at most ``block``, whose
+    lexemes (40 each) go to the tasks that read the passages; a batch of
+    passages sends on its best ones for each question only, so rows that are
+    shuffled don't grow with all pairs that share a lexeme.
     """
+    asked = weighted_questions(questions, passages)
+    rows = passages.select("passage_id", lexemes(F.col("content")).alias("lexemes")).where("lexemes IS NOT NULL")
+    blocks = max(1, -(-questions.count() // block))
     out = None
-    rows = queries.select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()
-    held: list = []
-
-    def compare() -> DataFrame:
-        matrix = np.array([r["embedding"] for r in held], dtype=np.float64)
-        ids = np.array([r["vec_id"] for r in held], dtype=np.int64)
-        return vectors.select("vec_id", "embedding").mapInArrow(_top_of_batch(matrix, ids, most), "query_id long, passage_id long, similarity double")
-
-    for row in rows:
-        held.append(row)
-        if len(held) == block:
-            out = compare() if out is None else out.unionByName(compare())
-            held = []
-    if held or out is None:
-        empty = vectors.sparkSession.createDataFrame([], "query_id long, passage_id long, similarity double")
-        last = compare() if held else empty
-        out = last if out is None else out.unionByName(last)
+    for k in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).orderBy("query_id", "lexeme").toArrow()
+        found = rows.mapInArrow(_best_of_batches(part, most), "query_id long, passage_id long, coverage double, matched long")
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, "coverage", "lexical_rank", most)
+
+
+def _nearest(most: int):
+    """Over a chunk of vectors and a block of questions: the questions' nearest vectors of the chunk, ties included."""
+
+    def unit(table: pa.Table, key: str, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = table.column(key).to_numpy()
+        x = np.asarray(table.column(value).combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(ids), -1)
+        size = np.linalg.norm(x, axis=1)
+        return ids, x / np.where(size > 0, size, 1)[:, None], size > 0
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        names, kinds = ["query_id", "passage_id", "similarity"], [pa.int64(), pa.int64(), pa.float64()]
+        if not vectors.num_rows or not queries.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        ids, x, good = unit(vectors, "vec_id", "embedding")
+        asked, q, sound = unit(queries, "query", "asked")
+        require(bool(sound.all()), "a question's vector is zero")
+        got: list[tuple[np.ndarray, ...]] = []
+        for at in range(0, len(asked), 256):
+            sims = np.where(good, q[at : at + 256] @ x.T, -2.0)
+            k = min(most, len(ids))
+            edge = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k]
+            i, j = np.nonzero((sims >= edge[:, None] - 1e-6) & (sims > -2))  # ties go on to the ranking
+            got.append((asked[at + i], ids[j], sims[i, j]))
+        return pa.table([pa.array(np.concatenate(c), k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], names=names)
+
+    return run
+
+
+def vector_search(queries: DataFrame, vectors: DataFrame, most: int = 30, block: int = QUERY_BLOCK, chunk: int = VECTOR_CHUNK) -> DataFrame:
+    """(query_id, passage_id, similarity, vector_rank): exact cosine neighbours of ``queries(vec_id, embedding)``.
+
+    The stated queries meet all vectors in tasks of one block of the former
+    and one chunk of the latter; a task sends on its nearest ones only, and
+    the driver holds no vector.
+    """
+    n_blocks, n_chunks = (max(1, -(-t.count() // size)) for t, size in ((queries, block), (vectors, chunk)))
+
+    def dealt(rows: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
+        return rows.where("embedding IS NOT NULL").select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other))
+
+    left = dealt(vectors, "c", n_chunks, "b", n_blocks)
+    # Names of their own, as both may come from one table.
+    right = dealt(queries, "b", n_blocks, "c", n_chunks).select(F.col("vec_id").alias("query"), F.col("embedding").alias("asked"), F.col("b").alias("block"), F.col("c").alias("chunk"))
+    out = left.groupBy("b", "c").cogroup(right.groupBy("block", "chunk")).applyInArrow(_nearest(most), "query_id long, passage_id long, similarity double")
     return ranked(out.withColumn("similarity", F.round("similarity", 6)), "similarity", "vector_rank", most)
 
 
-def fused(vector: DataFrame, lexical: DataFrame, vector_weight: float = 1.0, lexical_weight: float = 1.0) -> DataFrame:
+def fused(vector: DataFrame, lexical: DataFrame, vector_weight: float = VECTOR_WEIGHT, lexical_weight: float = LEXICAL_WEIGHT) -> DataFrame:
     """Both lists by reciprocal rank: score = sum of weight / (60 + rank), with the rank in the fused order."""
     both = vector.join(lexical, ["query_id", "passage_id"], "full_outer")
 
@@ -124,11 +186,23 @@ def fused(vector: DataFrame, lexical: DataFrame, vector_weight: float = 1.0, lex
     return ranked(scored, "score", "fused_rank")
 
 
-def boosted(candidates: DataFrame, named: Column) -> DataFrame:
-    """``boost`` for passages of a named fund, and for the latest date of each fund and type among the candidates."""
+def boosted(candidates: DataFrame, named: Column, mentions_period: Column | None = None, wants_latest: Column | None = None) -> DataFrame:
+    """``boost`` for passages of a named fund, and for the latest date of each fund and type among the candidates.
+
+    The latest date counts more where the question asks for it, and not at all
+    where it names a period.
+    """
     latest = F.max("as_of_date").over(Window.partitionBy("query_id", "fund_id", "doc_type"))
     fresh = F.coalesce((F.col("as_of_date") == latest) & F.col("fund_id").isNotNull(), F.lit(False))
-    return candidates.withColumn("boost", F.when(named, NAMED_BOOST).otherwise(1.0) * F.when(fresh, LATEST_BOOST).otherwise(1.0))
+    if mentions_period is not None:
+        fresh = fresh & ~mentions_period
+    more = F.lit(LATEST_BOOST) if wants_latest is None else F.when(wants_latest, ASKED_LATEST_BOOST).otherwise(LATEST_BOOST)
+    return candidates.withColumn("boost", F.when(named, NAMED_BOOST).otherwise(1.0) * F.when(fresh, more).otherwise(1.0))
+
+
+def supported_first(candidates: DataFrame, rank: str = "fused_rank") -> DataFrame:
+    """``final_rank``: supported candidates first, otherwise in the order of ``rank``."""
+    return candidates.withColumn("final_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(~F.col("supported"), rank)))
 
 
 def evidence(candidates: DataFrame) -> DataFrame:
@@ -246,21 +320,61 @@ def conflicts(selected: DataFrame) -> DataFrame:
     return selected.where("fund_id IS NOT NULL AND as_of_date IS NOT NULL").groupBy("query_id", "fund_id").agg(dates.alias("dates")).where(F.size("dates") > 1)
 
 
-def retrieval_metrics(ranks: DataFrame, relevant: DataFrame) -> DataFrame:
+def retrieval_metrics(ranks: DataFrame, hits: DataFrame, totals: DataFrame) -> DataFrame:
     """Per question: recall and precision at 1, 3 and 5, reciprocal rank and nDCG at 5.
 
-    ``ranks(query_id, passage_id, rank)``, ``relevant(query_id, passage_id)``;
-    questions without relevant passages are left out.
+    ``ranks(query_id, passage_id, rank)``, ``hits(query_id, passage_id)``: the
+    relevant ones among the ranked; ``totals(query_id, n_relevant)``: all
+    relevant ones, counted. Questions without any are left out.
     """
-    total = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    hits = ranks.join(relevant.withColumn("hit", F.lit(1)), ["query_id", "passage_id"], "left").where("hit = 1")
-    found = hits.groupBy("query_id").agg(*(F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in (1, 3, 5)), F.max(1 / F.col("rank")).alias("rr"), F.sum(F.when(F.col("rank") <= 5, 1 / F.log2(F.col("rank") + 1.0))).alias("dcg"))
-    joined = total.join(found, "query_id", "left")
+    found = ranks.join(hits.select("query_id", "passage_id").distinct(), ["query_id", "passage_id"], "left_semi")
+    found = found.groupBy("query_id").agg(*(F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in (1, 3, 5)), F.max(1 / F.col("rank")).alias("rr"), F.sum(F.when(F.col("rank") <= 5, 1 / F.log2(F.col("rank") + 1.0))).alias("dcg"))
+    joined = totals.where("n_relevant > 0").join(found, "query_id", "left")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_relevant", F.lit(5)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return joined.select("query_id", *((zero(f"h{k}") / F.col("n_relevant")).alias(f"recall_{k}") for k in (1, 3, 5)), *((zero(f"h{k}") / F.lit(float(k))).alias(f"precision_{k}") for k in (1, 3, 5)), F.coalesce("rr", F.lit(0.0)).alias("reciprocal_rank"), (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg_5"))
 
 
+def containing(passages: DataFrame, snippets: DataFrame) -> DataFrame:
+    """(query_id, passage_id, snippet) of ``snippets(query_id, snippet)`` in ``passages(query_id, passage_id, content)``, without regard to case and white space.
+
+    Both are of one question, so a snippet meets that question's list only.
+    """
+    joined = passages.join(snippets, "query_id")
+    return joined.where(F.contains(folded(F.col("content")), folded(F.col("snippet")))).select("query_id", "passage_id", "snippet")
+
+
+def evidence_recall(selected: DataFrame, snippets: DataFrame) -> DataFrame:
+    """(query_id, evidence_recall): the share of a question's snippets that its selected passages hold."""
+    found = containing(selected, snippets).select("query_id", "snippet").distinct().groupBy("query_id").agg(F.count("*").alias("found"))
+    total = snippets.groupBy("query_id").agg(F.count("*").alias("n"))
+    return total.join(found, "query_id", "left").select("query_id", (F.coalesce("found", F.lit(0)) / F.col("n")).alias("evidence_recall"))
+
+
+#: Means that a summary of an evaluation gives, over the questions that have the value.
+SUMMARISED = ("recall_1", "recall_3", "recall_5", "precision_1", "precision_3", "precision_5", "reciprocal_rank", "ndcg_5", "evidence_recall", "false_abstention", "abstained", "conflict_detected")
+
+
+def evaluation_summary(records: DataFrame) -> DataFrame:
+    """Means of ``records(mode, split, category, ...)`` by mode, by mode and split, and by mode and category, in one pass.
+
+    ``grouping`` says which; of the columns of ``SUMMARISED`` those that are
+    there are averaged to four digits, nulls left out.
+    """
+    there = [c for c in SUMMARISED if c in records.columns]
+    grouped = records.groupingSets([["mode"], ["mode", "split"], ["mode", "category"]], "mode", "split", "category")
+    level = F.when(F.grouping("split") == 0, "split").when(F.grouping("category") == 0, "category").otherwise("mode")
+    return grouped.agg(level.alias("grouping"), F.count("*").alias("questions"), *(F.round(F.avg(F.col(c).cast("double")), 4).alias(c) for c in there))
+
+
+def acceptance(summary: DataFrame, minima: dict[str, float], mode: str, leaks: int = 0, most_leaks: int = 0) -> DataFrame:
+    """(metric, value, minimum, met, passed): whether the means of ``mode`` reach their minima, and whether all do without too many leaks."""
+    row = summary.where((F.col("grouping") == "mode") & (F.col("mode") == mode))
+    long = row.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).alias("value"), F.lit(float(v)).alias("minimum")) for k, v in sorted(minima.items())))).alias("c")).select("c.*")
+    met = F.coalesce(F.col("value") >= F.col("minimum"), F.lit(False))
+    return long.withColumn("met", met).withColumn("passed", F.bool_and("met").over(Window.partitionBy(F.lit(1))) & F.lit(leaks <= most_leaks))
+
+
 def repeated_lines(pages: DataFrame, width: int = 80) -> DataFrame:
     """(doc, line, pages): short lines, digits as #, on at least two and three fifths of a document's ``pages(doc, page, text)``."""
     lines = pages.select("doc", "page", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.regexp_replace(F.lower(F.trim("line")), r"\d+", "#"))

@@ -49,11 +49,22 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.vector_search(*_vector_queries(spark, sf_dir), most=10)
 
 
+def _question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A benchmark text's vector is the one whose id is that of the text; a document's, the one with its id."""
+    v = table(spark, sf_dir, "embeddings")
+    return v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+
+
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexical list by coverage, and the same passages by number of matches, as two rankings."""
-    lexical = lexical_topk(spark, sf_dir)
-    other = lexical.withColumn("similarity", F.round(F.col("matched") / 40.0, 6)).select("query_id", "passage_id", "similarity")
-    return retrieval.fused(retrieval.ranked(other, "similarity", "vector_rank", 20), lexical)
+    """The lexical list and the vector list of each question, fused."""
+    near = retrieval.vector_search(_question_vectors(spark, sf_dir), table(spark, sf_dir, "embeddings"))
+    return retrieval.fused(near, lexical_topk(spark, sf_dir))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """A fund, a type and a date for each passage of ``rows``, by its id; the last question words say which period is asked for."""
+    made = F.date_add(F.lit("2025-01-01").cast("date"), (F.col("passage_id") % 300).cast("int"))
+    return rows.withColumn("fund_id", F.col("passage_id") % 5).withColumn("doc_type", F.lit("report")).withColumn("as_of_date", made)
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +78,19 @@ def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = F.date_add(F.lit("2025-01-01").cast("date"), (F.col("passage_id") % 300).cast("int"))
-    rows = _fused(spark, sf_dir).withColumn("fund_id", F.col("passage_id") % 5).withColumn("doc_type", F.lit("report")).withColumn("as_of_date", made)
-    return rounded(retrieval.boosted(rows, F.col("fund_id") == F.col("query_id") % 5).select("query_id", "passage_id", "boost"))
+    """Questions of every third id name a period, those of the next ask for the latest one."""
+    period, latest = F.col("query_id") % 3 == 0, F.col("query_id") % 3 == 1
+    rows = retrieval.boosted(_placed(_fused(spark, sf_dir)), F.col("fund_id") == F.col("query_id") % 5, period, latest)
+    return rounded(rows.select("query_id", "passage_id", "boost"))
+
+
+def final_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused score times the boost, gated by evidence, supported passages first."""
+    own = (F.col("passage_id") % 5 == 0) | (F.col("passage_id") % 5 == F.col("query_id") % 5)
+    rows = retrieval.boosted(_placed(_fused(spark, sf_dir)), F.col("fund_id") == F.col("query_id") % 5, F.lit(False), F.lit(True))
+    rows = retrieval.ranked(rows.drop("fused_rank").withColumn("final_score", F.round(F.col("score") * F.col("boost"), 12)), "final_score", "fused_rank")
+    gated = retrieval.supported_first(retrieval.evidence(rows.withColumn("eligible", own)))
+    return gated.select("query_id", "passage_id", "final_score", "supported", "final_rank")
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,12 +115,56 @@ def conflict_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.conflicts(rows).withColumn("dates", F.array_join(F.transform("dates", lambda d: d.cast("string")), ","))
 
 
-def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector search judged by labels: a vector is relevant to one of the same label, itself included."""
     queries, vectors = _vector_queries(spark, sf_dir)
     ranks = retrieval.vector_search(queries, vectors, most=10).select("query_id", "passage_id", F.col("vector_rank").alias("rank"))
-    relevant = queries.select(F.col("vec_id").alias("query_id"), "label").join(vectors.select(F.col("vec_id").alias("passage_id"), "label"), "label").drop("label")
-    return rounded(retrieval.retrieval_metrics(ranks, relevant))
+    label = vectors.select(F.col("vec_id").alias("passage_id"), F.col("label").alias("found"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), "label").where("label IS NOT NULL")
+    # Labels are looked up for the ranked vectors only, and counted for the rest.
+    hits = ranks.join(label, "passage_id").join(asked, "query_id").where("found = label")
+    totals = asked.join(vectors.groupBy("label").agg(F.count("*").alias("n_relevant")), "label").drop("label")
+    return retrieval.retrieval_metrics(ranks, hits, totals)
+
+
+def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_judged(spark, sf_dir))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged questions with a mode, a split and a category, by their ids; every fourth has no answer and must be declined."""
+    judged = _judged(spark, sf_dir)
+    part = (F.col("query_id") / 100).cast("int")
+    answerable = part % 4 > 0
+    metrics = [c for c in judged.columns if c != "query_id"]
+    values = [F.when(answerable, F.round(c, 6)).alias(c) for c in metrics]
+    flags = [F.when(~answerable, (F.col("reciprocal_rank") < 1).cast("double")).alias("abstained"), F.when(answerable, (F.col("recall_5") == 0).cast("double")).alias("false_abstention")]
+    return judged.select(F.when(part % 2 == 0, "hybrid").otherwise("vector").alias("mode"), F.when(part % 5 == 0, "holdout").otherwise("dev").alias("split"), F.concat(F.lit("c"), part % 3).alias("category"), *values, *flags)
+
+
+def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.evaluation_summary(_records(spark, sf_dir))
+
+
+def evaluation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    minima = {"recall_5": 0.0, "reciprocal_rank": 0.7, "precision_1": 0.8, "abstained": 0.8}
+    return retrieval.acceptance(retrieval.evaluation_summary(_records(spark, sf_dir)), minima, "hybrid")
+
+
+def evidence_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of a benchmark text's sentences that its three best passages hold, in any case and spacing."""
+    asked = _questions(spark, sf_dir)
+    snippets = asked.select("query_id", F.explode(tx.sentences(F.col("question"))).alias("snippet")).distinct()
+    best = lexical_topk(spark, sf_dir).where("lexical_rank <= 3").join(_passages(spark, sf_dir), "passage_id")
+    return rounded(retrieval.evidence_recall(best, snippets))
+
+
+def document_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What user 2 and an administrator (user -1) may read and manage; every eleventh document has no owner."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "private").otherwise("shared").alias("visibility"), F.when(F.col("doc_id") % 11 > 0, F.col("doc_id") % 7).alias("owner_id"))
+    users = ((2, False), (-1, True))
+    both = [retrieval.rights(d, F.lit(u), F.lit(a)).withColumn("user_id", F.lit(u)) for u, a in users]
+    return both[0].unionByName(both[1]).select("doc_id", "user_id", "can_read", "can_manage")
 
 
 def access_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +181,12 @@ def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def follow_up_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "conversations").where("role = 'user'")
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return asked.withColumn("before", before).select("conv_id", "turn", F.coalesce(tx.is_follow_up(F.col("text"), F.col("before")), F.lit(False)).alias("follow_up"))
+    """The first eight words of each user's turn as a question after the one before."""
+    words = lambda c: F.array_join(F.slice(F.split(c, r"\s+"), 1, 8), " ")
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", words(F.concat(F.when(F.col("turn") % 4 == 2, "And ").otherwise(""), "text", F.when(F.col("conv_id") % 2 == 0, " 2024 now").otherwise(""))).alias("question"))
+    before = F.lag("question").over(Window.partitionBy("conv_id").orderBy("turn"))
+    found = asked.withColumn("before", before).withColumn("p", tx.processed_question(F.col("question"), F.col("before")))
+    return found.select("conv_id", "turn", F.col("p.is_follow_up").alias("follow_up"), F.col("p.mentions_period").alias("mentions_period"), F.col("p.wants_latest").alias("wants_latest"), F.length("p.retrieval_text").alias("n_chars"))
 
 
 def conversation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,20 +196,23 @@ def conversation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def number_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of a document's second half that its first half doesn't give."""
-    d = table(spark, sf_dir, "documents")
-    half = F.length("text") / 2
-    claimed, pool = tx.numbers(F.substr("text", half.cast("int") + F.lit(1))), tx.numbers(F.substr("text", F.lit(1), half.cast("int")))
-    return d.select("doc_id", F.size(claimed).cast("long").alias("n_numbers"), F.size(tx.ungrounded(claimed, pool)).cast("long").alias("n_ungrounded"))
+    """Numbers of orders' made-up answers that their sources don't give: signs, percents, rounding, years, small integers and marks."""
+    o = table(spark, sf_dir, "orders")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    source = F.concat(F.lit("The price was "), F.format_number("o_totalprice", 2), F.lit(" and v2.5 of x"), "o_orderkey", F.lit(" is no number."))
+    answer = F.concat(F.lit("[S1] About "), F.round(price, 1).cast("string"), F.lit("%, or -"), "o_custkey", F.lit(" in 1998, 7 times; "), price.cast("string"), F.lit(" and +"), (F.col("o_orderkey") % 100).cast("string"), F.lit(".25 [T2]"))
+    claimed, pool = tx.numbers(answer), tx.numbers(source)
+    return o.select("o_orderkey", F.size(claimed).alias("n_numbers"), F.array_join(tx.ungrounded(claimed, pool), "|").alias("missing"))
 
 
 def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marks of made-up answers, of which only numbers up to the turn's count exist."""
+    """Marks of made-up answers, single and in groups; a turn has as many sources as its number and one calculation."""
     c = table(spark, sf_dir, "conversations")
-    answer = F.concat(F.lit("As shown [1, "), F.col("turn"), F.lit("] and ["), F.col("turn") * 2, F.lit("]."))
-    found = c.select("conv_id", "turn", "role", tx.markers(answer).alias("m"), F.greatest(F.lit(1), F.col("turn") + 1).alias("sources"))
-    bad = F.filter("m", lambda x: (x < 1) | (x > F.col("sources")))
-    return found.select("conv_id", "turn", "role", F.size("m").alias("n_marks"), F.size(bad).alias("n_invalid"))
+    answer = F.concat(F.lit("As shown [S1, T"), F.col("turn"), F.lit("; S"), F.col("turn") + 1, F.lit("] and  [S"), F.col("turn") * 2, F.lit("][T1], not [1, 3] nor [S]."))
+    sources = F.transform(F.sequence(F.lit(0), F.col("turn")), lambda i: F.concat(F.lit("S"), i))
+    found = c.select("conv_id", "turn", "role", tx.checked_citations(answer, sources, F.array(F.lit("T1"))).alias("x"))
+    joined = lambda n: F.array_join(f"x.{n}", ",").alias(n)
+    return found.select("conv_id", "turn", "role", F.col("x.text").alias("text"), joined("used_sources"), joined("used_calculations"), joined("invalid_markers"))
 
 
 def fund_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,10 +224,11 @@ def fund_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return named(sentence_split, chunk_documents, injection_flags, lexeme_df, lexical_topk, vector_topk, rrf_fusion, evidence_gate, latest_boost, near_duplicates, context_selection, extractive_excerpts, conflict_detection, ir_metrics, access_filter, boilerplate_lines, follow_up_detection, conversation_history, number_grounding, citation_check, fund_mentions)
+    return named(sentence_split, chunk_documents, injection_flags, lexeme_df, lexical_topk, vector_topk, rrf_fusion, evidence_gate, latest_boost, final_ranking, near_duplicates, context_selection, extractive_excerpts, conflict_detection, ir_metrics, evaluation_summary, evaluation_gate, evidence_recall, access_filter, document_rights, boilerplate_lines, follow_up_detection, conversation_history, number_grounding, citation_check, fund_mentions)
 
 
 _STOP = "['" + "', '".join(tx.STOP_WORDS) + "']"
+_NOT_ASKED = "['" + "', '".join(tx.STOP_WORDS + tx.REQUEST_WORDS) + "']"
 
 
 def _lexemes(c: str) -> str:
@@ -165,7 +237,7 @@ def _lexemes(c: str) -> str:
 
 _FIRST40 = """(SELECT query_id, lexeme FROM (SELECT query_id, lexeme, row_number() OVER (PARTITION BY query_id ORDER BY p) AS k FROM (
   SELECT query_id, lexeme, min(p) AS p FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS lexeme, unnest(range(len(regexp_extract_all(lower(text), '[a-z0-9]+')))) AS p FROM benchmark)
-  WHERE NOT list_contains(@STOP@, lexeme) GROUP BY ALL)) WHERE k <= 40)""".replace("@STOP@", _STOP)
+  WHERE NOT list_contains(@STOP@, lexeme) GROUP BY ALL)) WHERE k <= 40)""".replace("@STOP@", _NOT_ASKED)
 _LEXICAL = f"""
 post AS (SELECT doc_id AS passage_id, unnest({_lexemes("text")}) AS lexeme FROM documents),
 dfs AS (SELECT lexeme, count(*) AS df FROM post GROUP BY lexeme),
@@ -173,14 +245,28 @@ ask AS (SELECT query_id, lexeme, ln(((SELECT count(*) FROM documents) + 1.0::DOU
 tot AS (SELECT query_id, sum(idf) AS total FROM ask GROUP BY query_id),
 hit AS (SELECT query_id, passage_id, round(sum(idf) / any_value(total), 6) AS coverage, count(*) AS matched FROM post JOIN ask USING (lexeme) JOIN tot USING (query_id) GROUP BY ALL),
 lex AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, passage_id) AS INTEGER) AS lexical_rank FROM hit) WHERE lexical_rank <= 30),
-vec AS (SELECT * FROM (SELECT query_id, passage_id, round(matched / 40.0::DOUBLE, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(matched / 40.0::DOUBLE, 6) DESC, passage_id) AS vector_rank FROM lex) WHERE vector_rank <= 20),
-fus AS (SELECT query_id, passage_id, coverage, similarity, round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0), 12) AS score FROM lex LEFT JOIN vec USING (query_id, passage_id))"""
+vec AS (SELECT * FROM (SELECT query_id, passage_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, passage_id) AS vector_rank FROM (
+  SELECT q.vec_id AS query_id, v.vec_id AS passage_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS similarity
+  FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark))) WHERE vector_rank <= 30),
+fus AS (SELECT query_id, passage_id, coverage, similarity, round(coalesce(0.3::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0), 12) AS score FROM lex FULL JOIN vec USING (query_id, passage_id))"""
 _VECTOR = """
 nn AS (SELECT * FROM (SELECT query_id, passage_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, passage_id) AS INTEGER) AS vector_rank FROM (
   SELECT q.vec_id AS query_id, v.vec_id AS passage_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS similarity
   FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE vector_rank <= 10)"""
 
 
+_JUDGED = f"""{_VECTOR}, r AS (SELECT q.vec_id AS query_id, v.vec_id AS passage_id FROM embeddings q JOIN embeddings v USING (label) WHERE q.vec_id % 100 = 0),
+t AS (SELECT query_id, count(*) AS n FROM r GROUP BY query_id),
+h AS (SELECT query_id, count(*) FILTER (vector_rank <= 1) AS h1, count(*) FILTER (vector_rank <= 3) AS h3, count(*) FILTER (vector_rank <= 5) AS h5, max(1.0::DOUBLE / vector_rank) AS rr, sum(1 / log2(vector_rank + 1)) FILTER (vector_rank <= 5) AS dcg FROM nn JOIN r USING (query_id, passage_id) GROUP BY query_id),
+judged AS (SELECT query_id, round(coalesce(h1, 0) / n, 6) AS recall_1, round(coalesce(h3, 0) / n, 6) AS recall_3, round(coalesce(h5, 0) / n, 6) AS recall_5, round(coalesce(h1, 0) / 1.0::DOUBLE, 6) AS precision_1, round(coalesce(h3, 0) / 3.0::DOUBLE, 6) AS precision_3,
+  round(coalesce(h5, 0) / 5.0::DOUBLE, 6) AS precision_5, round(coalesce(rr, 0), 6) AS reciprocal_rank, round(coalesce(dcg, 0) / list_sum([1 / log2(i + 1) for i in range(1, least(n, 5) + 1)]), 6) AS ndcg_5 FROM t LEFT JOIN h USING (query_id))"""
+_METRICS = ("recall_1", "recall_3", "recall_5", "precision_1", "precision_3", "precision_5", "reciprocal_rank", "ndcg_5")
+_RECORDS = f"""rec AS (SELECT CASE WHEN part % 2 = 0 THEN 'hybrid' ELSE 'vector' END AS mode, CASE WHEN part % 5 = 0 THEN 'holdout' ELSE 'dev' END AS split, 'c' || (part % 3) AS category,
+  {", ".join(f"CASE WHEN part % 4 > 0 THEN {m} END AS {m}" for m in _METRICS)}, CASE WHEN part % 4 = 0 THEN CAST(reciprocal_rank < 1 AS DOUBLE) END AS abstained, CASE WHEN part % 4 > 0 THEN CAST(recall_5 = 0 AS DOUBLE) END AS false_abstention
+  FROM (SELECT *, CAST(query_id // 100 AS BIGINT) AS part FROM judged))"""
+_SUMMARY = "SELECT mode, split, category, CASE WHEN grouping(split) = 0 THEN 'split' WHEN grouping(category) = 0 THEN 'category' ELSE 'mode' END AS \"grouping\", count(*) AS questions, " + ", ".join(f"round(avg({m}), 4) AS {m}" for m in (*_METRICS, "false_abstention", "abstained")) + " FROM rec GROUP BY GROUPING SETS ((mode), (mode, split), (mode, category))"
+
+
 def oracle_sql() -> dict[str, str]:
     best = "max(CASE WHEN eligible THEN coalesce({}, 0) END) OVER (PARTITION BY query_id)"
     dup = "regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g')"
@@ -197,7 +283,12 @@ def oracle_sql() -> dict[str, str]:
             b AS (SELECT *, coalesce({best.format("coverage")}, 0) AS bc, coalesce({best.format("similarity")}, 0) AS bs FROM e)
             SELECT query_id, passage_id, eligible, eligible AND ((bc >= 0.5 AND coalesce(coverage, 0) >= greatest(0.3, 0.6::DOUBLE * bc)) OR (bs >= 0.6 AND coalesce(similarity, 0) >= greatest(0.52, bs - 0.08::DOUBLE))) AS supported FROM b""",
         "latest_boost": f"""WITH {_LEXICAL}, d AS (SELECT query_id, passage_id, passage_id % 5 AS f, passage_id % 300 AS day FROM fus)
-            SELECT query_id, passage_id, round(CASE WHEN f = query_id % 5 THEN 1.15::DOUBLE ELSE 1 END * CASE WHEN day = max(day) OVER (PARTITION BY query_id, f) THEN 1.05::DOUBLE ELSE 1 END, 6) AS boost FROM d""",
+            SELECT query_id, passage_id, round(CASE WHEN f = query_id % 5 THEN 1.15::DOUBLE ELSE 1 END * CASE WHEN query_id % 3 <> 0 AND day = max(day) OVER (PARTITION BY query_id, f) THEN CASE WHEN query_id % 3 = 1 THEN 1.25::DOUBLE ELSE 1.05 END ELSE 1 END, 6) AS boost FROM d""",
+        "final_ranking": f"""WITH {_LEXICAL}, d AS (SELECT *, passage_id % 5 AS f, passage_id % 300 AS day, passage_id % 5 = 0 OR passage_id % 5 = query_id % 5 AS eligible FROM fus),
+            s AS (SELECT *, round(score * CASE WHEN f = query_id % 5 THEN 1.15::DOUBLE ELSE 1 END * CASE WHEN day = max(day) OVER (PARTITION BY query_id, f) THEN 1.25::DOUBLE ELSE 1 END, 12) AS final_score FROM d),
+            b AS (SELECT *, coalesce({best.format("coverage")}, 0) AS bc, coalesce({best.format("similarity")}, 0) AS bs FROM s),
+            g AS (SELECT *, eligible AND ((bc >= 0.5 AND coalesce(coverage, 0) >= greatest(0.3, 0.6::DOUBLE * bc)) OR (bs >= 0.6 AND coalesce(similarity, 0) >= greatest(0.52, bs - 0.08::DOUBLE))) AS supported FROM b)
+            SELECT query_id, passage_id, final_score, supported, CAST(row_number() OVER (PARTITION BY query_id ORDER BY supported DESC, final_score DESC, passage_id) AS INTEGER) AS final_rank FROM g""",
         "extractive_excerpts": rf"""WITH {_LEXICAL}, q AS (SELECT item_id AS query_id, {_lexemes("text")} AS q FROM benchmark),
             sn AS (SELECT doc_id AS passage_id, list_filter([trim(x) FOR x IN string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9("''])', '\1' || chr(1) || '\2', 'g'), chr(1))], lambda x: x <> '') AS s FROM documents),
             o AS (SELECT query_id, passage_id, lexical_rank AS place, q, s FROM lex JOIN q USING (query_id) JOIN sn USING (passage_id) WHERE lexical_rank <= 3),
@@ -210,26 +301,48 @@ def oracle_sql() -> dict[str, str]:
             FROM b QUALIFY score >= 0.5::DOUBLE * arg_min(score, place) OVER (PARTITION BY query_id)""",
         "near_duplicates": f"""WITH {_LEXICAL}, w AS (SELECT query_id, passage_id, string_split_regex({dup}, '\\s+') AS w FROM lex JOIN documents ON doc_id = passage_id WHERE trim(text) <> ''),
             s AS (SELECT query_id, passage_id, {runs} AS s FROM w),
-            p AS (SELECT a.query_id, a.passage_id AS a, b.passage_id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM s a JOIN s b ON a.query_id = b.query_id AND a.passage_id < b.passage_id)
+            e AS (SELECT query_id, passage_id, len(s) AS n, hash(unnest(s)) AS x FROM s),
+            p AS (SELECT a.query_id, a.passage_id AS a, b.passage_id AS b, count(*) AS i, any_value(a.n + b.n) AS n FROM e a JOIN e b ON a.query_id = b.query_id AND a.x = b.x AND a.passage_id < b.passage_id GROUP BY ALL)
             SELECT query_id, a, b, round(i / CAST(n - i AS DOUBLE), 6) AS similarity FROM p WHERE round(i / CAST(n - i AS DOUBLE), 6) >= 0.8""",
         "conflict_detection": f"""WITH {_LEXICAL} SELECT query_id, passage_id % 5 AS fund_id, string_agg(DISTINCT CAST(DATE '2025-01-01' + CAST(passage_id % 3 AS INTEGER) AS VARCHAR), ',' ORDER BY CAST(DATE '2025-01-01' + CAST(passage_id % 3 AS INTEGER) AS VARCHAR)) AS dates
             FROM lex WHERE lexical_rank <= 6 GROUP BY ALL HAVING count(DISTINCT passage_id % 3) > 1""",
-        "ir_metrics": f"""WITH {_VECTOR}, r AS (SELECT q.vec_id AS query_id, v.vec_id AS passage_id FROM embeddings q JOIN embeddings v USING (label) WHERE q.vec_id % 100 = 0),
-            t AS (SELECT query_id, count(*) AS n FROM r GROUP BY query_id),
-            h AS (SELECT query_id, count(*) FILTER (vector_rank <= 1) AS h1, count(*) FILTER (vector_rank <= 3) AS h3, count(*) FILTER (vector_rank <= 5) AS h5, max(1.0::DOUBLE / vector_rank) AS rr, sum(1 / log2(vector_rank + 1)) FILTER (vector_rank <= 5) AS dcg FROM nn JOIN r USING (query_id, passage_id) GROUP BY query_id)
-            SELECT query_id, round(coalesce(h1, 0) / n, 6) AS recall_1, round(coalesce(h3, 0) / n, 6) AS recall_3, round(coalesce(h5, 0) / n, 6) AS recall_5, round(coalesce(h1, 0) / 1.0::DOUBLE, 6) AS precision_1, round(coalesce(h3, 0) / 3.0::DOUBLE, 6) AS precision_3,
-                   round(coalesce(h5, 0) / 5.0::DOUBLE, 6) AS precision_5, round(coalesce(rr, 0), 6) AS reciprocal_rank, round(coalesce(dcg, 0) / list_sum([1 / log2(i + 1) for i in range(1, least(n, 5) + 1)]), 6) AS ndcg_5 FROM t LEFT JOIN h USING (query_id)""",
+        "ir_metrics": f"""WITH {_JUDGED} SELECT * FROM judged""",
+        "evaluation_summary": f"""WITH {_JUDGED}, {_RECORDS} {_SUMMARY}""",
+        "evaluation_gate": f"""WITH {_JUDGED}, {_RECORDS}, s AS ({_SUMMARY}), hy AS (SELECT * FROM s WHERE "grouping" = 'mode' AND mode = 'hybrid'),
+            c AS (SELECT 'recall_5' AS metric, recall_5 AS value, 0.0::DOUBLE AS minimum FROM hy UNION ALL SELECT 'reciprocal_rank', reciprocal_rank, 0.7::DOUBLE FROM hy
+                  UNION ALL SELECT 'precision_1', precision_1, 0.8::DOUBLE FROM hy UNION ALL SELECT 'abstained', abstained, 0.8::DOUBLE FROM hy)
+            SELECT *, coalesce(value >= minimum, false) AS met, bool_and(coalesce(value >= minimum, false)) OVER () AS passed FROM c""",
+        "evidence_recall": rf"""WITH {_LEXICAL}, q AS (SELECT item_id AS query_id, [trim(x) FOR x IN string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9("''])', '\1' || chr(1) || '\2', 'g'), chr(1))] AS s FROM benchmark),
+            n AS (SELECT DISTINCT query_id, t FROM (SELECT query_id, unnest(s) AS t FROM q) WHERE t <> ''),
+            p AS (SELECT query_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS body FROM lex JOIN documents ON doc_id = passage_id WHERE lexical_rank <= 3),
+            f AS (SELECT DISTINCT n.query_id, t FROM n JOIN p USING (query_id) WHERE contains(body, trim(regexp_replace(lower(t), '\s+', ' ', 'g'))))
+            SELECT query_id, round(count(f.t) / CAST(count(*) AS DOUBLE), 6) AS evidence_recall FROM n LEFT JOIN f USING (query_id, t) GROUP BY query_id""",
+        "document_rights": """WITH d AS (SELECT doc_id, doc_id % 3 > 0 AS shared, CASE WHEN doc_id % 11 > 0 THEN doc_id % 7 END AS owner FROM documents), u(user_id, admin) AS (VALUES (2, false), (-1, true))
+            SELECT doc_id, user_id, coalesce(owner = user_id, false) OR shared AS can_read, coalesce(owner = user_id, false) OR (owner IS NULL AND admin) AS can_manage FROM d, u""",
         "access_filter": "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'pending' ELSE 'indexed' END AS status, CASE WHEN doc_id % 3 = 0 THEN 'private' ELSE 'shared' END AS visibility, doc_id % 7 AS owner_id FROM documents) SELECT * FROM d WHERE status = 'indexed' AND (visibility = 'shared' OR owner_id = 2)",
         "boilerplate_lines": r"""WITH p AS (SELECT concat_ws('-', source, lang, CAST(floor(doc_id / 100) AS BIGINT)) AS doc, doc_id AS page, text FROM documents),
             l AS (SELECT DISTINCT doc, page, regexp_replace(lower(trim(line)), '\d+', '#', 'g') AS line FROM (SELECT doc, page, unnest(string_split(text, chr(10))) AS line FROM p)),
             c AS (SELECT doc, line, count(*) AS pages FROM l WHERE length(line) BETWEEN 1 AND 80 GROUP BY ALL), t AS (SELECT doc, count(DISTINCT page) AS total FROM p GROUP BY doc)
             SELECT doc, line, pages FROM c JOIN t USING (doc) WHERE pages >= greatest(2, floor(0.6::DOUBLE * total))""",
-        "follow_up_detection": r"""WITH a AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'user')
-            SELECT conv_id, turn, coalesce(before IS NOT NULL AND (len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) <= 4 OR regexp_matches(text, '""" + tx.ANAPHORA + r"""')), false) AS follow_up FROM a""",
+        "follow_up_detection": r"""WITH a AS (SELECT conv_id, turn, array_to_string(string_split_regex(CASE WHEN turn % 4 = 2 THEN 'And ' ELSE '' END || text || CASE WHEN conv_id % 2 = 0 THEN ' 2024 now' ELSE '' END, '\s+')[1:8], ' ') AS q FROM conversations WHERE role = 'user'),
+            b AS (SELECT *, lag(q) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM a), c AS (SELECT *, coalesce(before IS NOT NULL AND (regexp_matches(q, '(?i)^(and|also|what about|how about|and what|then|why|so)\b')
+              OR regexp_matches(q, '(?i)\b(it|its|it''s|this|that|these|those|they|them|their|the fund|the scheme|this fund|that fund|same fund|the document|the factsheet|the report)\b')), false) AS follow_up FROM b)
+            SELECT conv_id, turn, follow_up, regexp_matches(q, '(?i)\b(19|20)\d{2}\b|\b(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\b|\bfy\s?\d{2}') AS mentions_period,
+                   regexp_matches(q, '(?i)\b(latest|current|currently|now|recent|most recent|today)\b') AS wants_latest, CAST(CASE WHEN follow_up THEN length(before) + 1 ELSE 0 END + length(q) AS INTEGER) AS n_chars FROM c""",
         "conversation_history": "SELECT conv_id, turn, role, CAST(back AS INTEGER) AS back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM conversations) WHERE back <= 6",
-        "number_grounding": r"""WITH h AS (SELECT doc_id, regexp_extract_all(substr(text, CAST(floor(length(text) / 2.0::DOUBLE) AS INTEGER) + 1), '\d[\d,]*(?:\.\d+)?') AS c, regexp_extract_all(substr(text, 1, CAST(floor(length(text) / 2.0::DOUBLE) AS INTEGER)), '\d[\d,]*(?:\.\d+)?') AS p FROM documents),
-            v AS (SELECT doc_id, [struct_pack(v := TRY_CAST(replace(x, ',', '') AS DOUBLE), d := length(regexp_extract(x, '\.(\d+)$', 1))) FOR x IN c] AS c, [TRY_CAST(replace(x, ',', '') AS DOUBLE) FOR x IN p] AS p FROM h)
-            SELECT doc_id, len(c) AS n_numbers, len(list_filter(c, lambda x: NOT (x.d = 0 AND (x.v <= 12 OR x.v BETWEEN 1900 AND 2100)) AND len(list_filter(p, lambda y: abs(x.v - y) <= 0.5::DOUBLE * pow(10.0::DOUBLE, -x.d) + 1e-9)) = 0)) AS n_ungrounded FROM v""",
-        "citation_check": "WITH m AS (SELECT conv_id, turn, role, list_distinct([1, turn, turn * 2]) AS m FROM conversations) SELECT conv_id, turn, role, CAST(len(m) AS INTEGER) AS n_marks, CAST(len(list_filter(m, lambda x: x < 1 OR x > greatest(1, turn + 1))) AS INTEGER) AS n_invalid FROM m",
+        # What the text gives, stated by value: the price to one digit is grounded, v2.5 and x... are no numbers.
+        "number_grounding": r"""WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(18, 2)) AS price FROM orders),
+            c AS (SELECT o_orderkey, price, unnest([struct_pack(raw := CAST(CAST(round(price, 1) AS DECIMAL(18, 1)) AS VARCHAR) || '%', v := CAST(round(price, 1) AS DOUBLE), d := 1),
+                struct_pack(raw := '-' || o_custkey, v := -CAST(o_custkey AS DOUBLE), d := 0), struct_pack(raw := '1998', v := 1998.0::DOUBLE, d := 0), struct_pack(raw := '7', v := 7.0::DOUBLE, d := 0),
+                struct_pack(raw := CAST(price AS VARCHAR), v := CAST(price AS DOUBLE), d := 2), struct_pack(raw := '+' || (o_orderkey % 100) || '.25', v := (o_orderkey % 100) + 0.25::DOUBLE, d := 2)]) AS x FROM o)
+            SELECT o_orderkey, CAST(6 AS INTEGER) AS n_numbers, coalesce(string_agg(DISTINCT x.raw, '|' ORDER BY x.raw) FILTER (NOT (x.d = 0 AND (abs(x.v) <= 12 OR x.v BETWEEN 1900 AND 2100)) AND abs(x.v - CAST(price AS DOUBLE)) > 0.5::DOUBLE * pow(10.0::DOUBLE, -x.d) + 1e-9), '') AS missing
+            FROM c GROUP BY o_orderkey""",
+        "citation_check": r"""WITH a AS (SELECT conv_id, turn, role, 'As shown [S1, T' || turn || '; S' || (turn + 1) || '] and  [S' || (turn * 2) || '][T1], not [1, 3] nor [S].' AS t, list_concat(['T1'], [('S' || i) FOR i IN range(0, turn + 1)]) AS known FROM conversations),
+            g AS (SELECT *, flatten([regexp_extract_all(x, '[ST]\d{1,3}') FOR x IN regexp_extract_all(t, '\[[ST]\d{1,3}(?:\s*[,;]\s*[ST]\d{1,3})*\]')]) AS m,
+                         'As shown [S1][T' || turn || '][S' || (turn + 1) || '] and  [S' || (turn * 2) || '][T1], not [1, 3] nor [S].' AS single FROM a),
+            k AS (SELECT *, list_filter(m, lambda x: NOT list_contains(known, x)) AS bad, list_filter(m, lambda x: list_contains(known, x)) AS good FROM g),
+            c AS (SELECT *, list_reduce(list_concat([single], list_distinct(bad)), lambda x, y: replace(x, '[' || y || ']', '')) AS cut, [m2 FOR m2 IN good IF starts_with(m2, 'S')] AS s FROM k)
+            SELECT conv_id, turn, role, trim(regexp_replace(cut, '[ \t]{2,}', ' ', 'g')) AS text,
+                   array_to_string(list_filter(s, lambda x, i: list_position(s, x) = i), ',') AS used_sources, CASE WHEN list_contains(good, 'T1') THEN 'T1' ELSE '' END AS used_calculations, array_to_string(bad, ',') AS invalid_markers FROM c""",
         "fund_mentions": "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     }
