@@ -42,6 +42,8 @@ BANDS, ROWS = 40, 4
 RADIUS = 24
 #: Members and bytes of a group that one task compares, and members of a chunk of larger groups.
 TOGETHER, TOGETHER_BYTES, CHUNK = 2000, 32 << 20, 1000
+#: Words whose hashes a worker keeps, at most.
+MOST_WORDS = 100_000
 #: Rounds in which a larger group is compared with one of its members.
 LEADERS = 3
 _WEIGHTS = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -53,7 +55,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > MOST_WORDS:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word, 42)
         return out
@@ -221,15 +223,22 @@ def _in_tasks(members: DataFrame, by: list[str], likeness: Likeness) -> DataFram
     return members.select(key.alias("key"), "node", "value").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_by_key(likeness.roots), "a long, b long")
 
 
+def sized(members: DataFrame) -> DataFrame:
+    """``members(key, node, value)`` of keys with more than one, with ``n`` and ``size`` of their key."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("value"), F.lit(0))).alias("size")).where("n > 1")
+    return members.join(sizes, "key")
+
+
 def group_links(members: DataFrame, likeness: Likeness, scratch: Scratch, together: int = TOGETHER, together_bytes: int = TOGETHER_BYTES, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links that join the members of ``members(key, node, value)`` into the components of all links within their key."""
-    sizes = scratch.table(members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("value"), F.lit(0))).alias("size")).where("n > 1"), "sizes")
+    """(a, b): links that join the members of ``members(key, node, value, n, size)`` into the components of all links within their key.
+
+    ``n`` and ``size`` are the members and the bytes of values of a key, as ``sized`` gives them.
+    """
     large = (F.col("n") > together) | (F.col("size") > together_bytes)
-    links = _in_tasks(members.join(sizes.where(~large).select("key"), "key"), ["key"], likeness)
-    big = sizes.where(large)
-    if not big.take(1):
+    links = _in_tasks(members.where(~large), ["key"], likeness)
+    all_ = scratch.table(members.where(large).select("key", "node", "value", "n"), "large")
+    if not all_.take(1):
         return links
-    all_ = scratch.table(members.join(big.select("key", "n"), "key"), "large")
     apart, first, found = all_, None, None
     for _ in range(LEADERS):
         least = apart.groupBy("key").agg(F.min("node").alias("node"))
@@ -274,13 +283,11 @@ def one_of_each_group(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
         least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least")
         classes = scratch.table(prints.groupBy("same").agg(least).select(F.col("least.node").alias("node"), "least"), "classes")
         first = prints.join(classes.select("node"), "node", "left_semi")
-        keyed = scratch.table(first.select("node", F.explode("bands").alias("key")), "bands")
-        shared = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
-        buckets = scratch.table(shared.join(prints.select("node", F.col("print").alias("value")), "node").select("key", "node", "value"), "buckets")
-        candidates = scratch.table(group_links(buckets, PRINTS, scratch, together).distinct(), "candidates")
+        keyed = scratch.table(first.select("node", F.col("print").alias("value"), F.explode("bands").alias("key")), "bands")
+        candidates = scratch.table(group_links(sized(keyed), PRINTS, scratch, together).distinct(), "candidates")
         groups = connected_components(candidates, "near-candidates")
         texts = scratch.table(groups.join(marked.select(F.col(row).alias("node"), text.alias("value")), "node").select(F.col("component").alias("key"), "node", "value"), "texts")
-        found = connected_components(group_links(texts, TEXTS, scratch, together), "near-groups")
+        found = connected_components(group_links(sized(texts), TEXTS, scratch, together), "near-groups")
         member = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         keep = materialise(member.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.node").alias(row)), "near-kept")
     return marked.join(keep, row, "left_semi").select(*columns)

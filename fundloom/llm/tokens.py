@@ -76,7 +76,7 @@ class WordCachedTokenizer:
     starts anew.
     """
 
-    def __init__(self, path: str, plain_specials: bool = False, most: int = 250_000):
+    def __init__(self, path: str, plain_specials: bool = False, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -72,7 +72,7 @@ def fold(text: str) -> str:
 
 
 #: Folded words kept in a worker, at most.
-MOST_FOLDED = 100_000
+MOST_FOLDED = 60_000
 _words: dict[str, str] = {}
 
 
@@ -173,7 +173,7 @@ def _counter(of: Callable[[str], set[str]]):
 
         for text, label in rows_of(batches, "text", "label"):
             (toxic if label == 1 else clean).update(of(text or ""))
-            if len(clean) + len(toxic) > 300_000:
+            if len(clean) + len(toxic) > 150_000:
                 yield out()
         if toxic or clean:
             yield out()

@@ -85,6 +85,6 @@ def test_large_groups_with_several_clusters(spark, monkeypatch, leaders):
     root = least_of_groups(rows)
     members = spark.createDataFrame([(7, i, bytearray(t.encode())) for i, t in rows], "key long, node long, value binary")
     with Scratch(spark, "test") as scratch:
-        links = nearcopies.group_links(members, nearcopies.TEXTS, scratch, together=10, chunk=8)
+        links = nearcopies.group_links(nearcopies.sized(members), nearcopies.TEXTS, scratch, together=10, chunk=8)
         found = {r.node: r.component for r in connected_components(links).collect()}
     assert {found.get(i, i) for i, _ in rows} == root
