@@ -14,6 +14,12 @@ from fundloom.operators.series import in_order, trailing
 
 HORIZONS = (5, 21, 63)
 FEATURES = ("log_1", "log_5", "log_21", "log_63", "vol_21", "vol_63", "vol_ratio", "drawdown_252")
+BENCHMARK_FEATURES = ("bench_5", "bench_21", "relative_21")
+#: Rows that the parts of a split need, at least, and shares of train and validation.
+LEAST_TRAIN, LEAST_VALIDATION, LEAST_TEST = 200, 40, 40
+SHARES = (0.7, 0.15)
+#: Rows that stand for the usual values of the features in attributions.
+BACKGROUND = 200
 
 
 def _guarded(value: Column, n: int, column: str) -> Column:
@@ -33,21 +39,50 @@ def features(levels: DataFrame) -> DataFrame:
     return logs.withColumn("drawdown_252", _guarded(F.col("level") / peak - 1, 252, "level")).select("series_id", "obs_date", "level", *FEATURES)
 
 
+def with_benchmark(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``bench``: the value of ``benchmark(obs_date, value)`` on each date of a series, or the last before it on such a date."""
+    joined = rows.join(benchmark, "obs_date", "left")
+    return joined.withColumn("bench", F.last("value", True).over(in_order().rowsBetween(Window.unboundedPreceding, 0))).drop("value")
+
+
+def benchmark_features(levels: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``features`` with the benchmark's log returns over 5 and 21 rows, and the series' own over 21 less that."""
+    w = in_order()
+    seen = with_benchmark(levels.select("series_id", "obs_date"), benchmark).withColumn("b", F.log("bench"))
+    steps = seen.select("series_id", "obs_date", *((F.col("b") - F.lag("b", k).over(w)).alias(f"bench_{k}") for k in (5, 21)))
+    return features(levels).join(steps, ["series_id", "obs_date"]).withColumn("relative_21", F.col("log_21") - F.col("bench_21"))
+
+
 def target(levels: DataFrame, horizon: int) -> DataFrame:
     """``target``: the log return over the next ``horizon`` rows, null at the end."""
     require(horizon in HORIZONS, f"the horizon is one of {HORIZONS}")
     return levels.withColumn("target", F.log("level").cast("double") * -1 + F.log(F.lead("level", horizon).over(in_order())))
 
 
-def purged_split(rows: DataFrame, gap: int, shares: tuple[float, float] = (0.7, 0.85)) -> DataFrame:
-    """``part``: train, validation and test by date, with the last ``gap`` rows before each cut purged."""
+def complete(rows: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """Rows with all features and a target: those that a split takes."""
+    return rows.dropna(subset=[*columns, "target"])
+
+
+def purged_split(rows: DataFrame, gap: int, shares: tuple[float, float] = SHARES) -> DataFrame:
+    """``part``: train, validation and test by date, with the first ``gap`` rows after each cut purged.
+
+    A target spans ``gap`` rows, so the last ones of a part would see prices
+    of the next. Pass ``complete`` rows, as the shares are of what is given.
+    """
     i = F.row_number().over(in_order())
     n = F.count("*").over(Window.partitionBy("series_id"))
-    a, b = F.floor(shares[0] * n), F.floor(shares[1] * n)
-    part = F.when(i <= a - gap, "train").when(i <= a, "purged").when(i <= b - gap, "validation").when(i <= b, "purged").otherwise("test")
+    a, b = F.floor(shares[0] * n), F.floor((shares[0] + shares[1]) * n)
+    part = F.when(i <= a, "train").when(i <= a + gap, "purged").when(i <= b, "validation").when(i <= b + gap, "purged").otherwise("test")
     return rows.withColumn("part", part)
 
 
+def enough_history(split: DataFrame) -> DataFrame:
+    """(series_id, n_train, n_validation, n_test, enough): whether the parts have the rows that a model needs."""
+    counts = split.groupBy("series_id").agg(*(F.count_if(F.col("part") == p).alias(f"n_{p}") for p in ("train", "validation", "test")))
+    return counts.withColumn("enough", (F.col("n_train") >= LEAST_TRAIN) & (F.col("n_validation") >= LEAST_VALIDATION) & (F.col("n_test") >= LEAST_TEST))
+
+
 def regression_metrics(rows: DataFrame, by: str | tuple[str, ...] = "series_id", *more: Column) -> DataFrame:
     """MAE, RMSE and the share of equal signs, over committed rows, of (actual, predicted)."""
     e = F.col("actual") - F.col("predicted")
@@ -99,62 +134,110 @@ def forest_candidates(x: np.ndarray, y: np.ndarray, at: np.ndarray, depths: tupl
     return total / trees
 
 
-def ridge_candidates(x: np.ndarray, y: np.ndarray, at: np.ndarray, alphas: tuple[float, ...]) -> np.ndarray:
-    """Predictions (alpha, row of ``at``) of ridge regressions on standardised features."""
+def ridge_fit(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
+    """(coefficients of the features as they are, constant) of a ridge regression on standardised features."""
     mean, sd = x.mean(axis=0), x.std(axis=0)
     sd = np.where(sd > 0, sd, 1)
-    z, g = (x - mean) / sd, (at - mean) / sd
-    return np.array([y.mean() + g @ np.linalg.solve(z.T @ z + a * np.eye(z.shape[1]), z.T @ (y - y.mean())) for a in alphas])
+    z = (x - mean) / sd
+    slope = np.linalg.solve(z.T @ z + alpha * np.eye(z.shape[1]), z.T @ (y - y.mean())) / sd
+    return slope, float(y.mean() - mean @ slope)
+
+
+def ridge_candidates(x: np.ndarray, y: np.ndarray, at: np.ndarray, alphas: tuple[float, ...]) -> np.ndarray:
+    """Predictions (alpha, row of ``at``) of ridge regressions on standardised features."""
+    fits = [ridge_fit(x, y, a) for a in alphas]
+    return np.array([constant + at @ slope for slope, constant in fits])
+
+
+def ridge_attributions(x: np.ndarray, y: np.ndarray, alpha: float, background: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Shapley values of a linear model for each row of ``at``: coefficient times the distance from the background's mean."""
+    slope, _ = ridge_fit(x, y, alpha)
+    return (at - background.mean(axis=0)) * slope
+
 
+_FORECAST = "series_id string, horizon int, obs_date date, part string, level double, actual double, predicted double, low double, high double, baseline double, chosen double, validation_mae double, attributions array<double>"
 
-def selected_forecasts(levels: DataFrame, candidates, parameters: tuple[float, ...], horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """Test rows of each series and horizon: actual, predicted, low, high, chosen, validation_mae.
+
+def selected_forecasts(levels: DataFrame, candidates, parameters: tuple[float, ...], horizons: tuple[int, ...] = HORIZONS, benchmark: DataFrame | None = None, attribute=None) -> DataFrame:
+    """Test rows of each series and horizon, and the latest row: level, actual, predicted, low, high, baseline, chosen, validation_mae.
 
     Each series has its own model for each horizon. The candidate with the
     least validation MAE (the first of ties) is fitted again on all rows up to
     the end of validation. ``low`` and ``high`` are the 80 % band: quantiles of
     the validation residuals over the volatility expected then, times that of
-    the row. A series with under 200 train, 40 validation or 40 test rows has
-    too little history and gives no rows.
+    the row. ``baseline`` is the mean target of the rows fitted on. The latest
+    row (part "latest") has no actual; with ``attribute`` it has each feature's
+    part in the forecast. A series with under 200 train, 40 validation or 40
+    test rows has too little history and gives no rows.
     """
+    columns = FEATURES + (BENCHMARK_FEATURES if benchmark is not None else ())
+    names = [c.split()[0] for c in _FORECAST.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("obs_date").reset_index(drop=True)
-        train, val, test = (np.flatnonzero(pdf["part"] == p) for p in ("train", "validation", "test"))
-        if len(train) < 200 or len(val) < 40 or len(test) < 40:
-            return pd.DataFrame({c: [] for c in ("series_id", "horizon", "obs_date", "actual", "predicted", "low", "high", "chosen", "validation_mae")})
-        x, y = pdf[list(FEATURES)].to_numpy(float), pdf["target"].to_numpy(float)
+        train, val, test, last = (np.flatnonzero(pdf["part"] == p) for p in ("train", "validation", "test", "latest"))
+        if len(train) < LEAST_TRAIN or len(val) < LEAST_VALIDATION or len(test) < LEAST_TEST:
+            return pd.DataFrame({c: [] for c in names})
+        x, y = pdf[list(columns)].to_numpy(float), pdf["target"].to_numpy(float)
         scale = np.maximum(pdf["vol_63"].to_numpy(float), 1e-4) * math.sqrt(int(pdf["horizon"][0]) / 252)
         tried = candidates(x[train], y[train], x[val], parameters)
         mae = np.abs(tried - y[val]).mean(axis=1)
         best = int(np.argmin(mae))
         low, high = np.quantile((y[val] - tried[best]) / scale[val], [0.1, 0.9])
         fit = slice(0, val[-1] + 1)
-        predicted = candidates(x[fit], y[fit], x[test], (parameters[best],))[0]
-        out = pdf.loc[test, ["series_id", "horizon", "obs_date"]]
-        return out.assign(actual=y[test], predicted=predicted, low=predicted + low * scale[test], high=predicted + high * scale[test], chosen=float(parameters[best]), validation_mae=float(mae[best]))
-
-    rows = features(levels)
+        at = np.concatenate([test, last])
+        predicted = candidates(x[fit], y[fit], x[at], (parameters[best],))[0]
+        out = pdf.loc[at, ["series_id", "horizon", "obs_date", "part", "level"]]
+        out = out.assign(actual=y[at], predicted=predicted, low=predicted + low * scale[at], high=predicted + high * scale[at], baseline=float(y[fit].mean()), chosen=float(parameters[best]), validation_mae=float(mae[best]))
+        labelled = x[: test[-1] + 1][-BACKGROUND:]
+        parts = attribute(x[fit], y[fit], parameters[best], labelled, x[last]) if attribute else np.zeros((len(last), 0))
+        out["attributions"] = [None] * len(test) + [list(map(float, r)) if attribute else None for r in parts]
+        return out[names]
+
+    rows = benchmark_features(levels, benchmark) if benchmark is not None else features(levels)
+    newest = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("obs_date")))
+    latest = rows.dropna(subset=[*columns]).withColumn("k", newest).where("k = 1").drop("k").withColumn("target", F.lit(None).cast("double")).withColumn("part", F.lit("latest"))
     split = None
     for h in horizons:
-        complete = target(rows, h).dropna(subset=[*FEATURES, "target"])
-        one = purged_split(complete, h).withColumn("horizon", F.lit(h))
+        one = purged_split(complete(target(rows, h), columns), h).unionByName(latest).withColumn("horizon", F.lit(h))
         split = one if split is None else split.unionByName(one)
-    return split.groupBy("series_id", "horizon").applyInPandas(run, "series_id string, horizon int, obs_date date, actual double, predicted double, low double, high double, chosen double, validation_mae double")
+    return split.groupBy("series_id", "horizon").applyInPandas(run, _FORECAST)
+
+
+def ridge_forecasts(levels: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
+    return selected_forecasts(levels, ridge_candidates, (0.1, 1.0, 10.0, 100.0), benchmark=benchmark, attribute=ridge_attributions)
 
 
-def ridge_forecasts(levels: DataFrame) -> DataFrame:
-    return selected_forecasts(levels, ridge_candidates, (0.1, 1.0, 10.0, 100.0))
+def forest_forecasts(levels: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
+    return selected_forecasts(levels, forest_candidates, (3.0, 5.0, 8.0), benchmark=benchmark)
 
 
-def forest_forecasts(levels: DataFrame) -> DataFrame:
-    return selected_forecasts(levels, forest_candidates, (3.0, 5.0, 8.0))
+def latest_forecasts(rows: DataFrame) -> DataFrame:
+    """What the latest row of each series and horizon says: returns and levels with their 80 % band."""
+    back = lambda c: F.exp(F.col(c)) - 1
+    at = lambda c: F.col("level") * F.exp(F.col(c))
+    return rows.where("part = 'latest'").select("series_id", "horizon", F.col("obs_date").alias("as_of"), "level", F.col("predicted").alias("predicted_log_return"), back("predicted").alias("predicted_return"), back("low").alias("lower_return"), back("high").alias("upper_return"), at("predicted").alias("predicted_level"), at("low").alias("lower_level"), at("high").alias("upper_level"))
+
+
+def attributions(rows: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """(series_id, horizon, feature, attribution, place) of the latest forecasts, the greatest in size first."""
+    long = rows.where("part = 'latest' AND attributions IS NOT NULL").select("series_id", "horizon", F.posexplode("attributions").alias("i", "attribution"))
+    named = long.withColumn("feature", F.get(F.array(*(F.lit(c) for c in columns)), F.col("i")))
+    place = F.row_number().over(Window.partitionBy("series_id", "horizon").orderBy(F.desc(F.abs("attribution")), "i"))
+    return named.select("series_id", "horizon", "feature", "attribution", place.alias("place"))
 
 
 def forecast_metrics(rows: DataFrame) -> DataFrame:
-    """Per series and horizon: the metrics, the parameter chosen, its validation MAE and the coverage of the band."""
+    """Per series and horizon, over test rows: the metrics, the parameter chosen, the coverage of the band, and the skill.
+
+    ``skill`` is one less the MAE over that of the historical mean;
+    ``zero_mae`` is that of no change.
+    """
+    test = rows.where("part = 'test'")
     chosen = (F.first(c).alias(c) for c in ("chosen", "validation_mae"))
-    return regression_metrics(rows, ("series_id", "horizon"), *chosen, coverage(F.col("low"), F.col("high")))
+    base = F.avg(F.abs(F.col("actual") - F.col("baseline")))
+    out = regression_metrics(test, ("series_id", "horizon"), *chosen, coverage(F.col("low"), F.col("high")), base.alias("baseline_mae"), F.avg(F.abs("actual")).alias("zero_mae"))
+    return out.withColumn("skill", 1 - F.try_divide("mae", "baseline_mae")).withColumn("beats_baseline", F.coalesce(F.col("skill") > 0, F.lit(False)))
 
 
 def coverage(low: Column, high: Column) -> Column:
@@ -162,23 +245,37 @@ def coverage(low: Column, high: Column) -> Column:
     return F.avg(F.col("actual").between(low, high).cast("double")).alias("coverage")
 
 
-def interval_coverage(rows: DataFrame, low: Column, high: Column, by: str = "series_id") -> DataFrame:
-    return rows.groupBy(by).agg(coverage(low, high))
-
-
-def robust_scores(rows: DataFrame, column: str, by: str = "series_id") -> DataFrame:
+def robust_scores(rows: DataFrame, column: str, by: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """``z``: distance from the median in units of 1.4826 median absolute deviations; null where these are 0."""
-    middle = rows.where(F.col(column).isNotNull()).groupBy(by).agg(F.median(column).alias("mid"))
-    centred = rows.join(middle, by)
-    spread = centred.groupBy(by).agg(F.median(F.abs(F.col(column) - F.col("mid"))).alias("mad"))
-    return centred.join(spread, by).withColumn("z", F.try_divide(F.col(column) - F.col("mid"), F.nullif(1.4826 * F.col("mad"), F.lit(0.0)))).drop("mid", "mad")
+    middle = rows.where(F.col(column).isNotNull()).groupBy(*by).agg(F.median(column).alias("mid"))
+    centred = rows.join(middle, list(by))
+    spread = centred.groupBy(*by).agg(F.median(F.abs(F.col(column) - F.col("mid"))).alias("mad"))
+    return centred.join(spread, list(by)).withColumn("z", F.try_divide(F.col(column) - F.col("mid"), F.nullif(1.4826 * F.col("mad"), F.lit(0.0)))).drop("mid", "mad")
 
 
-def anomaly_features(returns: DataFrame) -> DataFrame:
-    """The return, the return over the volatility of the 63 rows before, and the ratio of 21- to 126-row volatility."""
+def anomaly_features(returns: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
+    """The return, the return over the volatility of the 63 rows before, and the ratio of 21- to 126-row volatility.
+
+    With a benchmark also its return between the series' dates and the return less that.
+    """
     before = F.when(F.count("ret").over(trailing(63, 1)) == 63, F.stddev_samp("ret").over(trailing(63, 1)))
     short, long = (_guarded(F.stddev_samp("ret").over(trailing(n)), n, "ret") for n in (21, 126))
-    return returns.select("series_id", "obs_date", "ret", F.try_divide("ret", F.nullif(before, F.lit(0.0))).alias("shock"), F.try_divide(short, F.nullif(long, F.lit(0.0))).alias("vol_ratio"))
+    columns = ["series_id", "obs_date", "ret", F.try_divide("ret", F.nullif(before, F.lit(0.0))).alias("shock"), F.try_divide(short, F.nullif(long, F.lit(0.0))).alias("vol_ratio")]
+    if benchmark is None:
+        return returns.select(*columns)
+    seen = with_benchmark(returns, benchmark)
+    own = seen.withColumn("benchmark_return", F.try_divide("bench", F.lag("bench").over(in_order())) - 1)
+    return own.select(*columns, "benchmark_return", (F.col("ret") - F.col("benchmark_return")).alias("excess_return"))
+
+
+def drivers(rows: DataFrame, columns: tuple[str, ...], most: int = 3) -> DataFrame:
+    """(series_id, obs_date, drivers): the columns whose robust distance from a series' median is greatest, first the greatest."""
+    whole = rows.dropna(subset=[*columns])
+    long = whole.select("series_id", "obs_date", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns))).alias("x")).select("series_id", "obs_date", "x.*")
+    scored = robust_scores(long, "value", ("series_id", "feature")).where("z IS NOT NULL")
+    far = F.array_sort(F.collect_list(F.struct((-F.abs("z")).alias("far"), "feature", "z")))
+    listed = scored.groupBy("series_id", "obs_date").agg(F.slice(far, 1, most).alias("d"))
+    return listed.select("series_id", "obs_date", F.transform("d", lambda p: F.struct(p["feature"].alias("feature"), p["z"].alias("z"))).alias("drivers"))
 
 
 def _path_length(n: float) -> float:

@@ -55,8 +55,8 @@ def benchmark_statistics(aligned: DataFrame, conventions: Conventions = DEFAULT)
     diff = F.col("ret") - F.col("bret")
     error = F.stddev_samp(diff) * conventions.periods**0.5
     mean, market = F.avg("ret") * conventions.periods, F.avg("bret") * conventions.periods
-    rf = conventions.risk_free
-    # Jensen's alpha leaves the mean excess that beta doesn't explain.
+    rf = conventions.period_rate * conventions.periods
+    # Jensen's alpha leaves the mean excess over the rate of a period that beta doesn't explain, times the periods of a year.
     alpha = (mean - rf) - beta * (market - rf)
     least = LEAST_FOR_BETA
     return aligned.groupBy("series_id").agg(

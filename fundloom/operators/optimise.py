@@ -1,4 +1,4 @@
-"""Mean-variance optimisation for groups of a few assets, one group to a Python call.
+"""Mean-variance optimisation of portfolios of a few assets, one portfolio and objective to a Python call.
 
 The estimates come from Spark aggregates; a group holds N means and N x N
 covariances, N at most ``MOST_ASSETS``, whatever the length of the histories.
@@ -120,14 +120,16 @@ def maximum_sharpe(mu, cov, rate: float, low=0.0, high=1.0) -> np.ndarray:
     return minimum_variance(mu, cov, low, high, (a + b) / 2)
 
 
-def shrunk(returns: np.ndarray) -> tuple[np.ndarray, float]:
-    """The shrinkage estimate of Ledoit and Wolf towards a multiple of the identity, and its intensity."""
-    x = returns - returns.mean(axis=0)
-    t, n = x.shape
-    s = x.T @ x / t
+def shrunk(s: np.ndarray, s2: np.ndarray, t: int) -> tuple[np.ndarray, float]:
+    """The shrinkage estimate of Ledoit and Wolf towards a multiple of the identity, and its intensity.
+
+    ``s`` is the population covariance of t observations, ``s2`` the mean of
+    the squared products of deviations.
+    """
+    n = len(s)
     mu = np.trace(s) / n
     delta = ((s - mu * np.eye(n)) ** 2).sum() / n
-    beta = min(delta, ((x**2).T @ (x**2) / t - s**2).sum() / (n * t))
+    beta = min(delta, (s2 - s**2).sum() / (n * t))
     share = 0.0 if delta == 0 else beta / delta
     return (1 - share) * s + share * mu * np.eye(n), float(share)
 
@@ -137,53 +139,77 @@ def ill_conditioned(cov: np.ndarray) -> bool:
     return bool(e.min() <= 1e-12 or e.max() / max(e.min(), 1e-300) > 1e8)
 
 
-def _matrices(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _inputs(pdf: pd.DataFrame, periods: int) -> tuple[list[str], np.ndarray, np.ndarray, float]:
+    """Assets, annual means and covariances, and how far these are shrunk: only where the matrix is ill-conditioned."""
     names = sorted(pdf["series_a"].unique())
     require(len(names) <= MOST_ASSETS, f"a portfolio holds at most {MOST_ASSETS} assets")
     at = {s: i for i, s in enumerate(names)}
-    mu, cov = np.zeros(len(names)), np.zeros((len(names), len(names)))
-    for a, b, m, c in zip(pdf["series_a"], pdf["series_b"], pdf["mu"], pdf["covariance"], strict=True):
-        mu[at[a]], cov[at[a], at[b]] = m, c
+    mu, (s, s2) = np.zeros(len(names)), np.zeros((2, len(names), len(names)))
+    for a, b, m, x, y in zip(pdf["series_a"], pdf["series_b"], pdf["mu"], pdf["s"], pdf["s2"], strict=True):
+        mu[at[a]], s[at[a], at[b]], s2[at[a], at[b]] = m, x, y
+    t = int(pdf["t"].iloc[0])
+    cov, share = s * t / max(1, t - 1) * periods, 0.0
+    if ill_conditioned(cov):
+        cov, share = shrunk(s, s2, t)
+        cov = cov * periods
     check_covariance(cov)
-    return names, mu, cov
+    return names, mu, cov, share
 
 
-def _with_means(single: DataFrame, cov: DataFrame) -> DataFrame:
-    return cov.join(single.select(F.col("series_id").alias("series_a"), "mu"), "series_a").withColumn("group", F.lit(1))
+def _tasks(single: DataFrame, moments: DataFrame, portfolio: DataFrame, kinds: list, name: str, kind: str) -> DataFrame:
+    """The moments of each portfolio's assets, once for each of ``kinds``: a row of work for each portfolio and kind."""
+    own = portfolio.select("portfolio_id", "series_id").distinct()
+    pairs = own.withColumnRenamed("series_id", "series_a").join(moments, "series_a").join(own.withColumnRenamed("series_id", "series_b"), ["portfolio_id", "series_b"])
+    means = single.select(F.col("series_id").alias("series_a"), "mu")
+    return pairs.join(means, "series_a").withColumn(name, F.explode(F.array(*(F.lit(k).cast(kind) for k in kinds))))
 
 
-def optimise(single: DataFrame, cov: DataFrame, aversion: float = 4.0, low: float = 0.0, high: float = 1.0, conventions: Conventions = Conventions()) -> DataFrame:
-    """(objective, series_id, weight, expected_return, volatility, sharpe) for three objectives and equal weights."""
-    rate = conventions.risk_free
+OBJECTIVES = ("mean_variance", "minimum_variance", "maximum_sharpe", "equal", "current")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, mu, cov = _matrices(pdf)
-        check_bounds(len(names), low, high)
-        found = {"mean_variance": mean_variance(mu, cov, aversion, low, high), "minimum_variance": minimum_variance(mu, cov, low, high), "maximum_sharpe": maximum_sharpe(mu, cov, rate, low, high), "equal": np.full(len(mu), 1 / len(mu))}
-        rows = []
-        for objective, w in found.items():
-            w = np.where(w < 1e-6, 0.0, w)
-            w = w / w.sum()
-            ret, vol = float(w @ mu), float(np.sqrt(max(w @ cov @ w, 0)))
-            rows += [(objective, s, float(x), ret, vol, (ret - rate) / vol if vol > 0 else None) for s, x in zip(names, w, strict=True)]
-        return pd.DataFrame(rows, columns=["objective", "series_id", "weight", "expected_return", "volatility", "sharpe"])
 
-    return _with_means(single, cov).groupBy("group").applyInPandas(run, "objective string, series_id string, weight double, expected_return double, volatility double, sharpe double")
+def optimise(single: DataFrame, moments: DataFrame, portfolio: DataFrame, aversion: float = 4.0, low: float = 0.0, high: float = 1.0, conventions: Conventions = Conventions()) -> DataFrame:
+    """(portfolio_id, objective, series_id, weight, expected_return, volatility, sharpe, shrinkage) of each portfolio's assets.
 
+    Three objectives, equal weights and the portfolio's own, each solved in a
+    call of its own; ``moments`` are those of ``portfolio.pair_moments``.
+    """
+    rate, periods = conventions.risk_free, conventions.periods
 
-def efficient_frontier(single: DataFrame, cov: DataFrame, points: int = 25, low: float = 0.0, high: float = 1.0, conventions: Conventions = Conventions()) -> DataFrame:
-    """(point, expected_return, volatility, sharpe, weights) from the least variance to the greatest return."""
-    rate = conventions.risk_free
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, mu, cov, share = _inputs(pdf, periods)
+        check_bounds(len(names), low, high)
+        objective, own = pdf["objective"].iloc[0], dict(zip(pdf["series_a"], pdf["own"], strict=True))
+        solve = {
+            "mean_variance": lambda: mean_variance(mu, cov, aversion, low, high),
+            "minimum_variance": lambda: minimum_variance(mu, cov, low, high),
+            "maximum_sharpe": lambda: maximum_sharpe(mu, cov, rate, low, high),
+            "equal": lambda: np.full(len(mu), 1 / len(mu)),
+            "current": lambda: np.array([own[s] for s in names]),
+        }
+        w = solve[objective]()
+        w = np.where(w < 1e-6, 0.0, w)
+        w = w / w.sum()
+        ret, vol = float(w @ mu), float(np.sqrt(max(w @ cov @ w, 0)))
+        rows = [(pdf["portfolio_id"].iloc[0], objective, s, float(x), ret, vol, (ret - rate) / vol if vol > 0 else None, share) for s, x in zip(names, w, strict=True)]
+        return pd.DataFrame(rows, columns=["portfolio_id", "objective", "series_id", "weight", "expected_return", "volatility", "sharpe", "shrinkage"])
+
+    weights = portfolio.select("portfolio_id", F.col("series_id").alias("series_a"), F.col("weight").alias("own"))
+    tasks = _tasks(single, moments, portfolio, list(OBJECTIVES), "objective", "string").join(weights, ["portfolio_id", "series_a"])
+    return tasks.groupBy("portfolio_id", "objective").applyInPandas(run, "portfolio_id string, objective string, series_id string, weight double, expected_return double, volatility double, sharpe double, shrinkage double")
+
+
+def efficient_frontier(single: DataFrame, moments: DataFrame, portfolio: DataFrame, points: int = 25, low: float = 0.0, high: float = 1.0, conventions: Conventions = Conventions()) -> DataFrame:
+    """(portfolio_id, point, expected_return, volatility, sharpe, weights) from the least variance to the greatest return, a call for each point."""
+    rate, periods = conventions.risk_free, conventions.periods
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, mu, cov = _matrices(pdf)
+        names, mu, cov, _ = _inputs(pdf, periods)
         check_bounds(len(names), low, high)
         bottom, top = float(minimum_variance(mu, cov, low, high) @ mu), float(best_first(mu, low, high) @ mu)
-        rows = []
-        for i, target in enumerate(np.linspace(bottom, top, points)):
-            w = minimum_variance(mu, cov, low, high, float(target))
-            vol = float(np.sqrt(max(w @ cov @ w, 0)))
-            rows.append((i, float(w @ mu), vol, (float(w @ mu) - rate) / vol if vol > 0 else None, [round(float(x), 6) for x in w]))
-        return pd.DataFrame(rows, columns=["point", "expected_return", "volatility", "sharpe", "weights"])
-
-    return _with_means(single, cov).groupBy("group").applyInPandas(run, "point int, expected_return double, volatility double, sharpe double, weights array<double>")
+        i = int(pdf["point"].iloc[0])
+        w = minimum_variance(mu, cov, low, high, float(np.linspace(bottom, top, points)[i]))
+        vol = float(np.sqrt(max(w @ cov @ w, 0)))
+        return pd.DataFrame([(pdf["portfolio_id"].iloc[0], i, float(w @ mu), vol, (float(w @ mu) - rate) / vol if vol > 0 else None, [round(float(x), 6) for x in w])], columns=["portfolio_id", "point", "expected_return", "volatility", "sharpe", "weights"])
+
+    tasks = _tasks(single, moments, portfolio, list(range(points)), "point", "int")
+    return tasks.groupBy("portfolio_id", "point").applyInPandas(run, "portfolio_id string, point int, expected_return double, volatility double, sharpe double, weights array<double>")

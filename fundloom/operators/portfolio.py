@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundloom.conventions import Conventions
+from fundloom.conventions import Conventions, require
 from fundloom.operators.metrics import correlation_matrix
 from fundloom.operators.series import rebase, simple_returns
 
@@ -86,10 +86,61 @@ def class_rollup(drifted: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def market_shock(portfolio: DataFrame, betas: DataFrame, move: float, value: float = 100_000.0) -> DataFrame:
-    """(portfolio_id, estimated_return, estimated_value, assets_without_beta): beta times the move, weighted."""
-    joined = portfolio.join(betas.select("series_id", "beta"), "series_id", "left")
-    ret = F.sum(F.col("weight") * F.col("beta") * move)
-    return joined.groupBy("portfolio_id").agg(ret.alias("estimated_return"), (value * (1 + ret)).alias("estimated_value"), F.count_if(F.col("beta").isNull()).alias("assets_without_beta"))
+    """(portfolio_id, estimated_return, estimated_value, estimated_change): beta times the move, by normalised weights.
+
+    An asset without a beta is an error: leaving it out would hide its part of the loss.
+    """
+    joined = normalised(portfolio).join(betas.select("series_id", "beta"), "series_id", "left")
+    beta = F.when(F.col("beta").isNotNull(), F.col("beta")).otherwise(F.raise_error(F.concat(F.lit("no beta for "), F.col("series_id"))).cast("double"))
+    ret = F.sum(F.col("weight") * beta * move)
+    return joined.groupBy("portfolio_id").agg(ret.alias("estimated_return"), (value * (1 + ret)).alias("estimated_value"), (value * ret).alias("estimated_change"))
+
+
+def assumption_stress(single: DataFrame, cov: DataFrame, portfolio: DataFrame, volatility_factor: float = 1.0, correlation: float | None = None, return_shift: float = 0.0, horizon_days: int = 1, conventions: Conventions = DEFAULT) -> DataFrame:
+    """(portfolio_id, scenario, expected_return, volatility, sharpe, parametric_var) before and after changed assumptions.
+
+    ``correlation`` replaces those between all assets of a portfolio; it has to
+    lie from -1 / (assets - 1) to 1, where the matrix stays consistent.
+    """
+    require(0.1 <= volatility_factor <= 5, "the volatility factor lies between 0.1 and 5")
+    require(correlation is None or -1 <= correlation <= 1, "a correlation lies between -1 and 1")
+    p = normalised(portfolio)
+    w = p.join(single, "series_id")
+    n = F.count("*").over(Window.partitionBy("portfolio_id"))
+    if correlation is not None:
+        fits = F.lit(correlation) >= -1 / F.greatest(n - 1, F.lit(1))
+        w = w.withColumn("sigma", F.when(fits, F.col("sigma")).otherwise(F.raise_error(F.lit("a uniform correlation below -1 / (assets - 1)")).cast("double")))
+    of = w.groupBy("portfolio_id").agg(F.sum(F.col("weight") * F.col("mu")).alias("mu"), F.sum(F.col("weight") * F.col("sigma")).alias("s"), F.sum((F.col("weight") * F.col("sigma")) ** 2).alias("s2"))
+    a = p.select("portfolio_id", F.col("series_id").alias("series_a"), F.col("weight").alias("w_a"))
+    b = p.select("portfolio_id", F.col("series_id").alias("series_b"), F.col("weight").alias("w_b"))
+    var = a.join(cov, "series_a").join(b, ["portfolio_id", "series_b"]).groupBy("portfolio_id").agg(F.sum(F.col("w_a") * F.col("w_b") * F.col("covariance")).alias("variance"))
+    base = of.join(var, "portfolio_id")
+    # With one correlation r for all pairs, the variance is r (sum ws)^2 + (1 - r) sum (ws)^2.
+    shocked = F.col("variance") if correlation is None else correlation * F.col("s") ** 2 + (1 - correlation) * F.col("s2")
+    cases = F.array(
+        F.struct(F.lit("baseline").alias("scenario"), F.col("mu").alias("expected_return"), F.sqrt(F.greatest("variance", F.lit(0.0))).alias("volatility")),
+        F.struct(F.lit("scenario").alias("scenario"), (F.col("mu") + return_shift).alias("expected_return"), (F.sqrt(F.greatest(shocked, F.lit(0.0))) * volatility_factor).alias("volatility")),
+    )
+    z, h = conventions.quantile, horizon_days / conventions.periods
+    out = base.select("portfolio_id", F.explode(cases).alias("c")).select("portfolio_id", "c.*")
+    return out.withColumn("sharpe", F.try_divide(F.col("expected_return") - conventions.risk_free, F.nullif("volatility", F.lit(0.0)))).withColumn("parametric_var", -(F.col("expected_return") * h + z * F.col("volatility") * h**0.5))
+
+
+def allocation_change(single: DataFrame, cov: DataFrame, current: DataFrame, proposed: DataFrame, conventions: Conventions = DEFAULT) -> DataFrame:
+    """``assumption_stress``'s baseline of each portfolio's current and proposed weights, as two rows (allocation)."""
+    both = current.withColumn("portfolio_id", F.struct("portfolio_id", F.lit("current").alias("allocation"))).unionByName(proposed.withColumn("portfolio_id", F.struct("portfolio_id", F.lit("proposed").alias("allocation"))))
+    found = assumption_stress(single, cov, both, conventions=conventions).where("scenario = 'baseline'")
+    return found.select("portfolio_id.portfolio_id", "portfolio_id.allocation", "expected_return", "volatility", "sharpe", "parametric_var")
+
+
+def pair_moments(aligned_levels: DataFrame) -> DataFrame:
+    """(series_a, series_b, s, s2, t) in both orders: the population covariance of returns, the mean of squared products of deviations, and the observations."""
+    r = simple_returns(aligned_levels)
+    mean = r.groupBy("series_id").agg(F.avg("ret").alias("m"))
+    d = r.join(mean, "series_id").select("series_id", "obs_date", (F.col("ret") - F.col("m")).alias("d"))
+    a, b = d.toDF("series_a", "obs_date", "da"), d.toDF("series_b", "obs_date", "db")
+    both = a.join(b, "obs_date").groupBy("series_a", "series_b")
+    return both.agg(F.avg(F.col("da") * F.col("db")).alias("s"), F.avg((F.col("da") * F.col("db")) ** 2).alias("s2"), F.count("*").alias("t"))
 
 
 def stressed(statistics: DataFrame, volatility_factor: float = 1.5, return_shift: float = -0.05, horizon_days: int = 10, conventions: Conventions = DEFAULT) -> DataFrame:

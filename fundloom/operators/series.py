@@ -21,10 +21,24 @@ def trailing(n: int, last: int = 0):
     return in_order().rowsBetween(-(n - 1) - last, -last)
 
 
+def level_faults(levels: DataFrame) -> DataFrame:
+    """(series_id, obs_date, reason) of dates that make a series unfit: missing, non-positive or repeated levels."""
+    seen = levels.groupBy("series_id", "obs_date").agg(F.count("*").alias("n"), F.count("level").alias("known"), F.min("level").alias("least"))
+    reason = F.when(F.col("n") > 1, "duplicate date").when(F.col("known") == 0, "missing value").when((F.col("least") <= 0) | F.isnan("least"), "non-positive level")
+    return seen.select("series_id", "obs_date", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def checked_level() -> Column:
+    """The level, where it is a positive number; another one is an error, not a gap."""
+    name = F.concat_ws(" ", F.lit("a level that is missing or not positive:"), "series_id", F.col("obs_date").cast("string"))
+    return F.when(F.col("level") > 0, F.col("level")).otherwise(F.raise_error(name).cast("double"))
+
+
 def simple_returns(levels: DataFrame) -> DataFrame:
-    """``ret``: this level over the one before, less one; the first date is left out."""
+    """``ret``: this level over the one before, less one; the first date is left out. Levels that aren't positive are an error."""
+    sound = levels.withColumn("level", checked_level())
     before = F.lag("level").over(in_order())
-    return levels.withColumn("ret", F.try_divide("level", before) - 1).where("ret IS NOT NULL")
+    return sound.withColumn("ret", F.col("level") / before - 1).where("ret IS NOT NULL")
 
 
 def rebase(levels: DataFrame, base: float = 100.0, *more: str) -> DataFrame:

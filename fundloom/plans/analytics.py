@@ -163,7 +163,7 @@ md AS (SELECT series_id, max_drawdown, trough_date, peak_date,
 BETA_SQL = """
 al AS (SELECT series_id, obs_date, ret, bret FROM ret JOIN bret USING (obs_date)),
 be AS (SELECT series_id, n AS beta_observations, CASE WHEN n >= 60 THEN beta END AS beta,
-  CASE WHEN n >= 60 THEN (m - 0.065::DOUBLE) - beta * (k - 0.065::DOUBLE) END AS alpha_annual,
+  CASE WHEN n >= 60 THEN (m - 252 * (pow(1.065::DOUBLE, 1 / 252.0::DOUBLE) - 1)) - beta * (k - 252 * (pow(1.065::DOUBLE, 1 / 252.0::DOUBLE) - 1)) END AS alpha_annual,
   CASE WHEN n >= 60 THEN c END AS correlation, CASE WHEN n >= 60 THEN te END AS tracking_error,
   CASE WHEN n >= 60 THEN d / nullif(te, 0) END AS information_ratio
   FROM (SELECT series_id, count(*) AS n, covar_samp(ret, bret) / nullif(var_samp(bret), 0) AS beta, avg(ret) * 252 AS m, avg(bret) * 252 AS k,

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fundloom.operators import series
 from fundloom.plans.common import Query, named, rounded
 from fundloom.sources import csvkinds, sinks
-from fundloom.sources.adapters import table
+from fundloom.sources.adapters import LEVELS_SQL, levels, table
 
 TODAY = "2001-06-30"
 
@@ -43,6 +44,20 @@ def import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csvkinds.import_counts(csvkinds.resolved_keys(_validated(spark, sf_dir), "nav"))
 
 
+def import_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger row of the damaged file, its rejected lines as text."""
+    row = sinks.ledger(csvkinds.resolved_keys(_validated(spark, sf_dir), "nav"), "batch-1", "nav")
+    lines = F.array_join(F.transform("rejected", lambda r: F.concat(r["line"].cast("string"), F.lit(" "), r["reason"])), "|")
+    return row.withColumn("rejected", lines)
+
+
+def price_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of level series damaged by rules on the day: missing, zero and repeated levels."""
+    day = F.dayofyear("obs_date")
+    hurt = levels(spark, sf_dir).withColumn("level", F.when(day % 50 == 0, None).when(day % 70 == 0, 0.0).otherwise(F.col("level")))
+    return series.level_faults(hurt.unionByName(hurt.where(day % 90 == 0)))
+
+
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
     new = o.where("key % 2 = 0").withColumn("value", F.when(F.col("key") % 10 == 0, F.col("value") + 1).otherwise(F.col("value")))
@@ -86,7 +101,7 @@ def nav_file_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return named(csv_validate, csv_dedup_conflict, import_counts, upsert_diff, upsert_result, snapshot_diff, unknown_code_anti, key_semi, nav_file_parse)
+    return named(csv_validate, csv_dedup_conflict, import_counts, import_ledger, price_faults, upsert_diff, upsert_result, snapshot_diff, unknown_code_anti, key_semi, nav_file_parse)
 
 
 _RAW = """
@@ -113,6 +128,10 @@ def oracle_sql() -> dict[str, str]:
         "csv_validate": f"WITH {_RAW} SELECT line, scheme_code, date, nav, reason FROM v",
         "csv_dedup_conflict": f"WITH {_RAW} SELECT line, scheme_code, date, reason FROM x",
         "import_counts": f"WITH {_RAW} SELECT count(*) AS rows_total, count(*) FILTER (reason IS NULL) AS rows_accepted, count(*) FILTER (reason IS NOT NULL) AS rows_rejected FROM x",
+        "import_ledger": f"""WITH {_RAW}, b AS (SELECT line, reason FROM x WHERE reason IS NOT NULL ORDER BY line LIMIT 500)
+            SELECT 'batch-1' AS batch_id, 'nav' AS kind, (SELECT count(*) FROM x) AS rows_total, (SELECT count(*) FROM x WHERE reason IS NOT NULL) AS rows_rejected, (SELECT string_agg(line || ' ' || left(reason, 120), '|' ORDER BY line) FROM b) AS rejected""",
+        "price_faults": f"""WITH {LEVELS_SQL}, h AS (SELECT series_id, obs_date, CASE WHEN dayofyear(obs_date) % 50 = 0 THEN NULL WHEN dayofyear(obs_date) % 70 = 0 THEN 0.0::DOUBLE ELSE level END AS level FROM nav), a AS (SELECT * FROM h UNION ALL SELECT * FROM h WHERE dayofyear(obs_date) % 90 = 0)
+            SELECT * FROM (SELECT series_id, obs_date, CASE WHEN count(*) > 1 THEN 'duplicate date' WHEN count(level) = 0 THEN 'missing value' WHEN min(level) <= 0 THEN 'non-positive level' END AS reason FROM a GROUP BY ALL) WHERE reason IS NOT NULL""",
         "upsert_diff": f"WITH {_VERSIONS} SELECT b.key, round(b.value, 2) AS value, CASE WHEN a.key IS NULL THEN 'inserted' WHEN a.value = b.value THEN 'unchanged' ELSE 'updated' END AS change FROM b LEFT JOIN a USING (key)",
         "upsert_result": f"WITH {_VERSIONS} SELECT coalesce(b.key, a.key) AS key, round(coalesce(b.value, a.value), 2) AS value FROM a FULL JOIN b ON a.key = b.key",
         "snapshot_diff": "SELECT l_orderkey, CASE WHEN l_orderkey % 7 = 0 THEN 'new' WHEN l_orderkey % 5 <> 0 OR min(l_linenumber) > 1 THEN 'same' WHEN max(l_linenumber) = 1 THEN 'new' ELSE 'replace' END AS verdict FROM lineitem GROUP BY l_orderkey",

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from fundloom.operators import learning, series
 from fundloom.plans.common import Query, named, rounded
-from fundloom.sources.adapters import LEVELS_SQL, levels, table
+from fundloom.sources.adapters import LEVELS_SQL, benchmark, levels, table
 from fundloom.streaming import events
 
+ANOMALY_COLUMNS = ("ret", "shock", "vol_ratio", "excess_return")
+
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = learning.features(levels(spark, sf_dir))
-    return learning.purged_split(learning.target(rows, 5), 5)
+    rows = learning.complete(learning.target(learning.features(levels(spark, sf_dir)), 5))
+    return learning.purged_split(rows, 5)
 
 
 def ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +27,19 @@ def ml_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purged_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.purged_split(levels(spark, sf_dir), 21).select("series_id", "obs_date", "part")
+    rows = learning.complete(learning.target(learning.features(levels(spark, sf_dir)), 21))
+    return learning.purged_split(rows, 21).select("series_id", "obs_date", "part")
+
+
+def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = learning.complete(learning.target(learning.features(levels(spark, sf_dir)), 63))
+    return learning.enough_history(learning.purged_split(rows, 63))
+
+
+def benchmark_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features against a benchmark that lacks every tenth date."""
+    part = benchmark(spark, sf_dir).where("dayofyear(obs_date) % 10 > 0")
+    return rounded(learning.benchmark_features(levels(spark, sf_dir), part).select("series_id", "obs_date", *learning.BENCHMARK_FEATURES))
 
 
 def historical_mean_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +58,25 @@ def forecast_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.forecast_metrics(learning.forest_forecasts(levels(spark, sf_dir)))
 
 
+def forecast_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ridge model's forecast from the latest row of each series, for each horizon, with features of the benchmark."""
+    return learning.latest_forecasts(learning.ridge_forecasts(levels(spark, sf_dir), benchmark(spark, sf_dir)))
+
+
+def forecast_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.attributions(learning.ridge_forecasts(levels(spark, sf_dir), benchmark(spark, sf_dir)), learning.FEATURES + learning.BENCHMARK_FEATURES)
+
+
+def anomaly_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three features that stand out most, for the days of each series with a return beyond four robust deviations."""
+    rows = learning.anomaly_features(series.simple_returns(levels(spark, sf_dir)), benchmark(spark, sf_dir)).dropna()
+    far = learning.robust_scores(rows, "ret").where(F.abs("z") > 4).select("series_id", "obs_date")
+    found = learning.drivers(rows, ANOMALY_COLUMNS).join(far, ["series_id", "obs_date"])
+    return found.select("series_id", "obs_date", F.array_join(F.transform("drivers", lambda d: d["feature"]), ",").alias("drivers"), F.round(F.get("drivers", F.lit(0))["z"], 6).alias("first_z"))
+
+
 def anomaly_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(learning.anomaly_features(series.simple_returns(levels(spark, sf_dir))))
+    return rounded(learning.anomaly_features(series.simple_returns(levels(spark, sf_dir)), benchmark(spark, sf_dir)))
 
 
 def robust_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +84,8 @@ def robust_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learning.isolation_forest(learning.anomaly_features(series.simple_returns(levels(spark, sf_dir))), ("ret", "shock", "vol_ratio"))
+    rows = learning.anomaly_features(series.simple_returns(levels(spark, sf_dir)), benchmark(spark, sf_dir))
+    return learning.isolation_forest(rows, ANOMALY_COLUMNS)
 
 
 def model_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,32 +106,49 @@ def session_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return named(ml_features, ml_target, purged_split, historical_mean_baseline, regression_metrics, ridge_fit, forecast_rf, anomaly_features, robust_zscores, isolation_forest, model_fingerprint, event_windows, rate_limit_window, session_validity)
+    return named(ml_features, ml_target, purged_split, split_sizes, benchmark_features, historical_mean_baseline, regression_metrics, ridge_fit, forecast_rf, forecast_latest, forecast_attributions, anomaly_drivers, anomaly_features, robust_zscores, isolation_forest, model_fingerprint, event_windows, rate_limit_window, session_validity)
 
 
 _W = "PARTITION BY series_id ORDER BY obs_date"
-_SPLIT = """
-sp AS (SELECT *, CASE WHEN i <= a - @G@ THEN 'train' WHEN i <= a THEN 'purged' WHEN i <= b - @G@ THEN 'validation' WHEN i <= b THEN 'purged' ELSE 'test' END AS part
-       FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY obs_date) AS i, floor(0.7::DOUBLE * count(*) OVER (PARTITION BY series_id)) AS a, floor(0.85::DOUBLE * count(*) OVER (PARTITION BY series_id)) AS b FROM nav)),
-tg AS (SELECT *, ln(lead(level, 5) OVER (PARTITION BY series_id ORDER BY obs_date)) - ln(level) AS target FROM sp),
-mb AS (SELECT series_id, obs_date, target AS actual, predicted FROM tg JOIN (SELECT series_id, avg(target) AS predicted FROM tg WHERE part = 'train' GROUP BY series_id) USING (series_id) WHERE part = 'test' AND target IS NOT NULL)"""
+_RAW = f"""x0 AS (SELECT *, ln(level) AS x FROM nav), l0 AS (SELECT *, {", ".join(f"x - lag(x, {k}) OVER ({_W}) AS log_{k}" for k in (1, 5, 21, 63))} FROM x0)"""
+#: Rows with all features: 252 levels make the drawdown, and 63 returns the longest volatility, which no row may have as zero.
+_SPLIT = f"""{_RAW},
+fl AS (SELECT *, row_number() OVER ({_W}) AS k, ln(lead(level, @H@) OVER ({_W})) - x AS target, stddev_samp(log_1) OVER ({_W} ROWS 62 PRECEDING) AS v63 FROM l0),
+ok AS (SELECT * FROM fl WHERE k >= 252 AND v63 > 0 AND target IS NOT NULL),
+sp AS (SELECT *, CASE WHEN i <= a THEN 'train' WHEN i <= a + @H@ THEN 'purged' WHEN i <= b THEN 'validation' WHEN i <= b + @H@ THEN 'purged' ELSE 'test' END AS part
+       FROM (SELECT *, row_number() OVER ({_W}) AS i, floor(0.7::DOUBLE * count(*) OVER (PARTITION BY series_id)) AS a, floor((0.7::DOUBLE + 0.15::DOUBLE) * count(*) OVER (PARTITION BY series_id)) AS b FROM ok)),
+mb AS (SELECT series_id, obs_date, target AS actual, predicted FROM sp JOIN (SELECT series_id, avg(target) AS predicted FROM sp WHERE part = 'train' GROUP BY series_id) USING (series_id) WHERE part = 'test')"""
+_ANOMALY = """bn AS (SELECT r.*, last_value(b.value IGNORE NULLS) OVER (PARTITION BY r.series_id ORDER BY r.obs_date ROWS UNBOUNDED PRECEDING) AS bv FROM ret r LEFT JOIN bench b USING (obs_date)),
+br AS (SELECT *, bv / lag(bv) OVER (PARTITION BY series_id ORDER BY obs_date) - 1 AS benchmark_return FROM bn)"""
 
 
 def oracle_sql() -> dict[str, str]:
     base = f"WITH {LEVELS_SQL}"
-    split = _SPLIT.replace("@G@", "5")
+    split = _SPLIT.replace("@H@", "5")
     full = lambda v, n, c: f"CASE WHEN count({c}) OVER ({_W} ROWS {n - 1} PRECEDING) = {n} THEN {v} OVER ({_W} ROWS {n - 1} PRECEDING) END"
     return {
         "ml_features": f"""{base}, x AS (SELECT *, ln(level) AS x FROM nav), l AS (SELECT *, {", ".join(f"x - lag(x, {k}) OVER ({_W}) AS log_{k}" for k in (1, 5, 21, 63))} FROM x),
             v AS (SELECT *, {full("stddev_samp(log_1)", 21, "log_1")} * sqrt(252) AS vol_21, {full("stddev_samp(log_1)", 63, "log_1")} * sqrt(252) AS vol_63, level / ({full("max(level)", 252, "level")}) - 1 AS drawdown_252 FROM l)
             SELECT series_id, obs_date, {", ".join(f"round({c}, 6) AS {c}" for c in learning.FEATURES if c != "vol_ratio")}, round(vol_21 / nullif(vol_63, 0), 6) AS vol_ratio FROM v""",
         "ml_target": f"{base} SELECT series_id, obs_date, round(ln(lead(level, 21) OVER ({_W})) - ln(level), 6) AS target FROM nav",
-        "purged_split": f"{base}, {_SPLIT.replace('@G@', '21')} SELECT series_id, obs_date, part FROM sp",
+        "purged_split": f"{base}, {_SPLIT.replace('@H@', '21')} SELECT series_id, obs_date, part FROM sp",
+        "split_sizes": f"""{base}, {_SPLIT.replace('@H@', '63')}, c AS (SELECT series_id, count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'validation') AS n_validation, count(*) FILTER (part = 'test') AS n_test FROM sp GROUP BY series_id)
+            SELECT *, n_train >= 200 AND n_validation >= 40 AND n_test >= 40 AS enough FROM c""",
+        "benchmark_features": f"""{base}, {_RAW}, m AS (SELECT l.*, last_value(CASE WHEN dayofyear(b.obs_date) % 10 > 0 THEN b.value END IGNORE NULLS) OVER (PARTITION BY l.series_id ORDER BY l.obs_date ROWS UNBOUNDED PRECEDING) AS v FROM l0 l LEFT JOIN bench b USING (obs_date)),
+            g AS (SELECT *, ln(v) - lag(ln(v), 5) OVER ({_W}) AS b5, ln(v) - lag(ln(v), 21) OVER ({_W}) AS b21 FROM m)
+            SELECT series_id, obs_date, round(b5, 6) AS bench_5, round(b21, 6) AS bench_21, round(log_21 - b21, 6) AS relative_21 FROM g""",
+        "anomaly_drivers": f"""{base}, {_ANOMALY}, f AS (SELECT *, CASE WHEN count(ret) OVER ({_W} ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) = 63 THEN stddev_samp(ret) OVER ({_W} ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) END AS b, {full("stddev_samp(ret)", 21, "ret")} AS s, {full("stddev_samp(ret)", 126, "ret")} AS l FROM br),
+            a AS (SELECT series_id, obs_date, ret, ret / nullif(b, 0) AS shock, s / nullif(l, 0) AS vol_ratio, ret - benchmark_return AS excess_return FROM f),
+            u AS (UNPIVOT (SELECT * FROM a WHERE shock IS NOT NULL AND vol_ratio IS NOT NULL AND excess_return IS NOT NULL) ON ret, shock, vol_ratio, excess_return INTO NAME feature VALUE v),
+            m AS (SELECT series_id, feature, median(v) AS mid FROM u GROUP BY ALL), d AS (SELECT series_id, feature, median(abs(v - mid)) AS mad FROM u JOIN m USING (series_id, feature) GROUP BY ALL),
+            z AS (SELECT series_id, obs_date, feature, (v - mid) / nullif(1.4826::DOUBLE * mad, 0) AS z FROM u JOIN m USING (series_id, feature) JOIN d USING (series_id, feature)),
+            k AS (SELECT *, row_number() OVER (PARTITION BY series_id, obs_date ORDER BY abs(z) DESC, feature) AS p FROM z WHERE z IS NOT NULL)
+            SELECT series_id, obs_date, string_agg(feature, ',' ORDER BY p) FILTER (p <= 3) AS drivers, round(max(z) FILTER (p = 1), 6) AS first_z FROM k GROUP BY series_id, obs_date HAVING max(abs(z)) FILTER (feature = 'ret') > 4""",
         "historical_mean_baseline": f"{base}, {split} SELECT series_id, obs_date, round(actual, 6) AS actual, round(predicted, 6) AS predicted FROM mb",
         "regression_metrics": f"{base}, {split} SELECT series_id, count(*) AS n, round(avg(abs(actual - predicted)), 6) AS mae, round(sqrt(avg((actual - predicted) * (actual - predicted))), 6) AS rmse, round(avg(CAST(sign(actual) = sign(predicted) AS DOUBLE)) FILTER (actual <> 0 AND predicted <> 0), 6) AS directional_accuracy FROM mb GROUP BY series_id",
-        "anomaly_features": f"""{base}, f AS (SELECT *, CASE WHEN count(ret) OVER ({_W} ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) = 63 THEN stddev_samp(ret) OVER ({_W} ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) END AS b,
-            {full("stddev_samp(ret)", 21, "ret")} AS s, {full("stddev_samp(ret)", 126, "ret")} AS l FROM ret)
-            SELECT series_id, obs_date, round(ret, 6) AS ret, round(ret / nullif(b, 0), 6) AS shock, round(s / nullif(l, 0), 6) AS vol_ratio FROM f""",
+        "anomaly_features": f"""{base}, {_ANOMALY}, f AS (SELECT *, CASE WHEN count(ret) OVER ({_W} ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) = 63 THEN stddev_samp(ret) OVER ({_W} ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) END AS b,
+            {full("stddev_samp(ret)", 21, "ret")} AS s, {full("stddev_samp(ret)", 126, "ret")} AS l FROM br)
+            SELECT series_id, obs_date, round(ret, 6) AS ret, round(ret / nullif(b, 0), 6) AS shock, round(s / nullif(l, 0), 6) AS vol_ratio, round(benchmark_return, 6) AS benchmark_return, round(ret - benchmark_return, 6) AS excess_return FROM f""",
         "robust_zscores": f"""{base}, m AS (SELECT series_id, median(ret) AS mid FROM ret GROUP BY series_id), d AS (SELECT series_id, median(abs(ret - mid)) AS mad FROM ret JOIN m USING (series_id) GROUP BY series_id)
             SELECT series_id, obs_date, round(ret, 6) AS ret, round((ret - mid) / nullif(1.4826::DOUBLE * mad, 0), 6) AS z FROM ret JOIN m USING (series_id) JOIN d USING (series_id)""",
         "model_fingerprint": f"{base} SELECT series_id, sha256('1|' || series_id || '|ridge|21|' || count(*) || '|' || min(obs_date) || '|' || max(obs_date) || '|' || printf('%.4f', arg_max(level, obs_date))) AS fingerprint FROM nav GROUP BY series_id",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundloom.conventions import require
@@ -117,18 +117,22 @@ def validated(raw: DataFrame, kind: str, today: Column) -> DataFrame:
 def resolved_keys(rows: DataFrame, kind: str) -> DataFrame:
     """Rows with ``reason`` for repeated keys: an equal repeat of the first row is a duplicate; of rows that differ none stays.
 
-    Values of a key are compared by their hash; the window is over one key.
+    Values of a key are compared by their hash. Keys that come more than once
+    are found by an aggregate with partial results and joined back.
     """
     spec = KINDS[kind]
     good = F.col("reason").isNull()
-    values = F.xxhash64(*(f.name for f in spec.fields))
-    key = Window.partitionBy(*(F.when(good, F.col(k)) for k in spec.key), F.when(~good, F.col("line")))
-    first = F.min(F.when(good, F.struct("line", values.alias("h")))).over(key)
-    marked = rows.withColumn("first", first).withColumn("h", values).withColumn("differs", F.coalesce(F.max(F.when(good, values)).over(key) != F.min(F.when(good, values)).over(key), F.lit(False)))
-    later = F.col("line") > F.col("first.line")
-    why = F.when(later & (F.col("h") == F.col("first.h")), F.concat(F.lit("duplicate of line "), F.col("first.line")))
-    why = why.when(later, F.concat(F.lit("conflicts with line "), F.col("first.line"))).when(F.col("differs"), "conflicting duplicate key")
-    return marked.withColumn("reason", F.coalesce("reason", F.when(good, why))).drop("first", "h", "differs")
+    hashed = rows.withColumn("h", F.xxhash64(*(f.name for f in spec.fields)))
+    keys = [F.col(k).alias(f"_{k}") for k in spec.key]
+    seen = hashed.where(good).groupBy(*keys).agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.min_by("h", "line").alias("first_h"), (F.min("h") != F.max("h")).alias("differs")).where("n > 1").drop("n")
+    same = good
+    for k in spec.key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    marked = hashed.join(seen, same, "left")
+    later = F.col("line") > F.col("first_line")
+    why = F.when(later & (F.col("h") == F.col("first_h")), F.concat(F.lit("duplicate of line "), F.col("first_line")))
+    why = why.when(later, F.concat(F.lit("conflicts with line "), F.col("first_line"))).when(F.col("differs"), "conflicting duplicate key")
+    return marked.withColumn("reason", F.coalesce("reason", why)).select(*rows.columns)
 
 
 def import_counts(rows: DataFrame) -> DataFrame:

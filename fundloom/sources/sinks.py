@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,18 +25,37 @@ def upserted(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> D
     return kept.select(*incoming.columns).unionByName(incoming)
 
 
-def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], partition: str) -> None:
-    """Insert or update rows of a Parquet table; only the partitions that get rows are written anew.
+def last_of_each(incoming: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+    """One row for each key: that with the greatest ``order``, by an aggregate with partial results."""
+    last = incoming.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in incoming.columns if c not in keys)), order).alias("_last"))
+    return last.select(*(F.col(c) if c in keys else F.col("_last")[c].alias(c) for c in incoming.columns))
+
 
-    The new state goes to a folder beside the table first, since a table can't
-    be overwritten by what is read from it.
+def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], partition: str) -> None:
+    """Insert or update rows of a Parquet table; only partitions that lose or get rows are written anew.
+
+    A key whose partition changes leaves its old one, so partitions that hold
+    an incoming key count as touched too. Repeated keys in ``incoming`` are an
+    error. The new state goes to a folder beside the table first, since a
+    table can't be overwritten by what is read from it; that folder is
+    overwritten by the next call. Partitions that lose all rows are emptied
+    by deleting their folder.
     """
-    touched = incoming.select(partition).distinct()
-    old = spark.read.parquet(path).join(touched, partition, "left_semi")
+    table = spark.read.parquet(path)
+    repeated = incoming.groupBy(*keys).count().where("count > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"a key comes twice: {repeated[0]}")
+    held = table.join(incoming.select(*keys), list(keys), "left_semi").select(partition)
+    touched = held.unionByName(incoming.select(partition)).distinct()
+    old = table.join(touched, partition, "left_semi")
     beside = f"{path.rstrip('/')}.new"
     upserted(old, incoming, keys).write.mode("overwrite").parquet(beside)
     new = spark.read.parquet(beside)
+    emptied = [r[0] for r in touched.join(new.select(partition).distinct(), partition, "left_anti").collect()]
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    for value in emptied:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{partition}={value}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def snapshot_changes(existing: DataFrame, incoming: DataFrame, group: Sequence[str], row: Sequence[str]) -> DataFrame:
