@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from fundloom.llm.shared import Scratch, materialise
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     """Link neighbours to the least node around: the greater ones (large) or the lesser ones (small).
 
-    The least neighbour is an aggregate with partial sums on the map side and
-    the join is one that Spark can split, so a node with very many links
-    holds up no task.
+    The least neighbour is an aggregate with partial sums on the map side, and
+    a table of its own, so that Spark can split the join at a node with very
+    many links.
     """
     if large:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = scratch.table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return out.where("a <> b").distinct()
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = scratch.table(links.groupBy("a").agg(F.min("b").alias("m")), "least")
     out = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
@@ -39,7 +39,7 @@ def connected_components(links: DataFrame, tag: str = "components") -> DataFrame
         mark = F.struct(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)))
         seen = now.agg(mark).first()[0]
         while seen[0]:
-            now = scratch.table(_star(_star(now, True), False), "round")
+            now = scratch.table(_star(_star(now, True, scratch), False, scratch), "round")
             new = now.agg(mark).first()[0]
             if new == seen:
                 break

@@ -99,14 +99,14 @@ def minima_of(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.StructType([T.StructField("same", T.BinaryType()), T.StructField("print", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+@F.pandas_udf(T.StructType([T.StructField("same", T.BinaryType()), T.StructField("print", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 def _sketch(texts: pd.Series) -> pd.DataFrame:
     known, same, prints, bands = _Words(), [], [], []
     for text in texts:
         s = shingles_of(text, known)
         same.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
         m = minima_of(s)
-        prints.append(fingerprint_of_hashes(s).tobytes())
+        prints.append(int(fingerprint_of_hashes(s).view(np.int64)[0]))
         keys = _mixed((m.reshape(BANDS, ROWS) * _BAND_FACTORS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
         bands.append(keys.view(np.int64) if len(s) else np.zeros(0, np.int64))
     return pd.DataFrame({"same": same, "print": prints, "bands": bands})
@@ -143,42 +143,81 @@ def similar_groups(sets: list[np.ndarray]) -> np.ndarray:
     return _groups(len(sets), partners)
 
 
-def _by_key(roots: Callable[[list], np.ndarray]):
-    """Over rows (key, node, value) sorted by key: (a, b) for each node a whose component in its key has a lesser node b."""
+FOUND = "a long, b long, large long"
+
+
+def _found(links: list[tuple[int, int]], large: list[int]) -> pa.RecordBatch:
+    columns = [[x[0] for x in links] + [None] * len(large), [x[1] for x in links] + [None] * len(large), [None] * len(links) + large]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "large"])
+
+
+def _texts(together: int, together_bytes: int):
+    """Over rows (key, node, value) sorted by key: (a, b) for each node a whose component in its key has a lesser node b.
+
+    A key with more members or bytes is not compared but told as ``large``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(nodes: list, values: list) -> pa.RecordBatch:
-            root = roots(values)
-            linked = [i for i in range(len(nodes)) if root[i] != i]
-            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in linked], pa.int64()), pa.array([nodes[root[i]] for i in linked], pa.int64())], names=["a", "b"])
+            known = _Words()
+            root = similar_groups([shingles_of(v, known) for v in values]) if len(values) > 1 else [0]
+            return _found([(nodes[i], nodes[root[i]]) for i in range(len(nodes)) if root[i] != i], [])
 
-        now, nodes, values = None, [], []
+        now, nodes, values, size, skip = None, [], [], 0, False
         for batch in batches:
             for key, node, value in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "value")), strict=True):
-                if key != now and nodes:
-                    yield made(nodes, values)
-                    nodes, values = [], []
-                now = key
+                if key != now:
+                    if nodes:
+                        yield made(nodes, values)
+                    now, nodes, values, size, skip = key, [], [], 0, False
+                if skip:
+                    continue
                 nodes.append(node)
                 values.append(value)
+                size += len(value or b"")
+                if len(nodes) > 1 and (len(nodes) > together or size > together_bytes):
+                    nodes, values, skip = [], [], True
+                    yield _found([], [key])
         if nodes:
             yield made(nodes, values)
 
     return run
 
 
-def _prints_roots(values: list) -> np.ndarray:
-    fps = np.frombuffer(b"".join(values), "<u8")
-    return roots_in_buckets(np.zeros(len(fps), np.int64), fps, RADIUS)
-
-
-def _prints_alike(one: np.ndarray, other: np.ndarray) -> bool:
-    return int(one[0] ^ other[0]).bit_count() <= RADIUS
+def _prints(together: int, together_bytes: int):
+    """``_texts`` for fingerprints as values, all keys of a batch together."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.concatenate([start, [len(key)]]))
+            each = np.repeat(size, size)
+            chosen = np.flatnonzero((each > 1) & (each <= together))
+            root = roots_in_buckets(key[chosen], fp[chosen].view(np.uint64), RADIUS)
+            linked = np.flatnonzero(root != np.arange(len(root)))
+            own = node[chosen]
+            return _found(list(zip(own[linked].tolist(), own[root[linked]].tolist(), strict=True)), key[start[size > together]].tolist())
+
+        held, skip = [np.zeros(0, np.int64)] * 3, None
+        for batch in batches:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "value")]
+            held = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if skip is not None:
+                held = [h[held[0] != skip] for h in held]
+            if not len(held[0]):
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on
+            if cut:
+                yield made(*(h[:cut] for h in held))
+            held = [h[cut:] for h in held]
+            if len(held[0]) > together:
+                skip = held[0][0]
+                yield _found([], [int(skip)])
+                held = [h[:0] for h in held]
+        if len(held[0]):
+            yield made(*held)
 
-def _texts_roots(values: list) -> np.ndarray:
-    known = _Words()
-    return similar_groups([shingles_of(v, known) for v in values])
+    return run
 
 
 def _texts_alike(one: np.ndarray, other: np.ndarray) -> bool:
@@ -192,13 +231,13 @@ def _texts_alike(one: np.ndarray, other: np.ndarray) -> bool:
 class Likeness:
     """How members of a group are compared: all in one task, and one with another."""
 
-    roots: Callable[[list], np.ndarray]
-    prepared: Callable[[bytes, dict], np.ndarray]
-    alike: Callable[[np.ndarray, np.ndarray], bool]
+    groups: Callable[[int, int], Callable]
+    prepared: Callable
+    alike: Callable[..., bool]
 
 
-PRINTS = Likeness(_prints_roots, lambda value, _: np.frombuffer(value, "<u8"), _prints_alike)
-TEXTS = Likeness(_texts_roots, shingles_of, _texts_alike)
+PRINTS = Likeness(_prints, lambda value, _: value, lambda one, other: ((one ^ other) & (2**64 - 1)).bit_count() <= RADIUS)
+TEXTS = Likeness(_texts, shingles_of, _texts_alike)
 
 
 def _with_leader(likeness: Likeness):
@@ -218,27 +257,19 @@ def _with_leader(likeness: Likeness):
     return run
 
 
-def _in_tasks(members: DataFrame, by: list[str], likeness: Likeness) -> DataFrame:
-    key = F.col(by[0]) if len(by) == 1 else F.concat_ws(",", *by)
-    return members.select(key.alias("key"), "node", "value").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_by_key(likeness.roots), "a long, b long")
-
-
-def sized(members: DataFrame) -> DataFrame:
-    """``members(key, node, value)`` of keys with more than one, with ``n`` and ``size`` of their key."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("value"), F.lit(0))).alias("size")).where("n > 1")
-    return members.join(sizes, "key")
+def _in_tasks(members: DataFrame, key: Column, likeness: Likeness, together: int, together_bytes: int) -> DataFrame:
+    rows = members.select(key.alias("key"), "node", "value").repartition("key").sortWithinPartitions("key", "node")
+    return rows.mapInArrow(likeness.groups(together, together_bytes), FOUND)
 
 
 def group_links(members: DataFrame, likeness: Likeness, scratch: Scratch, together: int = TOGETHER, together_bytes: int = TOGETHER_BYTES, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links that join the members of ``members(key, node, value, n, size)`` into the components of all links within their key.
-
-    ``n`` and ``size`` are the members and the bytes of values of a key, as ``sized`` gives them.
-    """
-    large = (F.col("n") > together) | (F.col("size") > together_bytes)
-    links = _in_tasks(members.where(~large), ["key"], likeness)
-    all_ = scratch.table(members.where(large).select("key", "node", "value", "n"), "large")
-    if not all_.take(1):
+    """(a, b): links that join the members of ``members(key, node, value)`` into the components of all links within their key."""
+    met = scratch.table(_in_tasks(members, F.col("key"), likeness, together, together_bytes), "met")
+    links = met.where("a IS NOT NULL").select("a", "b")
+    big = met.where("large IS NOT NULL").select(F.col("large").alias("key")).distinct()
+    if not big.take(1):
         return links
+    all_ = scratch.table(members.join(big, "key").select("key", "node", "value"), "large")
     apart, first, found = all_, None, None
     for _ in range(LEADERS):
         least = apart.groupBy("key").agg(F.min("node").alias("node"))
@@ -254,7 +285,8 @@ def group_links(members: DataFrame, likeness: Likeness, scratch: Scratch, togeth
         if not apart.take(1):
             return links.unionByName(found)
     # All that stays apart against all members, in tasks of a chunk of each.
-    parts = scratch.table(apart.groupBy("key").agg(F.count("*").alias("m")), "apart-sizes")
+    counts = all_.groupBy("key").agg(F.count("*").alias("n")).join(apart.groupBy("key").agg(F.count("*").alias("m")), "key")
+    parts = scratch.table(counts, "apart-sizes")
     rows, columns = F.ceil(F.col("m") / chunk), F.ceil(F.col("n") / chunk)
 
     def dealt(side: DataFrame, own: Column, other: Column, i: str, j: str) -> DataFrame:
@@ -262,7 +294,9 @@ def group_links(members: DataFrame, likeness: Likeness, scratch: Scratch, togeth
         return side.join(parts, "key").select("key", "node", "value", at.alias(i), F.explode(F.sequence(F.lit(0).cast("long"), other - 1)).alias(j))
 
     pairs = dealt(apart, rows, columns, "i", "j").unionByName(dealt(all_, columns, rows, "j", "i")).distinct()
-    return links.unionByName(found).unionByName(_in_tasks(pairs, ["key", "i", "j"], likeness))
+    # Chunks are of bounded size by the hash; a pair of chunks that isn't would be a key of its own again, so no bound is set here.
+    last = _in_tasks(pairs, F.xxhash64("key", "i", "j"), likeness, 1 << 60, 1 << 60)
+    return links.unionByName(found).unionByName(last.select("a", "b"))
 
 
 def one_of_each_group(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
@@ -282,12 +316,13 @@ def one_of_each_group(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
         prints = scratch.table(marked.select(F.col(row).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), _sketch(text).alias("s")).select("node", "doc_id", "s.*"), "prints")
         least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least")
         classes = scratch.table(prints.groupBy("same").agg(least).select(F.col("least.node").alias("node"), "least"), "classes")
-        first = prints.join(classes.select("node"), "node", "left_semi")
-        keyed = scratch.table(first.select("node", F.col("print").alias("value"), F.explode("bands").alias("key")), "bands")
-        candidates = scratch.table(group_links(sized(keyed), PRINTS, scratch, together).distinct(), "candidates")
+        first = scratch.table(prints.join(classes.select("node"), "node", "left_semi"), "first")
+        keyed = first.select("node", F.col("print").alias("value"), F.explode("bands").alias("key"))
+        candidates = scratch.table(group_links(keyed, PRINTS, scratch, together).distinct(), "candidates")
         groups = connected_components(candidates, "near-candidates")
-        texts = scratch.table(groups.join(marked.select(F.col(row).alias("node"), text.alias("value")), "node").select(F.col("component").alias("key"), "node", "value"), "texts")
-        found = connected_components(group_links(sized(texts), TEXTS, scratch, together), "near-groups")
+        texts = scratch.table(groups.hint("merge").join(marked.select(F.col(row).alias("node"), text.alias("value")), "node").select(F.col("component").alias("key"), "node", "value"), "texts")
+        found = connected_components(group_links(texts, TEXTS, scratch, together), "near-groups")
         member = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         keep = materialise(member.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.node").alias(row)), "near-kept")
-    return marked.join(keep, row, "left_semi").select(*columns)
+    # The rows that stay grow with the documents, so their table is never sent to all tasks.
+    return marked.join(keep.hint("merge"), row, "left_semi").select(*columns)
