@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundloom.functions import text as tx
-from fundloom.operators import chunking, retrieval
+from fundloom.operators import catalogue, chunking, retrieval
 from fundloom.plans.common import Query, named, rounded
 from fundloom.sources.adapters import table
 
@@ -215,16 +215,27 @@ def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", "role", F.col("x.text").alias("text"), joined("used_sources"), joined("used_calculations"), joined("invalid_markers"))
 
 
+def _named_funds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as funds, named by the words of their names; three plans to a family."""
+    plan = F.when(F.col("p_partkey") % 3 == 0, " Fund - Direct").when(F.col("p_partkey") % 3 == 1, " Fund (Regular)").otherwise(" Index")
+    family = F.initcap(F.array_join(F.slice(F.split("p_name", " "), 1, 2), " "))
+    return table(spark, sf_dir, "part").where("p_name IS NOT NULL").select(F.col("p_partkey").alias("fund_id"), F.concat(F.lit("FS"), "p_partkey").alias("code"), F.concat(family, plan).alias("name"))
+
+
+def fund_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.fund_aliases(_named_funds(spark, sf_dir))
+
+
 def fund_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions that name a nation in whole words: an equi-join of the questions' phrases with the aliases."""
-    names = table(spark, sf_dir, "nation").select("n_nationkey", F.regexp_replace(F.lower("n_name"), "[^a-z0-9]+", " ").alias("alias"), "n_name")
-    asked = table(spark, sf_dir, "supplier").join(names, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat(F.lit("How is "), "n_name", F.lit("'s fund, "), "s_name", F.lit("?")).alias("question"))
-    found = asked.select("s_suppkey", F.explode(tx.phrases(F.col("question"))).alias("alias"))
-    return found.join(names, "alias").select("s_suppkey", "n_nationkey").distinct()
+    """Questions that name a fund by its code, its name, or in part."""
+    funds = _named_funds(spark, sf_dir)
+    asked = funds.where("fund_id % 10 = 0")
+    question = F.when(F.col("fund_id") % 20 == 0, F.concat(F.lit("What is the NAV of "), "code", F.lit("?"))).otherwise(F.concat(F.lit("How did "), F.regexp_replace("name", catalogue.PLAN_SUFFIX, ""), F.lit(" do, and pre-"), "code", F.lit("?")))
+    return catalogue.mentioned_funds(asked.select(F.col("fund_id").alias("query_id"), question.alias("question")), catalogue.fund_aliases(funds))
 
 
 def queries() -> dict[str, Query]:
-    return named(sentence_split, chunk_documents, injection_flags, lexeme_df, lexical_topk, vector_topk, rrf_fusion, evidence_gate, latest_boost, final_ranking, near_duplicates, context_selection, extractive_excerpts, conflict_detection, ir_metrics, evaluation_summary, evaluation_gate, evidence_recall, access_filter, document_rights, boilerplate_lines, follow_up_detection, conversation_history, number_grounding, citation_check, fund_mentions)
+    return named(sentence_split, chunk_documents, injection_flags, lexeme_df, lexical_topk, vector_topk, rrf_fusion, evidence_gate, latest_boost, final_ranking, near_duplicates, context_selection, extractive_excerpts, conflict_detection, ir_metrics, evaluation_summary, evaluation_gate, evidence_recall, access_filter, document_rights, boilerplate_lines, follow_up_detection, conversation_history, number_grounding, citation_check, fund_aliases, fund_mentions)
 
 
 _STOP = "['" + "', '".join(tx.STOP_WORDS) + "']"
@@ -255,6 +266,12 @@ nn AS (SELECT * FROM (SELECT query_id, passage_id, similarity, CAST(row_number()
   FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE vector_rank <= 10)"""
 
 
+_ALIASES = r"""
+nf AS (SELECT p_partkey AS fund_id, 'FS' || p_partkey AS code, lower(array_to_string(string_split(p_name, ' ')[1:2], ' ')) || CASE WHEN p_partkey % 3 < 2 THEN ' fund' ELSE ' index' END AS base FROM part WHERE p_name IS NOT NULL),
+wf AS (SELECT *, string_split(base, ' ') AS w FROM nf),
+ca AS (SELECT fund_id, base AS family, unnest(list_distinct(list_filter([lower(code), base, CASE WHEN w[-1] = 'fund' THEN array_to_string(w[1:len(w) - 1], ' ') END, CASE WHEN len(w) >= 2 THEN array_to_string(w[1:2], ' ') END,
+   CASE WHEN length(w[1]) >= 4 AND w[1] NOT IN (@GENERIC@) THEN w[1] END], lambda x: x IS NOT NULL AND x <> ''))) AS alias FROM wf),
+al AS (SELECT fund_id, alias, family FROM ca JOIN (SELECT alias, count(DISTINCT family) AS n FROM ca GROUP BY alias) USING (alias) WHERE n = 1 OR contains(alias, ' '))""".replace("@GENERIC@", ", ".join(f"'{g}'" for g in catalogue.GENERIC))
 _JUDGED = f"""{_VECTOR}, r AS (SELECT q.vec_id AS query_id, v.vec_id AS passage_id FROM embeddings q JOIN embeddings v USING (label) WHERE q.vec_id % 100 = 0),
 t AS (SELECT query_id, count(*) AS n FROM r GROUP BY query_id),
 h AS (SELECT query_id, count(*) FILTER (vector_rank <= 1) AS h1, count(*) FILTER (vector_rank <= 3) AS h3, count(*) FILTER (vector_rank <= 5) AS h5, max(1.0::DOUBLE / vector_rank) AS rr, sum(1 / log2(vector_rank + 1)) FILTER (vector_rank <= 5) AS dcg FROM nn JOIN r USING (query_id, passage_id) GROUP BY query_id),
@@ -344,5 +361,9 @@ def oracle_sql() -> dict[str, str]:
             c AS (SELECT *, list_reduce(list_concat([single], list_distinct(bad)), lambda x, y: replace(x, '[' || y || ']', '')) AS cut, [m2 FOR m2 IN good IF starts_with(m2, 'S')] AS s FROM k)
             SELECT conv_id, turn, role, trim(regexp_replace(cut, '[ \t]{2,}', ' ', 'g')) AS text,
                    array_to_string(list_filter(s, lambda x, i: list_position(s, x) = i), ',') AS used_sources, CASE WHEN list_contains(good, 'T1') THEN 'T1' ELSE '' END AS used_calculations, array_to_string(bad, ',') AS invalid_markers FROM c""",
-        "fund_mentions": "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+        "fund_aliases": f"WITH {_ALIASES} SELECT fund_id, alias, family FROM al",
+        # Every question against every alias, with the guard at both ends.
+        "fund_mentions": rf"""WITH {_ALIASES}, q AS (SELECT fund_id AS query_id, CASE WHEN fund_id % 20 = 0 THEN 'what is the nav of ' || lower(code) || '?' ELSE 'how did ' || base || ' do, and pre-' || lower(code) || '?' END AS question FROM nf WHERE fund_id % 10 = 0),
+            d AS (SELECT DISTINCT alias FROM al)
+            SELECT DISTINCT query_id, fund_id FROM q JOIN d ON regexp_matches(question, '(^|[^\w-])' || alias || '([^\w-]|$)') JOIN al USING (alias)""",
     }

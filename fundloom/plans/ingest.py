@@ -58,6 +58,17 @@ def price_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.level_faults(hurt.unionByName(hurt.where(day % 90 == 0)))
 
 
+def portfolio_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as portfolios of their lines' suppliers by quantity; every fifth order has an odd line."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("double").alias("q"))
+    total = lines.groupBy("l_orderkey").agg(F.sum("q").alias("total"))
+    odd = (F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") == 2)
+    rows = lines.join(total, "l_orderkey").select(F.col("l_orderkey").alias("portfolio_id"), F.col("l_linenumber").alias("line"), F.when(odd & (F.col("l_orderkey") % 2 == 0), "FS-none").otherwise(F.concat(F.lit("FS-"), "l_suppkey")).alias("scheme_code"), F.when(odd & (F.col("l_orderkey") % 2 == 1), "n/a").otherwise(F.round(100 * F.col("q") / F.col("total"), 6).cast("string")).alias("weight_pct"))
+    funds = table(spark, sf_dir, "supplier").select(F.concat(F.lit("FS-"), "s_suppkey").alias("code"))
+    found = csvkinds.portfolio_problems(rows, funds)
+    return found.select("portfolio_id", "n_rows", F.array_join("problems", "|").alias("problems"))
+
+
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
     new = o.where("key % 2 = 0").withColumn("value", F.when(F.col("key") % 10 == 0, F.col("value") + 1).otherwise(F.col("value")))
@@ -101,7 +112,7 @@ def nav_file_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return named(csv_validate, csv_dedup_conflict, import_counts, import_ledger, price_faults, upsert_diff, upsert_result, snapshot_diff, unknown_code_anti, key_semi, nav_file_parse)
+    return named(csv_validate, csv_dedup_conflict, import_counts, import_ledger, price_faults, portfolio_import, upsert_diff, upsert_result, snapshot_diff, unknown_code_anti, key_semi, nav_file_parse)
 
 
 _RAW = """
@@ -130,6 +141,12 @@ def oracle_sql() -> dict[str, str]:
         "import_counts": f"WITH {_RAW} SELECT count(*) AS rows_total, count(*) FILTER (reason IS NULL) AS rows_accepted, count(*) FILTER (reason IS NOT NULL) AS rows_rejected FROM x",
         "import_ledger": f"""WITH {_RAW}, b AS (SELECT line, reason FROM x WHERE reason IS NOT NULL ORDER BY line LIMIT 500)
             SELECT 'batch-1' AS batch_id, 'nav' AS kind, (SELECT count(*) FROM x) AS rows_total, (SELECT count(*) FROM x WHERE reason IS NOT NULL) AS rows_rejected, (SELECT string_agg(line || ' ' || left(reason, 120), '|' ORDER BY line) FROM b) AS rejected""",
+        "portfolio_import": """WITH t AS (SELECT l_orderkey AS p, l_linenumber AS line, l_suppkey, CAST(l_quantity AS DOUBLE) AS q, sum(CAST(l_quantity AS DOUBLE)) OVER (PARTITION BY l_orderkey) AS total FROM lineitem),
+            r AS (SELECT p, line, CASE WHEN p % 5 = 0 AND line = 2 AND p % 2 = 0 THEN 'FS-none' ELSE 'FS-' || l_suppkey END AS code, CASE WHEN p % 5 = 0 AND line = 2 AND p % 2 = 1 THEN NULL ELSE round(100 * q / total, 6) END AS w FROM t),
+            f AS (SELECT *, min(line) OVER (PARTITION BY p, code) AS first, EXISTS (SELECT 1 FROM supplier WHERE code = 'FS-' || s_suppkey) AS known FROM r),
+            y AS (SELECT *, CASE WHEN NOT known THEN 'unknown code ' || code WHEN line > first THEN 'repeats line ' || first WHEN w IS NULL OR w < 0 OR w > 100 THEN 'not a weight from 0 to 100' END AS why FROM f)
+            SELECT p AS portfolio_id, count(*) AS n_rows, CASE WHEN count(why) = 0 THEN CASE WHEN abs(coalesce(sum(CAST(w AS DECIMAL(18, 6))), 0) - 100) > 0.01 THEN 'weights don''t add up to 100' ELSE '' END
+                   ELSE string_agg('line ' || line || ': ' || why, '|' ORDER BY line, why) FILTER (why IS NOT NULL) END AS problems FROM y GROUP BY p""",
         "price_faults": f"""WITH {LEVELS_SQL}, h AS (SELECT series_id, obs_date, CASE WHEN dayofyear(obs_date) % 50 = 0 THEN NULL WHEN dayofyear(obs_date) % 70 = 0 THEN 0.0::DOUBLE ELSE level END AS level FROM nav), a AS (SELECT * FROM h UNION ALL SELECT * FROM h WHERE dayofyear(obs_date) % 90 = 0)
             SELECT * FROM (SELECT series_id, obs_date, CASE WHEN count(*) > 1 THEN 'duplicate date' WHEN count(level) = 0 THEN 'missing value' WHEN min(level) <= 0 THEN 'non-positive level' END AS reason FROM a GROUP BY ALL) WHERE reason IS NOT NULL""",
         "upsert_diff": f"WITH {_VERSIONS} SELECT b.key, round(b.value, 2) AS value, CASE WHEN a.key IS NULL THEN 'inserted' WHEN a.value = b.value THEN 'unchanged' ELSE 'updated' END AS change FROM b LEFT JOIN a USING (key)",

@@ -151,3 +151,23 @@ def parse_nav_lines(lines: DataFrame) -> DataFrame:
     good = rows.where(F.col("code").rlike(r"^\d+$") & (F.col("nav") > 0) & F.col("nav_date").isNotNull())
     last = good.groupBy("code", "nav_date").agg(F.max_by(F.struct("name", "nav"), "line").alias("r"))
     return last.select("code", "nav_date", "r.name", "r.nav")
+
+
+def portfolio_problems(rows: DataFrame, funds: DataFrame, most: int = 50, tolerance: float = 0.01) -> DataFrame:
+    """(portfolio_id, n_rows, total_pct, problems): what keeps ``rows(portfolio_id, line, scheme_code, weight_pct)`` from being stored.
+
+    A portfolio is stored whole or not at all: unknown codes, repeated codes,
+    weights that aren't numbers from 0 to 100, and a sum other than 100 are
+    problems, of which the first ``most`` are listed.
+    """
+    known = funds.select(F.col("code").alias("scheme_code"), F.lit(True).alias("known")).distinct()
+    weight = F.col("weight_pct").try_cast("double")
+    first = rows.where("scheme_code IS NOT NULL").groupBy("portfolio_id", "scheme_code").agg(F.min("line").alias("first"))
+    joined = rows.join(known, "scheme_code", "left").join(first, ["portfolio_id", "scheme_code"], "left").withColumn("w", weight)
+    why = F.when(F.col("known").isNull(), F.concat(F.lit("unknown code "), F.coalesce("scheme_code", F.lit(""))))
+    why = why.when(F.col("line") > F.col("first"), F.concat(F.lit("repeats line "), F.col("first"))).when(F.col("w").isNull() | (F.col("w") < 0) | (F.col("w") > 100), "not a weight from 0 to 100")
+    bad = F.array_sort(F.filter(F.collect_list(F.when(why.isNotNull(), F.struct("line", why.alias("why")))), lambda x: x.isNotNull()))
+    summed = joined.groupBy("portfolio_id").agg(F.count("*").alias("n_rows"), F.sum(F.col("w").cast("decimal(18,6)")).cast("double").alias("total_pct"), bad.alias("bad"))
+    listed = F.transform(F.slice("bad", 1, most), lambda x: F.concat(F.lit("line "), x["line"], F.lit(": "), x["why"]))
+    off = F.abs(F.coalesce("total_pct", F.lit(0.0)) - 100) > tolerance
+    return summed.select("portfolio_id", "n_rows", "total_pct", F.when(off & (F.size("bad") == 0), F.array(F.lit("weights don't add up to 100"))).otherwise(listed).alias("problems"))

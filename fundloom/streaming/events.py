@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +25,29 @@ def trailing_hits(events: DataFrame, seconds: int, limit: int) -> DataFrame:
     return counted.withColumn("allowed", F.col("hits") <= limit).drop("at")
 
 
+def stream_hits(events: DataFrame, seconds: int, limit: int) -> DataFrame:
+    """``trailing_hits`` on a stream: (user_id, event_id, at, hits, allowed), with a user's trailing times as state.
+
+    Events of one batch are taken in order of time; one that comes after a
+    later one was counted sees only what is known then. The state holds the
+    times of the trailing seconds, so it is bounded by a user's rate.
+    """
+    span = seconds * 1_000_000
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        known = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        hits = []
+        for at in rows["at"].tolist():
+            known = sorted([*(t for t in known if t > at - span), at])
+            hits.append(sum(t <= at for t in known))
+        state.update((known,))
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "at": rows["at"], "hits": hits, "allowed": [h <= limit for h in hits]})
+
+    stamped = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return stamped.groupBy("user_id").applyInPandasWithState(count, "user_id long, event_id long, at long, hits long, allowed boolean", "times array<long>", "append", "NoTimeout")
+
+
 def sessions(events: DataFrame, gap: str = "12 hours") -> DataFrame:
     """(user_id, start, n, events): runs of a user's events without a pause of ``gap``; works on streams too."""
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", gap)
