@@ -29,38 +29,46 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of benchmark windows in each document; null texts have no words, long ones are searched whole (``decontaminate.decontaminate``)."""
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles and components within two bits; texts without words have fingerprint zero (``simhash.near_duplicates``)."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from ``labels.toxic`` of rows that aren't held out; empty texts are scored too (``toxicity.toxicity``)."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens; a null text is its end id alone (``packing.pack_documents``)."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives and read back; null html is an empty payload, a gap is an error (``warc.archive_round_trip``)."""
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op8_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs; null texts stay null (``linedup.without_repeats``)."""
     found = linedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_deleted", "words_deleted", "text")
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence that each document states or inherits from a directory above; empty texts state none (``licences.scan_licences``)."""
     docs = table(spark, sf_dir, "documents")
     return licences.scan_licences(docs.select("doc_id", licences.corpus_path(docs).alias("path"), "text"))
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as lossless WebP images and read back; null and empty texts are 192 spaces (``media.media_round_trip``)."""
     return media.media_round_trip(table(spark, sf_dir, "documents"))
 
 
