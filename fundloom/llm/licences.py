@@ -10,7 +10,8 @@ holds a licence file, by joins on path prefixes.
 Only sentences that can reach the least cosine are compared. By the inequality
 of Cauchy and Schwarz such a sentence holds terms with at least the square of
 that cosine of a template's squared weights; so it holds one of the template's
-rarest terms, as many as leave less than that share to the others.
+rarest terms, as many as leave less than that share to the others; and its
+terms' greatest shares of any template add up to it.
 
 Only DataFrame operations are used.
 """
@@ -20,6 +21,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +89,22 @@ def key_terms(rows: list[tuple[str, str, str | None]], idf: dict[str, float], le
     return sorted(keys)
 
 
+def share_levels(rows: list[tuple[str, str, str | None]], idf: dict[str, float], levels: int = 8) -> list[tuple[list[str], float]]:
+    """Terms by their greatest share of a template's squared weights, in levels of (terms, the greatest share in the level).
+
+    What a sentence's terms can have of one template is at most the sum of
+    their levels' shares.
+    """
+    greatest: dict[str, float] = defaultdict(float)
+    for terms in _grouped(_weights(rows, idf)):
+        total = sum(w * w for _, w, _ in terms)
+        for t, w, _ in terms:
+            greatest[t] = max(greatest[t], w * w / total)
+    ordered = sorted(greatest, key=lambda t: (greatest[t], t))
+    size = -(-len(ordered) // levels)
+    return [(ordered[i : i + size], greatest[ordered[min(i + size, len(ordered)) - 1]]) for i in range(0, len(ordered), size)]
+
+
 def _grouped(weights: list[tuple]) -> list[list[tuple]]:
     by = defaultdict(list)
     for k, _, t, w, must, _, _ in weights:
@@ -163,8 +182,15 @@ def scan_licences(files: DataFrame, templates=None, least: float = LEAST_COSINE,
         keys = F.array(*(F.lit(k) for k in key_terms(rows, idf, least)))
         terms = terms_of(text)
 
+        levels = [(F.array(*(F.lit(t) for t in level)), most) for level, most in share_levels(rows, idf)]
+
+        def reaches(s: Column) -> Column:
+            own = terms_of(s)
+            return reduce(add, (F.size(F.array_intersect(own, level)) * most for level, most in levels)) >= 0.999 * least * least
+
         def stated(sentences: Column) -> Column:
-            return F.array_distinct(F.filter(sentences, lambda s: F.arrays_overlap(terms_of(s), keys)))
+            some = F.filter(sentences, lambda s: F.arrays_overlap(terms_of(s), keys))
+            return F.array_distinct(F.filter(some, reaches))
 
         some = plain.select(*identity, F.size(terms).alias("n_terms"), F.arrays_overlap(terms, keys).alias("states"), "text").where("states")
         kinds = F.array(F.struct(F.lit(True).alias("lines"), stated(line_sentences(text)).alias("bodies")), F.struct(F.lit(False).alias("lines"), stated(paragraph_sentences(text)).alias("bodies")))

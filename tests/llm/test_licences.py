@@ -114,6 +114,8 @@ def test_pruning_loses_no_sentence_that_is_near_enough():
     idf = {t: 1 + 8 * rng.random() for t in vocabulary}
     keys = set(licences.key_terms(rows, idf, 0.6))
     assert len(keys) < len(vocabulary)
+    levels = licences.share_levels(rows, idf)
+    assert sorted(t for level, _ in levels for t in level) == vocabulary
 
     def vector(terms):
         return {t: n * idf.get(t, 6.0) for t, n in Counter(terms).items()}
@@ -131,6 +133,7 @@ def test_pruning_loses_no_sentence_that_is_near_enough():
             if cosine >= 0.6:
                 near += 1
                 assert keys & set(kept)
+                assert sum(len(set(level) & set(kept)) * most for level, most in levels) >= 0.999 * 0.36
     assert near > 1000
 
 
