@@ -13,7 +13,6 @@ buckets and the distinct windows, some 60 bytes for each word of the part.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
