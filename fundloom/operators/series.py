@@ -6,10 +6,12 @@ a date, so a window is as long as a history has trading days.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundloom.conventions import COVERAGE_TOLERANCE_DAYS, PERIODS, STALE_AFTER_DAYS, Conventions
+from fundloom.conventions import COVERAGE_TOLERANCE_DAYS, PERIODS, STALE_AFTER_DAYS, Conventions, require
 
 
 def in_order(*more: Column | str):
@@ -123,9 +125,15 @@ def resolve_period(levels: DataFrame, label: str) -> DataFrame:
     return ends.select("series_id", F.greatest(asked, F.col("first")).alias("start"), "end", (F.datediff(asked, F.col("first")) >= -COVERAGE_TOLERANCE_DAYS).alias("covered"))
 
 
-def in_period(levels: DataFrame, label: str) -> DataFrame:
-    periods = resolve_period(levels, label).select("series_id", "start", "end")
-    return levels.join(periods, "series_id").where("obs_date BETWEEN start AND end").drop("start", "end")
+def in_period(levels: DataFrame, label: str | None = None, start: date | None = None, end: date | None = None) -> DataFrame:
+    """The levels of a labelled period, or of the dates from ``start`` to ``end``, of which either may be open."""
+    if label is not None:
+        require(start is None and end is None, "a period is given by its label or by dates")
+        periods = resolve_period(levels, label).select("series_id", "start", "end")
+        return levels.join(periods, "series_id").where("obs_date BETWEEN start AND end").drop("start", "end")
+    require(start is None or end is None or start <= end, "a period starts after its end")
+    out = levels if start is None else levels.where(F.col("obs_date") >= F.lit(start))
+    return out if end is None else out.where(F.col("obs_date") <= F.lit(end))
 
 
 def freshness(levels: DataFrame, today: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +108,14 @@ def chart_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(wide)
 
 
+def period_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many levels each series has in its last year, and in 1995 by dates, with their means."""
+    rows = levels(spark, sf_dir)
+    parts = {"1y": series.in_period(rows, "1y"), "1995": series.in_period(rows, start=date(1995, 1, 1), end=date(1995, 12, 31))}
+    one = [p.groupBy("series_id").agg(F.count("*").alias("n"), F.avg("level").alias("mean_level")).withColumn("period", F.lit(k)) for k, p in parts.items()]
+    return rounded(one[0].unionByName(one[1]), 4)
+
+
 def period_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for label in ("1m", "1y", "5y", "max"):
@@ -128,7 +138,7 @@ def outlier_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return named(risk_report, risk_report_wide, simple_returns, growth, return_statistics, benchmark_stats, drawdown_series, max_drawdown, historical_var_cvar, rolling_volatility, rolling_sharpe, rolling_beta, trailing_returns, as_of_one_year_return, carried_benchmark, return_histogram, correlation_matrix, aligned_levels, alignment_report, rebased_compare, chart_merge, period_window, risk_change, freshness, outlier_moves)
+    return named(risk_report, risk_report_wide, simple_returns, growth, return_statistics, benchmark_stats, drawdown_series, max_drawdown, historical_var_cvar, rolling_volatility, rolling_sharpe, rolling_beta, trailing_returns, as_of_one_year_return, carried_benchmark, return_histogram, correlation_matrix, aligned_levels, alignment_report, rebased_compare, chart_merge, period_levels, period_window, risk_change, freshness, outlier_moves)
 
 
 _RATE = "(pow(1.065::DOUBLE, 1.0::DOUBLE / 252) - 1)"
@@ -253,6 +263,9 @@ def oracle_sql() -> dict[str, str]:
         "alignment_report": f"WITH {LEVELS_SQL}, n AS (SELECT obs_date, count(*) AS n FROM nav GROUP BY obs_date), k AS (SELECT count(DISTINCT series_id) AS k FROM nav) SELECT count(*) AS dates_in_union, count(*) FILTER (n = k) AS dates_aligned, count(*) FILTER (n < k) AS dates_dropped FROM n, k",
         "rebased_compare": _aligned(f"SELECT series_id, obs_date, round(level / first_value(level) OVER ({_W}) * 100, 3) AS rebased FROM an"),
         "chart_merge": f"WITH {LEVELS_SQL} SELECT obs_date, " + ", ".join(f"round(max(level) FILTER (series_id = '{s}'), 6) AS \"{s}\"" for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM nav GROUP BY obs_date",
+        "period_levels": f"""WITH {LEVELS_SQL}, e AS (SELECT series_id, min(obs_date) AS f, max(obs_date) AS l FROM nav GROUP BY series_id)
+            SELECT series_id, '1y' AS period, count(*) AS n, round(avg(level), 4) AS mean_level FROM nav JOIN e USING (series_id) WHERE obs_date >= greatest(CAST(l - INTERVAL 12 MONTH AS DATE), f) GROUP BY series_id
+            UNION ALL SELECT series_id, '1995', count(*), round(avg(level), 4) FROM nav WHERE year(obs_date) = 1995 GROUP BY series_id""",
         "period_window": _periods(),
         "risk_change": _risk_change(),
         "freshness": f"WITH {LEVELS_SQL} SELECT series_id, max(obs_date) AS latest, CAST(date_diff('day', max(obs_date), DATE '{TODAY}') AS INTEGER) AS age_days, date_diff('day', max(obs_date), DATE '{TODAY}') > 7 AS stale FROM nav GROUP BY series_id",

@@ -174,3 +174,12 @@ def test_context_selection_against_a_plain_loop(spark):
             taken.append(i)
             used, per[doc] = used + n, per.get(doc, 0) + 1
     assert got == taken == [0, 3, 6]
+
+
+def test_a_period_by_dates(spark):
+    from datetime import date
+
+    rows = spark.createDataFrame([("a", date(2024, 1, d), 1.0) for d in (1, 2, 3, 4)], "series_id string, obs_date date, level double")
+    assert series.in_period(rows, start=date(2024, 1, 2), end=date(2024, 1, 3)).count() == 2 and series.in_period(rows, end=date(2024, 1, 1)).count() == 1
+    with pytest.raises(ValueError, match="starts after its end"):
+        series.in_period(rows, start=date(2024, 1, 3), end=date(2024, 1, 2))
