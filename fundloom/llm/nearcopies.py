@@ -154,7 +154,7 @@ def _found(links: list[tuple[int, int]], large: list[int]) -> pa.RecordBatch:
 def _texts(together: int, together_bytes: int):
     """Over rows (key, node, value) sorted by key: (a, b) for each node a whose component in its key has a lesser node b.
 
-    A key with more members or bytes is not compared but told as ``large``.
+    A key with more members or bytes than that is not compared but told as ``large``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +234,11 @@ class Likeness:
     groups: Callable[[int, int], Callable]
     prepared: Callable
     alike: Callable[..., bool]
+    size: Callable[[Column], Column]
 
 
-PRINTS = Likeness(_prints, lambda value, _: value, lambda one, other: ((one ^ other) & (2**64 - 1)).bit_count() <= RADIUS)
-TEXTS = Likeness(_texts, shingles_of, _texts_alike)
+PRINTS = Likeness(_prints, lambda value, _: value, lambda one, other: ((one ^ other) & (2**64 - 1)).bit_count() <= RADIUS, lambda value: F.lit(8))
+TEXTS = Likeness(_texts, shingles_of, _texts_alike, lambda value: F.coalesce(F.octet_length(value), F.lit(0)))
 
 
 def _with_leader(likeness: Likeness):
@@ -264,10 +265,14 @@ def _in_tasks(members: DataFrame, key: Column, likeness: Likeness, together: int
 
 def group_links(members: DataFrame, likeness: Likeness, scratch: Scratch, together: int = TOGETHER, together_bytes: int = TOGETHER_BYTES, chunk: int = CHUNK) -> DataFrame:
     """(a, b): links that join the members of ``members(key, node, value)`` into the components of all links within their key."""
-    met = scratch.table(_in_tasks(members, F.col("key"), likeness, together, together_bytes), "met")
+    # Large groups are found by an aggregate with partial sums, so none is dealt out to one task.
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(likeness.size(F.col("value"))).alias("size"))
+    big = scratch.table(sizes.where((F.col("n") > together) | ((F.col("n") > 1) & (F.col("size") > together_bytes))).select("key"), "large-keys")
+    any_big = bool(big.take(1))
+    small = members.join(big, "key", "left_anti") if any_big else members
+    met = scratch.table(_in_tasks(small, F.col("key"), likeness, together, together_bytes), "met")
     links = met.where("a IS NOT NULL").select("a", "b")
-    big = met.where("large IS NOT NULL").select(F.col("large").alias("key")).distinct()
-    if not big.take(1):
+    if not any_big:
         return links
     all_ = scratch.table(members.join(big, "key").select("key", "node", "value"), "large")
     apart, first, found = all_, None, None
