@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundloom.llm import decontaminate, licences, linedup, media, packing, quality, simhash, tokencount, toxicity, warc
+from fundloom.llm import decontaminate, licences, linedup, media, packing, quality, repair, simhash, tokencount, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,8 +73,14 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations with their faults and cheapest repairs; conversations that lost all rows are told too (``repair.repair_reports``)."""
+    given = table(spark, sf_dir, "conversations")
+    return repair.repair_reports(repair.damage(given), given)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tokencount, op2_quality, op3_decontamination, op4_simhash, op5_toxicity, op6_packing, op7_warc, op8_linedup, op9_licences, op10_media)}
+    return {f.__name__: f for f in (op1_tokencount, op2_quality, op3_decontamination, op4_simhash, op5_toxicity, op6_packing, op7_warc, op8_linedup, op9_licences, op10_media, op11_repair)}
 
 
 #: Words, windows, occurrences and covered words, as the contract of the query states them.
@@ -195,5 +202,55 @@ FROM d LEFT JOIN o USING (r) LEFT JOIN i USING (dir)
 """
 
 
+#: The crc32 bit by bit; weights are texts of a cost and a label string, so that the least text is the least weight.
+OP11_SQL = r"""
+WITH RECURSIVE g AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(name, ''),
+          lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+        lambda x, y: xor(xor(x, y) >> 1, 3988292384 * (xor(x, y) & 1))), 4294967295) % 20 AS kind FROM g),
+m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i,
+             rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM m),
+d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, left(role, 1) AS r,
+             lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+f AS (SELECT *, CASE WHEN t = '' THEN 'b' WHEN again THEN 'd' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM d),
+c AS (SELECT conv_id, count(*) AS n, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+             count(*) FILTER (fault = 't') AS truncated,
+             count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal,
+             coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM f GROUP BY conv_id),
+-- Distances to the end before row i, of the four grammar states (nothing, after s, after u, after a), insertions done.
+w(conv_id, i, a0, a1, a2, a3) AS (
+  SELECT conv_id, n + 1, '000000000', '000000010II', '000000005I', '000000000' FROM c
+  UNION ALL
+  SELECT conv_id, i, least(x0, add(x2, 5, 'I'), add(x3, 10, 'II')), least(x1, add(x2, 5, 'I'), add(x3, 10, 'II')),
+         least(x2, add(x3, 5, 'I')), least(x3, add(x2, 5, 'I'))
+  FROM (SELECT w.conv_id, f.i,
+          least(add(a0, 2, 'D'), CASE WHEN ok AND r = 's' THEN add(a1, stay, 'K') END, CASE WHEN ok AND r = 'u' THEN add(a2, stay, 'K') END, CASE WHEN ok THEN add(a2, stay + 1, 'R') END) AS x0,
+          least(add(a1, 2, 'D'), CASE WHEN ok AND r = 'u' THEN add(a2, stay, 'K') END, CASE WHEN ok THEN add(a2, stay + 1, 'R') END) AS x1,
+          least(add(a2, 2, 'D'), CASE WHEN ok AND r = 'a' THEN add(a3, stay, 'K') END, CASE WHEN ok THEN add(a3, stay + 1, 'R') END) AS x2,
+          least(add(a3, 2, 'D'), CASE WHEN ok AND r = 'u' THEN add(a2, stay, 'K') END, CASE WHEN ok THEN add(a2, stay + 1, 'R') END) AS x3
+        FROM w JOIN (SELECT *, fault NOT IN ('b', 'd') AS ok, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS stay FROM f) f
+          ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i - 1)),
+p AS (SELECT c.*, CAST(left(a0, 9) AS BIGINT) AS cost, substr(a0, 10) AS audit FROM w JOIN c ON c.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.i = 1),
+e AS (SELECT conv_id, audit, k, audit[k] AS edit, len(translate(audit, 'D', '')) AS made,
+             len(translate(audit[1:k], 'D', '')) AS place, len(translate(audit[1:k], 'I', '')) AS i
+      FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS k FROM p)),
+s AS (SELECT e.conv_id, string_agg(CASE WHEN edit = 'K' THEN f.role WHEN (place - made) % 2 = 0 THEN 'assistant' ELSE 'user' END
+                 || ':' || CASE WHEN edit = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY k) AS body
+      FROM e LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = e.i WHERE edit <> 'D' GROUP BY e.conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+# DuckDB has no local functions in a single statement: add(weight, cost, label) is written out.
+OP11_SQL = re.sub(r"add\((\w+), ([\w +]+), ('\w+')\)", r"(printf('%09d', CAST(left(\1, 9) AS INTEGER) + \2) || \3 || substr(\1, 10))", OP11_SQL)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op7_warc": OP7_SQL, "op8_linedup": OP8_SQL, "op9_licences": OP9_SQL.replace("@TEMPLATES@", licences.template_values())}
+    return {"op3_decontamination": OP3_SQL, "op7_warc": OP7_SQL, "op8_linedup": OP8_SQL, "op11_repair": OP11_SQL, "op9_licences": OP9_SQL.replace("@TEMPLATES@", licences.template_values())}
