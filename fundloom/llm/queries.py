@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundloom.llm import decontaminate, licences, linedup, media, packing, quality, repair, simhash, tokencount, toxicity, warc
+from fundloom.llm import align, decontaminate, licences, linedup, media, packing, quality, repair, simhash, tokencount, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,8 +79,13 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_reports(repair.damage(given), given)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies over each text, their groups, and how their links rank in the corpus; texts without tokens have zeros (``align.aligned``)."""
+    return align.aligned(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tokencount, op2_quality, op3_decontamination, op4_simhash, op5_toxicity, op6_packing, op7_warc, op8_linedup, op9_licences, op10_media, op11_repair)}
+    return {f.__name__: f for f in (op1_tokencount, op2_quality, op3_decontamination, op4_simhash, op5_toxicity, op6_packing, op7_warc, op8_linedup, op9_licences, op10_media, op11_repair, op12_alignment)}
 
 
 #: Words, windows, occurrences and covered words, as the contract of the query states them.
