@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundloom.llm import align, decontaminate, licences, linedup, media, packing, quality, repair, simhash, tokencount, toxicity, warc
+from fundloom.llm import align, covertree, decontaminate, licences, linedup, media, packing, quality, repair, simhash, tokencount, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,8 +84,13 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.aligned(table(spark, sf_dir, "documents"))
 
 
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and representatives of vectors with a cosine of 0.95 or more; vectors without a direction link with nothing (``covertree.near_duplicate_vectors``)."""
+    return covertree.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tokencount, op2_quality, op3_decontamination, op4_simhash, op5_toxicity, op6_packing, op7_warc, op8_linedup, op9_licences, op10_media, op11_repair, op12_alignment)}
+    return {f.__name__: f for f in (op1_tokencount, op2_quality, op3_decontamination, op4_simhash, op5_toxicity, op6_packing, op7_warc, op8_linedup, op9_licences, op10_media, op11_repair, op12_alignment, op13_vectors)}
 
 
 #: Words, windows, occurrences and covered words, as the contract of the query states them.
@@ -257,5 +262,18 @@ LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN s ON s.conv_id
 OP11_SQL = re.sub(r"add\((\w+), ([\w +]+), ('\w+')\)", r"(printf('%09d', CAST(left(\1, 9) AS INTEGER) + \2) || \3 || substr(\1, 10))", OP11_SQL)
 
 
+#: Every pair of vectors, and all that can be reached by links.
+OP13_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER () AS r FROM embeddings),
+g AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+c(a, b) AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+m AS (SELECT c.a, min(v.vec_id) AS least FROM c JOIN v ON v.r = c.b GROUP BY c.a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, m.least) AS component_id, vec_id IS NOT DISTINCT FROM least(vec_id, m.least) AS kept
+FROM v LEFT JOIN n ON n.a = v.r LEFT JOIN m ON m.a = v.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op7_warc": OP7_SQL, "op8_linedup": OP8_SQL, "op11_repair": OP11_SQL, "op9_licences": OP9_SQL.replace("@TEMPLATES@", licences.template_values())}
+    return {"op3_decontamination": OP3_SQL, "op7_warc": OP7_SQL, "op8_linedup": OP8_SQL, "op11_repair": OP11_SQL, "op13_vectors": OP13_SQL, "op9_licences": OP9_SQL.replace("@TEMPLATES@", licences.template_values())}
