@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundloom.operators import learning, series
@@ -97,16 +97,27 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_limit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.trailing_hits(table(spark, sf_dir, "events"), 3600, 2).select("event_id", "user_id", "hits", "allowed")
+    return events.rate_limit(table(spark, sf_dir, "events"), 86_400, 2)
 
 
-def session_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = events.sessions(table(spark, sf_dir, "events"))
     return found.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last_seen").alias("last_us"), "n")
 
 
+def session_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions are issued by sign-ups for two days; every other event bears its user's latest one. Customers in debt are inactive."""
+    all_ = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    issue = F.col("event_type") == "signup"
+    latest = F.last(F.when(issue, F.col("event_id")), ignorenulls=True).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    requests = all_.withColumn("session_id", latest).where(~issue)
+    issued = all_.where(issue).select(F.col("event_id").alias("session_id"), "user_id", F.col("ts").alias("issued_at"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("expires_at"))
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") >= 0).alias("is_active"))
+    return events.session_checks(requests, issued, users)
+
+
 def queries() -> dict[str, Query]:
-    return named(ml_features, ml_target, purged_split, split_sizes, benchmark_features, historical_mean_baseline, regression_metrics, ridge_fit, forecast_rf, forecast_latest, forecast_attributions, anomaly_drivers, anomaly_features, robust_zscores, isolation_forest, model_fingerprint, event_windows, rate_limit_window, session_validity)
+    return named(ml_features, ml_target, purged_split, split_sizes, benchmark_features, historical_mean_baseline, regression_metrics, ridge_fit, forecast_rf, forecast_latest, forecast_attributions, anomaly_drivers, anomaly_features, robust_zscores, isolation_forest, model_fingerprint, event_windows, rate_limit_window, user_sessions, session_validity)
 
 
 _W = "PARTITION BY series_id ORDER BY obs_date"
@@ -153,8 +164,28 @@ def oracle_sql() -> dict[str, str]:
             SELECT series_id, obs_date, round(ret, 6) AS ret, round((ret - mid) / nullif(1.4826::DOUBLE * mad, 0), 6) AS z FROM ret JOIN m USING (series_id) JOIN d USING (series_id)""",
         "model_fingerprint": f"{base} SELECT series_id, sha256('1|' || series_id || '|ridge|21|' || count(*) || '|' || min(obs_date) || '|' || max(obs_date) || '|' || printf('%.4f', arg_max(level, obs_date))) AS fingerprint FROM nav GROUP BY series_id",
         "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
-        "rate_limit_window": "SELECT event_id, user_id, hits, hits <= 2 AS allowed FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS hits FROM events)",
-        "session_validity": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events),
+        "rate_limit_window": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts IS NOT NULL),
+            f(user_id, n, event_id, kept, hits, allowed, retry_us) AS (
+              SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, []::BIGINT[], 0::BIGINT, false, 0::BIGINT FROM e
+              UNION ALL
+              SELECT user_id, n, event_id, CASE WHEN len(k) < 2 THEN list_append(k, tm) ELSE k END, len(k), len(k) < 2, CASE WHEN len(k) < 2 THEN 0 ELSE 86400000000 - (tm - k[1]) END
+              FROM (SELECT e.user_id, e.n, e.event_id, e.tm, list_filter(f.kept, lambda x: e.tm - x < 86400000000) AS k FROM f JOIN e ON e.user_id IS NOT DISTINCT FROM f.user_id AND e.n = f.n + 1))
+            SELECT event_id, user_id, hits, allowed, retry_us FROM f WHERE n > 0""",
+        "session_validity": """WITH RECURSIVE a AS (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_id FROM events),
+            r AS (SELECT a.event_id, a.session_id, a.user_id, epoch_us(a.ts) AS tm, epoch_us(i.ts) AS issued, epoch_us(i.ts) + 172800000000 AS expires, coalesce(c_acctbal >= 0, false) AS active
+                  FROM a LEFT JOIN events i ON i.event_id = a.session_id LEFT JOIN customer ON c_custkey = a.user_id WHERE a.event_type <> 'signup'),
+            o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY tm, event_id) AS n FROM r),
+            f(session_id, n, event_id, ended, seen, valid, reason, refreshed) AS (
+              SELECT DISTINCT session_id, 0::BIGINT, NULL::BIGINT, session_id IS NULL, issued, false, NULL::VARCHAR, false FROM o
+              UNION ALL
+              SELECT o.session_id, o.n, o.event_id, f.ended OR o.tm >= o.expires OR NOT o.active,
+                CASE WHEN NOT f.ended AND o.tm < o.expires AND o.active AND o.tm - f.seen > 60000000 THEN o.tm ELSE f.seen END,
+                NOT f.ended AND o.tm < o.expires AND o.active,
+                CASE WHEN f.ended THEN 'unknown' WHEN o.tm >= o.expires THEN 'expired' WHEN NOT o.active THEN 'inactive' END,
+                coalesce(NOT f.ended AND o.tm < o.expires AND o.active AND o.tm - f.seen > 60000000, false)
+              FROM f JOIN o ON o.session_id IS NOT DISTINCT FROM f.session_id AND o.n = f.n + 1)
+            SELECT event_id, session_id, coalesce(valid, false) AS valid, reason, refreshed FROM f WHERE n > 0""",
+        "user_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events),
             s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
             SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM s GROUP BY user_id, k""",
     }

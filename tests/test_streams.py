@@ -1,5 +1,7 @@
 """Streams: sessions, rates and corrections against the same rows as a batch."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from fundloom.operators import catalogue, chunking
@@ -22,12 +24,73 @@ def test_stream_sessions_are_those_of_the_batch(spark, tmp_path):
     assert done and done <= batch
 
 
-def test_stream_rate_limit_is_that_of_the_batch(spark, tmp_path):
-    rows = spark.read.parquet(EVENTS)
-    stream = events.stream_hits(_stream(spark, rows, f"{tmp_path}/in"), 86_400, 2)
-    events.run_to_table(stream, f"{tmp_path}/out", f"{tmp_path}/check")
-    got = {(r.event_id, r.hits, r.allowed) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == {(r.event_id, r.hits, r.allowed) for r in events.trailing_hits(rows, 86_400, 2).collect()}
+def plain_limit(rows, limit, window):
+    """The rule as a plain loop: what is in the window is dropped from the left, and only allowed hits are appended."""
+    out, kept = {}, {}
+    for at, event, user in sorted((at, event, user) for event, user, at in rows):
+        hits = kept.setdefault(user, [])
+        while hits and at - hits[0] >= window:
+            hits.pop(0)
+        out[event] = (len(hits), len(hits) < limit, 0 if len(hits) < limit else window - (at - hits[0]))
+        if len(hits) < limit:
+            hits.append(at)
+    return out
+
+
+def test_refused_hits_do_not_count(spark):
+    at = [0, 10, 20, 30, 40, 50, 65, 75, 85]
+    rows = spark.createDataFrame([(k, 1, t) for k, t in enumerate(at)], "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
+    got = {r.event_id: r for r in events.rate_limit(rows, 60, 2).collect()}
+    assert [at[k] for k in range(9) if got[k].allowed] == [0, 10, 65, 75]
+    assert got[2].retry_us == 40_000_000 and got[8].retry_us == 40_000_000
+
+
+def _hits(rng, n):
+    rows, clock = [], 0
+    for k in range(n):
+        clock += rng.choice([0, 1, 3, 20, 59, 60, 61, 500])
+        rows.append((k, rng.choice([1, 1, 1, 2, 3]), clock))
+    return rows
+
+
+def test_rate_limit_against_a_plain_loop(spark):
+    rng = random.Random(26)
+    rows = _hits(rng, 3000)
+    shuffled = rng.sample(rows, len(rows))
+    df = spark.createDataFrame(shuffled, "event_id long, user_id long, s long").repartition(5).select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
+    for limit in (1, 2, 5):
+        want = plain_limit([(e, u, s * 1_000_000) for e, u, s in rows], limit, 60_000_000)
+        got = {r.event_id: (r.hits, r.allowed, r.retry_us) for r in events.rate_limit(df, 60, limit).collect()}
+        assert got == want
+        assert len({x[1] for x in want.values()}) == 2
+    odd = spark.createDataFrame([(1, None, 5), (2, None, 6), (3, 1, None)], "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
+    assert sorted((r.event_id, r.allowed) for r in events.rate_limit(odd, 60, 1).collect()) == [(1, True), (2, False)]
+    assert events.rate_limit(df.where("false"), 60, 1).count() == 0
+
+
+def test_stream_rate_limit_goes_on_after_a_restart(spark, tmp_path):
+    """Three runs of one stream from its checkpoint decide as one batch does; states are cleared behind the watermark."""
+    rng = random.Random(27)
+    rows = _hits(rng, 600)
+    for k in range(3):
+        part = spark.createDataFrame(rows[200 * k : 200 * k + 200], "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
+        stream = events.stream_rate_limit(_stream(spark, part.coalesce(1), f"{tmp_path}/in"), 60, 2, "10 minutes")
+        events.run_to_table(stream, f"{tmp_path}/out", f"{tmp_path}/check")
+    got = {r.event_id: (r.hits, r.allowed, r.retry_us) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == plain_limit([(e, u, s * 1_000_000) for e, u, s in rows], 2, 60_000_000)
+
+
+def test_session_checks(spark):
+    stamp = lambda *names: [F.timestamp_seconds(n).alias(n) for n in names]
+    issued = spark.createDataFrame([(1, 7, 0, 1000), (2, 8, 0, 1000), (3, 9, 0, 1000)], "session_id long, user_id long, issued_at long, expires_at long").select("session_id", "user_id", *stamp("issued_at", "expires_at"))
+    users = spark.createDataFrame([(7, True), (8, False)], "user_id long, is_active boolean")
+    data = [(10, 1, 60), (11, 1, 61), (12, 1, 121), (13, 1, 122), (14, 1, 999), (15, 1, 1000), (16, 1, 1001), (20, 2, 5), (21, 2, 6), (22, 2, 2000), (30, 3, 1), (40, None, 1), (41, 99, 1), (9, 1, -5)]
+    requests = spark.createDataFrame(data, "event_id long, session_id long, ts long").select("event_id", "session_id", *stamp("ts"))
+    got = {r.event_id: (r.reason or r.valid, r.refreshed) for r in events.session_checks(requests.repartition(3), issued, users).collect()}
+    assert got == {
+        9: ("unknown", False), 10: (True, False), 11: (True, True), 12: (True, False), 13: (True, True), 14: (True, True), 15: ("expired", False), 16: ("unknown", False),
+        20: ("inactive", False), 21: ("unknown", False), 22: ("unknown", False), 30: ("inactive", False), 40: ("unknown", False), 41: ("unknown", False),
+    }
 
 
 def test_late_corrections_are_applied_once(spark, tmp_path):
