@@ -6,8 +6,6 @@ What follows a question's ranked list is bounded by the list's length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,12 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundloom.conventions import require
-from fundloom.functions.text import REQUEST_WORDS, STOP_WORDS, folded, lexemes, sentences, shingles
+from fundloom.functions.text import folded, lexemes, sentences, shingles
 
 #: Questions' vectors, and passages' vectors, that a task compares at once.
 QUERY_BLOCK, VECTOR_CHUNK = 4096, 20_000
-#: Questions whose lexemes a task holds at once.
-QUESTION_BLOCK = 2000
 #: Fusion, boosts and thresholds of evidence.
 VECTOR_WEIGHT, LEXICAL_WEIGHT = 0.3, 1.0
 FUSION_K, NAMED_BOOST, LATEST_BOOST, ASKED_LATEST_BOOST = 60, 1.15, 1.05, 1.25
@@ -41,28 +37,6 @@ def rights(documents: DataFrame, user: Column, admin: Column) -> DataFrame:
     return documents.withColumn("can_read", own | (documents["visibility"] == "shared")).withColumn("can_manage", own | (documents["owner_id"].isNull() & admin))
 
 
-def document_frequencies(passages: DataFrame) -> DataFrame:
-    """(lexeme, df): passages that hold a lexeme, summed before the shuffle."""
-    return passages.select(F.explode(lexemes(F.col("content"))).alias("lexeme")).groupBy("lexeme").agg(F.count("*").alias("df"))
-
-
-def question_lexemes(question: Column, most: int = 40) -> Column:
-    """A question's lexemes without common words and words of the request itself."""
-    return F.slice(lexemes(question, STOP_WORDS + REQUEST_WORDS), 1, most)
-
-
-def weighted_questions(questions: DataFrame, passages: DataFrame, most: int = 40) -> DataFrame:
-    """(query_id, lexeme, idf, total): the questions' lexemes with idf = ln((N + 1) / (df + 1)) + 1."""
-    asked = questions.select("query_id", F.explode(question_lexemes(F.col("question"), most)).alias("lexeme"))
-    wanted = asked.select("lexeme").distinct()
-    # Only lexemes that are asked for are counted.
-    found = passages.select(F.explode(lexemes(F.col("content"))).alias("lexeme")).join(wanted, "lexeme", "left_semi")
-    df = found.groupBy("lexeme").agg(F.count("*").alias("df"))
-    n = passages.select(F.count("*")).scalar()
-    weighted = asked.join(df, "lexeme", "left").withColumn("idf", F.log((n + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0)
-    return weighted.withColumn("total", F.sum("idf").over(Window.partitionBy("query_id"))).drop("df")
-
-
 def ranked(rows: DataFrame, by: str, name: str, most: int | None = None) -> DataFrame:
     """``name``: the rank by ``by``, greatest first, ties by passage_id."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "passage_id"))
@@ -70,64 +44,6 @@ def ranked(rows: DataFrame, by: str, name: str, most: int | None = None) -> Data
     return out.where(F.col(name) <= most) if most else out
 
 
-def _best_of_batches(asked: pa.Table, most: int):
-    """Over batches (passage_id, lexemes): for each question the passages of a batch that may be among its ``most`` best."""
-    queries, row = np.unique(asked.column("query_id").to_numpy(), return_inverse=True)
-    total = np.zeros(len(queries))
-    total[row] = asked.column("total").to_numpy()
-    by_lexeme: dict[str, list[tuple[int, float]]] = {}
-    for lexeme, q, w in zip(asked.column("lexeme").to_pylist(), row.tolist(), asked.column("idf").to_pylist(), strict=True):
-        by_lexeme.setdefault(lexeme, []).append((q, w))
-    numbers = {lexeme: k for k, lexeme in enumerate(by_lexeme)}
-    start = np.cumsum([0, *(len(v) for v in by_lexeme.values())])
-    of = np.array([q for v in by_lexeme.values() for q, _ in v], np.int64)
-    weight = np.array([w for v in by_lexeme.values() for _, w in v])
-    names = ["query_id", "passage_id", "coverage", "matched"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column("lexemes")
-            flat = words.flatten().dictionary_encode()
-            known = np.array([numbers.get(w, -1) for w in flat.dictionary.to_pylist()], np.int64)
-            found = known[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
-            passage = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
-            passage, found = passage[found >= 0], found[found >= 0]
-            each = start[found + 1] - start[found]
-            at = np.repeat(start[found] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-            pair = of[at] * batch.num_rows + np.repeat(passage, each)
-            pairs, where = np.unique(pair, return_inverse=True)
-            coverage = np.round(np.bincount(where, weight[at], len(pairs)) / total[pairs // batch.num_rows], 6) if len(pairs) else np.zeros(0)
-            matched = np.bincount(where, minlength=len(pairs))
-            ids = batch.column("passage_id").to_numpy()[pairs % batch.num_rows]
-            q = pairs // batch.num_rows
-            order = np.lexsort((ids, -coverage, q))
-            q, ids, coverage, matched = q[order], ids[order], coverage[order], matched[order]
-            rank = np.arange(len(q)) - np.searchsorted(q, q)
-            keep = rank < most
-            yield pa.RecordBatch.from_arrays([pa.array(queries[q[keep]]), pa.array(ids[keep]), pa.array(coverage[keep]), pa.array(matched[keep].astype(np.int64))], names=names)
-
-    return run
-
-
-def lexical_search(questions: DataFrame, passages: DataFrame, most: int = 30, block: int = QUESTION_BLOCK) -> DataFrame:
-    """(query_id, passage_id, coverage, matched, lexical_rank): passages by the idf share of a question's lexemes they hold.
-
-    The stated questions are taken in blocks of at most ``block``, whose
-    lexemes (40 each) go to the tasks that read the passages; a batch of
-    passages sends on its best ones for each question only, so rows that are
-    shuffled don't grow with all pairs that share a lexeme.
-    """
-    asked = weighted_questions(questions, passages)
-    rows = passages.select("passage_id", lexemes(F.col("content")).alias("lexemes")).where("lexemes IS NOT NULL")
-    blocks = max(1, -(-questions.count() // block))
-    out = None
-    for k in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).orderBy("query_id", "lexeme").toArrow()
-        found = rows.mapInArrow(_best_of_batches(part, most), "query_id long, passage_id long, coverage double, matched long")
-        out = found if out is None else out.unionByName(found)
-    return ranked(out, "coverage", "lexical_rank", most)
-
-
 def _nearest(most: int):
     """Over a chunk of vectors and a block of questions: the questions' nearest vectors of the chunk, ties included."""
 

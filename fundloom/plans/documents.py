@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fundloom.functions import stemming
 from fundloom.functions import text as tx
-from fundloom.operators import catalogue, chunking, retrieval
+from fundloom.operators import catalogue, chunking, lexical, retrieval
 from fundloom.plans.common import Query, named, rounded
 from fundloom.sources.adapters import table
 
@@ -38,11 +39,22 @@ def injection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexeme_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.document_frequencies(_passages(spark, sf_dir))
+    return lexical.document_frequencies(_passages(spark, sf_dir))
 
 
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.lexical_search(_questions(spark, sf_dir), _passages(spark, sf_dir))
+    return lexical.lexical_search(_questions(spark, sf_dir), _passages(spark, sf_dir))
+
+
+def lexeme_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexeme_places(_passages(spark, sf_dir)).withColumn("places", F.array_join("places", ","))
+
+
+def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that hold both words of a phrase, by how close they stand: the first two longer words of each benchmark text."""
+    words = F.filter(F.split("question", r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3)
+    phrases = _questions(spark, sf_dir).select("query_id", F.array_join(F.slice(words, 1, 2), " ").alias("question"))
+    return lexical.lexical_search(phrases, _passages(spark, sf_dir), every=True)
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,27 +247,79 @@ def fund_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return named(sentence_split, chunk_documents, injection_flags, lexeme_df, lexical_topk, vector_topk, rrf_fusion, evidence_gate, latest_boost, final_ranking, near_duplicates, context_selection, extractive_excerpts, conflict_detection, ir_metrics, evaluation_summary, evaluation_gate, evidence_recall, access_filter, document_rights, boilerplate_lines, follow_up_detection, conversation_history, number_grounding, citation_check, fund_aliases, fund_mentions)
+    return named(sentence_split, chunk_documents, injection_flags, lexeme_df, lexeme_positions, lexical_topk, cover_density, vector_topk, rrf_fusion, evidence_gate, latest_boost, final_ranking, near_duplicates, context_selection, extractive_excerpts, conflict_detection, ir_metrics, evaluation_summary, evaluation_gate, evidence_recall, access_filter, document_rights, boilerplate_lines, follow_up_detection, conversation_history, number_grounding, citation_check, fund_aliases, fund_mentions)
 
 
 _STOP = "['" + "', '".join(tx.STOP_WORDS) + "']"
-_NOT_ASKED = "['" + "', '".join(tx.STOP_WORDS + tx.REQUEST_WORDS) + "']"
 
 
 def _lexemes(c: str) -> str:
     return f"list_filter(list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+')), lambda w: NOT list_contains({_STOP}, w))"
 
 
-_FIRST40 = """(SELECT query_id, lexeme FROM (SELECT query_id, lexeme, row_number() OVER (PARTITION BY query_id ORDER BY p) AS k FROM (
-  SELECT query_id, lexeme, min(p) AS p FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS lexeme, unnest(range(len(regexp_extract_all(lower(text), '[a-z0-9]+')))) AS p FROM benchmark)
-  WHERE NOT list_contains(@STOP@, lexeme) GROUP BY ALL)) WHERE k <= 40)""".replace("@STOP@", _NOT_ASKED)
-_LEXICAL = f"""
-post AS (SELECT doc_id AS passage_id, unnest({_lexemes("text")}) AS lexeme FROM documents),
-dfs AS (SELECT lexeme, count(*) AS df FROM post GROUP BY lexeme),
-ask AS (SELECT query_id, lexeme, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (coalesce(df, 0) + 1.0::DOUBLE)) + 1 AS idf FROM {_FIRST40} LEFT JOIN dfs USING (lexeme)),
+#: The stemmer's rules as layers of regular expressions over distinct words; suffixes are the leftmost, so the longest, match.
+_SHORT = "regexp_matches({}, '(^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$')"
+_REGION = "nullif(length(regexp_extract({}, '^[^aeiouy]*[aeiouy]+[^aeiouy]')), 0)"
+
+
+def _suffix(c: str, endings) -> str:
+    return f"regexp_extract({c}, '(" + "|".join(endings) + ")$')"
+
+
+def _cases(c: str, table: dict[str, str]) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table.items()) + " END"
+
+
+def _listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in sorted(words))
+
+
+def _stems(words: str) -> str:
+    """CTEs that end in ``stems(w, lexeme)`` for the words of ``words``, stop words left out."""
+    return rf"""
+sw AS (SELECT DISTINCT w FROM ({words}) WHERE w <> '' AND w NOT IN ({_listed(stemming.STOP_WORDS)})),
+s0 AS (SELECT w, regexp_replace(w, '(^|[aeiouy])y', '\1Y', 'g') AS y FROM sw WHERE length(w) > 2 AND w NOT IN ({_listed(stemming.WHOLE)})),
+s1 AS (SELECT *, CASE WHEN y LIKE 'gener%' OR y LIKE 'arsen%' THEN 5 WHEN y LIKE 'commun%' THEN 6 ELSE coalesce({_REGION.format("y")}, length(y)) END AS r1 FROM s0),
+s2 AS (SELECT *, r1 + coalesce({_REGION.format("substr(y, r1 + 1)")}, length(y) - r1) AS r2 FROM s1),
+s3 AS (SELECT w, r1, r2, CASE WHEN y LIKE '%sses' THEN left(y, -2) WHEN y LIKE '%ied' OR y LIKE '%ies' THEN left(y, CASE WHEN length(y) > 4 THEN -2 ELSE -1 END)
+         WHEN y LIKE '%s' AND y NOT LIKE '%us' AND y NOT LIKE '%ss' AND regexp_matches(left(y, -2), '[aeiouy]') THEN left(y, -1) ELSE y END AS a FROM s2),
+s4 AS (SELECT *, {_suffix("a", ("eedly", "ingly", "edly", "eed", "ing", "ed"))} AS e FROM s3),
+s5 AS (SELECT *, left(a, length(a) - length(e)) AS t FROM s4),
+s6 AS (SELECT w, r1, r2, a, CASE WHEN e LIKE 'eed%' THEN CASE WHEN length(t) >= r1 THEN t || 'ee' ELSE a END
+         WHEN e <> '' AND regexp_matches(t, '[aeiouy]') THEN CASE WHEN regexp_matches(t, '(at|bl|iz)$') THEN t || 'e' WHEN regexp_matches(t, '({"|".join(stemming.DOUBLES)})$') THEN left(t, -1)
+           WHEN length(t) <= r1 AND {_SHORT.format("t")} THEN t || 'e' ELSE t END ELSE a END AS b FROM s5),
+s7 AS (SELECT *, CASE WHEN length(b) > 2 AND regexp_matches(b, '[^aeiouy][yY]$') THEN left(b, -1) || 'i' ELSE b END AS c FROM s6),
+s8 AS (SELECT *, {_suffix("c", stemming.STEP2)} AS e FROM s7),
+s9 AS (SELECT w, r1, r2, a, CASE WHEN e <> '' AND length(c) - length(e) >= r1 AND NOT (e = 'ogi' AND NOT regexp_matches(c, 'logi$')) AND NOT (e = 'li' AND NOT regexp_matches(c, '[cdeghkmnrt]li$'))
+         THEN left(c, length(c) - length(e)) || {_cases("e", stemming.STEP2)} ELSE c END AS d FROM s8),
+s10 AS (SELECT *, {_suffix("d", stemming.STEP3)} AS e FROM s9),
+s11 AS (SELECT w, r1, r2, a, CASE WHEN e <> '' AND length(d) - length(e) >= CASE WHEN e = 'ative' THEN r2 ELSE r1 END THEN left(d, length(d) - length(e)) || {_cases("e", stemming.STEP3)} ELSE d END AS f FROM s10),
+s12 AS (SELECT *, {_suffix("f", stemming.STEP4)} AS e FROM s11),
+s13 AS (SELECT w, r1, r2, a, CASE WHEN e <> '' AND length(f) - length(e) >= r2 AND NOT (e = 'ion' AND NOT regexp_matches(f, '[st]ion$')) THEN left(f, length(f) - length(e)) ELSE f END AS g FROM s12),
+stems AS (SELECT w, replace(CASE WHEN a IN ({_listed(stemming.KEPT)}) THEN a WHEN g LIKE '%e' AND (length(g) - 1 >= r2 OR (length(g) - 1 >= r1 AND NOT {_SHORT.format("left(g, -1)")})) THEN left(g, -1)
+            WHEN g LIKE '%ll' AND length(g) - 1 >= r2 THEN left(g, -1) ELSE g END, 'Y', 'y') AS lexeme FROM s13
+          UNION ALL SELECT w, coalesce({_cases("w", stemming.WHOLE)}, w) FROM sw WHERE length(w) <= 2 OR w IN ({_listed(stemming.WHOLE)}))"""
+
+
+_WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+#: Words of documents with their places, and their stems with those of the questions' words.
+_PLACES = f"""
+dw AS (SELECT doc_id AS passage_id, unnest(ws) AS w, unnest(range(len(ws))) AS place FROM (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents)),
+qw AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS.format("text")}) AS w FROM benchmark),
+{_stems("SELECT w FROM dw UNION ALL SELECT w FROM qw UNION ALL SELECT unnest(['" + "', '".join(tx.REQUEST_WORDS) + "'])")},
+req AS (SELECT lexeme FROM stems WHERE w IN ({_listed(tx.REQUEST_WORDS)})),
+pl AS (SELECT passage_id, lexeme, place FROM dw JOIN stems USING (w)),
+dfs AS (SELECT lexeme, count(DISTINCT passage_id) AS df FROM pl GROUP BY lexeme)"""
+_LEXICAL = f"""{_PLACES},
+qs AS (SELECT DISTINCT query_id, lexeme FROM qw JOIN stems USING (w) WHERE lexeme NOT IN (SELECT lexeme FROM req)),
+ask AS (SELECT query_id, lexeme, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (coalesce(df, 0) + 1.0::DOUBLE)) + 1 AS idf
+        FROM (SELECT * FROM qs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY lexeme) <= 40) LEFT JOIN dfs USING (lexeme)),
 tot AS (SELECT query_id, sum(idf) AS total FROM ask GROUP BY query_id),
-hit AS (SELECT query_id, passage_id, round(sum(idf) / any_value(total), 6) AS coverage, count(*) AS matched FROM post JOIN ask USING (lexeme) JOIN tot USING (query_id) GROUP BY ALL),
-lex AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, passage_id) AS INTEGER) AS lexical_rank FROM hit) WHERE lexical_rank <= 30),
+occ AS (SELECT query_id, passage_id, lexeme, any_value(idf) AS idf, count(*) AS n FROM pl JOIN ask USING (lexeme) GROUP BY ALL),
+den AS (SELECT query_id, passage_id, round(0.1::DOUBLE * sum(n) / (1 + 0.1::DOUBLE * sum(n)), 9) AS density, sum(idf) AS share, count(*) AS matched FROM occ GROUP BY ALL),
+top AS (SELECT den.*, sha256(text) AS digest FROM den JOIN documents ON doc_id = passage_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY density DESC, sha256(text), passage_id) <= 90),
+hit AS (SELECT query_id, passage_id, round(share / total, 6) AS coverage, matched, density, digest FROM top JOIN tot USING (query_id)),
+lex AS (SELECT query_id, passage_id, coverage, matched, density, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, density DESC, digest, passage_id) AS INTEGER) AS lexical_rank FROM hit QUALIFY lexical_rank <= 30),
 vec AS (SELECT * FROM (SELECT query_id, passage_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, passage_id) AS vector_rank FROM (
   SELECT q.vec_id AS query_id, v.vec_id AS passage_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS similarity
   FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark))) WHERE vector_rank <= 30),
@@ -292,8 +356,21 @@ def oracle_sql() -> dict[str, str]:
         "sentence_split": r"""WITH s AS (SELECT doc_id, list_filter([trim(x) FOR x IN string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9("''])', '\1' || chr(1) || '\2', 'g'), chr(1))], lambda x: x <> '') AS s FROM documents)
             SELECT doc_id, len(s) AS n_sentences, s[-1] AS last FROM s""",
         "injection_flags": "SELECT conv_id, turn, regexp_matches(text, '" + tx.INJECTION.replace("'", "''") + "') AS flagged FROM conversations",
-        "lexeme_df": f"SELECT lexeme, count(*) AS df FROM (SELECT unnest({_lexemes('text')}) AS lexeme FROM documents) GROUP BY lexeme",
-        "lexical_topk": f"WITH {_LEXICAL} SELECT query_id, passage_id, coverage, matched, lexical_rank FROM lex",
+        "lexeme_df": f"WITH {_PLACES} SELECT lexeme, df FROM dfs",
+        "lexeme_positions": f"WITH {_PLACES} SELECT passage_id, lexeme, string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) AS places FROM pl GROUP BY ALL",
+        "lexical_topk": f"WITH {_LEXICAL} SELECT query_id, passage_id, coverage, matched, density, lexical_rank FROM lex",
+        # A cover ends at a place and begins where the last of each lexeme before it is furthest back; of those with one beginning the first counts.
+        "cover_density": f"""WITH {_PLACES}, ph AS (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(text, '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 3)[1:2]) AS w FROM benchmark),
+            qs AS (SELECT DISTINCT query_id, lexeme FROM ph JOIN stems ON stems.w = lower(ph.w) WHERE lexeme NOT IN (SELECT lexeme FROM req)), many AS (SELECT query_id, count(*) AS n FROM qs GROUP BY query_id),
+            ask AS (SELECT query_id, lexeme, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1 AS idf FROM qs JOIN dfs USING (lexeme)),
+            m AS (SELECT query_id, passage_id, lexeme, place FROM pl JOIN ask USING (lexeme)),
+            e AS (SELECT a.query_id, a.passage_id, a.place AS j, b.lexeme, max(b.place) AS last FROM m a JOIN m b ON a.query_id = b.query_id AND a.passage_id = b.passage_id AND b.place <= a.place GROUP BY ALL),
+            l AS (SELECT query_id, passage_id, j, min(last) AS i FROM e JOIN many USING (query_id) GROUP BY query_id, passage_id, j HAVING count(*) = any_value(n)),
+            c AS (SELECT query_id, passage_id, i, min(j) AS j FROM l GROUP BY ALL),
+            r AS (SELECT c.query_id, c.passage_id, i, c.j, 0.1::DOUBLE / (1 + (c.j - i) - (count(*) - 1)) AS part FROM c JOIN m ON m.query_id = c.query_id AND m.passage_id = c.passage_id AND place BETWEEN i AND c.j GROUP BY c.query_id, c.passage_id, i, c.j),
+            t AS (SELECT query_id, passage_id, round(sum(part) / (1 + sum(part)), 9) AS density FROM r GROUP BY ALL),
+            f AS (SELECT t.*, sha256(text) AS digest, n FROM t JOIN documents ON doc_id = passage_id JOIN many USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY density DESC, sha256(text), passage_id) <= 90)
+            SELECT query_id, passage_id, 1.0::DOUBLE AS coverage, n AS matched, density, CAST(row_number() OVER (PARTITION BY query_id ORDER BY density DESC, digest, passage_id) AS INTEGER) AS lexical_rank FROM f QUALIFY lexical_rank <= 30""",
         "vector_topk": f"WITH {_VECTOR} SELECT * FROM nn",
         "rrf_fusion": f"WITH {_LEXICAL} SELECT query_id, passage_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS INTEGER) AS fused_rank FROM fus",
         "evidence_gate": f"""WITH {_LEXICAL}, e AS (SELECT *, passage_id % 5 = 0 OR passage_id % 5 = query_id % 5 AS eligible FROM fus),
