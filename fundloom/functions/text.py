@@ -160,14 +160,3 @@ def folded(text: Column) -> Column:
 def scrubbed(text: Column, secrets: Column) -> Column:
     """A text with every string of the array ``secrets`` replaced by [REDACTED]."""
     return F.aggregate(F.filter(secrets, lambda s: s != ""), text, lambda t, s: F.replace(t, s, F.lit("[REDACTED]")))
-
-
-def phrases(text: Column, most: int = 3) -> Column:
-    """Distinct runs of one to ``most`` lower-case words, joined by spaces; punctuation parts words like spaces."""
-
-    def runs(w: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(w) - n + 1)
-        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))
-    return _with(words, lambda w: F.array_distinct(F.concat(*(runs(w, n) for n in range(1, most + 1)))))

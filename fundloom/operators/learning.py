@@ -311,7 +311,7 @@ def isolation_forest(rows: DataFrame, columns: tuple[str, ...], contamination: f
         if len(pdf) < LEAST_FOR_ANOMALIES:
             return pd.DataFrame({"series_id": [], "obs_date": [], "score": [], "anomaly": []})
         score = isolation_scores(pdf[list(columns)].to_numpy(float), trees, seed)
-        return pd.DataFrame({"series_id": pdf["series_id"], "obs_date": pdf["obs_date"], "score": score, "anomaly": score >= np.quantile(score, 1 - contamination)})
+        return pd.DataFrame({"series_id": pdf["series_id"], "obs_date": pdf["obs_date"], "score": score, "anomaly": score > np.quantile(score, 1 - contamination)})
 
     return rows.dropna(subset=[*columns]).select("series_id", "obs_date", *columns).groupBy("series_id").applyInPandas(run, "series_id string, obs_date date, score double, anomaly boolean")
 

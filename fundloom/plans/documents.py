@@ -12,6 +12,10 @@ from fundloom.plans.common import Query, named, rounded
 from fundloom.sources.adapters import table
 
 
+#: Mail addresses, plainly.
+MAIL = r"[\w.+-]+@[\w-]+\.[\w.]+"
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "doc_id", F.col("text").alias("content"))
 
@@ -193,14 +197,20 @@ def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def follow_up_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight words of each user's turn as a question after the one before."""
-    words = lambda c: F.array_join(F.slice(F.split(c, r"\s+"), 1, 8), " ")
-    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", words(F.concat(F.when(F.col("turn") % 4 == 2, "And ").otherwise(""), "text", F.when(F.col("conv_id") % 2 == 0, " 2024 now").otherwise(""))).alias("question"))
+    """Each user's turn as a question after the one before; every other conversation names a year, and later turns begin like follow-ups."""
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.when(F.col("turn") % 4 == 2, "And ").otherwise(""), "text", F.when(F.col("conv_id") % 2 == 0, " 2024 now").otherwise("")).alias("question"))
     before = F.lag("question").over(Window.partitionBy("conv_id").orderBy("turn"))
     found = asked.withColumn("before", before).withColumn("p", tx.processed_question(F.col("question"), F.col("before")))
     return found.select("conv_id", "turn", F.col("p.is_follow_up").alias("follow_up"), F.col("p.mentions_period").alias("mentions_period"), F.col("p.wants_latest").alias("wants_latest"), F.length("p.retrieval_text").alias("n_chars"))
 
 
+def secret_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the settings' secrets that stand in them, and whether they had one; here mail addresses are the secrets."""
+    docs = table(spark, sf_dir, "documents")
+    found = F.regexp_extract_all("text", F.lit(MAIL), F.lit(0))
+    return docs.select("doc_id", F.sha2(tx.scrubbed(F.col("text"), F.array_distinct(found)), 256).alias("scrubbed_sha256"), F.size(found).cast("long").alias("n_secrets"))
+
+
 def conversation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last six turns of each conversation."""
     back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))
@@ -241,13 +251,13 @@ def fund_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fund_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions that name a fund by its code, its name, or in part."""
     funds = _named_funds(spark, sf_dir)
-    asked = funds.where("fund_id % 10 = 0")
+    asked = funds
     question = F.when(F.col("fund_id") % 20 == 0, F.concat(F.lit("What is the NAV of "), "code", F.lit("?"))).otherwise(F.concat(F.lit("How did "), F.regexp_replace("name", catalogue.PLAN_SUFFIX, ""), F.lit(" do, and pre-"), "code", F.lit("?")))
     return catalogue.mentioned_funds(asked.select(F.col("fund_id").alias("query_id"), question.alias("question")), catalogue.fund_aliases(funds))
 
 
 def queries() -> dict[str, Query]:
-    return named(sentence_split, chunk_documents, injection_flags, lexeme_df, lexeme_positions, lexical_topk, cover_density, vector_topk, rrf_fusion, evidence_gate, latest_boost, final_ranking, near_duplicates, context_selection, extractive_excerpts, conflict_detection, ir_metrics, evaluation_summary, evaluation_gate, evidence_recall, access_filter, document_rights, boilerplate_lines, follow_up_detection, conversation_history, number_grounding, citation_check, fund_aliases, fund_mentions)
+    return named(sentence_split, chunk_documents, injection_flags, lexeme_df, lexeme_positions, lexical_topk, cover_density, vector_topk, rrf_fusion, evidence_gate, latest_boost, final_ranking, near_duplicates, context_selection, extractive_excerpts, conflict_detection, ir_metrics, evaluation_summary, evaluation_gate, evidence_recall, access_filter, document_rights, boilerplate_lines, follow_up_detection, secret_scrub, conversation_history, number_grounding, citation_check, fund_aliases, fund_mentions)
 
 
 _STOP = "['" + "', '".join(tx.STOP_WORDS) + "']"
@@ -418,11 +428,15 @@ def oracle_sql() -> dict[str, str]:
             l AS (SELECT DISTINCT doc, page, regexp_replace(lower(trim(line)), '\d+', '#', 'g') AS line FROM (SELECT doc, page, unnest(string_split(text, chr(10))) AS line FROM p)),
             c AS (SELECT doc, line, count(*) AS pages FROM l WHERE length(line) BETWEEN 1 AND 80 GROUP BY ALL), t AS (SELECT doc, count(DISTINCT page) AS total FROM p GROUP BY doc)
             SELECT doc, line, pages FROM c JOIN t USING (doc) WHERE pages >= greatest(2, floor(0.6::DOUBLE * total))""",
-        "follow_up_detection": r"""WITH a AS (SELECT conv_id, turn, array_to_string(string_split_regex(CASE WHEN turn % 4 = 2 THEN 'And ' ELSE '' END || text || CASE WHEN conv_id % 2 = 0 THEN ' 2024 now' ELSE '' END, '\s+')[1:8], ' ') AS q FROM conversations WHERE role = 'user'),
-            b AS (SELECT *, lag(q) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM a), c AS (SELECT *, coalesce(before IS NOT NULL AND (regexp_matches(q, '(?i)^(and|also|what about|how about|and what|then|why|so)\b')
+        "follow_up_detection": r"""WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 2 THEN 'And ' ELSE '' END || text || CASE WHEN conv_id % 2 = 0 THEN ' 2024 now' ELSE '' END AS x FROM conversations WHERE role = 'user'),
+            n AS (SELECT conv_id, turn, substr(trim(regexp_replace(regexp_replace(x, '[\x00-\x08\x0b-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')), 1, 1000) AS q FROM a),
+            b AS (SELECT *, lag(q) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM n),
+            c AS (SELECT *, coalesce(before IS NOT NULL AND len(list_filter(string_split(q, ' '), lambda w: w <> '')) <= 14 AND (regexp_matches(q, '(?i)^(and|also|what about|how about|and what|then|why|so)\b')
               OR regexp_matches(q, '(?i)\b(it|its|it''s|this|that|these|those|they|them|their|the fund|the scheme|this fund|that fund|same fund|the document|the factsheet|the report)\b')), false) AS follow_up FROM b)
             SELECT conv_id, turn, follow_up, regexp_matches(q, '(?i)\b(19|20)\d{2}\b|\b(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\b|\bfy\s?\d{2}') AS mentions_period,
-                   regexp_matches(q, '(?i)\b(latest|current|currently|now|recent|most recent|today)\b') AS wants_latest, CAST(CASE WHEN follow_up THEN length(before) + 1 ELSE 0 END + length(q) AS INTEGER) AS n_chars FROM c""",
+                   regexp_matches(q, '(?i)\b(latest|current|currently|now|recent|most recent|today)\b') AS wants_latest, CAST(least(2000, CASE WHEN follow_up THEN length(before) + 1 ELSE 0 END + length(q)) AS INTEGER) AS n_chars FROM c""",
+        "secret_scrub": rf"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '{MAIL}') AS s FROM documents)
+            SELECT doc_id, sha256(list_reduce(list_concat([text], list_distinct(s)), lambda x, y: replace(x, y, '[REDACTED]'))) AS scrubbed_sha256, len(s) AS n_secrets FROM d""",
         "conversation_history": "SELECT conv_id, turn, role, CAST(back AS INTEGER) AS back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM conversations) WHERE back <= 6",
         # What the text gives, stated by value: the price to one digit is grounded, v2.5 and x... are no numbers.
         "number_grounding": r"""WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(18, 2)) AS price FROM orders),
@@ -440,7 +454,7 @@ def oracle_sql() -> dict[str, str]:
                    array_to_string(list_filter(s, lambda x, i: list_position(s, x) = i), ',') AS used_sources, CASE WHEN list_contains(good, 'T1') THEN 'T1' ELSE '' END AS used_calculations, array_to_string(bad, ',') AS invalid_markers FROM c""",
         "fund_aliases": f"WITH {_ALIASES} SELECT fund_id, alias, family FROM al",
         # Every question against every alias, with the guard at both ends.
-        "fund_mentions": rf"""WITH {_ALIASES}, q AS (SELECT fund_id AS query_id, CASE WHEN fund_id % 20 = 0 THEN 'what is the nav of ' || lower(code) || '?' ELSE 'how did ' || base || ' do, and pre-' || lower(code) || '?' END AS question FROM nf WHERE fund_id % 10 = 0),
+        "fund_mentions": rf"""WITH {_ALIASES}, q AS (SELECT fund_id AS query_id, CASE WHEN fund_id % 20 = 0 THEN 'what is the nav of ' || lower(code) || '?' ELSE 'how did ' || base || ' do, and pre-' || lower(code) || '?' END AS question FROM nf),
             d AS (SELECT DISTINCT alias FROM al)
             SELECT DISTINCT query_id, fund_id FROM q JOIN d ON regexp_matches(question, '(^|[^\w-])' || alias || '([^\w-]|$)') JOIN al USING (alias)""",
     }

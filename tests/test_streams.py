@@ -128,3 +128,15 @@ def test_ambiguous_words_name_no_fund(spark):
     asked = spark.createDataFrame([(1, "How is Aurora doing?"), (2, "How is Boreal doing?"), (3, "the aurora bond fund, please"), (4, "what of pre-A1 or A2."), (5, "Boreal-like funds")], "query_id int, question string")
     found = catalogue.mentioned_funds(asked, catalogue.fund_aliases(funds)).collect()
     assert sorted((r.query_id, r.fund_id) for r in found) == [(2, 3), (3, 1), (3, 4), (4, 2)]
+
+
+def test_names_of_many_words_are_found(spark):
+    name = "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota Kappa Lambda Fund"
+    funds = spark.createDataFrame([(1, "A1", name), (2, "A2", "Alpha Beta Fund")], "fund_id int, code string, name string")
+    asked = spark.createDataFrame([(1, f"How is {name} doing?"), (2, "and alpha beta gamma delta"), (3, name.replace("Kappa", "K"))], "query_id int, question string")
+    aliases = catalogue.fund_aliases(funds)
+    assert max(len(r.alias.split()) for r in aliases.collect()) == 12
+    got = sorted((r.query_id, r.fund_id) for r in catalogue.mentioned_funds(asked, aliases).collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2)]
+    only = aliases.where("alias LIKE '% lambda fund'")
+    assert [(r.query_id, r.fund_id) for r in catalogue.mentioned_funds(asked, only).collect()] == [(1, 1)]
