@@ -5,16 +5,23 @@ deviation of 2.9, and in more than ``RADIUS`` with a chance of 1e-6. Keys of
 shared blocks, as for two bits, can't be selective at such a radius (25 blocks
 of two or three bits). So buckets come from bands of minima instead: 160 minima
 in 40 bands of 4, of which two such texts share none with a chance of 7e-10.
-Inside a bucket fingerprints are compared bit-sliced within the radius. Texts
-with the same shingles are one class from the start. The texts of candidates'
-groups are then compared by their whole sets of shingles, as 64-bit hashes.
+Inside a bucket fingerprints are compared bit-sliced within the radius. One bit
+of each minimum is a sketch: those of two such texts differ in more than
+``SKETCH_RADIUS`` of 160 bits with a chance of 1.4e-8, while texts of similarity
+0.23, as a common passage makes them, do so in all but 2 of 10,000 cases; pairs
+are candidates if both tests hold. Texts with the same shingles are one class
+from the start. The texts of candidates' groups are then compared by their
+whole sets of shingles, as 64-bit hashes.
 
 Only what joins components is looked for. A group of up to ``TOGETHER`` members
 and ``TOGETHER_BYTES`` is compared in one task. In a larger one all members are
 compared with the least of them, and with the least of those that stay apart,
-by joins that Spark can split; what is apart after ``LEADERS`` rounds is
-compared with all members in tasks of two chunks. So no task holds a group that
-isn't bounded, and no pair that could join two components is left out.
+by joins that Spark can split. What is apart after ``LEADERS`` rounds is, in a
+bucket, divided by a second band: two such texts share only one of 40 with a
+chance of 2e-8, so those that are apart meet only the members that share
+another band with them. What is still too large, and in a group of texts what
+is apart, is compared with all members in tasks of two chunks. So no task holds
+a group that isn't bounded.
 """
 
 from __future__ import annotations
@@ -38,8 +45,10 @@ WORDS = 5
 #: Least similarity, as a fraction so that it is compared in whole numbers.
 LEAST = (4, 5)
 BANDS, ROWS = 40, 4
-#: Bits in which fingerprints of candidates differ, at most.
-RADIUS = 24
+#: Bits in which fingerprints of candidates differ, at most, and sketches.
+RADIUS, SKETCH_RADIUS = 24, 40
+#: Bytes of a fingerprint with its sketch.
+WIDTH = 32
 #: Members and bytes of a group that one task compares, and members of a chunk of larger groups.
 TOGETHER, TOGETHER_BYTES, CHUNK = 2000, 32 << 20, 1000
 #: Words whose hashes a worker keeps, at most.
@@ -99,14 +108,19 @@ def minima_of(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.StructType([T.StructField("same", T.BinaryType()), T.StructField("print", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+def sketch_of(minima: np.ndarray) -> bytes:
+    """One bit of each minimum, in three words of 64 bits."""
+    return np.packbits((_mixed(minima) & np.uint64(1)).astype(bool), bitorder="little").tobytes().ljust(24, b"\0")
+
+
+@F.pandas_udf(T.StructType([T.StructField("same", T.BinaryType()), T.StructField("print", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 def _sketch(texts: pd.Series) -> pd.DataFrame:
     known, same, prints, bands = _Words(), [], [], []
     for text in texts:
         s = shingles_of(text, known)
         same.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
         m = minima_of(s)
-        prints.append(int(fingerprint_of_hashes(s).view(np.int64)[0]))
+        prints.append(fingerprint_of_hashes(s).tobytes() + sketch_of(m))
         keys = _mixed((m.reshape(BANDS, ROWS) * _BAND_FACTORS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
         bands.append(keys.view(np.int64) if len(s) else np.zeros(0, np.int64))
     return pd.DataFrame({"same": same, "print": prints, "bands": bands})
@@ -184,26 +198,31 @@ def _texts(together: int, together_bytes: int):
     return run
 
 
+def _words_of(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), "<u8").reshape(-1, WIDTH // 8)
+
+
 def _prints(together: int, together_bytes: int):
-    """``_texts`` for fingerprints as values, all keys of a batch together."""
+    """``_texts`` for fingerprints with sketches as values, all keys of a batch together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def made(key: np.ndarray, node: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.concatenate([start, [len(key)]]))
             each = np.repeat(size, size)
             chosen = np.flatnonzero((each > 1) & (each <= together))
-            root = roots_in_buckets(key[chosen], fp[chosen].view(np.uint64), RADIUS)
+            sketch = value[chosen, 1:]
+            root = roots_in_buckets(key[chosen], value[chosen, 0], RADIUS, lambda a, b: np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= SKETCH_RADIUS)
             linked = np.flatnonzero(root != np.arange(len(root)))
             own = node[chosen]
             return _found(list(zip(own[linked].tolist(), own[root[linked]].tolist(), strict=True)), key[start[size > together]].tolist())
 
-        held, skip = [np.zeros(0, np.int64)] * 3, None
+        held, skip = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDTH // 8), np.uint64)], None
         for batch in batches:
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "value")]
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node")] + [_words_of(batch.column("value").to_pylist())]
             held = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             if skip is not None:
-                held = [h[held[0] != skip] for h in held]
+                held = [h[of_others] for of_others in [held[0] != skip] for h in held]
             if not len(held[0]):
                 continue
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on
@@ -220,6 +239,12 @@ def _prints(together: int, together_bytes: int):
     return run
 
 
+def _prints_alike(one: bytes, other: bytes) -> bool:
+    a, b = int.from_bytes(one, "little"), int.from_bytes(other, "little")
+    apart = a ^ b
+    return (apart & (2**64 - 1)).bit_count() <= RADIUS and (apart >> 64).bit_count() <= SKETCH_RADIUS
+
+
 def _texts_alike(one: np.ndarray, other: np.ndarray) -> bool:
     p, q = LEAST
     if q * min(len(one), len(other)) < p * max(len(one), len(other)):
@@ -237,7 +262,7 @@ class Likeness:
     size: Callable[[Column], Column]
 
 
-PRINTS = Likeness(_prints, lambda value, _: value, lambda one, other: ((one ^ other) & (2**64 - 1)).bit_count() <= RADIUS, lambda value: F.lit(8))
+PRINTS = Likeness(_prints, lambda value, _: value, _prints_alike, lambda value: F.lit(WIDTH))
 TEXTS = Likeness(_texts, shingles_of, _texts_alike, lambda value: F.coalesce(F.octet_length(value), F.lit(0)))
 
 
@@ -263,8 +288,12 @@ def _in_tasks(members: DataFrame, key: Column, likeness: Likeness, together: int
     return rows.mapInArrow(likeness.groups(together, together_bytes), FOUND)
 
 
-def group_links(members: DataFrame, likeness: Likeness, scratch: Scratch, together: int = TOGETHER, together_bytes: int = TOGETHER_BYTES, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links that join the members of ``members(key, node, value)`` into the components of all links within their key."""
+def group_links(members: DataFrame, likeness: Likeness, scratch: Scratch, together: int = TOGETHER, together_bytes: int = TOGETHER_BYTES, chunk: int = CHUNK, bands: DataFrame | None = None) -> DataFrame:
+    """(a, b): links that join the members of ``members(key, node, value)`` into the components of all links within their key.
+
+    With ``bands(node, bands)`` two members of a large key need only be
+    compared if they share another of these bands besides it.
+    """
     # Large groups are found by an aggregate with partial sums, so none is dealt out to one task.
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(likeness.size(F.col("value"))).alias("size"))
     big = scratch.table(sizes.where((F.col("n") > together) | ((F.col("n") > 1) & (F.col("size") > together_bytes))).select("key"), "large-keys")
@@ -289,6 +318,15 @@ def group_links(members: DataFrame, likeness: Likeness, scratch: Scratch, togeth
         apart = scratch.table(placed.where("own <> main").select(*all_.columns), "apart")
         if not apart.take(1):
             return links.unionByName(found)
+    if bands is not None:
+        # Those that stay apart meet what shares a second band with them; bands tell their own number, so no key is its own second one.
+        def second(side: DataFrame) -> DataFrame:
+            pairs = side.join(bands, "node").select("key", "node", "value", F.explode("bands").alias("band")).where("band <> key")
+            return pairs.select(F.xxhash64("key", "band").alias("key"), "node", "value")
+
+        asked = second(apart).select("key").distinct()
+        divided = scratch.table(second(all_).join(asked.hint("merge"), "key", "left_semi"), "divided")
+        return links.unionByName(found).unionByName(group_links(divided, likeness, scratch, together, together_bytes, chunk))
     # All that stays apart against all members, in tasks of a chunk of each.
     counts = all_.groupBy("key").agg(F.count("*").alias("n")).join(apart.groupBy("key").agg(F.count("*").alias("m")), "key")
     parts = scratch.table(counts, "apart-sizes")
@@ -323,7 +361,7 @@ def one_of_each_group(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
         classes = scratch.table(prints.groupBy("same").agg(least).select(F.col("least.node").alias("node"), "least"), "classes")
         first = scratch.table(prints.join(classes.select("node"), "node", "left_semi"), "first")
         keyed = first.select("node", F.col("print").alias("value"), F.explode("bands").alias("key"))
-        candidates = scratch.table(group_links(keyed, PRINTS, scratch, together).distinct(), "candidates")
+        candidates = scratch.table(group_links(keyed, PRINTS, scratch, together, bands=first.select("node", "bands")).distinct(), "candidates")
         groups = connected_components(candidates, "near-candidates")
         texts = scratch.table(groups.hint("merge").join(marked.select(F.col(row).alias("node"), text.alias("value")), "node").select(F.col("component").alias("key"), "node", "value"), "texts")
         found = connected_components(group_links(texts, TEXTS, scratch, together), "near-groups")

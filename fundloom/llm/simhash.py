@@ -15,7 +15,7 @@ have 256 fingerprints at most. No pair is lost and no bucket is unbounded.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -146,8 +146,8 @@ def links_in_buckets(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS)
     return fps[linked], fps[root[linked]]
 
 
-def roots_in_buckets(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each fingerprint the least index of its component of links inside its bucket."""
+def roots_in_buckets(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS, confirm: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """For each fingerprint the least index of its component of links inside its bucket; ``confirm`` may turn down pairs of indices."""
     n = len(fps)
     if n < 2:
         return np.arange(n)
@@ -174,7 +174,10 @@ def roots_in_buckets(bucket: np.ndarray, fps: np.ndarray, radius: int = RADIUS)
                 i, lane = np.nonzero(lanes)
                 a, b = query[lo + i], word[lo + i] * LANES + lane
                 good = (b < a) & (b >= start[a])
-                _unite(root, a[good], b[good])
+                a, b = a[good], b[good]
+                if confirm is not None and len(a):
+                    a, b = a[good := confirm(a, b)], b[good]
+                _unite(root, a, b)
         at = to
     return root
 
