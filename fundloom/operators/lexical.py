@@ -31,7 +31,7 @@ POSTINGS = "passage_id long, content_hash string, lexemes array<string>, places
 _stems = Stems()
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def words_with_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """(text of each word, its place, its lexeme's number, lexemes) of some texts, stop words left out."""
     split = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), r"[^\p{L}\p{N}]+")
     flat = split.flatten().dictionary_encode()
@@ -58,7 +58,7 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(whole)]
         for at, to in zip(cuts, cuts[1:], strict=False):
             batch = whole.slice(at, to - at)
-            text, place, code, names = _words(batch.column("content"))
+            text, place, code, names = words_with_places(batch.column("content"))
             rank = np.argsort(np.argsort(np.array(names))) if names else np.zeros(0, np.int64)
             ordered = np.array(names)[np.argsort(rank)] if names else np.array([], str)
             key = text * max(1, len(names)) + (rank[code] if names else code)

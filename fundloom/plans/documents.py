@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fundloom.functions import stemming
 from fundloom.functions import text as tx
-from fundloom.operators import catalogue, chunking, lexical, retrieval
+from fundloom.operators import catalogue, chunking, hybrid, lexical, retrieval
 from fundloom.plans.common import Query, named, rounded
 from fundloom.sources.adapters import table
 
@@ -147,15 +147,35 @@ def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_judged(spark, sf_dir))
 
 
+def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their states: every tenth is pending, every third is private to one of seven owners."""
+    d = table(spark, sf_dir, "documents")
+    made = F.date_add(F.lit("2025-01-01").cast("date"), (F.col("doc_id") % 300).cast("int"))
+    return d.select("doc_id", F.when(F.col("doc_id") % 10 == 9, "pending").otherwise("indexed").alias("status"), F.when(F.col("doc_id") % 3 == 0, "private").otherwise("shared").alias("visibility"), (F.col("doc_id") % 7).alias("owner_id"), F.concat(F.lit("Document "), "doc_id").alias("title"), (F.col("doc_id") % 5).alias("fund_id"), F.lit("report").alias("doc_type"), made.alias("as_of_date"))
+
+
+def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _questions(spark, sf_dir).select("query_id", F.explode(tx.sentences(F.col("question"))).alias("snippet"))
+
+
+def evaluation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts asked by user 2 in three modes; their sentences are what a relevant document holds."""
+    found = hybrid.evaluate(_questions(spark, sf_dir), _snippets(spark, sf_dir), _passages(spark, sf_dir), _library(spark, sf_dir), F.lit(2))
+    return rounded(found)
+
+
+def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User 2's hybrid search over the chunks of all documents: what is found, and what is chosen for the context."""
+    chunks = chunking.chunk_documents(table(spark, sf_dir, "documents"))
+    passages = chunks.select((F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("passage_id"), "doc_id", "content", "heading", "page_start")
+    found = hybrid.retrieve(_questions(spark, sf_dir), passages, _library(spark, sf_dir), F.lit(2))
+    return found.select("query_id", "passage_id", "title", "heading", "page_start", "coverage", "similarity", "final_score", "supported", "final_rank", "position")
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judged questions with a mode, a split and a category, by their ids; every fourth has no answer and must be declined."""
-    judged = _judged(spark, sf_dir)
-    part = (F.col("query_id") / 100).cast("int")
-    answerable = part % 4 > 0
-    metrics = [c for c in judged.columns if c != "query_id"]
-    values = [F.when(answerable, F.round(c, 6)).alias(c) for c in metrics]
-    flags = [F.when(~answerable, (F.col("reciprocal_rank") < 1).cast("double")).alias("abstained"), F.when(answerable, (F.col("recall_5") == 0).cast("double")).alias("false_abstention")]
-    return judged.select(F.when(part % 2 == 0, "hybrid").otherwise("vector").alias("mode"), F.when(part % 5 == 0, "holdout").otherwise("dev").alias("split"), F.concat(F.lit("c"), part % 3).alias("category"), *values, *flags)
+    """The evaluation's records with a split and a category: the fifth with ids divisible by five is held out, categories are by length."""
+    items = _questions(spark, sf_dir).select("query_id", F.when(F.col("query_id") % 5 == 0, "holdout").otherwise("dev").alias("split"), F.when(F.length("question") < 300, "short").otherwise("long").alias("category"))
+    return evaluation_records(spark, sf_dir).join(items, "query_id")
 
 
 def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,8 +183,12 @@ def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    minima = {"recall_5": 0.0, "reciprocal_rank": 0.7, "precision_1": 0.8, "abstained": 0.8}
-    return retrieval.acceptance(retrieval.evaluation_summary(_records(spark, sf_dir)), minima, "hybrid")
+    """The means of the hybrid mode against the published minima; one leak fails all."""
+    records = _records(spark, sf_dir)
+    minima = {"recall_5": 0.8, "reciprocal_rank": 0.7, "abstained": 0.8}
+    leaks = records.agg(F.sum("leaked").alias("leaks"))
+    checks = retrieval.acceptance(retrieval.evaluation_summary(records), minima, "hybrid").join(F.broadcast(leaks))
+    return checks.withColumn("passed", F.col("passed") & (F.col("leaks") == 0))
 
 
 def evidence_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +281,7 @@ def fund_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return named(sentence_split, chunk_documents, injection_flags, lexeme_df, lexeme_positions, lexical_topk, cover_density, vector_topk, rrf_fusion, evidence_gate, latest_boost, final_ranking, near_duplicates, context_selection, extractive_excerpts, conflict_detection, ir_metrics, evaluation_summary, evaluation_gate, evidence_recall, access_filter, document_rights, boilerplate_lines, follow_up_detection, secret_scrub, conversation_history, number_grounding, citation_check, fund_aliases, fund_mentions)
+    return named(sentence_split, chunk_documents, injection_flags, lexeme_df, lexeme_positions, lexical_topk, cover_density, vector_topk, rrf_fusion, evidence_gate, latest_boost, final_ranking, near_duplicates, context_selection, extractive_excerpts, conflict_detection, ir_metrics, evaluation_records, chunk_search, evaluation_summary, evaluation_gate, evidence_recall, access_filter, document_rights, boilerplate_lines, follow_up_detection, secret_scrub, conversation_history, number_grounding, citation_check, fund_aliases, fund_mentions)
 
 
 _STOP = "['" + "', '".join(tx.STOP_WORDS) + "']"
@@ -352,9 +376,54 @@ h AS (SELECT query_id, count(*) FILTER (vector_rank <= 1) AS h1, count(*) FILTER
 judged AS (SELECT query_id, round(coalesce(h1, 0) / n, 6) AS recall_1, round(coalesce(h3, 0) / n, 6) AS recall_3, round(coalesce(h5, 0) / n, 6) AS recall_5, round(coalesce(h1, 0) / 1.0::DOUBLE, 6) AS precision_1, round(coalesce(h3, 0) / 3.0::DOUBLE, 6) AS precision_3,
   round(coalesce(h5, 0) / 5.0::DOUBLE, 6) AS precision_5, round(coalesce(rr, 0), 6) AS reciprocal_rank, round(coalesce(dcg, 0) / list_sum([1 / log2(i + 1) for i in range(1, least(n, 5) + 1)]), 6) AS ndcg_5 FROM t LEFT JOIN h USING (query_id))"""
 _METRICS = ("recall_1", "recall_3", "recall_5", "precision_1", "precision_3", "precision_5", "reciprocal_rank", "ndcg_5")
-_RECORDS = f"""rec AS (SELECT CASE WHEN part % 2 = 0 THEN 'hybrid' ELSE 'vector' END AS mode, CASE WHEN part % 5 = 0 THEN 'holdout' ELSE 'dev' END AS split, 'c' || (part % 3) AS category,
-  {", ".join(f"CASE WHEN part % 4 > 0 THEN {m} END AS {m}" for m in _METRICS)}, CASE WHEN part % 4 = 0 THEN CAST(reciprocal_rank < 1 AS DOUBLE) END AS abstained, CASE WHEN part % 4 > 0 THEN CAST(recall_5 = 0 AS DOUBLE) END AS false_abstention
-  FROM (SELECT *, CAST(query_id // 100 AS BIGINT) AS part FROM judged))"""
+_MODES = {"hybrid": (True, True), "vector": (True, False), "lexical": (False, True)}
+
+
+def _evaluated() -> str:
+    """The evaluation's records of user 2, written as the reference's rules state them: readable documents first, three modes, five ranks."""
+    lib = "lib AS (SELECT doc_id, text, doc_id % 5 AS fund_id, doc_id % 300 AS day, 'Document ' || doc_id AS title FROM documents WHERE doc_id % 10 <> 9 AND (doc_id % 3 <> 0 OR doc_id % 7 = 2))"
+    lexical = _LEXICAL[: _LEXICAL.rindex("vec AS (SELECT * FROM")].replace("FROM documents", "FROM lib").replace("JOIN documents", "JOIN lib")
+    parts = []
+    for mode, (near, words) in _MODES.items():
+        parts.append(f"""
+f_{mode} AS (SELECT query_id, passage_id, coverage, similarity, round(coalesce(0.3::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0), 12) AS score
+  FROM (SELECT * FROM lex WHERE {str(words).lower()}) FULL JOIN (SELECT * FROM near WHERE {str(near).lower()}) USING (query_id, passage_id)),
+b_{mode} AS (SELECT f.*, text, title, round(score * CASE WHEN NOT period AND day = max(day) OVER (PARTITION BY query_id, fund_id) THEN CASE WHEN wants THEN 1.25::DOUBLE ELSE 1.05 END ELSE 1 END, 12) AS final_score,
+    max(coalesce(coverage, 0)) OVER (PARTITION BY query_id) AS bc, max(coalesce(similarity, 0)) OVER (PARTITION BY query_id) AS bs
+  FROM f_{mode} f JOIN lib ON doc_id = passage_id JOIN asked USING (query_id)),
+g_{mode} AS (SELECT *, (bc >= 0.5 AND coalesce(coverage, 0) >= greatest(0.3, 0.6::DOUBLE * bc)) OR (bs >= 0.6 AND coalesce(similarity, 0) >= greatest(0.52, bs - 0.08::DOUBLE)) AS supported FROM b_{mode}),
+r_{mode} AS (SELECT query_id, passage_id, supported, row_number() OVER (PARTITION BY query_id ORDER BY supported DESC, final_score DESC, text, title, passage_id) AS rank FROM g_{mode}),
+h_{mode} AS (SELECT '{mode}' AS mode, tot2.query_id, n, n_relevant, s1, s3, s5, h1, h3, h5, rr, dcg, supported
+  FROM tot2 LEFT JOIN rel USING (query_id)
+  LEFT JOIN (SELECT query_id, count(*) FILTER (rank <= 1) AS s1, count(*) FILTER (rank <= 3) AS s3, count(*) FILTER (rank <= 5) AS s5 FROM (SELECT query_id, t, min(rank) AS rank FROM r_{mode} JOIN hold USING (query_id, passage_id) GROUP BY ALL) GROUP BY query_id) USING (query_id)
+  LEFT JOIN (SELECT query_id, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 3) AS h3, count(*) FILTER (rank <= 5) AS h5, max(1.0::DOUBLE / rank) AS rr, sum(1 / log2(rank + 1)) FILTER (rank <= 5) AS dcg
+             FROM r_{mode} WHERE (query_id, passage_id) IN (SELECT (query_id, passage_id) FROM hold) GROUP BY query_id) USING (query_id)
+  LEFT JOIN (SELECT query_id, bool_or(supported) AS supported FROM r_{mode} GROUP BY query_id) USING (query_id))""")
+    sentences = r"""list_filter([trim(x) FOR x IN string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9("''])', '\1' || chr(1) || '\2', 'g'), chr(1))], lambda x: x <> '')"""
+    return rf"""{lib}, {lexical}
+asked AS (SELECT item_id AS query_id, regexp_matches(text, '(?i)\b(19|20)\d{{2}}\b|\b(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\b|\bfy\s?\d{{2}}') AS period,
+          regexp_matches(text, '(?i)\b(latest|current|currently|now|recent|most recent|today)\b') AS wants
+          FROM (SELECT item_id, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 1000) AS text FROM benchmark)),
+hv AS (SELECT lexeme, CAST(('0x' || md5(lexeme)[1:2]) AS INTEGER) AS d, 1 - 2 * (CAST(('0x' || md5(lexeme)[3:3]) AS INTEGER) & 1) AS sign FROM (SELECT DISTINCT lexeme FROM stems)),
+pv AS (SELECT passage_id, d, sum(sign) AS v FROM pl JOIN hv USING (lexeme) GROUP BY ALL),
+qwords AS (SELECT item_id AS query_id, unnest({_WORDS.format("text")}) AS w FROM benchmark),
+qv AS (SELECT query_id, d, sum(sign) AS v FROM qwords JOIN stems USING (w) JOIN hv USING (lexeme) GROUP BY ALL),
+pn AS (SELECT passage_id, sqrt(sum(v * v)) AS size FROM pv GROUP BY passage_id HAVING sum(v * v) > 0), qn AS (SELECT query_id, sqrt(sum(v * v)) AS size FROM qv GROUP BY query_id),
+dots AS (SELECT query_id, passage_id, sum(qv.v * pv.v) AS dot FROM qv JOIN pv USING (d) GROUP BY ALL),
+near AS (SELECT query_id, passage_id, round(coalesce(dot, 0) / (qn.size * pn.size), 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(dot, 0) / (qn.size * pn.size), 6) DESC, passage_id) AS vector_rank
+         FROM qn CROSS JOIN pn LEFT JOIN dots USING (query_id, passage_id) QUALIFY vector_rank <= 30),
+sn AS (SELECT DISTINCT query_id, trim(regexp_replace(lower(t), '\s+', ' ', 'g')) AS t FROM (SELECT item_id AS query_id, unnest({sentences}) AS t FROM benchmark)),
+tot2 AS (SELECT query_id, count(*) AS n FROM sn WHERE t <> '' GROUP BY query_id),
+hold AS (SELECT query_id, t, doc_id AS passage_id FROM sn JOIN (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS body FROM lib) ON t <> '' AND contains(body, t)),
+rel AS (SELECT query_id, count(DISTINCT passage_id) AS n_relevant FROM hold GROUP BY query_id),{",".join(parts)},
+judged2 AS (SELECT mode, query_id, CASE WHEN n_relevant > 0 THEN round(coalesce(s1, 0) / CAST(n AS DOUBLE), 6) END AS recall_1, CASE WHEN n_relevant > 0 THEN round(coalesce(s3, 0) / CAST(n AS DOUBLE), 6) END AS recall_3, CASE WHEN n_relevant > 0 THEN round(coalesce(s5, 0) / CAST(n AS DOUBLE), 6) END AS recall_5,
+  CASE WHEN n_relevant > 0 THEN round(coalesce(h1, 0) / 1.0::DOUBLE, 6) END AS precision_1, CASE WHEN n_relevant > 0 THEN round(coalesce(h3, 0) / 3.0::DOUBLE, 6) END AS precision_3, CASE WHEN n_relevant > 0 THEN round(coalesce(h5, 0) / 5.0::DOUBLE, 6) END AS precision_5,
+  CASE WHEN n_relevant > 0 THEN round(coalesce(rr, 0), 6) END AS reciprocal_rank, CASE WHEN n_relevant > 0 THEN round(coalesce(dcg, 0) / list_sum([1 / log2(i + 1) FOR i IN range(1, least(n_relevant, 5) + 1)]), 6) END AS ndcg_5,
+  CASE WHEN n_relevant IS NULL THEN CASE WHEN coalesce(supported, false) THEN 0.0::DOUBLE ELSE 1.0 END END AS abstained, CASE WHEN n_relevant > 0 THEN CASE WHEN coalesce(supported, false) THEN 0.0::DOUBLE ELSE 1.0 END END AS false_abstention, 0 AS leaked
+  FROM ({" UNION ALL ".join(f"SELECT * FROM h_{mode}" for mode in _MODES)})),
+rec AS (SELECT judged2.*, CASE WHEN query_id % 5 = 0 THEN 'holdout' ELSE 'dev' END AS split, CASE WHEN length(text) < 300 THEN 'short' ELSE 'long' END AS category FROM judged2 JOIN benchmark ON item_id = query_id)"""
+
+
 _SUMMARY = "SELECT mode, split, category, CASE WHEN grouping(split) = 0 THEN 'split' WHEN grouping(category) = 0 THEN 'category' ELSE 'mode' END AS \"grouping\", count(*) AS questions, " + ", ".join(f"round(avg({m}), 4) AS {m}" for m in (*_METRICS, "false_abstention", "abstained")) + " FROM rec GROUP BY GROUPING SETS ((mode), (mode, split), (mode, category))"
 
 
@@ -411,11 +480,11 @@ def oracle_sql() -> dict[str, str]:
         "conflict_detection": f"""WITH {_LEXICAL} SELECT query_id, passage_id % 5 AS fund_id, string_agg(DISTINCT CAST(DATE '2025-01-01' + CAST(passage_id % 3 AS INTEGER) AS VARCHAR), ',' ORDER BY CAST(DATE '2025-01-01' + CAST(passage_id % 3 AS INTEGER) AS VARCHAR)) AS dates
             FROM lex WHERE lexical_rank <= 6 GROUP BY ALL HAVING count(DISTINCT passage_id % 3) > 1""",
         "ir_metrics": f"""WITH {_JUDGED} SELECT * FROM judged""",
-        "evaluation_summary": f"""WITH {_JUDGED}, {_RECORDS} {_SUMMARY}""",
-        "evaluation_gate": f"""WITH {_JUDGED}, {_RECORDS}, s AS ({_SUMMARY}), hy AS (SELECT * FROM s WHERE "grouping" = 'mode' AND mode = 'hybrid'),
-            c AS (SELECT 'recall_5' AS metric, recall_5 AS value, 0.0::DOUBLE AS minimum FROM hy UNION ALL SELECT 'reciprocal_rank', reciprocal_rank, 0.7::DOUBLE FROM hy
-                  UNION ALL SELECT 'precision_1', precision_1, 0.8::DOUBLE FROM hy UNION ALL SELECT 'abstained', abstained, 0.8::DOUBLE FROM hy)
-            SELECT *, coalesce(value >= minimum, false) AS met, bool_and(coalesce(value >= minimum, false)) OVER () AS passed FROM c""",
+        "evaluation_records": f"""WITH {_evaluated()} SELECT * FROM judged2""",
+        "evaluation_summary": f"""WITH {_evaluated()} {_SUMMARY}""",
+        "evaluation_gate": f"""WITH {_evaluated()}, s AS ({_SUMMARY}), hy AS (SELECT * FROM s WHERE "grouping" = 'mode' AND mode = 'hybrid'), lk AS (SELECT sum(leaked) AS leaks FROM judged2),
+            c AS (SELECT 'recall_5' AS metric, recall_5 AS value, 0.8::DOUBLE AS minimum FROM hy UNION ALL SELECT 'reciprocal_rank', reciprocal_rank, 0.7::DOUBLE FROM hy UNION ALL SELECT 'abstained', abstained, 0.8::DOUBLE FROM hy)
+            SELECT c.*, coalesce(value >= minimum, false) AS met, bool_and(coalesce(value >= minimum, false)) OVER () AND leaks = 0 AS passed, CAST(leaks AS BIGINT) AS leaks FROM c, lk""",
         "evidence_recall": rf"""WITH {_LEXICAL}, q AS (SELECT item_id AS query_id, [trim(x) FOR x IN string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9("''])', '\1' || chr(1) || '\2', 'g'), chr(1))] AS s FROM benchmark),
             n AS (SELECT DISTINCT query_id, t FROM (SELECT query_id, unnest(s) AS t FROM q) WHERE t <> ''),
             p AS (SELECT query_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS body FROM lex JOIN documents ON doc_id = passage_id WHERE lexical_rank <= 3),
