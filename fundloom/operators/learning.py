@@ -96,41 +96,143 @@ def mean_baseline(split: DataFrame) -> DataFrame:
     return split.where("part = 'test' AND target IS NOT NULL").withColumnRenamed("target", "actual").join(mean, "series_id")
 
 
-def _tree(x: np.ndarray, y: np.ndarray, weight: np.ndarray, at: np.ndarray, depths: tuple[int, ...], least: int = 20) -> np.ndarray:
+def _best_split(x: np.ndarray, w: np.ndarray, wy: np.ndarray, least: int) -> tuple[int, float] | None:
+    """(feature, cut) of the greatest gain in squared error, or None; both sides keep ``least`` distinct rows at least."""
+    m = len(x)
+    order = np.argsort(x, axis=0, kind="stable")
+    sorted_x = np.take_along_axis(x, order, axis=0)
+    wl, sl = w[order].cumsum(axis=0)[:-1], wy[order].cumsum(axis=0)[:-1]
+    gain = sl**2 / wl + (wy.sum() - sl) ** 2 / (w.sum() - wl)
+    k = np.arange(1, m)[:, None]
+    gain[(sorted_x[:-1] >= sorted_x[1:]) | (k < least) | (m - k < least)] = -np.inf
+    best = int(np.argmax(gain))
+    if not gain.flat[best] > wy.sum() ** 2 / w.sum():
+        return None
+    k, f = divmod(best, x.shape[1])
+    cut = (sorted_x[k, f] + sorted_x[k + 1, f]) / 2
+    return f, cut if cut < sorted_x[k + 1, f] else sorted_x[k, f]
+
+
+def _tree(x: np.ndarray, y: np.ndarray, weight: np.ndarray, at: np.ndarray, depths: tuple[int, ...], least: int = 5) -> np.ndarray:
     """Predictions (depth, row of ``at``) of a regression tree cut off at each of ``depths``; leaves hold ``least`` distinct rows at least."""
     out, stack = np.zeros((len(depths), len(at))), [(np.flatnonzero(weight), np.arange(len(at)), 0)]
     while stack:
         own, rows, level = stack.pop()
         w = weight[own]
-        wy, m, best = w * y[own], len(own), -1
-        if level < max(depths) and m >= 2 * least:
-            order = np.argsort(x[own], axis=0, kind="stable")
-            sorted_x = np.take_along_axis(x[own], order, axis=0)
-            wl, sl = w[order].cumsum(axis=0)[:-1], wy[order].cumsum(axis=0)[:-1]
-            gain = sl**2 / wl + (wy.sum() - sl) ** 2 / (w.sum() - wl)
-            k = np.arange(1, m)[:, None]
-            gain[(sorted_x[:-1] >= sorted_x[1:]) | (k < least) | (m - k < least)] = -np.inf
-            best = int(np.argmax(gain))
-            if not gain.flat[best] > wy.sum() ** 2 / w.sum():
-                best = -1
+        wy = w * y[own]
+        split = _best_split(x[own], w, wy, least) if level < max(depths) and len(own) >= 2 * least else None
         for d, depth in enumerate(depths):
-            if level == depth or (level < depth and best < 0):
+            if level == depth or (level < depth and split is None):
                 out[d, rows] = wy.sum() / w.sum()
-        if best >= 0:
-            k, f = divmod(best, x.shape[1])
-            cut = (sorted_x[k, f] + sorted_x[k + 1, f]) / 2
-            cut = cut if cut < sorted_x[k + 1, f] else sorted_x[k, f]
+        if split:
+            f, cut = split
             stack.append((own[x[own, f] <= cut], rows[at[rows, f] <= cut], level + 1))
             stack.append((own[x[own, f] > cut], rows[at[rows, f] > cut], level + 1))
     return out
 
 
+#: A forest's nodes, one after the other: tree, split feature (-1 in a leaf), cut, the nodes at or below and above it, mean target, weight of the rows.
+NODES = "tree int, feature int, cut double, low int, high int, value double, cover double"
+
+
+def bootstrap(n: int, tree: int, seed: int) -> np.ndarray:
+    return np.bincount(np.random.default_rng([seed, tree]).integers(0, n, n), minlength=n).astype(float)
+
+
+def forest_nodes(x: np.ndarray, y: np.ndarray, depth: int, trees: int = 200, seed: int = 42, least: int = 5) -> list[tuple]:
+    """The nodes of a random forest as rows of ``NODES``; its predictions are those of ``forest_candidates``."""
+    nodes: list[list] = []
+    for t in range(trees):
+        weight = bootstrap(len(x), t, seed)
+        stack = [(np.flatnonzero(weight), 0, None)]
+        while stack:
+            own, level, above = stack.pop()
+            w = weight[own]
+            wy = w * y[own]
+            split = _best_split(x[own], w, wy, least) if level < depth and len(own) >= 2 * least else None
+            if above:
+                nodes[above[0]][above[1]] = len(nodes)
+            k = len(nodes)
+            nodes.append([t, split[0] if split else -1, split[1] if split else 0.0, -1, -1, wy.sum() / w.sum(), w.sum()])
+            if split:
+                below = x[own, split[0]] <= split[1]
+                stack += [(own[~below], level + 1, (k, 4)), (own[below], level + 1, (k, 3))]
+    return [(int(a), int(b), float(c), int(d), int(e), float(f), float(g)) for a, b, c, d, e, f, g in nodes]
+
+
+def forest_predictions(nodes: list[tuple], at: np.ndarray) -> np.ndarray:
+    """What a forest of ``NODES`` predicts for rows of features."""
+    tree, feature, cut, low, high, value, _ = (np.array(c) for c in zip(*nodes, strict=True))
+    roots = np.flatnonzero(np.diff(tree, prepend=-1))
+    total = np.zeros(len(at))
+    for root in roots:
+        now = np.full(len(at), root)
+        while (inner := feature[now] >= 0).any():
+            rows = np.flatnonzero(inner)
+            k = now[rows]
+            now[rows] = np.where(at[rows, feature[k]] <= cut[k], low[k], high[k])
+        total += value[now]
+    return total / len(roots)
+
+
+def forest_attributions(nodes: list[tuple], at: np.ndarray) -> tuple[np.ndarray, float]:
+    """(Shapley values of each row and feature, expected value) of a forest, by the weights that its training rows left on the paths.
+
+    A leaf's share for a feature of its path is its value times (o - z) times
+    the weighted sum over subsets of the others, where o tells whether the row
+    takes the feature's turns and z is the share of rows that do. The sums over
+    subsets of one size are the coefficients of the product of (z + o t), which
+    is built once for each leaf and divided by the feature's own factor: a
+    polynomial in the depth instead of all subsets. Leaves of equally many
+    features are taken together, for all rows at once.
+    """
+    n_features, out, expected = at.shape[1], np.zeros(at.shape), 0.0
+    trees: dict[int, list[int]] = {}
+    for k, node in enumerate(nodes):
+        trees.setdefault(node[0], []).append(k)
+    for members in trees.values():
+        leaves: dict[int, list[tuple]] = {}
+        stack = [(members[0], {})]
+        while stack:
+            k, path = stack.pop()
+            _, f, cut, low, high, value, cover = nodes[k]
+            if f < 0:
+                leaves.setdefault(len(path), []).append((path, value))
+                expected += value * math.prod(z for z, _, _ in path.values())
+                continue
+            z, least, most = path.get(f, (1.0, -math.inf, math.inf))
+            stack.append((low, path | {f: (z * nodes[low][6] / cover, least, min(most, cut))}))
+            stack.append((high, path | {f: (z * nodes[high][6] / cover, max(least, cut), most)}))
+        for d, group in leaves.items():
+            if not d:
+                continue
+            features = np.array([list(p) for p, _ in group])
+            z, least, most = (np.array([[x[c] for x in p.values()] for p, _ in group]) for c in range(3))
+            x = at[:, features]
+            o = ((x > least) & (x <= most)).astype(float)
+            value = np.array([v for _, v in group])
+            # Without one factor at a time; d is at most the depth.
+            for j in range(d):
+                poly = np.zeros((*o.shape[:2], d))
+                poly[..., 0] = 1
+                for n, i in enumerate([i for i in range(d) if i != j]):
+                    grown = poly * z[None, :, i, None]
+                    grown[..., 1 : n + 2] += poly[..., : n + 1] * o[:, :, i, None]
+                    poly = grown
+                weights = np.array([math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)])
+                part = value * (o[..., j] - z[:, j]) * (poly @ weights)
+                for f in range(n_features):
+                    own = features[:, j] == f
+                    if own.any():
+                        out[:, f] += part[:, own].sum(axis=1)
+    return out / len(trees), expected / len(trees)
+
+
 def forest_candidates(x: np.ndarray, y: np.ndarray, at: np.ndarray, depths: tuple[float, ...], trees: int = 200, seed: int = 42) -> np.ndarray:
     """Predictions (depth, row of ``at``) of random forests of all features; forests of unlike depth share their bootstrap samples."""
     total = np.zeros((len(depths), len(at)))
     for t in range(trees):
-        weight = np.bincount(np.random.default_rng([seed, t]).integers(0, len(x), len(x)), minlength=len(x)).astype(float)
-        total += _tree(x, y, weight, at, tuple(int(d) for d in depths))
+        total += _tree(x, y, bootstrap(len(x), t, seed), at, tuple(int(d) for d in depths))
     return total / trees
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fundloom.functions import stemming
 from fundloom.functions import text as tx
-from fundloom.operators import catalogue, chunking, hybrid, lexical, retrieval
+from fundloom.operators import catalogue, chunking, hybrid, lexical, neighbours, retrieval
 from fundloom.plans.common import Query, named, rounded
 from fundloom.sources.adapters import table
 
@@ -65,6 +65,13 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.vector_search(*_vector_queries(spark, sf_dir), most=10)
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest ten by the inverted lists, for the questions of ``vector_topk``."""
+    queries, vectors = _vector_queries(spark, sf_dir)
+    lists = neighbours.fit(vectors)
+    return neighbours.approximate_search(queries, neighbours.indexed(vectors, lists), lists, most=10)
+
+
 def _question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A benchmark text's vector is the one whose id is that of the text; a document's, the one with its id."""
     v = table(spark, sf_dir, "embeddings")
@@ -281,7 +288,7 @@ def fund_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return named(sentence_split, chunk_documents, injection_flags, lexeme_df, lexeme_positions, lexical_topk, cover_density, vector_topk, rrf_fusion, evidence_gate, latest_boost, final_ranking, near_duplicates, context_selection, extractive_excerpts, conflict_detection, ir_metrics, evaluation_records, chunk_search, evaluation_summary, evaluation_gate, evidence_recall, access_filter, document_rights, boilerplate_lines, follow_up_detection, secret_scrub, conversation_history, number_grounding, citation_check, fund_aliases, fund_mentions)
+    return named(sentence_split, chunk_documents, injection_flags, lexeme_df, lexeme_positions, lexical_topk, cover_density, vector_topk, vector_index, rrf_fusion, evidence_gate, latest_boost, final_ranking, near_duplicates, context_selection, extractive_excerpts, conflict_detection, ir_metrics, evaluation_records, chunk_search, evaluation_summary, evaluation_gate, evidence_recall, access_filter, document_rights, boilerplate_lines, follow_up_detection, secret_scrub, conversation_history, number_grounding, citation_check, fund_aliases, fund_mentions)
 
 
 _STOP = "['" + "', '".join(tx.STOP_WORDS) + "']"

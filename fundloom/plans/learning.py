@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fundloom.operators import learning, series
+from fundloom.operators import learning, models, series
 from fundloom.plans.common import Query, named, rounded
 from fundloom.sources.adapters import LEVELS_SQL, benchmark, levels, table
+from fundloom.storage import shared_folder
 from fundloom.streaming import events
 
 ANOMALY_COLUMNS = ("ret", "shock", "vol_ratio", "excess_return")
@@ -92,6 +93,21 @@ def model_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.fingerprint(levels(spark, sf_dir), "ridge", 21)
 
 
+def stored_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts of ridge models from a registry of this session, which is filled first where it lacks one."""
+    found = models.stored_forecasts(levels(spark, sf_dir), f"{shared_folder(spark)}/fundloom/{spark.sparkContext.applicationId}/registry", "ridge")
+    return rounded(found.drop("attributions", "importance"))
+
+
+def forest_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tree Shapley values of each series' latest 21-day forecast by a random forest, and their mean sizes over recent rows."""
+    rows = levels(spark, sf_dir)
+    found = models.forecast(models.train(rows, models.fingerprints(rows, "random_forest", (21,)), "random_forest"), rows)
+    long = found.select("series_id", "horizon", "base", "predicted", F.posexplode(F.arrays_zip("attributions", "importance")).alias("i", "p"))
+    name = F.get(F.array(*(F.lit(c) for c in learning.FEATURES)), F.col("i"))
+    return rounded(long.select("series_id", "horizon", "base", "predicted", name.alias("feature"), F.col("p.attributions").alias("attribution"), F.col("p.importance").alias("mean_size")), 8)
+
+
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(events.windowed_counts(table(spark, sf_dir, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm")), 2)
 
@@ -117,7 +133,7 @@ def session_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return named(ml_features, ml_target, purged_split, split_sizes, benchmark_features, historical_mean_baseline, regression_metrics, ridge_fit, forecast_rf, forecast_latest, forecast_attributions, anomaly_drivers, anomaly_features, robust_zscores, isolation_forest, model_fingerprint, event_windows, rate_limit_window, user_sessions, session_validity)
+    return named(ml_features, ml_target, purged_split, split_sizes, benchmark_features, historical_mean_baseline, regression_metrics, ridge_fit, forecast_rf, forecast_latest, forecast_attributions, anomaly_drivers, anomaly_features, robust_zscores, isolation_forest, model_fingerprint, stored_forecasts, forest_explanations, event_windows, rate_limit_window, user_sessions, session_validity)
 
 
 _W = "PARTITION BY series_id ORDER BY obs_date"
