@@ -35,11 +35,11 @@ from fundloom.llm.shared import Scratch, materialise
 from fundloom.llm.tokens import byte_alphabet
 
 #: Bytes of text of a block; one longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Units that are tokenized as one text, and the longest of them.
 TOGETHER, LONGEST = 2000, 1000
 #: Units that a worker remembers, at most, in each of two generations.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 #: White space beyond ASCII, and the sign that stands for a space in pieces.
 OTHER_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xe2\x96\x81")
 
