@@ -36,26 +36,51 @@ def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, keys:
 
     A key whose partition changes leaves its old one, so partitions that hold
     an incoming key count as touched too. Repeated keys in ``incoming`` are an
-    error. The new state goes to a folder beside the table first, since a
-    table can't be overwritten by what is read from it; that folder is
-    overwritten by the next call. Partitions that lose all rows are emptied
-    by deleting their folder.
+    error. What is to be done goes to a folder beside the table first, and
+    stands once that is renamed: the new rows of the touched partitions, and
+    those partitions that are emptied. A call that ends between there and its
+    end is done over by the next one, or by ``finish_upsert``.
     """
+    finish_upsert(spark, path, partition)
     table = spark.read.parquet(path)
     repeated = incoming.groupBy(*keys).count().where("count > 1").limit(1).collect()
     if repeated:
         raise ValueError(f"a key comes twice: {repeated[0]}")
     held = table.join(incoming.select(*keys), list(keys), "left_semi").select(partition)
     touched = held.unionByName(incoming.select(partition)).distinct()
-    old = table.join(touched, partition, "left_semi")
-    beside = f"{path.rstrip('/')}.new"
-    upserted(old, incoming, keys).write.mode("overwrite").parquet(beside)
-    new = spark.read.parquet(beside)
-    emptied = [r[0] for r in touched.join(new.select(partition).distinct(), partition, "left_anti").collect()]
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    for value in emptied:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{partition}={value}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    same = F.col(partition).eqNullSafe(F.col("_touched"))
+    old = table.join(touched.withColumnRenamed(partition, "_touched"), same, "left_semi")
+    made, stands = f"{path.rstrip('/')}.writing", f"{path.rstrip('/')}.new"
+    upserted(old, incoming, keys).write.mode("overwrite").parquet(f"{made}/rows")
+    new = spark.read.parquet(f"{made}/rows").select(F.col(partition).alias("_touched")).distinct()
+    touched.join(new, same, "left_anti").write.mode("overwrite").parquet(f"{made}/emptied")
+    files, at = _files(spark, made)
+    if not files.rename(at(made), at(stands)):
+        raise OSError(f"{made} can't be renamed")
+    finish_upsert(spark, path, partition)
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and what makes paths of it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def finish_upsert(spark: SparkSession, path: str, partition: str) -> bool:
+    """Do what ``upsert_partitions`` has written down and not done yet; whether there was anything. It may be done twice.
+
+    Emptied partitions go first, so a key that moves is never there twice.
+    """
+    root = path.rstrip("/")
+    files, at = _files(spark, root)
+    if not files.exists(at(f"{root}.new")):
+        return False
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for (value,) in spark.read.parquet(f"{root}.new/emptied").select(F.col(partition).cast("string")).toLocalIterator():
+        files.delete(at(f"{root}/{partition}={'__HIVE_DEFAULT_PARTITION__' if value is None else escape(value)}"), True)
+    spark.read.parquet(f"{root}.new/rows").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    files.delete(at(f"{root}.new"), True)
+    return True
 
 
 def snapshot_changes(existing: DataFrame, incoming: DataFrame, group: Sequence[str], row: Sequence[str]) -> DataFrame:

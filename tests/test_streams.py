@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fundloom.operators import catalogue, chunking
@@ -140,3 +141,27 @@ def test_names_of_many_words_are_found(spark):
     assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2)]
     only = aliases.where("alias LIKE '% lambda fund'")
     assert [(r.query_id, r.fund_id) for r in catalogue.mentioned_funds(asked, only).collect()] == [(1, 1)]
+
+
+def test_an_upsert_that_broke_off_is_finished(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/table"
+    spark.createDataFrame([(1, "a/1", 1.0), (2, "b", 2.0), (3, None, 3.0), (4, "c", 4.0)], "k int, part string, v double").write.partitionBy("part").parquet(path)
+    first = spark.createDataFrame([(1, "b", 1.5), (3, "c", 3.5)], "k int, part string, v double")
+    finish, calls = sinks.finish_upsert, []
+
+    def breaks(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise OSError("the driver is gone")
+        return finish(*args)
+
+    monkeypatch.setattr(sinks, "finish_upsert", breaks)
+    with pytest.raises(OSError, match="gone"):
+        sinks.upsert_partitions(spark, path, first, ["k"], "part")
+    monkeypatch.setattr(sinks, "finish_upsert", finish)
+    read = lambda: sorted((r.k, r.part, r.v) for r in spark.read.parquet(path).select("k", "part", "v").collect())
+    assert (1, "a/1", 1.0) in read()
+    sinks.upsert_partitions(spark, path, spark.createDataFrame([(4, "c", 4.5)], "k int, part string, v double"), ["k"], "part")
+    assert read() == [(1, "b", 1.5), (2, "b", 2.0), (3, "c", 3.5), (4, "c", 4.5)]
+    assert not sinks.finish_upsert(spark, path, "part")
+    assert sorted(p.name for p in (tmp_path / "table").iterdir() if p.name.startswith("part=")) == ["part=b", "part=c"]
