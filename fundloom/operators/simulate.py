@@ -1,14 +1,10 @@
-"""What-if projections of regular investments: deterministic folds and simulated paths."""
+"""What-if projections of regular investments."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundloom.conventions import require
-
 
 def sip_projection(plans: DataFrame) -> DataFrame:
     """Yearly invested amount and value of ``plans(plan_id, monthly, years, annual_return, lumpsum, step_up)``.
@@ -30,38 +26,3 @@ def sip_projection(plans: DataFrame) -> DataFrame:
 
     folded = base.withColumn("s", F.aggregate(F.sequence(F.lit(1), "years"), start, step))
     return folded.select("plan_id", F.explode("s.rows").alias("r")).select("plan_id", "r.*")
-
-
-def monte_carlo(spark: SparkSession, monthly: float, years: int, annual_return: float, annual_volatility: float, lumpsum: float = 0.0, paths: int = 2000, seed: int = 7, partitions: int = 8) -> DataFrame:
-    """(path, year, value) of log-normal months: a row of ``spark.range`` is a path, folded month by month.
-
-    The mean of a month's logarithm is such that the expected yearly growth is
-    the assumption. Draws depend on seed, path and month alone (two uniform
-    hashes make a normal number), so any partitioning gives the same paths.
-    """
-    require(1 <= years <= 50 and -0.5 < annual_return < 1, "years lie between 1 and 50, the return between -0.5 and 1")
-    require(100 <= paths <= 20_000 and 0 <= annual_volatility < 1.5, "paths lie between 100 and 20,000, the volatility between 0 and 1.5")
-    s = annual_volatility / math.sqrt(12)
-    m = math.log1p(annual_return) / 12 - s * s / 2
-
-    def uniform(tag: int, month):
-        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), F.col("path"), month), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-
-    def step(state, month):
-        normal = F.sqrt(-2 * F.log(uniform(1, month))) * F.cos(2 * math.pi * uniform(2, month))
-        value = (state["value"] + monthly) * F.exp(m + s * normal)
-        rows = F.when(month % 12 == 0, F.array_append(state["rows"], value)).otherwise(state["rows"])
-        return F.struct(value.alias("value"), rows.alias("rows"))
-
-    start = F.struct(F.lit(float(lumpsum)).alias("value"), F.array().cast("array<double>").alias("rows"))
-    months = F.sequence(F.lit(1), F.lit(12 * years))
-    folded = spark.range(0, paths, 1, partitions).withColumnRenamed("id", "path").withColumn("s", F.aggregate(months, start, step))
-    return folded.select("path", F.posexplode("s.rows").alias("i", "value")).select("path", (F.col("i") + 1).alias("year"), "value")
-
-
-def path_percentiles(paths: DataFrame, invested_at_start: float, yearly: float) -> DataFrame:
-    """Percentiles of each year and the share of paths under what was invested."""
-    p = F.percentile("value", F.array(*(F.lit(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95))))
-    loss = F.avg((F.col("value") < F.lit(invested_at_start) + F.lit(yearly) * F.col("year")).cast("double"))
-    got = paths.groupBy("year").agg(p.alias("p"), loss.alias("probability_of_loss"), F.count("*").alias("paths"))
-    return got.select("year", *(F.get("p", F.lit(i)).alias(f"p{q}") for i, q in enumerate((5, 25, 50, 75, 95))), "probability_of_loss", "paths")

@@ -9,7 +9,7 @@ from fundloom.conventions import Conventions
 from fundloom.operators import metrics, optimise, portfolio, series, simulate
 from fundloom.plans.analytics import BETA_SQL, _aligned
 from fundloom.plans.common import Query, named, rounded
-from fundloom.sources.adapters import LEVELS_SQL, PORTFOLIO_SQL, benchmark, levels
+from fundloom.sources.adapters import LEVELS_SQL, PORTFOLIO_SQL, benchmark, levels, table
 from fundloom.sources.adapters import portfolio as portfolios
 
 C = Conventions()
@@ -40,9 +40,16 @@ def asset_class_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(portfolio.class_rollup(portfolio.drifted_weights(_aligned_levels(spark, sf_dir), portfolios(spark)), classes))
 
 
+def _order_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a portfolio of its parts, by their shares of its price."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("portfolio_id"), F.col("l_partkey").alias("series_id"), "l_linenumber", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
+    total = lines.groupBy("portfolio_id").agg(F.sum("price").alias("total"))
+    return lines.join(total, "portfolio_id").withColumn("share", F.col("price").cast("double") / F.col("total").cast("double"))
+
+
 def weight_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    off = portfolios(spark).withColumn("portfolio_id", F.concat("portfolio_id", F.lit("-x"))).withColumn("weight", F.col("weight") * 1.1)
-    return rounded(portfolio.weight_verdicts(portfolios(spark).unionByName(off)))
+    """Orders as portfolios whose shares are cut to four digits."""
+    return rounded(portfolio.weight_verdicts(_order_shares(spark, sf_dir).withColumn("weight", F.floor(F.col("share") * 10_000) / 10_000)))
 
 
 def market_shock(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,14 +62,12 @@ def stress_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sip_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = spark.createDataFrame([("base", 100.0, 10, 0.12, 0.0, 0.0), ("step", 100.0, 10, 0.12, 1000.0, 0.1), ("flat", 50.0, 5, 0.0, 0.0, 0.0)], "plan_id string, monthly double, years int, annual_return double, lumpsum double, step_up double")
+    """A plan for each customer: what is on the account at first, and contributions, years, returns and steps by the customer's number."""
+    key = F.col("c_custkey")
+    plans = table(spark, sf_dir, "customer").select(key.alias("plan_id"), (100.0 + key % 50).alias("monthly"), (1 + key % 5).cast("int").alias("years"), (key % 13 / 100.0).alias("annual_return"), F.greatest("c_acctbal", F.lit(0.0)).alias("lumpsum"), (key % 3 * 0.05).alias("step_up"))
     return rounded(simulate.sip_projection(plans), 2)
 
 
-def monte_carlo_sip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.path_percentiles(simulate.monte_carlo(spark, 10_000.0, 10, 0.12, 0.18), 0.0, 120_000.0)
-
-
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = _aligned_levels(spark, sf_dir)
     return portfolio.estimates(found)[0], portfolio.pair_moments(found), portfolios(spark)
@@ -89,13 +94,16 @@ def allocation_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentages of three parts in 700 as fractions of six digits."""
-    pct = F.col("weight") * F.lit(100.0) / F.lit(7.0)
-    return portfolios(spark).select("portfolio_id", "series_id", portfolio.stored_weight(pct).cast("double").alias("stored"))
+    """Shares of the parts of each order, a seventh of them, as fractions of six digits."""
+    pct = F.col("share") * F.lit(100.0) / F.lit(7.0)
+    return _order_shares(spark, sf_dir).select("portfolio_id", "l_linenumber", portfolio.stored_weight(pct).cast("double").alias("stored"))
 
 
 def queries() -> dict[str, Query]:
-    return named(buy_and_hold_value, drifted_weights, risk_contribution, portfolio_statistics, asset_class_rollup, weight_verdicts, market_shock, stress_test, sip_projection, monte_carlo_sip, optimise_mean_variance, efficient_frontier, assumption_stress, allocation_change, stored_weights)
+    return named(buy_and_hold_value, drifted_weights, risk_contribution, portfolio_statistics, asset_class_rollup, weight_verdicts, market_shock, stress_test, sip_projection, optimise_mean_variance, efficient_frontier, assumption_stress, allocation_change, stored_weights)
+
+
+_SHARES = """sh AS (SELECT l_orderkey AS portfolio_id, l_partkey AS series_id, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS DOUBLE) / CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) OVER (PARTITION BY l_orderkey) AS DOUBLE) AS share FROM lineitem)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -118,18 +126,21 @@ def oracle_sql() -> dict[str, str]:
         "risk_contribution": _aligned(head + risk + " SELECT portfolio_id, series_id, weight, round(part / vol, 6) AS contribution, round(part / (vol * vol), 6) AS share FROM rc"),
         "portfolio_statistics": _aligned(head + risk + " SELECT portfolio_id, round(expected_return, 6) AS expected_return, round(volatility, 6) AS volatility, round((expected_return - 0.065::DOUBLE) / volatility, 6) AS sharpe, round(diversification_ratio, 6) AS diversification_ratio, round(hhi, 6) AS hhi, round(1 / hhi, 6) AS effective_n FROM ps"),
         "asset_class_rollup": _aligned(head + drift + " SELECT portfolio_id, CASE WHEN series_id IN ('AUTOMOBILE', 'BUILDING') THEN 'equity' WHEN series_id IN ('FURNITURE', 'HOUSEHOLD') THEN 'debt' ELSE 'other' END AS asset_class, round(sum(drifted), 6) AS weight FROM dr GROUP BY ALL"),
-        "weight_verdicts": f"WITH {PORTFOLIO_SQL}, a AS (SELECT * FROM portfolio UNION ALL SELECT portfolio_id || '-x', series_id, weight * 1.1::DOUBLE FROM portfolio) SELECT portfolio_id, round(sum(weight) * 100, 6) AS total_pct, count(*) AS n_assets, CASE WHEN abs(round(sum(weight) * 100, 6) - 100) > 0.01 THEN 'weights don''t add up to 100' ELSE 'ok' END AS verdict FROM a GROUP BY portfolio_id",
+        "weight_verdicts": f"""WITH {_SHARES}, w AS (SELECT *, floor(share * 10000) / 10000 AS weight FROM sh), a AS (SELECT portfolio_id, sum(CAST(weight * 100 AS DECIMAL(18, 6))) AS pct, count(*) AS n_assets, count(DISTINCT series_id) AS n FROM w GROUP BY portfolio_id)
+            SELECT portfolio_id, round(CAST(pct AS DOUBLE), 6) AS total_pct, n_assets, CASE WHEN n < n_assets THEN 'repeated asset' WHEN abs(pct - 100) > 0.01 THEN 'weights don''t add up to 100' ELSE 'ok' END AS verdict FROM a""",
         "market_shock": f"WITH {LEVELS_SQL}, {BETA_SQL}, {PORTFOLIO_SQL}, r AS (SELECT portfolio_id, sum(weight / total * beta * -0.2::DOUBLE) AS r FROM (SELECT *, sum(weight) OVER (PARTITION BY portfolio_id) AS total FROM portfolio) LEFT JOIN be USING (series_id) GROUP BY portfolio_id) SELECT portfolio_id, round(r, 6) AS estimated_return, round(100000 * (1 + r), 6) AS estimated_value, round(100000 * r, 6) AS estimated_change FROM r",
         "assumption_stress": _aligned(head + risk + f""", u AS (SELECT p.portfolio_id, sum(p.weight * sigma) AS s, sum(pow(p.weight * sigma, 2)) AS s2 FROM portfolio p JOIN es USING (series_id) GROUP BY p.portfolio_id),
             c AS (SELECT portfolio_id, 'baseline' AS scenario, expected_return, volatility FROM ps UNION ALL SELECT portfolio_id, 'scenario', expected_return - 0.05::DOUBLE, 1.5::DOUBLE * sqrt(0.8::DOUBLE * s * s + (1 - 0.8::DOUBLE) * s2) FROM ps JOIN u USING (portfolio_id))
             SELECT portfolio_id, scenario, round(expected_return, 6) AS expected_return, round(volatility, 6) AS volatility, round((expected_return - 0.065::DOUBLE) / volatility, 6) AS sharpe, round(-(expected_return * {h} + {z} * volatility * sqrt({h})), 6) AS parametric_var FROM c"""),
         "allocation_change": _aligned(head + risk + f""", c AS (SELECT portfolio_id, 'current' AS allocation, expected_return, volatility FROM ps UNION ALL SELECT CASE portfolio_id WHEN 'balanced' THEN 'tilted' ELSE 'balanced' END, 'proposed', expected_return, volatility FROM ps)
             SELECT portfolio_id, allocation, round(expected_return, 6) AS expected_return, round(volatility, 6) AS volatility, round((expected_return - 0.065::DOUBLE) / volatility, 6) AS sharpe, round(-(expected_return / 252 + {z} * volatility * sqrt(1 / 252.0::DOUBLE)), 6) AS parametric_var FROM c"""),
-        "stored_weights": f"WITH {PORTFOLIO_SQL} SELECT portfolio_id, series_id, CAST(round_even(CAST(weight * 100.0::DOUBLE / 7.0::DOUBLE AS DECIMAL(18, 8)) / 100, 6) AS DOUBLE) AS stored FROM portfolio",
+        # Whole numbers of 1e-10, rounded to 1e-6 with halves to the even neighbour.
+        "stored_weights": f"""WITH {_SHARES}, v AS (SELECT *, CAST(CAST(share * 100.0::DOUBLE / 7.0::DOUBLE AS DECIMAL(18, 8)) * 100000000 AS BIGINT) AS v FROM sh)
+            SELECT portfolio_id, l_linenumber, (v // 10000 + CASE WHEN v % 10000 > 5000 OR (v % 10000 = 5000 AND (v // 10000) % 2 = 1) THEN 1 ELSE 0 END) / 1000000.0::DOUBLE AS stored FROM v""",
         "stress_test": _aligned(head + risk + f""", s AS (SELECT *, expected_return - 0.05::DOUBLE AS m, volatility * 1.5::DOUBLE AS v FROM ps)
             SELECT portfolio_id, round(-(expected_return * {h} + {z} * volatility * sqrt({h})), 6) AS baseline_var, round(m, 6) AS stressed_return, round(v, 6) AS stressed_volatility,
                    round((m - 0.065::DOUBLE) / v, 6) AS stressed_sharpe, round(-(m * {h} + {z} * v * sqrt({h})), 6) AS stressed_var FROM s"""),
-        "sip_projection": """WITH RECURSIVE p(plan_id, monthly, years, r, lumpsum, step_up) AS (VALUES ('base', 100.0::DOUBLE, 10, 0.12::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('step', 100.0, 10, 0.12, 1000.0, 0.1), ('flat', 50.0, 5, 0.0, 0.0, 0.0)),
+        "sip_projection": """WITH RECURSIVE p AS (SELECT c_custkey AS plan_id, 100.0::DOUBLE + c_custkey % 50 AS monthly, 1 + c_custkey % 5 AS years, c_custkey % 13 / 100.0::DOUBLE AS r, greatest(c_acctbal, 0) AS lumpsum, c_custkey % 3 * 0.05::DOUBLE AS step_up FROM customer),
             m(plan_id, month, value, invested, monthly) AS (SELECT plan_id, 0, lumpsum, lumpsum, monthly FROM p UNION ALL
               SELECT m.plan_id, month + 1, (value + m.monthly) * pow(1 + r, 1.0::DOUBLE / 12), invested + m.monthly,
                      CASE WHEN (month + 1) % 12 = 0 THEN m.monthly * (1 + step_up) ELSE m.monthly END FROM m JOIN p ON m.plan_id = p.plan_id WHERE month < 12 * years)

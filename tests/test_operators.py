@@ -48,14 +48,6 @@ def test_sip_projection(spark):
     assert simulate.sip_projection(plans).first()["value"] == pytest.approx(sum(100 * m**k for k in range(1, 13)))
 
 
-def test_monte_carlo_is_the_same_however_dealt(spark):
-    a = simulate.monte_carlo(spark, 100.0, 2, 0.1, 0.2, paths=400, partitions=2).orderBy("path", "year").collect()
-    assert a == simulate.monte_carlo(spark, 100.0, 2, 0.1, 0.2, paths=400, partitions=7).orderBy("path", "year").collect()
-    flat = simulate.monte_carlo(spark, 100.0, 1, 0.12, 0.0, paths=100).agg(F.max("value")).first()[0]
-    m = 1.12 ** (1 / 12)
-    assert flat == pytest.approx(sum(100 * m**k for k in range(1, 13)))
-
-
 def test_optimiser_against_a_grid():
     rng = np.random.default_rng(3)
     for _ in range(20):

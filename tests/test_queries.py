@@ -44,7 +44,7 @@ def test_every_twin_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ["monte_carlo_sip", "optimise_mean_variance", "efficient_frontier", "chunk_documents", "context_selection"])
+@pytest.mark.parametrize("name", ["optimise_mean_variance", "efficient_frontier", "chunk_documents", "context_selection"])
 def test_gives_rows(spark, name):
     # The smallest tables have too few dates that all series share.
     assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
