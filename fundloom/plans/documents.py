@@ -437,7 +437,6 @@ _SUMMARY = "SELECT mode, split, category, CASE WHEN grouping(split) = 0 THEN 'sp
 def oracle_sql() -> dict[str, str]:
     best = "max(CASE WHEN eligible THEN coalesce({}, 0) END) OVER (PARTITION BY query_id)"
     dup = "regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g')"
-    runs = f"list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, greatest(1, len(w) - 4) + 1)])"
     return {
         "sentence_split": r"""WITH s AS (SELECT doc_id, list_filter([trim(x) FOR x IN string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9("''])', '\1' || chr(1) || '\2', 'g'), chr(1))], lambda x: x <> '') AS s FROM documents)
             SELECT doc_id, len(s) AS n_sentences, s[-1] AS last FROM s""",
@@ -479,11 +478,12 @@ def oracle_sql() -> dict[str, str]:
                   FROM c QUALIFY row_number() OVER (PARTITION BY query_id, passage_id ORDER BY score DESC, i) = 1)
             SELECT query_id, passage_id, place, array_to_string(e[1:90], ' ') || CASE WHEN len(e) > 90 THEN ' ...' ELSE '' END AS excerpt, score
             FROM b QUALIFY score >= 0.5::DOUBLE * arg_min(score, place) OVER (PARTITION BY query_id)""",
-        "near_duplicates": f"""WITH {_LEXICAL}, w AS (SELECT query_id, passage_id, string_split_regex({dup}, '\\s+') AS w FROM lex JOIN documents ON doc_id = passage_id WHERE trim(text) <> ''),
-            s AS (SELECT query_id, passage_id, {runs} AS s FROM w),
-            e AS (SELECT query_id, passage_id, len(s) AS n, hash(unnest(s)) AS x FROM s),
-            p AS (SELECT a.query_id, a.passage_id AS a, b.passage_id AS b, count(*) AS i, any_value(a.n + b.n) AS n FROM e a JOIN e b ON a.query_id = b.query_id AND a.x = b.x AND a.passage_id < b.passage_id GROUP BY ALL)
-            SELECT query_id, a, b, round(i / CAST(n - i AS DOUBLE), 6) AS similarity FROM p WHERE round(i / CAST(n - i AS DOUBLE), 6) >= 0.8""",
+        "near_duplicates": f"""WITH {_LEXICAL}, w AS (SELECT doc_id AS passage_id, string_split_regex({dup}, '\\s+') AS w FROM documents WHERE trim(text) <> '' AND doc_id IN (SELECT passage_id FROM lex)),
+            x AS (SELECT passage_id, len(w) AS n, array_to_string(w[1:4], ' ') AS short, unnest(w) AS x, unnest(range(len(w))) AS i FROM w),
+            r AS (SELECT passage_id, n, i, CASE WHEN n < 5 THEN short ELSE concat_ws(' ', x, {", ".join(f"lead(x, {k}) OVER o" for k in range(1, 5))}) END AS t FROM x WINDOW o AS (PARTITION BY passage_id ORDER BY i)),
+            s AS (SELECT query_id, passage_id, s FROM lex JOIN (SELECT passage_id, list(DISTINCT t) AS s FROM r WHERE i = 0 OR i <= n - 5 GROUP BY passage_id) USING (passage_id)),
+            c AS (SELECT a.query_id, a.passage_id AS a, b.passage_id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM s a JOIN s b ON a.query_id = b.query_id AND a.passage_id < b.passage_id AND least(len(a.s), len(b.s)) >= 0.8::DOUBLE * greatest(len(a.s), len(b.s)))
+            SELECT query_id, a, b, round(i / CAST(n - i AS DOUBLE), 6) AS similarity FROM c WHERE round(i / CAST(n - i AS DOUBLE), 6) >= 0.8""",
         "conflict_detection": f"""WITH {_LEXICAL} SELECT query_id, passage_id % 5 AS fund_id, string_agg(DISTINCT CAST(DATE '2025-01-01' + CAST(passage_id % 3 AS INTEGER) AS VARCHAR), ',' ORDER BY CAST(DATE '2025-01-01' + CAST(passage_id % 3 AS INTEGER) AS VARCHAR)) AS dates
             FROM lex WHERE lexical_rank <= 6 GROUP BY ALL HAVING count(DISTINCT passage_id % 3) > 1""",
         "ir_metrics": f"""WITH {_JUDGED} SELECT * FROM judged""",
@@ -532,5 +532,5 @@ def oracle_sql() -> dict[str, str]:
         # Every question against every alias, with the guard at both ends.
         "fund_mentions": rf"""WITH {_ALIASES}, q AS (SELECT fund_id AS query_id, CASE WHEN fund_id % 20 = 0 THEN 'what is the nav of ' || lower(code) || '?' ELSE 'how did ' || base || ' do, and pre-' || lower(code) || '?' END AS question FROM nf),
             d AS (SELECT DISTINCT alias FROM al)
-            SELECT DISTINCT query_id, fund_id FROM q JOIN d ON regexp_matches(question, '(^|[^\w-])' || alias || '([^\w-]|$)') JOIN al USING (alias)""",
+            SELECT DISTINCT query_id, fund_id FROM q JOIN d ON CASE WHEN contains(question, alias) THEN regexp_matches(question, '(^|[^\w-])' || alias || '([^\w-]|$)') ELSE false END JOIN al USING (alias)""",
     }
