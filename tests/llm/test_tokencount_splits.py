@@ -51,3 +51,26 @@ def test_long_and_repeated_texts_keep_their_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((str(r.doc_id), r.n_tokens) for r in tokencount.token_counts(docs, block_ids=1000).collect())
     assert got == [("1", 150_000), ("2", 0), ("2", 0), ("5", 2), ("None", 0)]
+
+
+def test_registered_path_over_several_files(spark, tmp_path):
+    """op1 on a table of several files, in more than one split: each document's name and count are its own."""
+    from tokenizers import Tokenizer
+
+    from fundloom.llm import queries
+    from fundloom.llm.tokens import default_vocabulary
+
+    rng = np.random.default_rng(5)
+    words = ["alpha", "beta's", "gamma,", "Größe", "x1", "don't"]
+    rows = [(i, None if i % 17 == 0 else " ".join(rng.choice(words, rng.integers(0, 40)))) for i in range(400)] + [(7, "twice"), (None, "no name")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in range(5):
+        df.where(f"pmod(xxhash64(text, doc_id), 5) = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = queries.op1_tokencount(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    tokenizer = Tokenizer.from_file(default_vocabulary())
+    want = [(i, len(tokenizer.encode(t or "", add_special_tokens=False).ids), True) for i, t in rows]
+    assert sorted((tuple(r) for r in found), key=repr) == sorted(want, key=repr)
