@@ -177,10 +177,13 @@ def _best_of_batches(asked: pa.Table, most: int, every: bool):
                 pairs, q, held = pairs[whole], q[whole], held[whole]
             p = pairs % max(1, batch.num_rows)
             density = np.round(density / (1 + density), 9)
-            digest = np.array(batch.column("content_hash").to_pylist(), object)[p]
-            ids = batch.column("passage_id").to_numpy()[p]
-            order = np.lexsort((ids, digest.astype(str), -density, q))
+            # Passages of a batch in the order of hash and id, so that ties are numbers.
+            digest, ids = np.array([d or "" for d in batch.column("content_hash").to_pylist()]), batch.column("passage_id").to_numpy()
+            tie = np.empty(batch.num_rows, np.int64)
+            tie[np.lexsort((ids, digest))] = np.arange(batch.num_rows)
+            order = np.lexsort((tie[p], -density, q))
             order = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < most]
+            digest, ids = digest[p], ids[p]
             n, m = len(order), int((counts > 0).sum()) + 1
             told = [name for name, c in zip(by_lexeme, counts.tolist(), strict=True) if c]
             columns = [

@@ -58,15 +58,24 @@ def clean_number(text: Column) -> Column:
     return plain.try_cast("decimal(18,6)")
 
 
+#: What a text of each format begins like; a format is only tried where it can fit, as each failure costs an exception.
+DATE_SHAPES = (r"^[+-]?\d+-\d{1,2}-\d", r"^\d{1,2}-\d{1,2}-", r"^\d{1,2}/", r"^\d{1,2}-\D", r"^\d{1,2} ")
+
+
 def parsed_date(text: Column) -> Column:
-    return F.coalesce(*(F.try_to_date(F.trim(text), f) for f in DATE_FORMATS))
+    plain = F.trim(text)
+    return F.coalesce(*(F.when(plain.rlike(shape), F.try_to_date(plain, f)) for f, shape in zip(DATE_FORMATS, DATE_SHAPES, strict=True)))
+
+
+def _parsed(field: Field) -> Column:
+    raw = F.trim(F.coalesce(F.col(field.name), F.lit("")))
+    return parsed_date(raw) if field.kind in ("date", "month") else F.lit(None) if field.kind in ("code", "text", "choice") else clean_number(raw)
 
 
 def _checked(field: Field, today: Column) -> tuple[Column, Column]:
-    """(value, why it is refused) of a raw column; a blank optional value is null."""
+    """(value, why it is refused) of a raw column that ``_parsed`` stands beside; a blank optional value is null."""
     raw = F.trim(F.coalesce(F.col(field.name), F.lit("")))
-    number = clean_number(raw)
-    day = parsed_date(raw)
+    number = day = F.col(f"_{field.name}")
     if field.kind in ("date", "month"):
         value = F.trunc(day, "MM") if field.kind == "month" else day
         bad = F.when(day.isNull(), "not a date").when(value > today, "is in the future")
@@ -111,6 +120,8 @@ def read_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def validated(raw: DataFrame, kind: str, today: Column) -> DataFrame:
     """``line``, the typed columns and ``reason``, the first field's reason for refusal (null for good rows)."""
     checks = {f.name: _checked(f, today) for f in KINDS[kind].fields}
+    # Dates and numbers are parsed once, for the value and for all that is asked of it.
+    raw = raw.select("*", *(_parsed(f).alias(f"_{f.name}") for f in KINDS[kind].fields))
     return raw.select("line", *(v.alias(n) for n, (v, _) in checks.items()), F.coalesce(*(r for _, r in checks.values())).alias("reason"))
 
 
