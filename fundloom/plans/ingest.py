@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundloom.operators import series
 from fundloom.plans.common import Query, named, rounded
-from fundloom.sources import csvkinds, sinks
+from fundloom.sources import csvkinds, csvsplit, sinks
 from fundloom.sources.adapters import LEVELS_SQL, levels, table
+from fundloom.storage import shared_folder
 
 TODAY = "2001-06-30"
 
@@ -111,8 +114,50 @@ def nav_file_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(csvkinds.parse_nav_lines(lines).withColumn("nav", F.col("nav").cast("double")), 4)
 
 
+#: For each kind the table whose rows stand for a file's, and its columns; each rule on the key damages a column.
+_FILES = {
+    "benchmarks": ("part", {"benchmark_code": "if(p_partkey % 7 = 0, '-x', 'BM-' || p_partkey)", "name": "if(p_partkey % 11 = 0, ' ', p_name || ' \"A\", \n' || p_brand)", "return_basis": "if(p_partkey % 5 = 0, 'net', if(p_partkey % 2 = 0, 'Price', 'TOTAL_RETURN'))"}),
+    "benchmark_values": ("orders", {"benchmark_code": "'BM-' || o_orderkey", "date": "if(o_orderkey % 7 = 0, '31-02-2000', date_format(o_orderdate, 'dd MMM yyyy'))", "value": "if(o_orderkey % 5 = 0, '0', '1,234.5')"}),
+    "funds": ("supplier", {"scheme_code": "'FS-' || s_suppkey", "name": "s_name", "category": "if(s_suppkey % 7 = 0, repeat('x', 81), 'Large \n  cap')", "asset_class": "if(s_suppkey % 5 = 0, 'gold', 'Equity')", "launch_date": "if(s_suppkey % 3 = 0, 'soon', '')", "expense_ratio_pct": "if(s_suppkey % 4 = 0, '101%', '1.25%')"}),
+    "nav": ("orders", {"scheme_code": "'FS-' || o_orderkey", "date": "date_format(o_orderdate, 'd/M/yyyy')", "nav": "if(o_orderkey % 5 = 0, 'n/a', if(o_orderkey % 7 = 0, '-1', 'Rs 1,234.50'))"}),
+    "aum": ("customer", {"scheme_code": "'FS-' || c_custkey", "as_of_date": "'2000-01-31'", "aum_crore": "if(c_custkey % 3 = 0, '-0.01', '0')"}),
+    "sip_flows": ("customer", {"scheme_code": "'FS-' || (c_custkey - c_custkey % 2)", "month": "'15-03-2000'", "sip_inflow_crore": "'10'", "sip_accounts": "if(c_custkey % 8 >= 6, '2.5', if(c_custkey % 4 = 0, '12', ''))"}),
+    "holdings": ("lineitem", {"scheme_code": "'FS-' || l_suppkey", "as_of_date": "date_format(l_shipdate, 'yyyy-MM-01')", "holding_name": "l_orderkey || ' \"' || l_linenumber || '\",\n'", "sector": "'s'", "asset_type": "'equity'", "weight_pct": "'' || cast(l_quantity as int)"}),
+}
+
+
+def _imported(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """A kind's rows, written as quoted files of the shared folder, read by splits and checked."""
+    source, columns = _FILES[kind]
+    folder = f"{shared_folder(spark)}/fundloom/{spark.sparkContext.applicationId}/csv-{kind}-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, source).select(*(F.expr(e).alias(c) for c, e in columns.items()))
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    problems = csvsplit.file_problems(spark, folder, kind).select("path")
+    raw = csvsplit.read_csv_split(spark, folder, kind).join(problems, "path", "left_anti")
+    return csvkinds.validated(raw, kind, F.lit(TODAY).cast("date"))
+
+
+def csv_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each kind's files, how many rows there are for each reason of refusal; null for good rows."""
+    out = None
+    for kind in _FILES:
+        found = _imported(spark, sf_dir, kind)
+        one = found.groupBy(F.lit(kind).alias("kind"), "reason").agg(F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def holdings_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holdings by fund and month from quoted files: how many rows stay or go, and the warning or the reason. A month's rows count over all files."""
+    found = _imported(spark, sf_dir, "holdings").drop("path")
+    kept = csvkinds.refused_totals(found)
+    key = ["scheme_code", "as_of_date"]
+    counted = kept.groupBy(*key).agg(F.count("*").alias("n_rows"), F.count("reason").alias("n_refused"), F.max("reason").alias("reason"))
+    return counted.join(csvkinds.incomplete_totals(kept), key, "left")
+
+
 def queries() -> dict[str, Query]:
-    return named(csv_validate, csv_dedup_conflict, import_counts, import_ledger, price_faults, portfolio_import, upsert_diff, upsert_result, snapshot_diff, unknown_code_anti, key_semi, nav_file_parse)
+    return named(csv_validate, csv_dedup_conflict, import_counts, import_ledger, price_faults, portfolio_import, upsert_diff, upsert_result, snapshot_diff, unknown_code_anti, key_semi, nav_file_parse, csv_kinds, holdings_import)
 
 
 _RAW = """
@@ -147,6 +192,20 @@ def oracle_sql() -> dict[str, str]:
             y AS (SELECT *, CASE WHEN NOT known THEN 'unknown code ' || code WHEN line > first THEN 'repeats line ' || first WHEN w IS NULL OR w < 0 OR w > 100 THEN 'not a weight from 0 to 100' END AS why FROM f)
             SELECT p AS portfolio_id, count(*) AS n_rows, CASE WHEN count(why) = 0 THEN CASE WHEN abs(coalesce(sum(CAST(w AS DECIMAL(18, 6))), 0) - 100) > 0.01 THEN 'weights don''t add up to 100' ELSE '' END
                    ELSE string_agg('line ' || line || ': ' || why, '|' ORDER BY line, why) FILTER (why IS NOT NULL) END AS problems FROM y GROUP BY p""",
+        "csv_kinds": """WITH x AS (
+            SELECT 'benchmarks' AS kind, CASE WHEN p_partkey % 7 = 0 THEN 'benchmark_code: not a valid code' WHEN p_partkey % 11 = 0 THEN 'name: value is missing' WHEN p_partkey % 5 = 0 THEN 'return_basis: must be one of price, total_return' END AS reason FROM part
+            UNION ALL SELECT 'benchmark_values', CASE WHEN o_orderkey % 7 = 0 THEN 'date: not a date' WHEN o_orderdate > DATE '2001-06-30' THEN 'date: is in the future' WHEN o_orderkey % 5 = 0 THEN 'value: must be positive' END FROM orders
+            UNION ALL SELECT 'funds', CASE WHEN s_suppkey % 7 = 0 THEN 'category: longer than 80 characters' WHEN s_suppkey % 5 = 0 THEN 'asset_class: must be one of equity, debt, hybrid, other' WHEN s_suppkey % 3 = 0 THEN 'launch_date: not a date' WHEN s_suppkey % 4 = 0 THEN 'expense_ratio_pct: must lie between 0 and 100' END FROM supplier
+            UNION ALL SELECT 'nav', CASE WHEN o_orderdate > DATE '2001-06-30' THEN 'date: is in the future' WHEN o_orderkey % 5 = 0 THEN 'nav: not a number' WHEN o_orderkey % 7 = 0 THEN 'nav: must be positive' END FROM orders
+            UNION ALL SELECT 'aum', CASE WHEN c_custkey % 3 = 0 THEN 'aum_crore: must not be negative' END FROM customer
+            UNION ALL SELECT 'sip_flows', CASE WHEN c_custkey % 8 >= 6 THEN 'sip_accounts: must be a whole number' END FROM customer
+            UNION ALL SELECT 'holdings', CASE WHEN date_trunc('month', l_shipdate) > DATE '2001-06-30' THEN 'as_of_date: is in the future' END FROM lineitem)
+            SELECT kind, reason, count(*) AS n FROM x GROUP BY ALL""",
+        "holdings_import": """WITH g AS (SELECT 'FS-' || l_suppkey AS scheme_code, CAST(date_trunc('month', l_shipdate) AS DATE) AS as_of_date, count(*) AS n_rows, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS t FROM lineitem GROUP BY ALL),
+            f AS (SELECT *, as_of_date > DATE '2001-06-30' AS late, t > 100.5 AS over FROM g)
+            SELECT scheme_code, as_of_date, n_rows, CASE WHEN late OR over THEN n_rows ELSE 0 END AS n_refused,
+                   CASE WHEN late THEN 'as_of_date: is in the future' WHEN over THEN 'holdings for ' || scheme_code || ' on ' || as_of_date || ' sum to ' || t || '% (> 100%)' END AS reason,
+                   CASE WHEN NOT late AND t < 95 THEN scheme_code || ' holdings on ' || as_of_date || ' sum to ' || t || '% (less than 95%); the remainder is not described.' END AS warning FROM f""",
         "price_faults": f"""WITH {LEVELS_SQL}, h AS (SELECT series_id, obs_date, CASE WHEN dayofyear(obs_date) % 50 = 0 THEN NULL WHEN dayofyear(obs_date) % 70 = 0 THEN 0.0::DOUBLE ELSE level END AS level FROM nav), a AS (SELECT * FROM h UNION ALL SELECT * FROM h WHERE dayofyear(obs_date) % 90 = 0)
             SELECT * FROM (SELECT series_id, obs_date, CASE WHEN count(*) > 1 THEN 'duplicate date' WHEN count(level) = 0 THEN 'missing value' WHEN min(level) <= 0 THEN 'non-positive level' END AS reason FROM a GROUP BY ALL) WHERE reason IS NOT NULL""",
         "upsert_diff": f"WITH {_VERSIONS} SELECT b.key, round(b.value, 2) AS value, CASE WHEN a.key IS NULL THEN 'inserted' WHEN a.value = b.value THEN 'unchanged' ELSE 'updated' END AS change FROM b LEFT JOIN a USING (key)",

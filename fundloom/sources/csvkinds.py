@@ -118,26 +118,33 @@ def read_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def validated(raw: DataFrame, kind: str, today: Column) -> DataFrame:
-    """``line``, the typed columns and ``reason``, the first field's reason for refusal (null for good rows)."""
+    """``line``, the typed columns and ``reason``, the first field's reason for refusal (null for good rows).
+
+    A ``path``, ``raw`` texts and a ``fault`` of the whole row, which comes before its fields' reasons, may come along.
+    """
     checks = {f.name: _checked(f, today) for f in KINDS[kind].fields}
     # Dates and numbers are parsed once, for the value and for all that is asked of it.
     raw = raw.select("*", *(_parsed(f).alias(f"_{f.name}") for f in KINDS[kind].fields))
-    return raw.select("line", *(v.alias(n) for n, (v, _) in checks.items()), F.coalesce(*(r for _, r in checks.values())).alias("reason"))
+    along = [c for c in ("path", "raw") if c in raw.columns]
+    faults = [F.col("fault")] if "fault" in raw.columns else []
+    return raw.select(*along, "line", *(v.alias(n) for n, (v, _) in checks.items()), F.coalesce(*faults, *(r for _, r in checks.values())).alias("reason"))
 
 
 def resolved_keys(rows: DataFrame, kind: str) -> DataFrame:
     """Rows with ``reason`` for repeated keys: an equal repeat of the first row is a duplicate; of rows that differ none stays.
 
     Values of a key are compared by their hash. Keys that come more than once
-    are found by an aggregate with partial results and joined back.
+    are found by an aggregate with partial results and joined back. Rows with
+    a ``path`` are compared with those of their own file.
     """
     spec = KINDS[kind]
+    key = [c for c in ("path",) if c in rows.columns] + list(spec.key)
     good = F.col("reason").isNull()
     hashed = rows.withColumn("h", F.xxhash64(*(f.name for f in spec.fields)))
-    keys = [F.col(k).alias(f"_{k}") for k in spec.key]
+    keys = [F.col(k).alias(f"_{k}") for k in key]
     seen = hashed.where(good).groupBy(*keys).agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.min_by("h", "line").alias("first_h"), (F.min("h") != F.max("h")).alias("differs")).where("n > 1").drop("n")
     same = good
-    for k in spec.key:
+    for k in key:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     marked = hashed.join(seen, same, "left")
     later = F.col("line") > F.col("first_line")
@@ -146,6 +153,33 @@ def resolved_keys(rows: DataFrame, kind: str) -> DataFrame:
     return marked.withColumn("reason", F.coalesce("reason", why)).select(*rows.columns)
 
 
+def _holding_totals(rows: DataFrame) -> tuple[list[str], DataFrame]:
+    key = [c for c in ("path", "scheme_code", "as_of_date") if c in rows.columns]
+    return key, rows.where("reason IS NULL").groupBy(*key).agg(F.sum("weight_pct").alias("total"))
+
+
+def _percent(total: str) -> Column:
+    return F.concat(F.regexp_replace(F.col(total).cast("string"), r"\.?0+$", ""), F.lit("%"))
+
+
+def refused_totals(rows: DataFrame, most: float = 100.5) -> DataFrame:
+    """Resolved rows of holdings with ``reason`` where a fund's good rows of one date add up to more than ``most`` percent: none of them stays."""
+    key, totals = _holding_totals(rows)
+    over = totals.where(F.col("total") > F.lit(str(most)).cast("decimal(18,6)")).select(*(F.col(k).alias(f"_{k}") for k in key), "total")
+    same = F.col("reason").isNull()
+    for k in key:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    why = F.concat(F.lit("holdings for "), "scheme_code", F.lit(" on "), F.col("as_of_date").cast("string"), F.lit(" sum to "), _percent("total"), F.lit(" (> 100%)"))
+    return rows.join(over, same, "left").withColumn("reason", F.coalesce("reason", F.when(F.col("total").isNotNull(), why))).select(*rows.columns)
+
+
+def incomplete_totals(rows: DataFrame, least: int = 95) -> DataFrame:
+    """(path where there, scheme_code, as_of_date, warning) of totals under ``least`` percent; their rows stay."""
+    key, totals = _holding_totals(rows)
+    text = F.concat("scheme_code", F.lit(" holdings on "), F.col("as_of_date").cast("string"), F.lit(" sum to "), _percent("total"), F.lit(f" (less than {least}%); the remainder is not described."))
+    return totals.where(F.col("total") < least).select(*key, text.alias("warning"))
+
+
 def import_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("rows_total"), F.count_if(F.col("reason").isNull()).alias("rows_accepted"), F.count_if(F.col("reason").isNotNull()).alias("rows_rejected"))
 

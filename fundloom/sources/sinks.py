@@ -104,6 +104,22 @@ def ledger(rows: DataFrame, batch_id: str, kind: str, most: int = 500, width: in
     return counts.withColumn("rejected", rejected.scalar()).select(F.lit(batch_id).alias("batch_id"), F.lit(kind).alias("kind"), "rows_total", "rows_rejected", "rejected")
 
 
+def ledger_with_values(rows: DataFrame, warnings: DataFrame, batch_id: str, kind: str, most: int = 500, most_warnings: int = 200, width: int = 120) -> DataFrame:
+    """``ledger`` with its rejected rows as JSON of line, reason and the texts of their columns, and ``warnings`` as a JSON list in order.
+
+    Texts are cut to ``width`` characters and the lists to their first entries,
+    as both are for people to read; the counts are over all rows. ``rows`` hold
+    ``raw``, a map of texts; ``warnings`` holds the column ``warning``.
+    """
+    values = F.transform_values("raw", lambda _, v: F.substring(v, 1, width))
+    bad = rows.where("reason IS NOT NULL").orderBy("line").limit(most).select(F.struct("line", "reason", values.alias("values")).alias("r"))
+    # Structs with a map can't be sorted as such.
+    rejected = bad.agg(F.to_json(F.array_sort(F.collect_list("r"), lambda a, b: (a["line"] - b["line"]).cast("int"))).alias("j"))
+    told = warnings.orderBy("warning").limit(most_warnings).agg(F.to_json(F.array_sort(F.collect_list("warning"))).alias("j"))
+    counts = rows.agg(F.count("*").alias("rows_total"), F.count_if(F.col("reason").isNotNull()).alias("rows_rejected"))
+    return counts.select(F.lit(batch_id).alias("batch_id"), F.lit(kind).alias("kind"), "rows_total", "rows_rejected", rejected.scalar().alias("rejected"), told.scalar().alias("warnings"))
+
+
 def export_csv(df: DataFrame, folder: str) -> None:
     """Quoted CSV with a header; numbers with two digits."""
     df.select(*(F.format_string("%.2f", F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes)).write.option("header", True).option("quote", '"').option("escape", '"').csv(folder)
