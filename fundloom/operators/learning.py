@@ -370,6 +370,16 @@ def anomaly_features(returns: DataFrame, benchmark: DataFrame | None = None) ->
     return own.select(*columns, "benchmark_return", (F.col("ret") - F.col("benchmark_return")).alias("excess_return"))
 
 
+def move_reading(ret: Column, bench: Column) -> Column:
+    """A day's move in words: market-wide where the benchmark moved by 2 % or more to the same side and explains over half of it."""
+    both = (F.abs(bench) >= 0.02) & (F.signum(bench) == F.signum(ret)) & (F.abs(ret - bench) < F.abs(ret) * 0.5)
+    own, other = (F.format_string("%+.2f%%", x * 100) for x in (ret, bench))
+    alone = F.concat(F.lit("Unusual daily move of "), own, F.lit(" for this fund."))
+    wide = F.concat(F.lit("Market-wide move: fund "), own, F.lit(" while the benchmark moved "), other, F.lit("."))
+    single = F.concat(F.lit("Fund-specific move: fund "), own, F.lit(" versus benchmark "), other, F.lit(" on the same day."))
+    return F.when(bench.isNull(), alone).when(both, wide).otherwise(single)
+
+
 def drivers(rows: DataFrame, columns: tuple[str, ...], most: int = 3) -> DataFrame:
     """(series_id, obs_date, drivers): the columns whose robust distance from a series' median is greatest, first the greatest."""
     whole = rows.dropna(subset=[*columns])
@@ -423,3 +433,12 @@ def fingerprint(levels: DataFrame, model: str, horizon: int, version: str = "1")
     ends = levels.groupBy("series_id").agg(F.count("*").alias("n"), F.min("obs_date").alias("a"), F.max("obs_date").alias("b"), F.max_by("level", "obs_date").alias("last"))
     text = F.concat_ws("|", F.lit(version), "series_id", F.lit(model), F.lit(str(horizon)), F.col("n").cast("string"), F.col("a").cast("string"), F.col("b").cast("string"), F.format_string("%.4f", "last"))
     return ends.select("series_id", F.sha2(text, 256).alias("fingerprint"))
+
+
+def anomaly_report(rows: DataFrame, flagged: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(series_id, place, obs_date, score, ret, benchmark_return, drivers, reading) of the flagged days, those of the highest scores first."""
+    marked = flagged.where("anomaly").select("series_id", "obs_date", "score")
+    said = rows.select("series_id", "obs_date", "ret", "benchmark_return", move_reading(F.col("ret"), F.col("benchmark_return")).alias("reading"))
+    place = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("score"), "obs_date"))
+    joined = marked.join(said, ["series_id", "obs_date"]).join(drivers(rows, columns), ["series_id", "obs_date"], "left").withColumn("place", place)
+    return joined.select("series_id", "place", "obs_date", "score", "ret", "benchmark_return", "drivers", "reading")

@@ -80,11 +80,16 @@ UNITS = {
 
 def wide_report(levels: DataFrame, benchmark: DataFrame, conventions: Conventions = DEFAULT) -> DataFrame:
     """One row for each series with all statistics; what can't be computed is null."""
+    return wide_statistics(levels, aligned_returns(levels, benchmark), conventions)
+
+
+def wide_statistics(levels: DataFrame, aligned: DataFrame, conventions: Conventions = DEFAULT) -> DataFrame:
+    """``wide_report`` with the returns of both sides given: (series_id, obs_date, ret, bret)."""
     returns = simple_returns(levels)
     statistics = return_statistics(returns, conventions)
     out = growth(levels).join(statistics, "series_id", "left").join(historical_cvar(returns, statistics), "series_id", "left")
     out = out.join(worst_drawdown(levels), "series_id", "left")
-    return out.join(benchmark_statistics(aligned_returns(levels, benchmark), conventions), "series_id", "left")
+    return out.join(benchmark_statistics(aligned, conventions), "series_id", "left")
 
 
 def risk_report(levels: DataFrame, benchmark: DataFrame, conventions: Conventions = DEFAULT) -> DataFrame:

@@ -1,5 +1,5 @@
 """The queries of the library by family, each with its SQL twins."""
 
-from fundloom.plans import analytics, catalogue, documents, ingest, learning, portfolios
+from fundloom.plans import analytics, catalogue, documents, ingest, learning, portfolios, reports
 
-FAMILIES = (analytics, catalogue, documents, ingest, learning, portfolios)
+FAMILIES = (analytics, catalogue, documents, ingest, learning, portfolios, reports)

@@ -89,6 +89,19 @@ def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.isolation_forest(rows, ANOMALY_COLUMNS)
 
 
+def move_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's move in words, its figures written as x."""
+    rows = learning.anomaly_features(series.simple_returns(levels(spark, sf_dir)), benchmark(spark, sf_dir))
+    ret, bench = (F.round(c, 6) for c in ("ret", "benchmark_return"))
+    return rows.select("series_id", "obs_date", F.regexp_replace(learning.move_reading(ret, bench), r"[+-]\d+\.\d+%", "x").alias("kind"), F.round("ret", 6).alias("ret"))
+
+
+def anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The isolation forest's days with their scores, drivers and readings."""
+    rows = learning.anomaly_features(series.simple_returns(levels(spark, sf_dir)), benchmark(spark, sf_dir))
+    return learning.anomaly_report(rows, learning.isolation_forest(rows, ANOMALY_COLUMNS), ANOMALY_COLUMNS)
+
+
 def model_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.fingerprint(levels(spark, sf_dir), "ridge", 21)
 
@@ -133,7 +146,7 @@ def session_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return named(ml_features, ml_target, purged_split, split_sizes, benchmark_features, historical_mean_baseline, regression_metrics, ridge_fit, forecast_rf, forecast_latest, forecast_attributions, anomaly_drivers, anomaly_features, robust_zscores, isolation_forest, model_fingerprint, stored_forecasts, forest_explanations, event_windows, rate_limit_window, user_sessions, session_validity)
+    return named(ml_features, ml_target, purged_split, split_sizes, benchmark_features, historical_mean_baseline, regression_metrics, ridge_fit, forecast_rf, forecast_latest, forecast_attributions, anomaly_drivers, anomaly_features, robust_zscores, isolation_forest, move_readings, anomaly_report, model_fingerprint, stored_forecasts, forest_explanations, event_windows, rate_limit_window, user_sessions, session_validity)
 
 
 _W = "PARTITION BY series_id ORDER BY obs_date"
@@ -176,6 +189,9 @@ def oracle_sql() -> dict[str, str]:
         "anomaly_features": f"""{base}, {_ANOMALY}, f AS (SELECT *, CASE WHEN count(ret) OVER ({_W} ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) = 63 THEN stddev_samp(ret) OVER ({_W} ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) END AS b,
             {full("stddev_samp(ret)", 21, "ret")} AS s, {full("stddev_samp(ret)", 126, "ret")} AS l FROM br)
             SELECT series_id, obs_date, round(ret, 6) AS ret, round(ret / nullif(b, 0), 6) AS shock, round(s / nullif(l, 0), 6) AS vol_ratio, round(benchmark_return, 6) AS benchmark_return, round(ret - benchmark_return, 6) AS excess_return FROM f""",
+        "move_readings": f"""{base}, {_ANOMALY}, f AS (SELECT series_id, obs_date, round(ret, 6) AS ret, round(benchmark_return, 6) AS b FROM br)
+            SELECT series_id, obs_date, ret, CASE WHEN b IS NULL THEN 'Unusual daily move of x for this fund.' WHEN abs(b) >= 0.02 AND sign(b) = sign(ret) AND abs(ret - b) < abs(ret) * 0.5 THEN 'Market-wide move: fund x while the benchmark moved x.'
+                   ELSE 'Fund-specific move: fund x versus benchmark x on the same day.' END AS kind FROM f""",
         "robust_zscores": f"""{base}, m AS (SELECT series_id, median(ret) AS mid FROM ret GROUP BY series_id), d AS (SELECT series_id, median(abs(ret - mid)) AS mad FROM ret JOIN m USING (series_id) GROUP BY series_id)
             SELECT series_id, obs_date, round(ret, 6) AS ret, round((ret - mid) / nullif(1.4826::DOUBLE * mad, 0), 6) AS z FROM ret JOIN m USING (series_id) JOIN d USING (series_id)""",
         "model_fingerprint": f"{base} SELECT series_id, sha256('1|' || series_id || '|ridge|21|' || count(*) || '|' || min(obs_date) || '|' || max(obs_date) || '|' || printf('%.4f', arg_max(level, obs_date))) AS fingerprint FROM nav GROUP BY series_id",
