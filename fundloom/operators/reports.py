@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fundloom.conventions import PERIODS, STALE_AFTER_DAYS, Conventions, require
 from fundloom.operators import metrics, series
+from fundloom.storage import written
 
 DEFAULT = Conventions()
 
@@ -104,7 +105,10 @@ def portfolio_positions(levels: DataFrame, portfolio: DataFrame, label: str = "3
     An asset's share of the variance is its weight times its covariance with
     the whole, so assets needn't meet in pairs.
     """
-    frame = _frame(levels, portfolio, label)
+    return _positions(_frame(levels, portfolio, label), initial)
+
+
+def _positions(frame: DataFrame, initial: float) -> DataFrame:
     grown = frame.groupBy("portfolio_id", "series_id", "weight").agg((F.col("weight") * F.max_by("level", "obs_date") / F.min_by("level", "obs_date")).alias("g"))
     total = F.sum("g").over(Window.partitionBy("portfolio_id"))
     shares = _asset_returns(frame).groupBy("portfolio_id", "series_id").agg(F.covar_samp("ret", "of").alias("c"), F.nullif(F.var_samp("of"), F.lit(0.0)).alias("v"))
@@ -116,10 +120,11 @@ def portfolio_reports(levels: DataFrame, portfolio: DataFrame, benchmarks: DataF
     """A row for each portfolio, bought at the period's start and held: period, age, value, metrics of the value, and allocation.
 
     The benchmark is that of the asset with the greatest weight, the first in
-    order where weights tie. Herfindahl index, effective number and largest
+    order where weights tie. The aligned levels are written to the shared
+    folder once, for all that is asked of them. Herfindahl index, effective number and largest
     weight are of the weights today, the diversification ratio of the first.
     """
-    frame = _frame(levels, portfolio, label)
+    frame = written(_frame(levels, portfolio, label), "portfolio-levels")
     first = Window.partitionBy("portfolio_id", "series_id").orderBy("obs_date")
     path = frame.withColumn("g", F.col("level") / F.first("level").over(first)).groupBy("portfolio_id", "obs_date").agg((F.sum(F.col("weight") * F.col("g")) * initial).alias("level"))
     path = path.withColumnRenamed("portfolio_id", "series_id")
@@ -128,7 +133,7 @@ def portfolio_reports(levels: DataFrame, portfolio: DataFrame, benchmarks: DataF
     chosen = largest.join(benchmarks, "series_id").select(F.col("portfolio_id").alias("series_id"), "benchmark_id")
     facts = frame.groupBy("portfolio_id").agg(F.min("obs_date").alias("period_start"), F.max("obs_date").alias("period_end"), F.count_distinct("series_id").alias("n_assets"), F.any_value("dates").alias("d"))
     ends = path.groupBy("series_id").agg(F.max_by("level", "obs_date").alias("value_end"))
-    positions = portfolio_positions(levels, portfolio, label, initial)
+    positions = _positions(frame, initial)
     hhi = F.sum(F.col("current_weight") * F.col("current_weight"))
     allocation = positions.groupBy("portfolio_id").agg(hhi.alias("hhi"), (1 / hhi).alias("effective_n"), F.max("current_weight").alias("largest_weight"))
     returns = _asset_returns(frame)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from fundloom.operators import metrics, reports
 from fundloom.plans.analytics import _FULL, BETA_SQL, DRAWDOWN_SQL, GROWTH_SQL, STATISTICS_SQL, TODAY, _r
 from fundloom.plans.common import Query, named, rounded
-from fundloom.sources.adapters import LEVELS_SQL, PORTFOLIO_SQL, benchmark, levels, portfolio, table
+from fundloom.sources.adapters import LEVELS_SQL, PORTFOLIO_SQL, benchmark, portfolio, table
+from fundloom.sources.adapters import levels as raw_levels
+from fundloom.storage import written
 
 #: MACHINERY has no benchmark, BUILDING that of urgent orders, the others that of all.
 _CHOSEN = (("AUTOMOBILE", "all"), ("BUILDING", "urgent"), ("FURNITURE", "all"), ("HOUSEHOLD", "all"))
@@ -18,7 +20,12 @@ COMPARED = ("AUTOMOBILE", "BUILDING", "MACHINERY")
 def _benchmarks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.to_date("o_orderdate").alias("obs_date")).agg(F.avg("o_totalprice").alias("value"))
     values = benchmark(spark, sf_dir).withColumn("benchmark_id", F.lit("all")).unionByName(urgent.withColumn("benchmark_id", F.lit("urgent")))
-    return spark.createDataFrame(list(_CHOSEN), "series_id string, benchmark_id string"), values
+    return spark.createDataFrame(list(_CHOSEN), "series_id string, benchmark_id string"), written(values, "benchmarks")
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels as a table: a report asks for them many times, and each time would read all orders again."""
+    return written(raw_levels(spark, sf_dir), "levels")
 
 
 def _today():
@@ -26,20 +33,20 @@ def _today():
 
 
 def fund_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.fund_reports(levels(spark, sf_dir), *_benchmarks(spark, sf_dir), _today()))
+    return rounded(reports.fund_reports(_levels(spark, sf_dir), *_benchmarks(spark, sf_dir), _today()))
 
 
 def fund_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three segments over the last year."""
-    return rounded(reports.comparison(levels(spark, sf_dir), *_benchmarks(spark, sf_dir), COMPARED, _today(), "1y"))
+    return rounded(reports.comparison(_levels(spark, sf_dir), *_benchmarks(spark, sf_dir), COMPARED, _today(), "1y"))
 
 
 def portfolio_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.portfolio_reports(levels(spark, sf_dir), portfolio(spark), *_benchmarks(spark, sf_dir), _today()), 5)
+    return rounded(reports.portfolio_reports(_levels(spark, sf_dir), portfolio(spark), *_benchmarks(spark, sf_dir), _today()), 5)
 
 
 def portfolio_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.portfolio_positions(levels(spark, sf_dir), portfolio(spark)), 5)
+    return rounded(reports.portfolio_positions(_levels(spark, sf_dir), portfolio(spark)), 5)
 
 
 def queries() -> dict[str, Query]:
