@@ -144,3 +144,37 @@ def portfolio_reports(levels: DataFrame, portfolio: DataFrame, benchmarks: DataF
     out = facts.join(allocation, "portfolio_id").join(ratio, "portfolio_id", "left").withColumnRenamed("portfolio_id", "series_id").join(ends, "series_id").join(chosen, "series_id", "left")
     out = out.select("series_id", F.lit(label).alias("period"), "period_start", "period_end", F.col("d.aligned").alias("dates_aligned"), F.col("d.dropped").alias("dates_dropped"), age.alias("age_days"), (age > STALE_AFTER_DAYS).alias("stale"), "benchmark_id", "n_assets", F.lit(initial).alias("value_start"), "value_end", "hhi", "effective_n", "largest_weight", "diversification_ratio")
     return out.join(_measured(path, chosen, values, conventions), "series_id").withColumnRenamed("series_id", "portfolio_id")
+
+
+#: The columns of an exported portfolio, and its last line around the two dates.
+EXPORT_COLUMNS = ("scheme_code", "fund_name", "initial_weight_pct", "current_weight_pct", "current_value_inr", "risk_contribution_pct", "synthetic_data")
+EXPORT_NOTE = ("# As of ", "; buy-and-hold from ", ". Historical analysis only; not investment advice.")
+
+
+def csv_field(text: Column) -> Column:
+    """A text as a field of a CSV line: in quotes where it holds a comma, a quote or a line end; null is empty."""
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.coalesce(F.when(text.rlike('[,"\r\n]'), quoted).otherwise(text), F.lit(""))
+
+
+def portfolio_export(levels: DataFrame, portfolio: DataFrame, funds: DataFrame, label: str = "max", initial: float = 100_000.0) -> DataFrame:
+    """(portfolio_id, line, text): each portfolio as the lines of a CSV file, with its assets in order of their ids and a note at the end.
+
+    ``funds(series_id, scheme_code, name, is_synthetic)`` describes the assets;
+    one that it doesn't know has its id for a code, and no name. A portfolio
+    without common dates has no lines. ``sinks.export_lines`` writes the files.
+    """
+    frame = written(_frame(levels, portfolio, label), "portfolio-levels")
+    named = _positions(frame, initial).join(funds, "series_id", "left")
+
+    def two(c: Column) -> Column:
+        return F.format_string("%.2f", c)
+
+    risk = F.when(F.col("risk_share").isNotNull(), two(F.col("risk_share") * 100))
+    cells = (F.coalesce("scheme_code", "series_id"), F.col("name"), two(F.col("initial_weight") * 100), two(F.col("current_weight") * 100), two(F.col("current_value")), risk, F.when(F.col("is_synthetic"), "yes").otherwise("no"))
+    place = F.row_number().over(Window.partitionBy("portfolio_id").orderBy("series_id"))
+    rows = named.select("portfolio_id", place.alias("line"), F.concat_ws(",", *(csv_field(c) for c in cells)).alias("text"))
+    ends = frame.groupBy("portfolio_id").agg(F.count_distinct("series_id").cast("int").alias("n"), F.min("obs_date").cast("string").alias("a"), F.max("obs_date").cast("string").alias("b"))
+    note = csv_field(F.concat(F.lit(EXPORT_NOTE[0]), "b", F.lit(EXPORT_NOTE[1]), "a", F.lit(EXPORT_NOTE[2])))
+    around = F.array(F.struct(F.lit(0).alias("line"), F.lit(",".join(EXPORT_COLUMNS)).alias("text")), F.struct((F.col("n") + 1).alias("line"), F.lit("").alias("text")), F.struct((F.col("n") + 2).alias("line"), note.alias("text")))
+    return rows.unionByName(ends.select("portfolio_id", F.explode(around).alias("x")).select("portfolio_id", "x.*"))

@@ -49,8 +49,15 @@ def portfolio_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.portfolio_positions(_levels(spark, sf_dir), portfolio(spark)), 5)
 
 
+def portfolio_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of both portfolios' files; BUILDING is marked as synthetic and has a name that needs quotes."""
+    names = _levels(spark, sf_dir).select("series_id").distinct().where("series_id <> 'MACHINERY'")
+    funds = names.select("series_id", F.concat(F.lit("FS-"), "series_id").alias("scheme_code"), F.when(F.col("series_id") == "BUILDING", 'The "B", fund').otherwise(F.lower("series_id")).alias("name"), (F.col("series_id") == "BUILDING").alias("is_synthetic"))
+    return reports.portfolio_export(_levels(spark, sf_dir), portfolio(spark), funds)
+
+
 def queries() -> dict[str, Query]:
-    return named(fund_report, fund_comparison, portfolio_report, portfolio_positions)
+    return named(fund_report, fund_comparison, portfolio_report, portfolio_positions, portfolio_export)
 
 
 _VALUES = """
@@ -116,4 +123,11 @@ def oracle_sql() -> dict[str, str]:
             FROM n JOIN pe USING (portfolio_id) JOIN ac USING (portfolio_id) LEFT JOIN sg USING (portfolio_id) LEFT JOIN vr USING (portfolio_id) JOIN (SELECT * RENAME (series_id AS portfolio_id) FROM w) USING (portfolio_id)""",
         "portfolio_positions": f"""WITH {_BASE}, {_HELD}, p AS (SELECT portfolio_id, sa AS series_id, sum(c) AS c FROM co GROUP BY ALL)
             SELECT portfolio_id, series_id, round(weight, 5) AS initial_weight, round(current_weight, 5) AS current_weight, round(g * 100000, 5) AS current_value, round(c / v, 5) AS risk_share FROM cw LEFT JOIN p USING (portfolio_id, series_id) LEFT JOIN vr USING (portfolio_id)""",
+        "portfolio_export": f"""WITH {_BASE}, {_HELD.replace(" - INTERVAL 36 MONTH", " - INTERVAL 1200 MONTH")}, p AS (SELECT portfolio_id, sa AS series_id, sum(c) AS c FROM co GROUP BY ALL),
+            h AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY series_id) AS line FROM cw LEFT JOIN p USING (portfolio_id, series_id) LEFT JOIN vr USING (portfolio_id)),
+            d AS (SELECT portfolio_id, min(obs_date) AS a, max(obs_date) AS b FROM fm GROUP BY portfolio_id)
+            SELECT portfolio_id, 0 AS line, '{",".join(reports.EXPORT_COLUMNS)}' AS text FROM d UNION ALL SELECT portfolio_id, 6, '' FROM d
+            UNION ALL SELECT portfolio_id, 7, '# As of ' || b || '; buy-and-hold from ' || a || '. Historical analysis only; not investment advice.' FROM d
+            UNION ALL SELECT portfolio_id, line, CASE series_id WHEN 'MACHINERY' THEN 'MACHINERY,' WHEN 'BUILDING' THEN 'FS-BUILDING,"The ""B"", fund"' ELSE 'FS-' || series_id || ',' || lower(series_id) END || printf(',%.2f,%.2f,%.2f,', weight * 100, current_weight * 100, g * 100000)
+                || coalesce(printf('%.2f', c / v * 100), '') || CASE WHEN series_id = 'BUILDING' THEN ',yes' ELSE ',no' END FROM h""",
     }

@@ -123,3 +123,8 @@ def ledger_with_values(rows: DataFrame, warnings: DataFrame, batch_id: str, kind
 def export_csv(df: DataFrame, folder: str) -> None:
     """Quoted CSV with a header; numbers with two digits."""
     df.select(*(F.format_string("%.2f", F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes)).write.option("header", True).option("quote", '"').option("escape", '"').csv(folder)
+
+
+def export_lines(lines: DataFrame, folder: str, key: str = "portfolio_id") -> None:
+    """Write ``lines(key, line, text)`` as text files, one for each key in a folder of its own, its lines in order."""
+    lines.repartition(key).sortWithinPartitions(key, "line").select(key, F.col("text").alias("value")).write.partitionBy(key).text(folder)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fundloom.operators import learning, reports
+from fundloom.sources import sinks
 
 DAYS = [date(2020, 1, 1) + timedelta(i) for i in range(500)]
 
@@ -68,6 +69,20 @@ def test_portfolio_report_equals_a_loop(spark, made):
     assert [shares["a"], shares["b"]] == pytest.approx(list(w * (cov @ w) / vol**2))
 
 
+def test_exported_file(spark, made, tmp_path):
+    import csv
+
+    _, levels, _, _ = made
+    portfolio = spark.createDataFrame([("p", "a", 3.0), ("p", "b", 1.0)], "portfolio_id string, series_id string, weight double")
+    funds = spark.createDataFrame([("a", "F-1", 'A, "one"', True)], "series_id string, scheme_code string, name string, is_synthetic boolean")
+    sinks.export_lines(reports.portfolio_export(levels, portfolio, funds), f"file://{tmp_path}/out")
+    (path,) = (tmp_path / "out" / "portfolio_id=p").glob("*.txt")
+    rows = list(csv.reader(path.open()))
+    assert rows[0] == list(reports.EXPORT_COLUMNS) and len(rows) == 5 and rows[3] == []
+    assert rows[1][:3] == ["F-1", 'A, "one"', "75.00"] and rows[1][6] == "yes" and rows[2][:3] == ["b", "", "25.00"]
+    assert rows[4] == ["# As of 2021-05-14; buy-and-hold from 2020-01-01. Historical analysis only; not investment advice."]
+
+
 def test_comparison_needs_two_to_five(made):
     _, levels, benchmarks, values = made
     for ids in (("a",), ("a", "a"), tuple("abcdef")):
