@@ -31,7 +31,7 @@ def _vector_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("s", tx.sentences(F.col("text")))
-    return docs.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.element_at("s", -1).alias("last"))
+    return docs.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.try_element_at("s", F.lit(-1)).alias("last"))
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,12 @@ def test_questions(spark):
     assert got[4].p.original == "Is that the latest? FY 24"
 
 
+def test_sentences_keep_digits_of_their_place(spark):
+    texts = ["A.\n1 b 1! 21 c 2", "", None, "A.\x0bB"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.sentences(F.col("t")).alias("s")).collect()
+    assert [r.s for r in rows] == [["A.", "1 b 1!", "21 c 2"], [], None, ["A.\x0bB"]]
+
+
 def test_words_of_questions_end_at_letters_beyond_ascii(spark):
     rows = spark.createDataFrame([("\u00e4auge \u00e4now \u00e4it",)], "q string")
     p = rows.select(tx.processed_question(F.col("q"), F.lit("before")).alias("p")).first().p
