@@ -165,3 +165,14 @@ def test_an_upsert_that_broke_off_is_finished(spark, tmp_path, monkeypatch):
     assert read() == [(1, "b", 1.5), (2, "b", 2.0), (3, "c", 3.5), (4, "c", 4.5)]
     assert not sinks.finish_upsert(spark, path, "part")
     assert sorted(p.name for p in (tmp_path / "table").iterdir() if p.name.startswith("part=")) == ["part=b", "part=c"]
+
+
+def test_mentions_meet_classes_of_funds(spark):
+    n = 2500
+    funds = spark.range(n).select(F.col("id").alias("fund_id"), F.concat(F.lit("C"), "id").alias("code"), F.lit("Aurora Bond Fund").alias("name")).unionByName(spark.createDataFrame([(n, "X1", "Boreal Gilt Fund")], "fund_id long, code string, name string"))
+    asked = spark.createDataFrame([(1, "how is aurora bond, C7?"), (2, "what of C7 and X1?"), (3, "nothing"), (None, "boreal or X1")], "query_id int, question string")
+    found = catalogue.mentioned_funds(asked, catalogue.fund_aliases(funds))
+    assert sorted(((r.query_id or 0, r.fund_id) for r in found.collect())) == [(0, n), *((1, i) for i in range(n)), (2, 7), (2, n)]
+    # No row of a pair is dealt out: the exchanges hold blocks.
+    sorts = found._jdf.queryExecution().optimizedPlan().toString().split("Generate explode(fund_ids")[0]
+    assert "Aggregate [query_id" not in sorts and "Distinct" not in sorts
