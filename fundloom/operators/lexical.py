@@ -24,8 +24,8 @@ from fundloom.storage import written
 MOST_LEXEMES, FETCHED, PLACE_WEIGHT = 40, 90, 0.1
 #: Questions whose lexemes a task holds at once.
 QUESTION_BLOCK = 5000
-#: Bytes of text whose words are held at once.
-TOGETHER = 16 << 20
+#: Bytes of text whose words are held at once, and lexemes of passages that meet questions at once, and candidates that wait to be ranked.
+TOGETHER, MEETINGS, WAITING = 4 << 20, 1 << 18, 1 << 16
 POSTINGS = "passage_id long, content_hash string, lexemes array<string>, places array<array<int>>"
 
 _stems = Stems()
@@ -59,8 +59,11 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, to in zip(cuts, cuts[1:], strict=False):
             batch = whole.slice(at, to - at)
             text, place, code, names = words_with_places(batch.column("content"))
-            rank = np.argsort(np.argsort(np.array(names))) if names else np.zeros(0, np.int64)
-            ordered = np.array(names)[np.argsort(rank)] if names else np.array([], str)
+            # As a list: an array of texts would be as wide as the longest word.
+            sorting = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
+            rank = np.empty(len(names), np.int64)
+            rank[sorting] = np.arange(len(names))
+            ordered = [names[k] for k in sorting.tolist()]
             key = text * max(1, len(names)) + (rank[code] if names else code)
             order = np.argsort(key, kind="stable")
             key, place = key[order], place[order]
@@ -68,7 +71,7 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of, lexeme = key[first] // max(1, len(names)), key[first] % max(1, len(names))
             ends = np.searchsorted(of, np.arange(len(batch) + 1)).astype(np.int32)
             places = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(place.astype(np.int32)))
-            lexemes = pa.DictionaryArray.from_arrays(pa.array(lexeme), pa.array(ordered.tolist(), pa.string())).cast(pa.string()) if names else pa.array([], pa.string())
+            lexemes = pa.DictionaryArray.from_arrays(pa.array(lexeme), pa.array(ordered, pa.string())).cast(pa.string()) if names else pa.array([], pa.string())
             digests = [None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in batch.column("content").to_pylist()]
             columns = [batch.column("passage_id"), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(ends), lexemes), pa.ListArray.from_arrays(pa.array(ends), places)]
             yield pa.RecordBatch.from_arrays(columns, names=["passage_id", "content_hash", "lexemes", "places"])
@@ -140,7 +143,10 @@ FOUND = "query_id long, passage_id long, content_hash string, density double, he
 
 
 def _best_of_batches(asked: pa.Table, most: int, every: bool):
-    """Over batches of postings: for each question the passages of a batch that may be among its ``most`` densest, and counts of the lexemes asked for."""
+    """Over a task's postings: for each question the passages that may be among its ``most`` densest, and counts of the lexemes asked for.
+
+    Passages meet questions ``MEETINGS`` lexemes at a time, and what is held is each question's best so far.
+    """
     queries, row = np.unique(asked.column("query_id").to_numpy(), return_inverse=True)
     by_lexeme: dict[str, list[tuple[int, int]]] = {}
     for lexeme, q, k in zip(asked.column("lexeme").to_pylist(), row.tolist(), asked.column("k").to_pylist(), strict=True):
@@ -150,48 +156,87 @@ def _best_of_batches(asked: pa.Table, most: int, every: bool):
     of, bit = (np.array([x[c] for v in by_lexeme.values() for x in v], np.int64) for c in (0, 1))
     size = np.bincount(row, minlength=len(queries))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, places = batch.column("lexemes"), batch.column("places").flatten()
-            flat = words.flatten().dictionary_encode()
-            known = np.array([numbers.get(w, -1) for w in flat.dictionary.to_pylist()] or [-1], np.int64)
-            found = known[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
-            rows = np.flatnonzero(found >= 0)
-            passage = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(words), 0).to_numpy())[rows]
-            found = found[rows]
-            times = pc.list_value_length(places).to_numpy()[rows]
-            counts = np.bincount(found, minlength=len(numbers))
-            # Each lexeme of a passage meets the questions that ask for it.
-            each = start[found + 1] - start[found]
-            at = np.repeat(start[found] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-            pairs, where = np.unique(of[at] * batch.num_rows + np.repeat(passage, each), return_inverse=True)
-            held = np.zeros(len(pairs), np.int64)
-            np.add.at(held, where, np.int64(1) << bit[at])
+    def met(n: int, passage: np.ndarray, found: np.ndarray, times: np.ndarray, places) -> list[np.ndarray]:
+        """(question, passage, density, held) of ``n`` passages by their known lexemes' rows."""
+        # Each lexeme of a passage meets the questions that ask for it.
+        each = start[found + 1] - start[found]
+        at = np.repeat(start[found] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        pairs, where = np.unique(of[at] * n + np.repeat(passage, each), return_inverse=True)
+        held = np.zeros(len(pairs), np.int64)
+        np.add.at(held, where, np.int64(1) << bit[at])
+        q = pairs // max(1, n)
+        if every:
+            whole = np.flatnonzero(np.bincount(where, minlength=len(pairs)) == size[q])
+            source, order = np.repeat(np.arange(len(found)), each), np.argsort(where, kind="stable")
+            ends = np.searchsorted(where[order], np.arange(len(pairs) + 1))
+            density = np.array([cover_density([places(int(r)) for r in source[order[ends[p] : ends[p + 1]]]]) for p in whole.tolist()])
+            pairs, q, held = pairs[whole], q[whole], held[whole]
+        else:
             density = PLACE_WEIGHT * np.bincount(where, np.repeat(times, each), len(pairs))
-            q = pairs // max(1, batch.num_rows)
-            if every:
-                whole = np.flatnonzero(np.bincount(where, minlength=len(pairs)) == size[q])
-                source, order = np.repeat(rows, each), np.argsort(where, kind="stable")
-                ends = np.searchsorted(where[order], np.arange(len(pairs) + 1))
-                density = np.array([cover_density([places[int(r)].values.to_numpy() for r in source[order[ends[p] : ends[p + 1]]]]) for p in whole.tolist()])
-                pairs, q, held = pairs[whole], q[whole], held[whole]
-            p = pairs % max(1, batch.num_rows)
-            density = np.round(density / (1 + density), 9)
-            # Passages of a batch in the order of hash and id, so that ties are numbers.
-            digest, ids = np.array([d or "" for d in batch.column("content_hash").to_pylist()]), batch.column("passage_id").to_numpy()
-            tie = np.empty(batch.num_rows, np.int64)
-            tie[np.lexsort((ids, digest))] = np.arange(batch.num_rows)
-            order = np.lexsort((tie[p], -density, q))
-            order = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < most]
-            digest, ids = digest[p], ids[p]
-            n, m = len(order), int((counts > 0).sum()) + 1
-            told = [name for name, c in zip(by_lexeme, counts.tolist(), strict=True) if c]
-            columns = [
-                pa.concat_arrays([pa.array(queries[q[order]], pa.int64()), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.array(ids[order], pa.int64()), pa.nulls(m, pa.int64())]),
-                pa.array(digest[order].tolist() + [None] * m, pa.string()), pa.concat_arrays([pa.array(density[order], pa.float64()), pa.nulls(m, pa.float64())]),
-                pa.concat_arrays([pa.array(held[order], pa.int64()), pa.nulls(m, pa.int64())]), pa.array([None] * n + told + [""], pa.string()), pa.array([None] * n + counts[counts > 0].tolist() + [batch.num_rows], pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
+        return [q, pairs % max(1, n), np.round(density / (1 + density), 9), held]
+
+    def merged(parts: list[list[np.ndarray]], least: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Each question's best of ``parts``, and the least density that still counts for each."""
+        best = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        order = np.lexsort((best[1], best[4], -best[2], best[0]))
+        rank = np.arange(len(order)) - np.searchsorted(best[0][order], best[0][order])
+        best = [c[order[rank < most]] for c in best]
+        enough = np.bincount(best[0], minlength=len(queries)) == most
+        last = np.searchsorted(best[0], np.flatnonzero(enough), side="right") - 1
+        least = least.copy()
+        least[enough] = best[2][last]
+        return best, least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # (question, id, density, held, digest) of the best so far, and of those that wait.
+        waiting: list[list[np.ndarray]] = []
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, "S64")]
+        least = np.full(len(queries), -1.0)
+        counts, seen = np.zeros(len(numbers), np.int64), 0
+        for whole in batches:
+            seen += whole.num_rows
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                words, places = batch.column("lexemes"), batch.column("places").flatten()
+                flat = words.flatten().dictionary_encode()
+                known = np.array([numbers.get(w, -1) for w in flat.dictionary.to_pylist()] or [-1], np.int64)
+                found = known[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
+                rows = np.flatnonzero(found >= 0)
+                passage = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(words), 0).to_numpy())[rows]
+                found = found[rows]
+                times = pc.list_value_length(places).to_numpy()[rows]
+                counts += np.bincount(found, minlength=len(numbers))
+                # Cuts between passages, by what meets before the end of each.
+                before = np.cumsum(np.bincount(passage, start[found + 1] - start[found], batch.num_rows))
+                cuts = [0, *(np.flatnonzero(np.diff(before // MEETINGS)) + 1).tolist(), batch.num_rows]
+                digests, ids = batch.column("content_hash").to_pylist(), batch.column("passage_id").to_numpy()
+                for first, last in zip(cuts, cuts[1:], strict=False):
+                    a, b = np.searchsorted(passage, (first, last)).tolist()
+                    q, p, density, held = met(last - first, passage[a:b] - first, found[a:b], times[a:b], lambda r, a=a, rows=rows, places=places: places[int(rows[a + r])].values.to_numpy())
+                    keep = np.flatnonzero(density >= least[q])
+                    # Each question's densest of these before their digests are asked for; what equals the last one stays.
+                    keep = keep[np.lexsort((-density[keep], q[keep]))]
+                    rank = np.arange(len(keep)) - np.searchsorted(q[keep], q[keep])
+                    edge = np.full(len(queries), -1.0)
+                    edge[q[keep[rank == most - 1]]] = density[keep[rank == most - 1]]
+                    keep = keep[density[keep] >= edge[q[keep]]]
+                    if not len(keep):
+                        continue
+                    at = p[keep] + first
+                    digest = np.array([digests[k] or "" for k in at.tolist()], "S64")
+                    waiting.append([q[keep], ids[at], density[keep], held[keep], digest])
+                    if sum(len(w[0]) for w in waiting) > WAITING:
+                        best, least = merged([best, *waiting], least)
+                        waiting = []
+        best, _ = merged([best, *waiting], least)
+        told = [name for name, c in zip(by_lexeme, counts.tolist(), strict=True) if c]
+        n, m = len(best[0]), len(told) + 1
+        columns = [
+            pa.concat_arrays([pa.array(queries[best[0]], pa.int64()), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.array(best[1], pa.int64()), pa.nulls(m, pa.int64())]),
+            pa.array([d.decode() for d in best[4].tolist()] + [None] * m, pa.string()), pa.concat_arrays([pa.array(best[2], pa.float64()), pa.nulls(m, pa.float64())]),
+            pa.concat_arrays([pa.array(best[3], pa.int64()), pa.nulls(m, pa.int64())]), pa.array([None] * n + told + [""], pa.string()), pa.array([None] * n + counts[counts > 0].tolist() + [seen], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
 
     return run
 
@@ -206,8 +251,8 @@ def lexical_search(questions: DataFrame, passages: DataFrame, most: int = 30, fe
     go by density, then by the content's SHA-256, then by id.
 
     Passages are read and stemmed once. The stated questions' lexemes go to
-    the tasks that read, in blocks of ``block``; a batch of passages sends on
-    its densest for each question and its counts of the lexemes asked for.
+    the tasks that read, in blocks of ``block``; a task sends on its densest
+    passages for each question and its counts of the lexemes asked for.
     """
     asked = written(question_lexemes(questions), "asked")
     blocks = max(1, -(-questions.count() // block))

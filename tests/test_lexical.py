@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fundloom.functions.stemming import STOP_WORDS, stem
@@ -91,3 +93,26 @@ def test_fees_finds_fee(spark):
     assert places == {(1, "fee"): [1], (1, "low"): [3], (2, "noth"): [0]}
     assert lexical.lexeme_places(p.where("false")).count() == 0
     assert lexical.lexical_search(q, p.where("false")).count() == 0 == lexical.lexical_search(q.where("false"), p).count()
+
+
+def peak(run) -> int:
+    tracemalloc.start()
+    run()
+    out = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out
+
+
+def test_memory_is_bounded_by_neither_pairs_nor_the_longest_word():
+    ids = list(range(4000))
+    lexemes = [f"w{k}" for k in range(10)]
+    text = " ".join(lexemes)
+    asked = pa.table({"query_id": [q for q in range(200) for _ in lexemes], "lexeme": lexemes * 200, "k": list(range(10)) * 200})
+    batch = pa.RecordBatch.from_pydict({"passage_id": ids, "content": [text] * len(ids)})
+    found = []
+    assert peak(lambda: found.extend(lexical._best_of_batches(asked, 90, False)(lexical._posted(iter([batch]))))) < 100e6
+    # A task sends on each question's best once, the counts of ten lexemes and of the passages.
+    assert sum(b.num_rows for b in found) == 200 * 90 + 11
+    assert set(found[0].column("passage_id").to_pylist()[:90]) == set(range(90))
+    odd = pa.RecordBatch.from_pydict({"passage_id": [1], "content": [" ".join(["x" * 100_000, *(f"v{k}" for k in range(1000))])]})
+    assert peak(lambda: list(lexical._posted(iter([odd])))) < 50e6
