@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from fundloom.conventions import require
 from fundloom.functions.text import folded, processed_question
 from fundloom.operators import lexical, retrieval
+from fundloom.storage import written
 
 MODES = ("hybrid", "vector", "lexical")
-#: Dimensions of hashed vectors.
-DIMENSIONS = 256
+#: Dimensions of hashed vectors, and how many of them a task compares at once.
+DIMENSIONS, VECTOR_CHUNK = 256, 5000
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,8 +68,9 @@ def readable_passages(passages: DataFrame, documents: DataFrame, user: Column) -
 def ranked_lists(questions: DataFrame, readable: DataFrame, most: int = 30) -> tuple[DataFrame, DataFrame]:
     """The vector list and the lexical list of each question over readable passages."""
     asked = hashed_vectors(questions.select(F.col("query_id").alias("passage_id"), F.col("question").alias("content"))).where("embedding IS NOT NULL")
-    near = retrieval.vector_search(asked, hashed_vectors(readable), most)
-    return near, lexical.lexical_search(questions, readable, most)
+    near = retrieval.vector_search(asked, hashed_vectors(readable), most, chunk=VECTOR_CHUNK)
+    # Both are written, as several plans read them: each would hash and stem all passages again.
+    return written(near, "near"), written(lexical.lexical_search(questions, readable, most), "words")
 
 
 def candidates(questions: DataFrame, readable: DataFrame, near: DataFrame, words: DataFrame, mode: str, named: DataFrame | None = None) -> DataFrame:
@@ -177,6 +179,9 @@ def evaluate(questions: DataFrame, snippets: DataFrame, passages: DataFrame, doc
     allowed = retrieval.rights(documents, user, F.lit(False)).where("can_read AND status = 'indexed'").select("doc_id")
     forbidden = passages.join(allowed, "doc_id", "left_anti").select("passage_id")
     near, words = ranked_lists(questions, readable, most)
-    holders = snippet_holders(readable, snippets)
+    holders = written(snippet_holders(readable, snippets), "holders")
+    # The modes' candidates are all in these lists.
+    listed = near.select("passage_id").unionByName(words.select("passage_id")).distinct()
+    readable = written(readable.join(listed, "passage_id", "left_semi"), "listed")
     records = [evaluation_records(candidates(questions, readable, near, words, mode, named), holders, snippets, forbidden).withColumn("mode", F.lit(mode)) for mode in MODES]
     return records[0].unionByName(records[1]).unionByName(records[2])

@@ -61,8 +61,8 @@ def _nearest(most: int):
         asked, q, sound = unit(queries, "query", "asked")
         require(bool(sound.all()), "a question's vector is zero")
         got: list[tuple[np.ndarray, ...]] = []
-        for at in range(0, len(asked), 256):
-            sims = np.where(good, q[at : at + 256] @ x.T, -2.0)
+        for at in range(0, len(asked), 64):
+            sims = np.where(good, q[at : at + 64] @ x.T, -2.0)
             k = min(most, len(ids))
             edge = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k]
             i, j = np.nonzero((sims >= edge[:, None] - 1e-6) & (sims > -2))  # ties go on to the ranking

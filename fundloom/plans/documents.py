@@ -10,6 +10,7 @@ from fundloom.functions import text as tx
 from fundloom.operators import catalogue, chunking, hybrid, lexical, neighbours, retrieval
 from fundloom.plans.common import Query, named, rounded
 from fundloom.sources.adapters import table
+from fundloom.storage import written
 
 
 #: Mail addresses, plainly.
@@ -182,7 +183,7 @@ def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation's records with a split and a category: the fifth with ids divisible by five is held out, categories are by length."""
     items = _questions(spark, sf_dir).select("query_id", F.when(F.col("query_id") % 5 == 0, "holdout").otherwise("dev").alias("split"), F.when(F.length("question") < 300, "short").otherwise("long").alias("category"))
-    return evaluation_records(spark, sf_dir).join(items, "query_id")
+    return written(evaluation_records(spark, sf_dir).join(items, "query_id"), "records")
 
 
 def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,10 @@ def test_search_over_chunks(spark):
     may = {r.doc_id for r in lib.where(retrieval.readable(lib, F.lit(2))).collect()}
     assert {r.passage_id // 100_000 for r in rows} <= may
     assert any(r.position == 1 for r in rows)
+
+
+def test_lists_are_tables_that_no_plan_computes_again(spark):
+    asked = spark.createDataFrame([(1, "What is the exit load?")], "query_id long, question string")
+    for rows in hybrid.ranked_lists(asked, passages(spark)):
+        assert "Arrow" not in rows._jdf.queryExecution().optimizedPlan().toString()
+        assert rows.count() == 5
