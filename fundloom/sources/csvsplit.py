@@ -3,15 +3,22 @@
 A file is read as lines wherever Spark cuts it. Each block tells how many
 quotes it holds and how many of its lines begin a record, for either state it
 may begin in; a prefix scan over blocks then gives each block's state and the
-number of its first record. Only lines, never files, meet in one row.
+number of its first record. Lines stay in the task that reads them; only
+parts of a record that two blocks share are dealt out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundloom.sources.csvkinds import KINDS
+from fundloom.storage import written
 
 #: Fixed value: characters that one field may hold.
 FIELD_SIZE = 131_072
@@ -20,28 +27,120 @@ _FIELD = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, block, place, value, quotes): the lines of all files, in which ``place`` rises with the place in a block."""
+    """(path, block, value, quotes): the lines of all files, in the order in which each block's task reads them."""
     raw = spark.read.option("lineSep", "\n").text(path)
     value = F.col("value")
-    at = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    at = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
     return at.withColumn("quotes", F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit(""))))
 
 
-def _numbered(lines: DataFrame) -> DataFrame:
-    """Lines with ``line``, the number of the record that they belong to in their file; the header's is 1."""
-    in_block = Window.partitionBy("path", "block").orderBy("place")
-    earlier_blocks = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("quotes").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    stated = lines.withColumn("before", before)
-    even = F.col("before") % 2 == 0
-    blocks = stated.groupBy("path", "block").agg(F.sum("quotes").alias("q"), F.count_if(even).alias("even"), F.count_if(~even).alias("odd"))
-    # A window over blocks, not lines: a row for each split of a file.
-    scanned = blocks.withColumn("state", F.coalesce(F.sum("q").over(earlier_blocks), F.lit(0)) % 2)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """The stretches of one block in batches of lines, in order; a block is read by one task."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        path, block = batch.column("path").dictionary_encode(), batch.column("block").to_numpy()
+        code, names = path.indices.to_numpy(), path.dictionary.to_pylist()
+        cuts = [0, *(np.flatnonzero((np.diff(code) != 0) | (np.diff(block) != 0)) + 1).tolist(), len(block)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield (names[code[a]], int(block[a])), batch.slice(a, b - a)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, block, q, even, odd, head): a block's quotes, how many of its lines begin a record for either state, and its first line."""
+    key, out = None, [0, 0, 0, None]
+
+    def told() -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*key, *out), kinds, strict=True)], names=["path", "block", "q", "even", "odd", "head"])
+
+    for now, rows in _runs(batches):
+        if now != key:
+            if key is not None:
+                yield told()
+            key, out = now, [0, 0, 0, rows.column("head")[0].as_py()]
+        quotes = rows.column("quotes").to_numpy()
+        odd = int(((out[0] + np.cumsum(quotes) - quotes) & 1).sum())
+        out = [out[0] + int(quotes.sum()), out[1] + len(quotes) - odd, out[2] + odd, out[3]]
+    if key is not None:
+        yield told()
+
+
+def _blocks(lines: DataFrame) -> DataFrame:
+    """(path, block, state, first, head): whether a block begins inside quotes, and how many records begin before it. A row for each split of a file."""
+    head = F.when(F.col("block") == 0, F.col("value").cast("binary")).alias("head")
+    counted = lines.select("path", "block", F.col("quotes").cast("long").alias("quotes"), head).mapInArrow(_counted, "path string, block long, q long, even long, odd long, head binary")
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    scanned = written(counted, "blocks").withColumn("state", F.coalesce(F.sum("q").over(earlier), F.lit(0)) % 2)
     starts = F.when(F.col("state") == 0, F.col("even")).otherwise(F.col("odd"))
-    scanned = scanned.withColumn("first", F.coalesce(F.sum(starts).over(earlier_blocks), F.lit(0))).select("path", "block", "state", "first")
-    begins = (F.col("before") + F.col("state")) % 2 == 0
-    line = F.col("first") + F.sum(begins.cast("long")).over(in_block.rowsBetween(Window.unboundedPreceding, 0))
-    return stated.join(scanned, ["path", "block"]).withColumn("line", line)
+    return scanned.select("path", "block", "state", F.coalesce(F.sum(starts).over(earlier), F.lit(0)).alias("first"), "head")
+
+
+def _stated(lines: DataFrame, blocks: DataFrame, *columns: Column) -> DataFrame:
+    """Lines in their order, with the state and the first record of their block."""
+    states = F.broadcast(blocks.select("path", "block", "state", "first"))
+    return lines.join(states, ["path", "block"]).select("path", "block", "state", "first", F.col("quotes").cast("long").alias("quotes"), *columns)
+
+
+def _records(batches: Iterator[pa.RecordBatch], add) -> Iterator[list]:
+    """[key, line, edge, parts...] of each record, or part of one in its block (``edge``), by ``add``.
+
+    Lines of batches are summed up by ``add(rows, starts)``, a list of one
+    value for each stretch from one of ``starts`` to the next. All records
+    but those at the ends of a stretch come as arrays: lines, values.
+    """
+    key, held, line, odd, inside = None, [], 0, 0, False
+    for now, rows in _runs(batches):
+        if now != key:
+            if held:
+                yield [key, [line], bool(odd) or inside, [held]]
+            key, held, line, odd = now, [], rows.column("first")[0].as_py(), rows.column("state")[0].as_py()
+            inside = bool(odd)
+        quotes = rows.column("quotes").to_numpy()
+        begins = np.flatnonzero((odd + np.cumsum(quotes) - quotes) & 1 == 0)
+        odd = (odd + int(quotes.sum())) & 1
+        starts = begins if len(begins) and begins[0] == 0 else np.append(0, begins)
+        values = add(rows, starts)
+        if len(starts) > len(begins):
+            held.append(values[0])
+            values = values[1:]
+        if len(begins):
+            if held:
+                yield [key, [line], inside, [held]]
+                inside = False
+            if len(begins) > 1:
+                yield [key, line + np.arange(1, len(begins)), False, values[: len(begins) - 1]]
+            held, line = [values[len(begins) - 1]], line + len(begins)
+            inside = False
+    if held:
+        yield [key, [line], bool(odd) or inside, [held]]
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, line, block, record, edge): the records of each block; an ``edge`` is a part of one that another block has more of."""
+
+    def add(rows: pa.RecordBatch, starts: np.ndarray) -> pa.Array:
+        ends = pa.array(np.append(starts, rows.num_rows).astype(np.int32))
+        return pc.binary_join(pa.ListArray.from_arrays(ends, rows.column("value").cast(pa.binary())), b"\n")
+
+    for (path, block), lines, edge, values in _records(batches, add):
+        record = values if isinstance(values, pa.Array) else pa.array([b"\n".join(v.as_py() for v in values[0])], pa.binary())
+        n = len(record)
+        yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(np.asarray(lines, np.int64)), pa.array(np.full(n, block)), record, pa.array(np.full(n, edge))], names=["path", "line", "block", "record", "edge"])
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, line, n, filled): characters of a record and lines of it that hold something; line 0 stands for the longest of many and how many of them do."""
+
+    def add(rows: pa.RecordBatch, starts: np.ndarray) -> np.ndarray:
+        return np.stack([np.add.reduceat(rows.column(c).to_numpy(), starts) for c in ("n", "filled")], axis=1)
+
+    for (path, _), lines, _, values in _records(batches, add):
+        if isinstance(values, np.ndarray):
+            row = 0, int(values[:, 0].max()), int(((values[:, 1] > 0) & (lines > 1)).sum())
+        else:
+            row = lines[0], int(sum(v[0] for v in values[0])), int(sum(v[1] for v in values[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), *(pa.array([v], pa.int64()) for v in row)], names=["path", "line", "n", "filled"])
 
 
 def _fields(record: Column) -> Column:
@@ -76,21 +175,25 @@ def file_problems(spark: SparkSession, path: str, kind: str, most_rows: int | No
     early = F.when(F.col("bytes") > most_bytes, "the file is too large") if most_bytes is not None else F.when(F.lit(False), "")
     early = early.when(F.col("filled") == 0, "the file is empty").when(F.col("nul") > 0, "the file is binary").when(F.col("torn") > 0, "the file isn't UTF-8").when(F.col("open") == 1, "a quote isn't closed")
     sized = sizes.select("path", early.alias("early"))
-    header = _header(lines)
+    blocks = _blocks(lines)
+    header = _header(blocks)
     wanted = F.array(*(F.lit(f.name) for f in KINDS[kind].fields if f.required))
     missing = F.array_sort(F.array_except(wanted, "names"))
     late = F.when(F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ", "))).when(F.size(F.array_distinct("names")) < F.size("names"), "a column comes twice")
-    long = _longest(lines).join(header, "path", "left").select("path", "longest", "rows", F.coalesce(F.size("names"), F.lit(0)).alias("width"), late.alias("late"))
+    long = _longest(lines, blocks).join(header, "path", "left").select("path", "longest", "rows", F.coalesce(F.size("names"), F.lit(0)).alias("width"), late.alias("late"))
     over = F.when(F.col("longest") > F.greatest("width", F.lit(1)) * (FIELD_SIZE + 3), "a record is too long")
     many = F.when(F.col("rows") > most_rows, F.concat(F.lit("more than "), F.lit(most_rows), F.lit(" rows"))) if most_rows is not None else F.lit(None)
     problem = F.coalesce("early", over, "late", many)
     return sized.join(long, "path", "left").select("path", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def _longest(lines: DataFrame) -> DataFrame:
+def _longest(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """(path, longest, rows): characters of a file's longest record and its rows below the header, by sums alone, so that no record is built."""
-    records = _numbered(lines).groupBy("path", "line").agg(F.sum(F.length("value") + 1).alias("n"), F.count_if(_filled("value")).alias("filled"))
-    return records.groupBy("path").agg(F.max("n").alias("longest"), F.count_if((F.col("line") > 1) & (F.col("filled") > 0)).alias("rows"))
+    summed = _stated(lines, blocks, (F.length("value") + 1).cast("long").alias("n"), _filled("value").cast("long").alias("filled")).mapInArrow(_sizes, "path string, line long, n long, filled long")
+    longest = F.max(F.when(F.col("line") == 0, F.col("n"))).alias("inner")
+    records = summed.groupBy("path", "line").agg(longest, F.sum("n").alias("n"), F.sum("filled").alias("filled"))
+    rows = F.when(F.col("line") == 0, F.col("filled")).otherwise(((F.col("line") > 1) & (F.col("filled") > 0)).cast("long"))
+    return records.groupBy("path").agg(F.max(F.coalesce("inner", "n")).alias("longest"), F.sum(rows).alias("rows"))
 
 
 def _filled(line: str) -> Column:
@@ -98,10 +201,10 @@ def _filled(line: str) -> Column:
     return F.col(line).rlike(r'[^\s,"]|"""')
 
 
-def _header(lines: DataFrame) -> DataFrame:
+def _header(blocks: DataFrame) -> DataFrame:
     """(path, names): the normalised names of each file's first line. A header is one line."""
-    first = lines.groupBy("path").agg(F.min(F.struct("block", "place", "value")).alias("h"))
-    text = F.regexp_replace(F.regexp_replace(F.col("h.value"), "^﻿", ""), "\r$", "")
+    first = blocks.where("block = 0").select("path", F.col("head").cast("string").alias("head"))
+    text = F.regexp_replace(F.regexp_replace("head", "^﻿", ""), "\r$", "")
 
     def name(x: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9]+", "_"), "^_|_$", "")
@@ -119,11 +222,15 @@ def read_csv_split(spark: SparkSession, path: str, kind: str) -> DataFrame:
     ``file_problems`` tells of are to be left out by the caller.
     """
     lines = _lines(spark, path)
-    record = F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["value"]), "\n"), "\r$", "")
-    parts = F.array_sort(F.collect_list(F.struct("block", "place", "value"))).alias("parts")
-    rows = _numbered(lines).where("line > 1").groupBy("path", "line").agg(parts).select("path", "line", record.alias("record"))
+    blocks = _blocks(lines)
+    schema = "path string, line long, block long, record binary, edge boolean"
+    # Records that lie in one block stay where they are read; only parts at the ends of blocks are dealt out.
+    pieces = _stated(lines, blocks, "value").mapInArrow(_texts, schema).where("line > 1")
+    parts = F.array_sort(F.collect_list(F.struct("block", F.col("record").cast("string").alias("record")))).alias("parts")
+    cut = pieces.where("edge").groupBy("path", "line").agg(parts).select("path", "line", F.array_join(F.transform("parts", lambda p: p["record"]), "\n").alias("record"))
+    rows = pieces.where("NOT edge").select("path", "line", F.col("record").cast("string").alias("record")).unionByName(cut).withColumn("record", F.regexp_replace("record", "\r$", ""))
     split = rows.select("path", "line", _fields(F.col("record")).alias("fields"), _stray(F.col("record")).alias("stray")).where(F.exists("fields", lambda x: x.rlike(r"\S")))
-    named = split.join(_header(lines), "path")
+    named = split.join(F.broadcast(_header(blocks)), "path")
     n, width = F.size("fields"), F.size("names")
     fault = F.when(F.col("stray"), "a quote inside a plain field").when(n != width, F.concat(F.lit("expected "), width, F.lit(" fields, found "), n))
     shared = F.least(n, width)
@@ -136,4 +243,4 @@ def unknown_columns(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """(path, warning) of files with columns that the kind doesn't know."""
     known = F.array(*(F.lit(f.name) for f in KINDS[kind].fields))
     more = F.filter("names", lambda x: ~F.array_contains(known, x))
-    return _header(_lines(spark, path)).where(F.size(more) > 0).select("path", F.concat(F.lit("Ignored unknown column(s): "), F.array_join(more, ", "), F.lit(".")).alias("warning"))
+    return _header(_blocks(_lines(spark, path))).where(F.size(more) > 0).select("path", F.concat(F.lit("Ignored unknown column(s): "), F.array_join(more, ", "), F.lit(".")).alias("warning"))

@@ -96,3 +96,11 @@ def test_holdings_over_a_hundred_go_and_the_ledger_keeps_texts(spark, tmp_path):
     assert [r["line"] for r in rejected] == [2, 3, 5, 7, 8]
     assert rejected[4]["values"]["holding_name"] == "y" * 120
     assert len(json.loads(row.warnings)) == 1
+
+
+def test_whole_records_are_not_dealt_out(spark, tmp_path):
+    _write(tmp_path, "a.csv", [["A", "2000-01-01", "1\n2", "x"]] * 5)
+    plan = csvsplit.read_csv_split(spark, f"file://{tmp_path}", "nav")._jdf.queryExecution().optimizedPlan().toString()
+    # Windows and aggregates are over blocks and parts of records, not over lines.
+    assert "Window" not in plan or "quotes" not in "".join(x for x in plan.splitlines() if "Window" in x)
+    assert plan.count("collect_list") and "(edge" in plan
