@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundloom.operators import series
@@ -63,10 +63,12 @@ def price_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def portfolio_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as portfolios of their lines' suppliers by quantity; every fifth order has an odd line."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("double").alias("q"))
-    total = lines.groupBy("l_orderkey").agg(F.sum("q").alias("total"))
+    # Dealt by number, so that orders of a part are as few as the session's parts make them.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("double").alias("q")).repartition(parts, "l_orderkey")
+    lines = lines.withColumn("total", F.sum("q").over(Window.partitionBy("l_orderkey")))
     odd = (F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") == 2)
-    rows = lines.join(total, "l_orderkey").select(F.col("l_orderkey").alias("portfolio_id"), F.col("l_linenumber").alias("line"), F.when(odd & (F.col("l_orderkey") % 2 == 0), "FS-none").otherwise(F.concat(F.lit("FS-"), "l_suppkey")).alias("scheme_code"), F.when(odd & (F.col("l_orderkey") % 2 == 1), "n/a").otherwise(F.round(100 * F.col("q") / F.col("total"), 6).cast("string")).alias("weight_pct"))
+    rows = lines.select(F.col("l_orderkey").alias("portfolio_id"), F.col("l_linenumber").alias("line"), F.when(odd & (F.col("l_orderkey") % 2 == 0), "FS-none").otherwise(F.concat(F.lit("FS-"), "l_suppkey")).alias("scheme_code"), F.when(odd & (F.col("l_orderkey") % 2 == 1), "n/a").otherwise(F.round(100 * F.col("q") / F.col("total"), 6).cast("string")).alias("weight_pct"))
     funds = table(spark, sf_dir, "supplier").select(F.concat(F.lit("FS-"), "s_suppkey").alias("code"))
     found = csvkinds.portfolio_problems(rows, funds)
     return found.select("portfolio_id", "n_rows", F.array_join("problems", "|").alias("problems"))

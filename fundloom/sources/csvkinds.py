@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundloom.conventions import require
@@ -203,16 +203,24 @@ def portfolio_problems(rows: DataFrame, funds: DataFrame, most: int = 50, tolera
 
     A portfolio is stored whole or not at all: unknown codes, repeated codes,
     weights that aren't numbers from 0 to 100, and a sum other than 100 are
-    problems, of which the first ``most`` are listed.
+    problems, of which the first ``most`` are listed. Rows are dealt by
+    portfolio and code, in as many parts as shuffles have, to find repeats;
+    only problems are dealt by portfolio, ``most`` of each part at the most.
     """
     known = funds.select(F.col("code").alias("scheme_code"), F.lit(True).alias("known")).distinct()
     weight = F.col("weight_pct").try_cast("double")
-    first = rows.where("scheme_code IS NOT NULL").groupBy("portfolio_id", "scheme_code").agg(F.min("line").alias("first"))
-    joined = rows.join(known, "scheme_code", "left").join(first, ["portfolio_id", "scheme_code"], "left").withColumn("w", weight)
+    # By number, as parts that are put together again would be sorted together.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.join(known, "scheme_code", "left").repartition(parts, "portfolio_id", "scheme_code")
+    first = F.min("line").over(Window.partitionBy("portfolio_id", "scheme_code"))
+    joined = dealt.select("portfolio_id", "line", "scheme_code", "known", weight.alias("w"), first.alias("first"))
     why = F.when(F.col("known").isNull(), F.concat(F.lit("unknown code "), F.coalesce("scheme_code", F.lit(""))))
     why = why.when(F.col("line") > F.col("first"), F.concat(F.lit("repeats line "), F.col("first"))).when(F.col("w").isNull() | (F.col("w") < 0) | (F.col("w") > 100), "not a weight from 0 to 100")
-    bad = F.array_sort(F.filter(F.collect_list(F.when(why.isNotNull(), F.struct("line", why.alias("why")))), lambda x: x.isNotNull()))
-    summed = joined.groupBy("portfolio_id").agg(F.count("*").alias("n_rows"), F.sum(F.col("w").cast("decimal(18,6)")).cast("double").alias("total_pct"), bad.alias("bad"))
-    listed = F.transform(F.slice("bad", 1, most), lambda x: F.concat(F.lit("line "), x["line"], F.lit(": "), x["why"]))
+    place = F.row_number().over(Window.partitionBy("portfolio_id").orderBy("line", "why"))
+    bad = joined.select("portfolio_id", "line", why.alias("why")).where("why IS NOT NULL").withColumn("place", place).where(F.col("place") <= most)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("line", "why"))), lambda x: F.concat(F.lit("line "), x["line"], F.lit(": "), x["why"]))
+    lists = bad.groupBy(F.col("portfolio_id").alias("_portfolio")).agg(listed.alias("listed"))
+    summed = rows.groupBy("portfolio_id").agg(F.count("*").alias("n_rows"), F.sum(weight.cast("decimal(18,6)")).cast("double").alias("total_pct"))
     off = F.abs(F.coalesce("total_pct", F.lit(0.0)) - 100) > tolerance
-    return summed.select("portfolio_id", "n_rows", "total_pct", F.when(off & (F.size("bad") == 0), F.array(F.lit("weights don't add up to 100"))).otherwise(listed).alias("problems"))
+    problems = F.coalesce("listed", F.when(off, F.array(F.lit("weights don't add up to 100"))), F.array().cast("array<string>"))
+    return summed.join(lists, F.col("portfolio_id").eqNullSafe(F.col("_portfolio")), "left").select("portfolio_id", "n_rows", "total_pct", problems.alias("problems"))
