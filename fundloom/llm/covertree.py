@@ -16,10 +16,15 @@ a leaf, points within that radius of one another are joined to last nodes.
 The traversal begins with the root against itself. A pair of cells is dropped
 if the distance of its centres exceeds both radii and the threshold, is all
 links if distance and radii together stay below the threshold, and is divided
-otherwise. Pairs of leaves that remain are compared in tasks of two leaves, node
+otherwise. Pairs of leaves that remain are compared two leaves at a time, node
 against node by the same bounds, and point against point in double precision
 where no bound tells. A whole cell of any size is first met by its centre: only
 points near enough to it are compared with its members, in chunks.
+
+Pairs of leaves may be as many as the square of the leaves, so vectors aren't
+dealt by pairs: leaves are a table, and a cartesian product reads two parts of it
+in each task, without a shuffle. Tables are deleted once nothing reads them, and
+files of shuffles with their query, so disk grows with the vectors alone.
 """
 
 from __future__ import annotations
@@ -29,11 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundloom.llm.components import connected_components
-from fundloom.llm.shared import Scratch, materialise
+from fundloom.llm.shared import Scratch, materialise, shuffles_dropped
 
 #: Points of a leaf, at most, unless all its pairs are links; centres of a cell; points that centres are chosen from.
 LEAF, FANOUT, SAMPLE = 8192, 16, 512
@@ -94,16 +99,15 @@ def last_nodes(u: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np
 
 
 class Block:
-    """Points of one leaf, or of a part of one, ordered by last nodes."""
+    """Points of one leaf, or of a part of one, that stand by last nodes (``_packed``)."""
 
-    def __init__(self, nodes: np.ndarray, weights: np.ndarray, units: np.ndarray, reach: float):
-        order, self.starts, self.radii = last_nodes(units, reach / 2 - SLACK)
-        self.nodes, self.weights, self.units = nodes[order], weights[order], units[order]
-        self.ends = np.append(self.starts[1:], len(order))
-        self.centres = self.units[self.starts]
+    def __init__(self, nodes: np.ndarray, weights: np.ndarray, units: np.ndarray, starts: np.ndarray, radii: np.ndarray):
+        self.nodes, self.weights, self.units, self.starts, self.radii = nodes, weights, units, starts, radii
+        self.ends = np.append(starts[1:], len(nodes))
+        self.centres = units if len(starts) == len(nodes) else units[starts]
         self.low = self.centres.astype(np.float32)
-        self.total = np.add.reduceat(self.weights, self.starts) if len(order) else self.weights
-        self.added = np.zeros(len(order), np.int64)
+        self.total = np.add.reduceat(weights, starts)
+        self.added = np.zeros(len(nodes), np.int64)
 
 
 def compare(a: Block, b: Block, reach: float, least: float) -> list[tuple[int, int]]:
@@ -164,18 +168,31 @@ def _found(blocks: list[Block], links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*nodes, ends[:, 0]])), pa.concat_arrays([pa.array(np.concatenate([*added, np.zeros(0, np.int64)])), empty[0]]), pa.concat_arrays([empty[1], pa.array(ends[:, 1])])], names=["node", "added", "other"])
 
 
-def _compared(kind: str, reach: float, least: float):
-    """Of one pair of blocks (dim, same, nodes, weights, raw, nodes_, weights_, raw_): counts and links."""
+#: Columns of a block, and how their bytes are read.
+PARTS = {"nodes": np.int64, "weights": np.int64, "starts": np.int64, "radii": np.float64}
 
-    def run(table: pa.Table) -> pa.Table:
-        def block(end: str) -> Block:
-            numbers = (np.frombuffer(table.column(c + end)[0].as_buffer(), np.int64) for c in ("nodes", "weights"))
-            return Block(*numbers, units_of(table.column("raw" + end)[0].as_buffer(), table.column("dim")[0].as_py(), kind), reach)
 
-        a = block("")
-        b = a if table.column("same")[0].as_py() else block("_")
-        links = compare(a, b, reach, least)
-        return pa.Table.from_batches([_found([a] if a is b else [a, b], links)])
+def _compared(kind: str, reach: float, least: float):
+    """Over pairs of blocks (key, dim, same, raw, nodes..., raw_, nodes_...): counts and links. Pairs of one block follow each other, so it is read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, a = None, None
+        for batch in batches:
+            names, dims = batch.column("key").to_pylist(), batch.column("dim").to_pylist()
+
+            def block(k: int, end: str, batch: pa.RecordBatch = batch, dims: list[int] = dims) -> Block:
+                nodes, weights, starts, radii = (np.frombuffer(batch.column(c + end)[k].as_buffer(), t) for c, t in PARTS.items())
+                return Block(nodes, weights, units_of(batch.column("raw" + end)[k].as_buffer(), dims[k], kind), starts, radii)
+
+            for k, same in enumerate(batch.column("same").to_pylist()):
+                if a is None or names[k] != key:
+                    key, a = names[k], block(k, "")
+                b = a if same else block(k, "_")
+                links = compare(a, b, reach, least)
+                found = _found([a] if same else [a, b], links)
+                a.added[:] = 0
+                if found.num_rows:
+                    yield found
 
     return run
 
@@ -254,8 +271,9 @@ def cover_tree(points: DataFrame, kind: str, reach: float, scratch: Scratch, lea
     """(points with their leaf, cells, depth) for ``points(node, weight, dim, raw)``; vectors of each dimension are a tree of their own.
 
     Cells: (cell, parent, centre, radius, n, weight, first, leaf); a root has no centre and the radius 2.
+    A table of points is dropped once the next level of it is written, ``points`` too.
     """
-    points = scratch.table(points.select("node", "weight", "dim", "raw", F.concat(F.lit("r"), "dim").alias("cell"), F.lit(2.0).alias("away")), "points")
+    given, points = points, points.select("node", "weight", "dim", "raw", F.concat(F.lit("r"), "dim").alias("cell"), F.lit(2.0).alias("away"))
     cells, known, depth = None, None, 0
     while True:
         sizes = points.groupBy("cell").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.min("node").alias("first"), F.max("away").alias("radius"))
@@ -279,7 +297,9 @@ def cover_tree(points: DataFrame, kind: str, reach: float, scratch: Scratch, lea
         right = parts.join(known, F.col("of") == F.col("parent")).select("of", "part_", F.col("cell").alias("cell"), "centre")
         divided = left.groupBy("cell", "part").cogroup(right.groupBy("of", "part_")).applyInArrow(_divided(kind), POINTS)
         kept = points.join(open_.select(F.col("cell").alias("open")), F.col("cell") == F.col("open"), "left_anti")
+        before = points if depth else given
         points, depth = scratch.table(kept.select(*POINT_NAMES).unionByName(divided), "points"), depth + 1
+        scratch.drop(before)
 
 
 def _divided(kind: str):
@@ -327,19 +347,32 @@ def leaf_pairs(cells: DataFrame, depth: int, kind: str, reach: float, scratch: S
     return found
 
 
-def _packed(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Points as one row for each value of ``keys``: their ids, weights and vectors as bytes."""
+def _packed(points: DataFrame, keys: list[str], kind: str, reach: float) -> DataFrame:
+    """Points as one row for each value of ``keys``: their ids, weights and vectors as bytes, by last nodes, whose starts and radii come along."""
 
     def run(table: pa.Table) -> pa.Table:
-        numbers = [np.asarray(table.column(c).to_numpy(), np.int64).tobytes() for c in ("node", "weight")]
-        columns = [*(table.column(k)[:1] for k in keys), table.column("dim")[:1], *(pa.array([x], pa.binary()) for x in numbers), pa.array([b"".join(table.column("raw").to_pylist())], pa.binary())]
-        return pa.table(columns, names=[*keys, "dim", "nodes", "weights", "raw"])
+        raw, dim = b"".join(table.column("raw").to_pylist()), table.column("dim")[0].as_py()
+        order, starts, radii = last_nodes(units_of(raw, dim, kind), reach / 2 - SLACK)
+        numbers = [*(np.asarray(table.column(c).to_numpy(), np.int64)[order] for c in ("node", "weight")), starts, radii]
+        columns = [*(table.column(k)[:1] for k in keys), table.column("dim")[:1], *(pa.array([x.tobytes()], pa.binary()) for x in (*numbers, np.frombuffer(raw, kind).reshape(-1, dim)[order]))]
+        return pa.table(columns, names=[*keys, "dim", *PARTS, "raw"])
 
     types = dict(points.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", dim int, nodes binary, weights binary, raw binary"
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", dim int, " + ", ".join(f"{c} binary" for c in (*PARTS, "raw"))
     return points.select(*keys, "node", "weight", "dim", "raw").groupBy(*keys).applyInArrow(run, schema)
 
 
+def _met(left: DataFrame, right: DataFrame, meet: Column, same: Column, kind: str, reach: float, least: float) -> DataFrame:
+    """Counts and links of the pairs of blocks that ``meet``; ``right`` has its columns with an underscore, ``left`` a ``key`` of its block.
+
+    A product of the parts of both tables, each read where it is met: no
+    vector is shuffled, and a task holds one part.
+    """
+    pairs = left.join(right.hint("shuffle_replicate_nl"), meet)
+    sides = [c + end for end in ("", "_") for c in (*PARTS, "raw")]
+    return pairs.select("key", "dim", same.alias("same"), *sides).mapInArrow(_compared(kind, reach, least), FOUND)
+
+
 def vector_links(points: DataFrame, kind: str, least: float, scratch: Scratch, leaf: int = LEAF, fanout: int = FANOUT, sample: int = SAMPLE) -> DataFrame:
     """(node, added, other) for ``points(node, weight, dim, raw)``: shares of the weights that a node links with, and links that join all components."""
     reach = math.sqrt(2 - 2 * least)
@@ -359,15 +392,17 @@ def vector_links(points: DataFrame, kind: str, least: float, scratch: Scratch, l
     # Leaves with leaves.
     ask = scratch.table(pairs.where("NOT whole").join(size.select("cell", "n"), "cell").join(size.select(F.col("cell").alias("cell_"), F.col("n").alias("n_")), "cell_").select("cell", "cell_", "n", "n_"), "ask")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / leaf)).alias("part")
-    blocks = scratch.table(_packed(placed.join(size.select("cell", "n"), "cell").select(*POINT_NAMES, part), ["cell", "part"]), "blocks")
-    right = blocks.select(F.col("cell").alias("cell_"), F.col("nodes").alias("nodes_"), F.col("weights").alias("weights_"), F.col("raw").alias("raw_"))
-    small = ask.where(f"n <= {leaf} AND n_ <= {leaf}").select("cell", "cell_", (F.col("cell") == F.col("cell_")).alias("same"))
-    sides = ["dim", "same", "nodes", "weights", "raw", "nodes_", "weights_", "raw_"]
-    # A leaf with itself is sent once. Groups are pairs of blocks, so that a worker holds one at a time.
-    met = small.where("NOT same").join(blocks.drop("part"), "cell").join(right, "cell_").select("cell", "cell_", *sides)
-    alone = small.where("same").join(blocks.drop("part"), "cell").select("cell", "cell_", *sides[:5], *(F.lit(None).cast("binary").alias(c) for c in sides[5:]))
-    found = met.unionByName(alone).groupBy("cell", "cell_").applyInArrow(_compared(kind, reach, least), FOUND)
-    out = scratch.table(in_whole, "in-whole").unionByName(firsts).unionByName(scratch.table(found, "found"))
+    whole_counts = scratch.table(in_whole, "in-whole")
+    partners = ask.where(f"n <= {leaf} AND n_ <= {leaf}").groupBy("cell").agg(F.collect_list("cell_").alias("partners"))
+    packed = _packed(placed.join(size.select("cell", "n"), "cell").select(*POINT_NAMES, part), ["cell", "part"], kind, reach)
+    # Not compressed, so that a part of the table is as large in memory as on disk.
+    blocks = scratch.table(packed.join(partners, "cell", "left"), "blocks", "none")
+    scratch.drop(placed)
+    members = blocks.select(*(F.col(c).alias(f"{c}_") for c in ("cell", "part", *PARTS, "raw")))
+    # Blocks of leaves that meet none don't take part.
+    asks = blocks.where("partners IS NOT NULL").withColumn("key", F.col("cell"))
+    found = _met(asks, members.where("part_ = 0"), F.array_contains("partners", F.col("cell_")), F.col("cell") == F.col("cell_"), kind, reach, least)
+    out = whole_counts.unionByName(firsts).unionByName(scratch.table(found, "found"))
     # Whole cells of any size: their centres first.
     large = ask.where(f"n > {leaf} OR n_ > {leaf}")
     if not large.take(1):
@@ -379,10 +414,11 @@ def vector_links(points: DataFrame, kind: str, least: float, scratch: Scratch, l
     asked = lists.join(blocks, "cell").select("cell", "part", F.col("h.of")[0].alias("of"), "dim", "nodes", "weights", "raw", F.col("h.of").alias("cells"), F.col("h.centre").alias("centres"), F.col("h.radius").alias("radii"))
     near = scratch.table(asked.groupBy("cell", "part", "of").applyInArrow(_near_headers(kind, reach), "cell string, node long, weight long, dim int, raw binary"), "near")
     counts = near.groupBy("cell").agg(F.count("*").alias("n"))
-    asking = scratch.table(_packed(near.join(counts, "cell").select("cell", "node", "weight", "dim", "raw", part), ["cell", "part"]), "asking")
-    members = blocks.select("cell", F.col("part").alias("part_"), F.col("nodes").alias("nodes_"), F.col("weights").alias("weights_"), F.col("raw").alias("raw_"))
-    last = asking.join(members, "cell").select("cell", "part", "part_", "dim", F.lit(False).alias("same"), *sides[2:])
-    return out.unionByName(scratch.table(last.groupBy("cell", "part", "part_").applyInArrow(_compared(kind, reach, least), FOUND), "found"))
+    asking = scratch.table(_packed(near.join(counts, "cell").select("cell", "node", "weight", "dim", "raw", part), ["cell", "part"], kind, reach), "asking", "none")
+    scratch.drop(near)
+    asking = asking.withColumn("key", F.concat_ws(":", "cell", "part"))
+    last = _met(asking, members, F.col("cell") == F.col("cell_"), F.lit(False), kind, reach, least)
+    return out.unionByName(scratch.table(last, "found"))
 
 
 def near_duplicate_vectors(vectors: DataFrame, least: float = 0.95, leaf: int = LEAF, fanout: int = FANOUT, sample: int = SAMPLE) -> DataFrame:
@@ -402,19 +438,22 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.95, leaf: int =
     element = dict(vectors.dtypes)["embedding"]
     kind = "<f4" if element == "array<float>" else "<f8"
     vector = F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>")
-    with Scratch(spark, "vectors") as scratch:
-        named = scratch.table(vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")), "vectors")
+    with shuffles_dropped(spark), Scratch(spark, "vectors") as scratch:
+        named = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
         rows = scratch.table(named.mapInArrow(_points(kind), "row long, vec_id long, dim int, key binary, raw binary"), "rows")
-        classes = rows.where("raw IS NOT NULL").groupBy("key").agg(F.min("row").alias("node"), F.count("*").alias("weight"), F.first("dim").alias("dim"), F.first("raw").alias("raw"), F.min("vec_id").alias("least"))
-        classes = scratch.table(classes, "classes")
-        found = scratch.table(vector_links(classes, kind, least, scratch, leaf, fanout, sample), "links")
+        keys = scratch.table(rows.select("vec_id", "key"), "keys")
+        points = rows.where("raw IS NOT NULL").groupBy("key").agg(F.min("row").alias("node"), F.count("*").alias("weight"), F.first("dim").alias("dim"), F.first("raw").alias("raw"), F.min("vec_id").alias("least"))
+        points = scratch.table(points, "points")
+        scratch.drop(rows)
+        classes = scratch.table(points.select("key", "node", "weight", "least"), "classes")
+        found = scratch.table(vector_links(points, kind, least, scratch, leaf, fanout, sample), "links")
         groups = connected_components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), "vector-groups")
         added = found.where("added IS NOT NULL").groupBy("node").agg(F.sum("added").alias("added"))
-        placed = classes.select("key", "node", "weight", "least").join(groups, "node", "left").join(added, "node", "left")
+        placed = classes.join(groups, "node", "left").join(added, "node", "left")
         placed = scratch.table(placed.select("key", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("added", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "placed")
         first = placed.groupBy("component").agg(F.min("least").alias("component_id"))
         told = placed.join(first, "component").select("key", "n_links", "component_id")
-        out = rows.select("vec_id", "key").join(told, "key", "left")
+        out = keys.join(told, "key", "left")
         component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
         out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
         return materialise(out, "vectors-kept")

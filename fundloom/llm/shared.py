@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.folder, self.count = spark, fresh_folder(spark, tag), 0
+        self.held: list[tuple[DataFrame, str]] = []
 
     def __enter__(self) -> Scratch:
         return self
@@ -73,10 +75,32 @@ class Scratch:
         self.count += 1
         return f"{self.folder}/{self.count}-{tag}"
 
-    def table(self, df: DataFrame, tag: str) -> DataFrame:
+    def table(self, df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
         path = self.path(tag)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        df.write.parquet(path, compression=compression)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, table: DataFrame) -> None:
+        """Delete a table that nothing reads any more; a frame that isn't one of these tables stays."""
+        for k, (held, path) in enumerate(self.held):
+            if held is table:
+                delete_folder(self.spark, path)
+                del self.held[k]
+                return
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within the block, files of a shuffle go where the query that wrote them ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def free_name(df: DataFrame, wish: str) -> str:

@@ -1,10 +1,12 @@
 """Vector links against all pairs in double precision, at tree parameters that make every path run."""
 
 import math
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fundloom.llm import covertree, queries
 
@@ -123,3 +125,18 @@ def test_query_against_sql(spark):
     con.execute("DROP VIEW embeddings; CREATE VIEW embeddings AS SELECT * FROM t")
     found = con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({queries.oracle_sql()['op13_vectors']})").fetchall()
     assert sorted(found, key=repr) == brute(rows)
+
+
+def test_disk_grows_with_vectors_not_with_pairs_of_leaves(spark):
+    """Random vectors, so that all leaves meet: blocks meet without an exchange, and no shuffle outlives its query."""
+    shuffles = lambda: {p for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(rng.normal(size=(300, 16)))], "vec_id long, embedding array<double>").localCheckpoint()
+    before, setting = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    covertree.near_duplicate_vectors(df, leaf=16, fanout=8, sample=64)
+    assert shuffles() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    blocks = spark.createDataFrame([], "cell string, part long, dim int, nodes binary, weights binary, starts binary, radii binary, raw binary, key string")
+    right = blocks.drop("dim", "key").toDF(*(f"{c}_" for c in blocks.drop("dim", "key").columns)).repartition(2)
+    met = covertree._met(blocks.repartition(2), right, F.col("cell") == F.col("cell_"), F.lit(False), "<f8", 0.3, 0.95)
+    plan = met._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan
