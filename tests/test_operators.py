@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fundloom.functions import text as tx
-from fundloom.operators import chunking, learning, metrics, optimise, retrieval, series, simulate
+from fundloom.operators import catalogue, chunking, learning, metrics, optimise, retrieval, series, simulate
 from fundloom.sources import csvkinds, sinks
 from fundloom.streaming import events
 
@@ -156,3 +156,12 @@ def test_excerpts_of_prose_and_tables(spark):
     assert got[15]["excerpt"] == "" and got[15]["score"] == 0
     assert got[17]["excerpt"] == " ".join(["expense"] * 90) + " ..."
     assert retrieval.excerpts(frame.limit(0)).count() == 0
+
+
+def test_fund_mentions_collects_nothing_in_the_driver(spark):
+    """Sides of its joins grow with the funds, whatever the size of the files they come from."""
+    funds = spark.createDataFrame([(1, "FS1", "Alpha Growth Fund - Direct"), (2, "FS2", "Alpha Growth Fund (Regular)"), (3, "FS3", "Beta Fund")], "fund_id long, code string, name string")
+    asked = spark.createDataFrame([(7, "How did Alpha Growth do?"), (8, "And FS3, pre-FS2?"), (9, "Nothing.")], "query_id long, question string")
+    found = catalogue.mentioned_funds(asked, catalogue.fund_aliases(funds))
+    assert sorted(map(tuple, found.collect())) == [(7, 1), (7, 2), (8, 3)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
