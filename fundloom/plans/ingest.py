@@ -11,7 +11,7 @@ from fundloom.operators import series
 from fundloom.plans.common import Query, named, rounded
 from fundloom.sources import csvkinds, csvsplit, sinks
 from fundloom.sources.adapters import LEVELS_SQL, levels, table
-from fundloom.storage import shared_folder
+from fundloom.storage import shared_folder, small_methods, written
 
 TODAY = "2001-06-30"
 
@@ -128,22 +128,25 @@ _FILES = {
 }
 
 
-def _imported(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """A kind's rows, written as quoted files of the shared folder, read by splits and checked."""
+def _imported(spark: SparkSession, sf_dir: str, kind: str, *kept: str) -> DataFrame:
+    """Columns of a kind's rows, written as quoted files of the shared folder, read by splits and checked once, into a table."""
     source, columns = _FILES[kind]
     folder = f"{shared_folder(spark)}/fundloom/{spark.sparkContext.applicationId}/csv-{kind}-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, source).select(*(F.expr(e).alias(c) for c, e in columns.items()))
     rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
-    problems = csvsplit.file_problems(spark, folder, kind).select("path")
-    raw = csvsplit.read_csv_split(spark, folder, kind).join(problems, "path", "left_anti")
-    return csvkinds.validated(raw, kind, F.lit(TODAY).cast("date"))
+    blocks = csvsplit.scanned(spark, folder)
+    problems = csvsplit.file_problems(spark, folder, kind, blocks=blocks).select("path")
+    raw = csvsplit.read_csv_split(spark, folder, kind, blocks).join(problems, "path", "left_anti")
+    checked = csvkinds.validated(raw, kind, F.lit(TODAY).cast("date"))
+    with small_methods(spark):
+        return written(checked.select(*kept), f"checked-{kind}")
 
 
 def csv_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each kind's files, how many rows there are for each reason of refusal; null for good rows."""
     out = None
     for kind in _FILES:
-        found = _imported(spark, sf_dir, kind)
+        found = _imported(spark, sf_dir, kind, "reason")
         one = found.groupBy(F.lit(kind).alias("kind"), "reason").agg(F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -151,7 +154,7 @@ def csv_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def holdings_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdings by fund and month from quoted files: how many rows stay or go, and the warning or the reason. A month's rows count over all files."""
-    found = _imported(spark, sf_dir, "holdings").drop("path")
+    found = _imported(spark, sf_dir, "holdings", "scheme_code", "as_of_date", "weight_pct", "reason")
     kept = csvkinds.refused_totals(found)
     key = ["scheme_code", "as_of_date"]
     counted = kept.groupBy(*key).agg(F.count("*").alias("n_rows"), F.count("reason").alias("n_refused"), F.max("reason").alias("reason"))

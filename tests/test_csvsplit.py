@@ -4,9 +4,11 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from fundloom.plans import ingest
 from fundloom.sources import csvkinds, csvsplit, sinks
 
 HEADER = ["Scheme Code", "Date", "NAV", "More"]
@@ -104,3 +106,28 @@ def test_whole_records_are_not_dealt_out(spark, tmp_path):
     # Windows and aggregates are over blocks and parts of records, not over lines.
     assert "Window" not in plan or "quotes" not in "".join(x for x in plan.splitlines() if "Window" in x)
     assert plan.count("collect_list") and "(edge" in plan
+
+
+def test_fields_are_cut_as_the_csv_module_does():
+    draw = random.Random(5)
+    for _ in range(300):
+        rows = []
+        for _ in range(draw.randint(1, 6)):
+            text = io.StringIO()
+            csv.writer(text, lineterminator="").writerow(["".join(draw.choices(["x", "é", '"', ",", "\n", " ", '""'], k=draw.randint(0, 4))) for _ in range(draw.randint(2, 4))])
+            rows.append(text.getvalue())
+        fields, odd, filled = csvsplit._cut(pa.array([(r + draw.choice(["", "\r"])).encode() for r in rows], pa.binary()))
+        want = [next(csv.reader(io.StringIO(r, newline=""))) for r in rows]
+        assert fields.to_pylist() == want and not odd.any()
+        assert filled.tolist() == [any(c.strip() for c in r) for r in want]
+    assert csvsplit._cut(pa.array([b'a,b"c",d', b'"a" ,b', b'"a,b', b"a,b"], pa.binary()))[1].tolist() == [True, True, True, False]
+
+
+def test_lines_are_read_once_for_blocks_and_rows_are_checked_once(spark, tmp_path):
+    _write(tmp_path, "a.csv", [["A", "2000-01-01", "1\n2", "x"]] * 5)
+    blocks = csvsplit.scanned(spark, f"file://{tmp_path}")
+    problems = csvsplit.file_problems(spark, f"file://{tmp_path}", "nav", blocks=blocks)
+    assert problems.collect() == [] and "Relation [value" not in problems._jdf.queryExecution().optimizedPlan().toString()
+    assert csvsplit.read_csv_split(spark, f"file://{tmp_path}", "nav", blocks).count() == 5
+    plan = ingest.holdings_import(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Relation [value" not in plan
