@@ -157,7 +157,9 @@ def holdings_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _imported(spark, sf_dir, "holdings", "scheme_code", "as_of_date", "weight_pct", "reason")
     kept = csvkinds.refused_totals(found)
     key = ["scheme_code", "as_of_date"]
-    counted = kept.groupBy(*key).agg(F.count("*").alias("n_rows"), F.count("reason").alias("n_refused"), F.max("reason").alias("reason"))
+    # By reason first, as a greatest text is found by sorting all rows of a key.
+    reasons = kept.groupBy(*key, "reason").agg(F.count("*").alias("n"))
+    counted = reasons.groupBy(*key).agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("reason").isNotNull(), F.col("n")).otherwise(0)).alias("n_refused"), F.max("reason").alias("reason"))
     return counted.join(csvkinds.incomplete_totals(kept), key, "left")
 
 
