@@ -68,8 +68,8 @@ def readable_passages(passages: DataFrame, documents: DataFrame, user: Column) -
 def ranked_lists(questions: DataFrame, readable: DataFrame, most: int = 30) -> tuple[DataFrame, DataFrame]:
     """The vector list and the lexical list of each question over readable passages."""
     asked = hashed_vectors(questions.select(F.col("query_id").alias("passage_id"), F.col("question").alias("content"))).where("embedding IS NOT NULL")
-    near = retrieval.vector_search(asked, hashed_vectors(readable), most, chunk=VECTOR_CHUNK)
-    # Both are written, as several plans read them: each would hash and stem all passages again.
+    # All are written, as several plans read them: each would hash and stem all passages again, the count of the vectors too.
+    near = retrieval.vector_search(asked, written(hashed_vectors(readable), "vectors"), most, chunk=VECTOR_CHUNK)
     return written(near, "near"), written(lexical.lexical_search(questions, readable, most), "words")
 
 
@@ -100,8 +100,9 @@ def candidates(questions: DataFrame, readable: DataFrame, near: DataFrame, words
 
 def retrieve(questions: DataFrame, passages: DataFrame, documents: DataFrame, user: Column, mode: str = "hybrid", named: DataFrame | None = None, most: int = 30) -> DataFrame:
     """A user's candidates for each question, with ``position`` in the context for those that are chosen (null for others)."""
-    readable = readable_passages(passages, documents, user)
-    found = candidates(questions, readable, *ranked_lists(questions, readable, most), mode, named)
+    # Passages may be costly to make, as chunks are, and both lists and all candidates read them.
+    readable = written(readable_passages(passages, documents, user), "readable")
+    found = written(candidates(questions, readable, *ranked_lists(questions, readable, most), mode, named), "candidates")
     chosen = retrieval.select_context(found.withColumn("fused_rank", F.col("final_rank")))
     return found.join(chosen, ["query_id", "passage_id"], "left")
 

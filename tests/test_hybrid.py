@@ -102,3 +102,20 @@ def test_lists_are_tables_that_no_plan_computes_again(spark):
     for rows in hybrid.ranked_lists(asked, passages(spark)):
         assert "Arrow" not in rows._jdf.queryExecution().optimizedPlan().toString()
         assert rows.count() == 5
+
+
+def test_passages_are_made_once(spark, tmp_path):
+    """Each passage leaves a byte in a file whenever it is made: both lists, the counts and the candidates read a table."""
+    made = tmp_path / "made"
+
+    def run(batches):
+        for batch in batches:
+            with open(made, "ab") as out:
+                out.write(b"x" * batch.num_rows)
+            yield batch
+
+    asked = spark.createDataFrame([(1, "What is the exit load?")], "query_id long, question string")
+    docs = passages(spark).select("doc_id").distinct().selectExpr("doc_id", "'indexed' AS status", "'shared' AS visibility", "0L AS owner_id", "'t' AS title", "1L AS fund_id", "'report' AS doc_type", "date'2025-01-01' AS as_of_date")
+    rows = passages(spark)
+    hybrid.retrieve(asked, rows.mapInArrow(run, rows.schema), docs, F.lit(2)).collect()
+    assert made.stat().st_size == rows.count()
